@@ -16,18 +16,39 @@ from clusterlens.functions.state import OK
 RESOURCES = ("cpu_limits", "cpu_requests", "memory_limits", "memory_requests")
 
 
+def _need(resource: Column, is_app: Column) -> Column:
+    # greatest() skips NULL, so a pod with only one side set takes that side.
+    return F.greatest(F.sum(F.when(is_app, resource)), F.max(F.when(~is_app, resource)))
+
+
+def _resources(role: str) -> list[Column]:
+    return [_need(F.col(r), F.col(role) == "app").alias(r) for r in RESOURCES]
+
+
+def _worst(rank: str) -> list[Column]:
+    return [
+        F.max(rank).alias("rank"),
+        F.count(F.lit(1)).alias("children"),
+        F.count_if(F.col(rank) > OK).alias("not_ok"),
+    ]
+
+
 def pod_resources(containers: DataFrame, keys: Sequence[str] = ("pod_uuid",), role: str = "role") -> DataFrame:
     """What a pod needs: the sum over its app containers, or one init/sidecar container if that is more.
 
     NULL if no container sets the resource.
     """
-    is_app = F.col(role) == "app"
-    return containers.groupBy(*keys).agg(*[_need(F.col(r), is_app).alias(r) for r in RESOURCES])
+    return containers.groupBy(*keys).agg(*_resources(role))
 
 
-def _need(resource: Column, is_app: Column) -> Column:
-    # greatest() skips NULL, so a pod with only one side set takes that side.
-    return F.greatest(F.sum(F.when(is_app, resource)), F.max(F.when(~is_app, resource)))
+def worst_state(children: DataFrame, keys: Sequence[str], rank: str = "rank") -> DataFrame:
+    """Worst rank, number of children and number of children that are not ok, per parent."""
+    return children.groupBy(*keys).agg(*_worst(rank))
+
+
+def pod_summary(containers: DataFrame, keys: Sequence[str] = ("pod_uuid",)) -> DataFrame:
+    """State and resources of pods in one aggregation."""
+    return containers.groupBy(*keys).agg(*_worst("rank"), *_resources("role"))
 
 
 def pod_resources_in_row(containers: Column, resource: str) -> Column:
@@ -41,15 +62,6 @@ def pod_resources_in_row(containers: Column, resource: str) -> Column:
     return F.greatest(F.when(F.size(app) > 0, total), F.array_max(pick(lambda c: c["role"] != "app")))
 
 
-def worst_state(children: DataFrame, keys: Sequence[str], rank: str = "rank") -> DataFrame:
-    """Worst rank, number of children and number of children that are not ok, per parent."""
-    return children.groupBy(*keys).agg(
-        F.max(rank).alias("rank"),
-        F.count(F.lit(1)).alias("children"),
-        F.count_if(F.col(rank) > OK).alias("not_ok"),
-    )
-
-
 def last_match(children: DataFrame, keys: Sequence[str], order: Sequence[str], matches: Column, value: Column) -> DataFrame:
     """``value`` of the last child that matches, per parent (NULL if none does)."""
     position = F.struct(*[F.col(c) for c in order])
