@@ -34,8 +34,9 @@ def objects(table: DataFrame, kind: str, fields: dict[str, str]) -> DataFrame:
 
 
 def table_of(kind: str, documents: DataFrame, table: str) -> DataFrame:
-    found = kinds()[kind].tables(documents, F.lit(CLUSTER), F.lit(NOW).cast("timestamp"))
-    return flat(found[table])
+    now = F.lit(NOW).cast("timestamp")
+    known = kinds()[kind]
+    return flat(known.table(table, known.prepared(documents, F.lit(CLUSTER), now), now))
 
 
 def metadata(prefix: str, key: str, extra: str = "") -> str:

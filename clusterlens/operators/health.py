@@ -179,15 +179,23 @@ def container_verdict(container: Column, status: Column) -> Column:
 def container_fold(containers: Column) -> Column:
     """Roll an ordered array of classified containers up, inside the row.
 
-    The elements carry ``role``, ``rank`` and ``reason``; the result is
-    ``struct<rank, reasons, not_ok, total>`` where ``total`` leaves init containers out.
+    The elements carry ``role`` and ``health`` (rank, reason).  The result is
+    ``struct<rank, reasons, not_ok, not_ok_main, total>``; the last two leave init containers out.
     """
+
+    def bad(c: Column) -> Column:
+        return c["health"]["rank"] > OK
+
+    def main(c: Column) -> Column:
+        return c["role"] != "init"
+
+    tagged = F.transform(containers, lambda c: tagged_reason(c["health"]["rank"], c["health"]["reason"]))
     return F.struct(
-        F.coalesce(F.array_max(F.transform(containers, lambda c: c["rank"])), F.lit(OK)).alias("rank"),
-        F.array_join(F.transform(containers, lambda c: tagged_reason(c["rank"], c["reason"])), "\n").alias("reasons"),
-        F.size(F.filter(containers, lambda c: c["rank"] > OK)).alias("not_ok"),
-        F.size(F.filter(containers, lambda c: (c["rank"] > OK) & (c["role"] != "init"))).alias("not_ok_main"),
-        F.size(F.filter(containers, lambda c: c["role"] != "init")).alias("total"),
+        F.coalesce(F.array_max(F.transform(containers, lambda c: c["health"]["rank"])), F.lit(OK)).alias("rank"),
+        F.array_join(tagged, "\n").alias("reasons"),
+        F.size(F.filter(containers, bad)).alias("not_ok"),
+        F.size(F.filter(containers, lambda c: bad(c) & main(c))).alias("not_ok_main"),
+        F.size(F.filter(containers, main)).alias("total"),
     )
 
 

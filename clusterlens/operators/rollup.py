@@ -6,7 +6,7 @@ combined on the map side and never gathered in one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -51,15 +51,22 @@ def pod_summary(containers: DataFrame, keys: Sequence[str] = ("pod_uuid",)) -> D
     return containers.groupBy(*keys).agg(*_worst("rank"), *_resources("role"))
 
 
-def pod_resources_in_row(containers: Column, resource: str) -> Column:
-    """The same over an array of containers with ``role`` and the resource columns, without a shuffle."""
+def pod_resources_in_row(containers: Column, resource: Callable[[Column], Column]) -> Column:
+    """The same over an array of containers with a ``role``, without a shuffle.
 
-    def pick(keep) -> Column:
-        return F.filter(F.transform(F.filter(containers, keep), lambda c: c[resource]), lambda v: v.isNotNull())
+    ``resource`` takes the amount from an element.
+    """
+
+    def pick(keep: Callable[[Column], Column]) -> Column:
+        return F.filter(F.transform(F.filter(containers, keep), resource), lambda v: v.isNotNull())
+
+    def total(amounts: Column) -> Column:
+        # NULL if there is nothing to add up.
+        return F.aggregate(
+            amounts, F.lit(None).cast("bigint"), lambda acc, v: F.coalesce(acc, F.lit(0).cast("bigint")) + v
+        )
 
-    app = pick(lambda c: c["role"] == "app")
-    total = F.aggregate(app, F.lit(0).cast("bigint"), lambda acc, v: acc + v)
-    return F.greatest(F.when(F.size(app) > 0, total), F.array_max(pick(lambda c: c["role"] != "app")))
+    return F.greatest(total(pick(lambda c: c["role"] == "app")), F.array_max(pick(lambda c: c["role"] != "app")))
 
 
 def last_match(children: DataFrame, keys: Sequence[str], order: Sequence[str], matches: Column, value: Column) -> DataFrame:

@@ -40,16 +40,23 @@ class Kind:
     prepare: Callable[[DataFrame, Column], DataFrame] = field(default=lambda objects, now: objects)
     notifies: bool = False
 
+    def builders(self) -> dict[str, Build]:
+        """What makes each child table from prepared objects."""
+        relations = [r for parent in self.relations for r in (parent, *parent.children)]
+        return {r.table: r.build for r in relations if r.build is not None}
+
+    def prepared(self, objects: DataFrame, cluster: Column, now: Column) -> DataFrame:
+        """Objects with their identifiers and whatever several of their tables need."""
+        return self.prepare(identify(objects, cluster), now)
+
+    def table(self, name: str, prepared: DataFrame, now: Column) -> DataFrame:
+        """Rows of the kind's own or one of its child tables."""
+        return self.project(prepared, now) if name == self.name else self.builders()[name](prepared)
+
     def tables(self, objects: DataFrame, cluster: Column, now: Column) -> dict[str, DataFrame]:
         """All table rows of the objects.  Persist ``objects`` if more than one table is used."""
-        known = identify(objects, cluster)
-        known = self.prepare(known, now)
-        found = {self.name: self.project(known, now)}
-        for relation in self.relations:
-            if relation.build is not None:
-                found[relation.table] = relation.build(known)
-                found.update({c.table: c.build(known) for c in relation.children if c.build is not None})
-        return found
+        known = self.prepared(objects, cluster, now)
+        return {name: self.table(name, known, now) for name in (self.name, *self.builders())}
 
 
 def identify(objects: DataFrame, cluster: Column) -> DataFrame:
@@ -70,6 +77,16 @@ def header() -> list[Column]:
     ]
 
 
+def exploded(rows: DataFrame, source: str, *keep: Column | str, names: tuple[str, ...] = ("item",)) -> DataFrame:
+    """One row per element of an array (or entry of a map) column.
+
+    The optimiser puts a test for emptiness below a plain explode, which evaluates the array
+    (often: parses the document) twice.  The outer explode has no such test; the rows it adds
+    for empty arrays are dropped here, as are NULL elements.
+    """
+    return rows.select(*keep, F.explode_outer(source).alias(*names)).where(F.col(names[0]).isNotNull())
+
+
 def document(objects: DataFrame) -> Column:
     """The source document as it was read, if the reader kept it."""
     return (F.col("raw") if "raw" in objects.columns else F.lit(None).cast("string")).alias("document")
@@ -92,8 +109,7 @@ def flag(value: Column, default: bool = False) -> Column:
 
 
 def _pairs(objects: DataFrame, source: str) -> DataFrame:
-    exploded = objects.select("uuid", F.explode(source).alias("name", "value"))
-    return exploded.select(
+    return exploded(objects, source, "uuid", names=("name", "value")).select(
         F.col("uuid").alias("owner"), pair_uuid(F.col("uuid"), F.col("name"), F.col("value")).alias("uuid"), "name", "value"
     )
 
@@ -136,7 +152,7 @@ def owners(kind: str) -> Relation:
     key = f"{kind}_uuid"
 
     def build(objects: DataFrame) -> DataFrame:
-        return objects.select(F.col("uuid").alias(key), F.explode("metadata.ownerReferences").alias("o")).select(
+        return exploded(objects, "metadata.ownerReferences", F.col("uuid").alias(key), names=("o",)).select(
             key,
             ensure_uuid(F.col("o.uid")).alias("owner_uuid"),
             snake_case(F.col("o.kind")).alias("kind"),
@@ -170,7 +186,7 @@ def conditions(kind: str) -> Relation:
 
     def build(objects: DataFrame) -> DataFrame:
         type_name = snake_case(F.col("c.type")) if kind == "pvc" else F.col("c.type")
-        return objects.select(F.col("uuid").alias(key), F.explode("status.conditions").alias("c")).select(
+        return exploded(objects, "status.conditions", F.col("uuid").alias(key), names=("c",)).select(
             key,
             type_name.alias("type"),
             F.lower("c.status").alias("status"),

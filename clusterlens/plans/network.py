@@ -13,6 +13,7 @@ from clusterlens.plans.common import (
     conditions,
     dictionary,
     document,
+    exploded,
     flag,
     header,
     tagging,
@@ -60,7 +61,7 @@ def service(objects: DataFrame, now: Column) -> DataFrame:
 
 
 def service_ports(objects: DataFrame) -> DataFrame:
-    return objects.select(_c("uuid").alias("service_uuid"), F.explode("spec.ports").alias("p")).select(
+    return exploded(objects, "spec.ports", _c("uuid").alias("service_uuid"), names=("p",)).select(
         "service_uuid",
         text(_c("p.name")).alias("name"),
         text(_c("p.protocol")).alias("protocol"),
@@ -81,13 +82,11 @@ def endpoint_slice(objects: DataFrame, now: Column) -> DataFrame:
 
 def endpoints(objects: DataFrame) -> DataFrame:
     """One row per endpoint, port and address of a slice."""
-    exploded = (
-        objects.select(_c("uuid").alias("slice"), "ports", F.explode("endpoints").alias("e"))
-        .select("slice", "e", F.explode("ports").alias("p"))
-        .select("slice", "e", "p", F.explode("e.addresses").alias("address"))
-    )
+    found = exploded(objects, "endpoints", _c("uuid").alias("slice"), "ports", names=("e",))
+    found = exploded(found, "ports", "slice", "e", names=("p",))
+    found = exploded(found, "e.addresses", "slice", "e", "p", names=("address",))
     port_name, port = text(_c("p.name")), zero(_c("p.port"))
-    return exploded.select(
+    return found.select(
         uuid5(_c("slice"), F.concat(port_name, _c("address"), port.cast("string"))).alias("uuid"),
         _c("slice").alias("endpoint_slice_uuid"),
         text(_c("e.hostname")).alias("host_name"),
@@ -104,7 +103,8 @@ def endpoints(objects: DataFrame) -> DataFrame:
 
 
 def target_refs(objects: DataFrame) -> DataFrame:
-    return objects.select(_c("uuid").alias("endpoint_slice_uuid"), F.explode("endpoints.targetRef").alias("t")).select(
+    found = exploded(objects, "endpoints", _c("uuid").alias("endpoint_slice_uuid"), names=("e",))
+    return found.select("endpoint_slice_uuid", _c("e.targetRef").alias("t")).select(
         "endpoint_slice_uuid",
         nullable(_c("t.kind")).alias("kind"),
         text(_c("t.namespace")).alias("namespace"),
@@ -123,17 +123,15 @@ def ingress(objects: DataFrame, now: Column) -> DataFrame:
 
 
 def ingress_tls(objects: DataFrame) -> DataFrame:
-    return (
-        objects.select(_c("uuid").alias("ingress_uuid"), F.explode("spec.tls").alias("t"))
-        .select("ingress_uuid", F.explode("t.hosts").alias("tls_host"), text(_c("t.secretName")).alias("tls_secret"))
-    )
+    found = exploded(objects, "spec.tls", _c("uuid").alias("ingress_uuid"), names=("t",))
+    return exploded(found, "t.hosts", "ingress_uuid", text(_c("t.secretName")).alias("tls_secret"), names=("tls_host",))
 
 
 def _paths(objects: DataFrame) -> DataFrame:
     """Rule paths with a backend; a service wins over a resource."""
+    rules = exploded(objects, "spec.rules", _c("uuid").alias("ingress_uuid"), names=("r",))
     paths = (
-        objects.select(_c("uuid").alias("ingress_uuid"), F.explode("spec.rules").alias("r"))
-        .select("ingress_uuid", text(_c("r.host")).alias("host"), F.explode("r.http.paths").alias("p"))
+        exploded(rules, "r.http.paths", "ingress_uuid", text(_c("r.host")).alias("host"), names=("p",))
         .select(
             "ingress_uuid",
             "host",

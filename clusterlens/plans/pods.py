@@ -20,6 +20,7 @@ from clusterlens.plans.common import (
     Relation,
     conditions,
     document,
+    exploded,
     flag,
     header,
     health_columns,
@@ -32,60 +33,50 @@ from clusterlens.plans.common import (
 _RESOURCE_FIELDS = dict(zip(RESOURCES, (("limits", "cpu"), ("requests", "cpu"), ("limits", "memory"), ("requests", "memory"))))
 
 
-def _container(role: Column, spec: Column, statuses: Column) -> Column:
-    """One container with its status (the last one of its name) and health."""
-    status = F.try_element_at(F.filter(statuses, lambda s: s["name"] == spec["name"]), F.lit(-1))
-    verdict = container_verdict(spec, status)
-    state = status["state"]
-    member = (
-        F.when(state["waiting"].isNotNull(), F.struct(F.lit("Waiting"), F.to_json(state["waiting"])))
-        .when(state["running"].isNotNull(), F.struct(F.lit("Running"), F.to_json(state["running"])))
-        .when(state["terminated"].isNotNull(), F.struct(F.lit("Terminated"), F.to_json(state["terminated"])))
-    )
+def _paired(role: str, specs: Column, statuses: Column) -> Column:
+    """Containers with the status of their name (the last one, NULL if there is none)."""
+
+    def pair(spec: Column) -> Column:
+        status = F.try_element_at(F.filter(statuses, lambda s: s["name"] == spec["name"]), F.lit(-1))
+        return F.struct(F.lit(role).alias("role"), spec.alias("spec"), status.alias("status"))
+
+    return F.transform(specs, pair)
+
+
+def _classified(c: Column) -> Column:
     return F.struct(
-        role.alias("role"),
-        spec["name"].alias("name"),
-        spec["image"].alias("image"),
-        spec["imagePullPolicy"].alias("image_pull_policy"),
-        *[milli_or_null(spec["resources"][kind][what]).alias(name) for name, (kind, what) in _RESOURCE_FIELDS.items()],
-        member["col1"].alias("state"),
-        member["col2"].alias("state_details"),
-        flag(status["ready"]).alias("ready"),
-        flag(status["started"]).alias("started"),
-        zero(status["restartCount"]).alias("restart_count"),
-        verdict["rank"].alias("rank"),
-        verdict["reason"].alias("reason"),
-        spec["volumeDevices"].alias("devices"),
-        spec["volumeMounts"].alias("mounts"),
+        c["role"].alias("role"),
+        c["spec"].alias("spec"),
+        c["status"].alias("status"),
+        container_verdict(c["spec"], c["status"]).alias("health"),
     )
 
 
 def prepare(objects: DataFrame, now: Column) -> DataFrame:
-    """Add ``all_containers`` (init, sidecar, app, each in spec order) and their roll-up."""
+    """Add ``all_containers`` (init, sidecar, app, each in spec order) and their roll-up.
+
+    Each ``transform`` fixes one intermediate result per element (status, then verdict), which
+    the next one reads as a field: expressions inside a lambda are not shared otherwise.
+    """
     inits, apps = F.col("spec.initContainers"), F.col("spec.containers")
+    inits, apps = F.coalesce(inits, F.filter(apps, lambda c: F.lit(False))), F.coalesce(apps, F.filter(inits, lambda c: F.lit(False)))
 
     def restarts(c: Column) -> Column:
         return F.coalesce(c["restartPolicy"] == "Always", F.lit(False))
 
     init_status, app_status = F.col("status.initContainerStatuses"), F.col("status.containerStatuses")
-    return (
-        objects.withColumn("_inits", F.coalesce(inits, F.filter(apps, lambda c: F.lit(False))))
-        .withColumn("_apps", F.coalesce(apps, F.filter(inits, lambda c: F.lit(False))))
-        .withColumn(
-            "all_containers",
-            F.concat(
-                F.transform(
-                    F.filter("_inits", lambda c: ~restarts(c)), lambda c: _container(F.lit("init"), c, init_status)
-                ),
-                F.transform(
-                    F.filter("_inits", restarts), lambda c: _container(F.lit("sidecar"), c, init_status)
-                ),
-                F.transform("_apps", lambda c: _container(F.lit("app"), c, app_status)),
-            ),
-        )
-        .drop("_inits", "_apps")
-        .withColumn("fold", container_fold(F.col("all_containers")))
+    paired = F.concat(
+        _paired("init", F.filter(inits, lambda c: ~restarts(c)), init_status),
+        _paired("sidecar", F.filter(inits, restarts), init_status),
+        _paired("app", apps, app_status),
     )
+    classified = objects.withColumn("all_containers", F.transform(paired, _classified))
+    return classified.withColumn("fold", container_fold(F.col("all_containers")))
+
+
+def _amount_of(resource: str):
+    kind, what = _RESOURCE_FIELDS[resource]
+    return lambda c: milli_or_null(c["spec"]["resources"][kind][what])
 
 
 def project(pods: DataFrame, now: Column) -> DataFrame:
@@ -97,7 +88,7 @@ def project(pods: DataFrame, now: Column) -> DataFrame:
         nullable(F.col("status.podIP")).alias("ip"),
         text(F.col("status.phase")).alias("phase"),
         *health_columns(F.col("_verdict")),
-        *[pod_resources_in_row(F.col("all_containers"), r).alias(r) for r in RESOURCES],
+        *[pod_resources_in_row(F.col("all_containers"), _amount_of(r)).alias(r) for r in RESOURCES],
         nullable(F.col("status.reason")).alias("reason"),
         nullable(F.col("status.message")).alias("message"),
         nullable(F.col("status.qosClass")).alias("qos"),
@@ -108,8 +99,32 @@ def project(pods: DataFrame, now: Column) -> DataFrame:
 
 def containers(pods: DataFrame) -> DataFrame:
     """Every container of every pod, with its role."""
-    return pods.select(F.col("uuid").alias("pod_uuid"), F.explode("all_containers").alias("c")).select(
-        uuid5(F.col("pod_uuid"), F.col("c.name")).alias("uuid"), "pod_uuid", "c.*"
+    found = exploded(pods, "all_containers", F.col("uuid").alias("pod_uuid"), names=("c",))
+    spec, status, state = F.col("c.spec"), F.col("c.status"), F.col("c.status.state")
+
+    def by_state(*outcomes: Column) -> Column:
+        members = ("waiting", "running", "terminated")
+        return F.coalesce(*[F.when(state[m].isNotNull(), o) for m, o in zip(members, outcomes)])
+
+    return found.select(
+        uuid5(F.col("pod_uuid"), spec["name"]).alias("uuid"),
+        "pod_uuid",
+        F.col("c.role").alias("role"),
+        spec["name"].alias("name"),
+        spec["image"].alias("image"),
+        spec["imagePullPolicy"].alias("image_pull_policy"),
+        *[milli_or_null(spec["resources"][kind][what]).alias(name) for name, (kind, what) in _RESOURCE_FIELDS.items()],
+        by_state(F.lit("Waiting"), F.lit("Running"), F.lit("Terminated")).alias("state"),
+        by_state(F.to_json(state["waiting"]), F.to_json(state["running"]), F.to_json(state["terminated"])).alias(
+            "state_details"
+        ),
+        flag(status["ready"]).alias("ready"),
+        flag(status["started"]).alias("started"),
+        zero(status["restartCount"]).alias("restart_count"),
+        F.col("c.health.rank").alias("rank"),
+        F.col("c.health.reason").alias("reason"),
+        spec["volumeDevices"].alias("devices"),
+        spec["volumeMounts"].alias("mounts"),
     )
 
 
@@ -140,16 +155,14 @@ def _of_role(role: str) -> Build:
 
 def devices(pods: DataFrame) -> DataFrame:
     return (
-        containers(pods)
-        .select(F.col("uuid").alias("container_uuid"), "pod_uuid", F.explode("devices").alias("d"))
+        exploded(containers(pods), "devices", F.col("uuid").alias("container_uuid"), "pod_uuid", names=("d",))
         .select("container_uuid", "pod_uuid", F.col("d.name").alias("name"), F.col("d.devicePath").alias("path"))
     )
 
 
 def mounts(pods: DataFrame) -> DataFrame:
     return (
-        containers(pods)
-        .select(F.col("uuid").alias("container_uuid"), "pod_uuid", F.explode("mounts").alias("m"))
+        exploded(containers(pods), "mounts", F.col("uuid").alias("container_uuid"), "pod_uuid", names=("m",))
         .select(
             "container_uuid",
             "pod_uuid",
@@ -162,7 +175,7 @@ def mounts(pods: DataFrame) -> DataFrame:
 
 
 def _volumes(pods: DataFrame) -> DataFrame:
-    return pods.select(F.col("uuid").alias("pod_uuid"), F.explode("spec.volumes").alias("v")).select(
+    return exploded(pods, "spec.volumes", F.col("uuid").alias("pod_uuid"), names=("v",)).select(
         "pod_uuid",
         F.get_json_object("v", "$.name").alias("volume_name"),
         F.get_json_object("v", "$.persistentVolumeClaim").alias("claim"),

@@ -12,6 +12,7 @@ from clusterlens.plans.common import (
     Relation,
     conditions,
     document,
+    exploded,
     flag,
     header,
     health_columns,
@@ -69,9 +70,8 @@ def node(nodes: DataFrame, now: Column) -> DataFrame:
 
 
 def node_volumes(nodes: DataFrame) -> DataFrame:
-    return nodes.select(
-        _c("uuid").alias("node_uuid"), _c("status.volumesInUse").alias("used"), F.explode("status.volumesAttached").alias("v")
-    ).select(
+    keep = (_c("uuid").alias("node_uuid"), _c("status.volumesInUse").alias("used"))
+    return exploded(nodes, "status.volumesAttached", *keep, names=("v",)).select(
         "node_uuid",
         _c("v.name").alias("name"),
         _c("v.devicePath").alias("device_path"),
