@@ -41,7 +41,7 @@ _WIDE = "decimal(38,9)"
 def _amount(quantity: Column) -> Column:
     """Exact decimal value; NULL if the text is no quantity."""
     number = F.regexp_extract(quantity, _QUANTITY, 1).try_cast(_WIDE)
-    factors = F.create_map(*[F.lit(v).cast(_WIDE) if i else F.lit(v) for kv in SUFFIXES.items() for i, v in enumerate(kv)])
+    factors = F.expr("map(" + ", ".join(f"'{name}', CAST('{factor}' AS {_WIDE})" for name, factor in SUFFIXES.items()) + ")")
     scaled = number * F.element_at(factors, F.regexp_extract(quantity, _QUANTITY, 2))
     # 1e3 / 1E3: the decimal parser understands exponents.
     return F.when(quantity.rlike(_QUANTITY), scaled).otherwise(quantity.try_cast(_WIDE))

@@ -51,14 +51,11 @@ def pod_summary(containers: DataFrame, keys: Sequence[str] = ("pod_uuid",)) -> D
     return containers.groupBy(*keys).agg(*_worst("rank"), *_resources("role"))
 
 
-def pod_resources_in_row(containers: Column, resource: Callable[[Column], Column]) -> Column:
-    """The same over an array of containers with a ``role``, without a shuffle.
-
-    ``resource`` takes the amount from an element.
-    """
+def pod_resources_in_row(containers: Column, resource: str) -> Column:
+    """The same over an array of containers with a ``role`` and the resource, without a shuffle."""
 
     def pick(keep: Callable[[Column], Column]) -> Column:
-        return F.filter(F.transform(F.filter(containers, keep), resource), lambda v: v.isNotNull())
+        return F.transform(F.filter(containers, lambda c: keep(c) & c[resource].isNotNull()), lambda c: c[resource])
 
     def total(amounts: Column) -> Column:
         # NULL if there is nothing to add up.

@@ -49,6 +49,7 @@ def _classified(c: Column) -> Column:
         c["spec"].alias("spec"),
         c["status"].alias("status"),
         container_verdict(c["spec"], c["status"]).alias("health"),
+        *[milli_or_null(c["spec"]["resources"][kind][what]).alias(name) for name, (kind, what) in _RESOURCE_FIELDS.items()],
     )
 
 
@@ -74,11 +75,6 @@ def prepare(objects: DataFrame, now: Column) -> DataFrame:
     return classified.withColumn("fold", container_fold(F.col("all_containers")))
 
 
-def _amount_of(resource: str):
-    kind, what = _RESOURCE_FIELDS[resource]
-    return lambda c: milli_or_null(c["spec"]["resources"][kind][what])
-
-
 def project(pods: DataFrame, now: Column) -> DataFrame:
     verdict = pod_verdict(F.col("metadata"), F.col("status"), F.col("fold"), now)
     return pods.withColumn("_verdict", verdict).select(
@@ -88,7 +84,7 @@ def project(pods: DataFrame, now: Column) -> DataFrame:
         nullable(F.col("status.podIP")).alias("ip"),
         text(F.col("status.phase")).alias("phase"),
         *health_columns(F.col("_verdict")),
-        *[pod_resources_in_row(F.col("all_containers"), _amount_of(r)).alias(r) for r in RESOURCES],
+        *[pod_resources_in_row(F.col("all_containers"), r).alias(r) for r in RESOURCES],
         nullable(F.col("status.reason")).alias("reason"),
         nullable(F.col("status.message")).alias("message"),
         nullable(F.col("status.qosClass")).alias("qos"),
@@ -113,7 +109,7 @@ def containers(pods: DataFrame) -> DataFrame:
         spec["name"].alias("name"),
         spec["image"].alias("image"),
         spec["imagePullPolicy"].alias("image_pull_policy"),
-        *[milli_or_null(spec["resources"][kind][what]).alias(name) for name, (kind, what) in _RESOURCE_FIELDS.items()],
+        *[F.col(f"c.{name}").alias(name) for name in RESOURCES],
         by_state(F.lit("Waiting"), F.lit("Running"), F.lit("Terminated")).alias("state"),
         by_state(F.to_json(state["waiting"]), F.to_json(state["running"]), F.to_json(state["terminated"])).alias(
             "state_details"

@@ -87,7 +87,7 @@ def read_log_chunks(spark: SparkSession, path: str) -> DataFrame:
 
     Folder layout: ``pod_uuid=.../container_uuid=.../<seq>.log``.
     """
-    lines = spark.readStream.option("wholetext", True).text(path)
+    lines = spark.readStream.text(path, wholetext=True)
     name = F.col("_metadata.file_path")
     return lines.select(
         F.regexp_extract(name, "container_uuid=([^/]+)", 1).alias("container_uuid"),

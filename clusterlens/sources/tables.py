@@ -1,56 +1,67 @@
 """Keyed tables on plain Parquet.
 
-A table is a folder of immutable batches, ``batch_id=N``.  A batch holds changed rows and
-tombstones; writing a batch again replaces it, so a retried micro-batch is idempotent and
-costs only the size of the change, never of the table.  Reading takes the latest row per
-key.  :meth:`KeyedTable.compact` folds all batches into one; readers of the old folder keep
-their files.  With a table format that has row-level merges use ``DataFrame.mergeInto``
-instead; the pure functions in ``operators.merge`` are the same for both.
+A table is a folder of immutable batches, ``batch_id=N/step=S/writer=W``.  A batch holds
+changed rows and tombstones; writing a batch again replaces it, so a retried micro-batch is
+idempotent and costs only the size of the change, never of the table.  Reading takes the
+latest row per key.  :meth:`KeyedTable.compact` folds all batches into a new folder; readers
+of the old one keep their files.  With a table format that has row-level merges use
+``DataFrame.mergeInto`` instead; the pure functions in ``operators.merge`` serve both.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from clusterlens.operators.merge import latest_per_key
 
-_BATCH = "batch_id"
-_GONE = "_deleted"
+_BATCH, _STEP, _WRITER, _GONE = "batch_id", "step", "writer", "_deleted"
 
 
 class KeyedTable:
     """One keyed table: ``upsert``, ``delete`` and ``read``."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, keys: Sequence[str]) -> None:
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str]) -> None:
         self.spark, self.path, self.schema, self.keys = spark, path, schema, tuple(keys)
 
-    def _write(self, rows: DataFrame, batch: int, step: str) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/{_BATCH}={batch}/step={step}")
+    def _write(self, rows: DataFrame, batch: int, step: int, writer: str) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/{_BATCH}={batch}/{_STEP}={step}/{_WRITER}={writer}")
 
-    def upsert(self, rows: DataFrame, batch: int) -> None:
-        """Insert or replace whole rows; ``rows`` holds each key at most once."""
-        self._write(rows.withColumn(_GONE, F.lit(False)), batch, "2")
+    def upsert(self, rows: DataFrame, batch: int, writer: str = "main") -> None:
+        """Insert or replace whole rows."""
+        self._write(rows.select(self.schema.names).withColumn(_GONE, F.lit(False)), batch, 2, writer)
 
-    def delete(self, keys: DataFrame, batch: int) -> None:
+    def delete(self, keys: DataFrame, batch: int, writer: str = "main") -> None:
         """Drop rows by key.  An upsert of the same batch wins over a delete."""
-        self._write(keys.select(*self.keys).withColumn(_GONE, F.lit(True)), batch, "1")
+        self._write(keys.select(*self.keys).withColumn(_GONE, F.lit(True)), batch, 1, writer)
+
+    def batch(self, number: int, writer: str = "main") -> DataFrame:
+        """The rows one batch upserted."""
+        folder = f"{self.path}/{_BATCH}={number}/{_STEP}=2/{_WRITER}={writer}"
+        return self.spark.read.schema(self.schema).parquet(folder)
+
+    def read(self, before: int | None = None) -> DataFrame:
+        """Current rows, or those before a batch (so a retried batch does not see itself)."""
+        latest = latest_per_key(self._log(before), self.keys, [_BATCH, _STEP, _WRITER])
+        return latest.where(~F.col(_GONE)).select(self.schema.names)
 
     def _log(self, before: int | None) -> DataFrame:
-        schema = f"{self.schema}, {_GONE} BOOLEAN, {_BATCH} BIGINT, step INT"
-        # The path may not exist yet: an empty table.
+        schema = T.StructType(
+            [
+                *self.schema.fields,
+                T.StructField(_GONE, T.BooleanType()),
+                T.StructField(_BATCH, T.LongType()),
+                T.StructField(_STEP, T.IntegerType()),
+                T.StructField(_WRITER, T.StringType()),
+            ]
+        )
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
             return self.spark.createDataFrame([], schema)
         log = self.spark.read.schema(schema).option("basePath", self.path).parquet(self.path)
         return log if before is None else log.where(F.col(_BATCH) < before)
 
-    def read(self, before: int | None = None) -> DataFrame:
-        """Current rows, or those before a batch (so a retried batch does not see itself)."""
-        latest = latest_per_key(self._log(before), self.keys, [_BATCH, "step"])
-        return latest.where(~F.col(_GONE)).drop(_GONE, _BATCH, "step")
-
     def compact(self, target: str) -> "KeyedTable":
         """Current rows as a new table of one batch."""
         compacted = KeyedTable(self.spark, target, self.schema, self.keys)
