@@ -43,7 +43,7 @@ def log_tails(
         reaching = _after(totals, keys, "_range").where(F.col("_after") <= size).select(*keys, "_range")
         rows = ranged.join(reaching, [*keys, "_range"], "left_semi").drop("_range")
     sized = _after(rows.withColumn("_bytes", F.octet_length("_text")), keys, "_seq").where(F.col("_after") <= size)
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_seq", "_text"))), lambda c: c["_text"])
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("_seq", "_text"))), lambda c: c["_text"])
     return (
         sized.groupBy(*keys)
         .agg(F.array_join(ordered, "").alias("_text"))

@@ -49,11 +49,17 @@ def _series(
     matchers: Sequence[Column],
     scope: Sequence[str],
 ) -> DataFrame:
-    """Filtered samples with their series text and grouping labels as columns."""
+    """Filtered samples with their series and grouping labels as columns.
+
+    A series is its sorted label pairs.  ``series_id`` is a hash of them: it is shuffled and
+    sorted by first, which is cheap, and the pairs themselves settle the rare collision.
+    """
     wanted = F.col("metric").isin(*metrics) if len(metrics) > 1 else F.col("metric") == metrics[0]
     keep = reduce(lambda a, b: a & b, matchers, wanted & ~F.isnan("value"))
+    pairs = F.sort_array(F.map_entries("labels"))
     return samples.where(keep).select(
-        F.to_json(F.array_sort(F.map_entries("labels"))).alias("series"),
+        F.xxhash64(pairs).alias("series_id"),
+        pairs.alias("series"),
         *scope,
         *[label(name).alias(name) for name in by],
         "metric",
@@ -70,7 +76,7 @@ def _chunked(series: DataFrame, scope: Sequence[str], reach: int, step: int, chu
     last = _div(F.col("t") + F.lit(reach - 1), step) * F.lit(step)
     spread = series.withColumn("first_tick", first).withColumn("last_tick", last)
     spread = spread.withColumn("chunk", F.explode(F.sequence(_div(F.col("first_tick"), chunk), _div(F.col("last_tick"), chunk))))
-    return spread.repartition(*scope, "series", "chunk")
+    return spread.repartition(*scope, "series_id", "chunk")
 
 
 def _ticks(low: Column, high: Column, step: int, chunk: int) -> Column:
@@ -93,12 +99,13 @@ def instants(
 ) -> DataFrame:
     """Per series and tick the last sample of (tick - lookback, tick], for one or more metrics."""
     rows = _chunked(_series(samples, metrics, by, matchers, scope), scope, lookback, step, chunk)
-    order = Window.partitionBy(*scope, "series", "chunk", "metric").orderBy("t", "value")
+    order = Window.partitionBy(*scope, "series_id", "chunk", "series", "metric").orderBy("t", "value")
     following = F.lead("t").over(order)
     # The last tick before the next sample of the series; unbounded if there is none.
     covered = F.coalesce(_div(following - F.lit(1), step) * F.lit(step), F.col("last_tick"))
     return rows.withColumn("covered", covered).select(
         *scope,
+        "series_id",
         "series",
         *by,
         "chunk",
@@ -128,7 +135,7 @@ def matched(
         return F.max(F.when(F.col("metric") == metric, F.col("value")))
 
     return (
-        vectors.groupBy(*scope, "series", "chunk", *by, "tick")
+        vectors.groupBy(*scope, "series_id", "chunk", "series", *by, "tick")
         .agg(side(left).alias("left"), side(right).alias("right"))
         .where(F.col("left").isNotNull() & F.col("right").isNotNull())
         .select(*scope, "series", *by, "tick", "left", "right", value.alias("value"))
@@ -156,20 +163,25 @@ def rate(
     many overlapping windows see it; the windows are then put together from steps.
     """
     rows = _chunked(_series(samples, [metric], by, matchers, scope), scope, window, step, chunk)
-    key = [*scope, "series", "chunk"]
+    key = [*scope, "series_id", "chunk", "series"]
     order = Window.partitionBy(*key).orderBy("t", "value")
     previous = F.lag("value").over(order)
-    # What the counter had reached before it restarted at this sample.
-    rows = rows.withColumn("lost", F.when(F.col("value") < previous, previous).otherwise(F.lit(0.0)))
-    at = F.struct("t", "value")
+    rows = rows.withColumns(
+        {
+            # What the counter had reached before it restarted at this sample.
+            "lost": F.when(F.col("value") < previous, previous).otherwise(F.lit(0.0)),
+            # Orders the samples like (t, value), but as one number, which aggregates in hash maps.
+            "at": F.row_number().over(order),
+        }
+    )
     steps = rows.groupBy(*key, *by, F.col("first_tick").alias("slot")).agg(
         F.count(F.lit(1)).alias("n"),
         F.min("t").alias("first_t"),
-        F.min_by("value", at).alias("first_v"),
+        F.min_by("value", "at").alias("first_v"),
         F.max("t").alias("last_t"),
-        F.max_by("value", at).alias("last_v"),
+        F.max_by("value", "at").alias("last_v"),
         F.sum("lost").alias("lost"),
-        F.min_by("lost", at).alias("first_lost"),
+        F.min_by("lost", "at").alias("first_lost"),
     )
     seen = steps.withColumn(
         "tick", F.explode(_ticks(F.col("slot"), F.col("slot") + F.lit(window - step), step, chunk))

@@ -156,7 +156,7 @@ def match_rules(
     """
     for name, table in tables.items():
         table.createOrReplaceTempView(name)
-    keyed = events.select("uuid", "cluster_uuid", "kind").distinct()
+    keyed = events.select("uuid", "cluster_uuid", "kind")
     always, hits, rejected = [], [], {}
     for rule in rules:
         if rule.query is None:
@@ -175,12 +175,12 @@ def match_rules(
         hits.append(matched.select("uuid", "kind", F.lit(rule.id).alias("rule_id")))
     everywhere = F.array(*[F.lit(i) for i in always]).cast("array<string>")
     if not hits:
-        return events.withColumn("rule_ids", F.array_sort(everywhere)), rejected
-    # At most one row per event and rule, so the set is bounded by the number of rules.
+        return events.withColumn("rule_ids", F.sort_array(everywhere)), rejected
+    # A set of rules per object, so it is bounded by the number of rules.
     found = reduce(DataFrame.unionByName, hits).groupBy("uuid", "kind").agg(F.collect_set("rule_id").alias("_ids"))
     ids = F.coalesce(F.col("_ids"), F.array().cast("array<string>"))
     joined = events.join(found, ["uuid", "kind"], "left")
     return (
-        joined.withColumn("rule_ids", F.array_sort(F.concat(ids, everywhere))).select(*events.columns, "rule_ids"),
+        joined.withColumn("rule_ids", F.sort_array(F.concat(ids, everywhere))).select(*events.columns, "rule_ids"),
         rejected,
     )

@@ -39,7 +39,7 @@ def select_pods(
     wanted = (
         scoped(services, service_key, "selector")
         .where(F.size("selector") > 0)
-        .withColumn("terms", F.array_sort(F.map_entries("selector")))
+        .withColumn("terms", F.sort_array(F.map_entries("selector")))
         .drop("selector")
     )
     selectors = wanted.select(*scope, "terms").distinct()

@@ -33,7 +33,7 @@ def node_roles(labels: Column) -> Column:
     """Role names from the label names, sorted."""
     names = F.filter(F.map_keys(labels), lambda k: F.contains(k, F.lit("node-role")))
     roles = F.transform(names, lambda k: F.split_part(k, F.lit("/"), F.lit(2)))
-    return F.coalesce(F.array_join(F.array_sort(roles), ", "), F.lit(""))
+    return F.coalesce(F.array_join(F.sort_array(roles), ", "), F.lit(""))
 
 
 def node(nodes: DataFrame, now: Column) -> DataFrame:
