@@ -38,23 +38,31 @@ _QUANTITY = r"^([+-]?[0-9]*\.?[0-9]*)(n|u|m|k|M|G|T|P|E|Ki|Mi|Gi|Ti|Pi|Ei|)$"
 _WIDE = "decimal(38,9)"
 
 
-def _amount(quantity: Column) -> Column:
-    """Exact decimal value; NULL if the text is no quantity."""
+def _thousandths(quantity: Column) -> Column:
+    """Exact decimal value in thousandths; NULL if the text is no quantity."""
     number = F.regexp_extract(quantity, _QUANTITY, 1).try_cast(_WIDE)
-    factors = F.expr("map(" + ", ".join(f"'{name}', CAST('{factor}' AS {_WIDE})" for name, factor in SUFFIXES.items()) + ")")
-    scaled = number * F.element_at(factors, F.regexp_extract(quantity, _QUANTITY, 2))
+    suffix = F.regexp_extract(quantity, _QUANTITY, 2)
+    factors = F.expr(
+        "map(" + ", ".join(f"'{n}', CAST({f * 1000:f} AS {_WIDE})" for n, f in SUFFIXES.items() if f * 1000 >= 1) + ")"
+    )
+    # Small suffixes divide: a product would lose its last digits to the precision limit.
+    scaled = (
+        F.when(suffix == "n", number / F.lit(Decimal(10**6)))
+        .when(suffix == "u", number / F.lit(Decimal(10**3)))
+        .otherwise(number * F.element_at(factors, suffix))
+    )
     # 1e3 / 1E3: the decimal parser understands exponents.
-    return F.when(quantity.rlike(_QUANTITY), scaled).otherwise(quantity.try_cast(_WIDE))
+    return F.when(quantity.rlike(_QUANTITY), scaled).otherwise(quantity.try_cast(_WIDE) * F.lit(1000))
 
 
 def milli(quantity: Column) -> Column:
     """Quantity text in thousandths, rounded up."""
-    return F.ceil(_amount(quantity) * F.lit(1000)).try_cast("bigint")
+    return F.ceil(_thousandths(quantity)).try_cast("bigint")
 
 
 def whole(quantity: Column) -> Column:
     """Quantity text in whole units, rounded up."""
-    return F.ceil(_amount(quantity)).try_cast("bigint")
+    return F.ceil(_thousandths(quantity) / F.lit(1000)).try_cast("bigint")
 
 
 def milli_or_null(quantity: Column) -> Column:

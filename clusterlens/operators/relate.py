@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -15,13 +15,15 @@ def select_pods(
     pods: DataFrame,
     *,
     same_namespace: bool = True,
+    within: Sequence[str] = (),
     service_key: str = "service_uuid",
     pod_key: str = "pod_uuid",
 ) -> DataFrame:
     """Pairs (service, pod) where every selector entry is among the pod's labels.
 
     ``services``: key, ``selector`` map, ``namespace``; ``pods``: key, ``labels`` map,
-    ``namespace``.  Services without a selector select nothing.
+    ``namespace``.  Services without a selector select nothing.  ``within`` names columns of
+    both sides that have to be equal as well, such as the cluster.
 
     Containment is checked on one join candidate per pod and selector: each selector is
     joined on its *rarest* entry and the others are then tested in the row.  Equal selectors
@@ -30,11 +32,11 @@ def select_pods(
     is an ordinary equi-join key and no operator above it needs its partitioning, so the
     adaptive skew split applies.
     """
-    scope = [_NS] if same_namespace else []
+    scope = [*within, _NS] if same_namespace else [*within]
 
     def scoped(rows: DataFrame, key: str, entries: str) -> DataFrame:
         namespace = [F.col("namespace").alias(_NS)] if same_namespace else []
-        return rows.select(F.col(key), *namespace, F.col(entries))
+        return rows.select(key, *within, *namespace, entries)
 
     wanted = (
         scoped(services, service_key, "selector")
@@ -66,18 +68,17 @@ def select_pods(
     return matches.join(wanted, [*scope, "terms"]).select(service_key, pod_key)
 
 
-def node_names(nodes: DataFrame) -> DataFrame:
+def node_names(nodes: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     """Look-up rows (node, node_uuid) by node name and by internal address.
 
-    ``nodes``: ``uuid``, ``name``, ``addresses`` array of (type, address).
+    ``nodes``: ``uuid``, ``name``, ``addresses`` array of (type, address).  Names are unique
+    within the columns ``within`` only, such as the cluster.
     """
-    by_name = nodes.select(F.col("name").alias("node"), F.col("uuid").alias("node_uuid"))
-    by_address = nodes.select(F.explode("addresses").alias("a"), F.col("uuid").alias("node_uuid")).where(
-        F.col("a.type") == "InternalIP"
-    )
-    both = by_name.unionByName(by_address.select(F.col("a.address").alias("node"), "node_uuid"))
+    internal = F.filter("addresses", lambda a: a["type"] == "InternalIP")
+    names = F.concat(F.array("name"), F.coalesce(F.transform(internal, lambda a: a["address"]), F.array().cast("array<string>")))
+    listed = nodes.select(*within, F.explode(names).alias("node"), F.col("uuid").alias("node_uuid"))
     # A name that is also another node's address must not multiply samples.
-    return both.groupBy("node").agg(F.max("node_uuid").alias("node_uuid"))
+    return listed.groupBy(*within, "node").agg(F.max("node_uuid").alias("node_uuid"))
 
 
 def orphans(references: DataFrame, tables: Mapping[str, DataFrame], kinds: DataFrame | None = None) -> DataFrame:
