@@ -94,6 +94,8 @@ class Store:
 
     def delete(self, kind: str, gone: DataFrame, batch: int) -> None:
         """Delete objects by ``uuid`` with everything that hangs on them."""
+        if gone.isEmpty():
+            return  # most batches delete nothing; spare them the look at every child table
         known = self.kinds[kind]
         self._delete_children(known, gone.select("uuid"), batch, own=True)
         self.tables[kind].delete(gone, batch, kind)
@@ -110,7 +112,7 @@ class Store:
                     continue
                 table = self.tables[relation.table]
                 foreign = parents.select(F.col("uuid").alias(relation.foreign_key))
-                doomed = table.read(batch).join(foreign, relation.foreign_key, "left_semi").select(*table.keys)
+                doomed = table.keys_of(foreign, relation.foreign_key, batch)
                 found.setdefault(relation.table, []).append(doomed)
                 if relation.children:
                     collect(relation.children, doomed)

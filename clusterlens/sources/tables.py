@@ -41,11 +41,24 @@ class KeyedTable:
         folder = f"{self.path}/{_BATCH}={number}/{_STEP}=2/{_WRITER}={writer}"
         return self.spark.read.schema(self.schema).parquet(folder)
 
-    def read(self, before: int | None = None) -> DataFrame:
-        """Current rows, or those before a batch (so a retried batch does not see itself)."""
-        latest = latest_per_key(self._log(before), self.keys, [_BATCH, _STEP, _WRITER])
+    def read(self, before: int | None = None, only: DataFrame | None = None) -> DataFrame:
+        """Current rows, or those before a batch (so a retried batch does not see itself).
+
+        ``only`` limits them to its values of key columns; it is applied before the versions
+        are compared, so a small change looks up a large table without shuffling all of it.
+        """
+        log = self._log(before)
+        if only is not None:
+            shared = [k for k in self.keys if k in only.columns]
+            log = log.join(only.select(*shared), shared, "left_semi")
+        latest = latest_per_key(log, self.keys, [_BATCH, _STEP, _WRITER])
         return latest.where(~F.col(_GONE)).select(self.schema.names)
 
+    def keys_of(self, parents: DataFrame, foreign_key: str, before: int | None = None) -> DataFrame:
+        """Keys of all rows that ever belonged to the parents (their foreign key never changes)."""
+        rows = self._log(before).where(~F.col(_GONE))
+        return rows.join(parents.select(foreign_key), foreign_key, "left_semi").select(*self.keys).distinct()
+
     def _log(self, before: int | None) -> DataFrame:
         schema = T.StructType(
             [

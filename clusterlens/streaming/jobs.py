@@ -78,7 +78,7 @@ def metric_minutes(samples: DataFrame, table: KeyedTable, keys: Sequence[str]) -
         )
         minutes = [*keys, "minute"]
         # Only stored rows of the minutes at hand can be older or newer than a fresh one.
-        stored = table.read(number).join(fresh.select(*minutes), minutes, "left_semi")
+        stored = table.read(number, only=fresh)
         table.upsert(merge.merge_latest(stored, fresh, minutes, ["ts", "value"]), number)
 
     return samples.writeStream.foreachBatch(apply)
@@ -100,8 +100,7 @@ def log_appends(chunks: DataFrame, table: KeyedTable, containers: Callable[[], D
     def apply(batch: DataFrame, number: int) -> None:
         fresh = logs.wanted_chunks(batch, containers()).persist()
         try:
-            stored = table.read(number).join(fresh.select("container_uuid"), "container_uuid", "left_semi")
-            table.upsert(logs.append_logs(stored, fresh), number)
+            table.upsert(logs.append_logs(table.read(number, only=fresh), fresh), number)
         finally:
             fresh.unpersist()
 
@@ -125,7 +124,7 @@ def service_pods(store: sync.Store, services: Callable[[], DataFrame], pods: Cal
 
     def on_pod_deletes(gone: DataFrame, number: int) -> None:
         keys = gone.select(F.col("uuid").alias("pod_uuid"))
-        table.delete(table.read(number).join(keys, "pod_uuid", "left_semi"), number, "pods")
+        table.delete(table.read(number, only=keys), number, "pods")
 
     return on_pods, on_services, on_pod_deletes
 
@@ -147,7 +146,7 @@ def health_notifications(
     def consume(rows: DataFrame, number: int) -> None:
         events = notify.health_events(rows, kind)
         if sent is not None:
-            events = notify.changed_events(events, sent.read(number))
+            events = notify.changed_events(events, sent.read(number, only=events))
         if rules is not None:
             usable, _ = notify.load_rules(rules())
             events, _ = notify.match_rules(rows.sparkSession, events, usable, tables())
@@ -173,7 +172,7 @@ def json_sink(folder: str) -> Consumer:
 
 def first_deletes(gone: DataFrame, number: int, tombstones: KeyedTable) -> DataFrame:
     """Keys deleted now that were not deleted before; they count as deleted until they re-appear."""
-    fresh = merge.delete_keys(gone.select("uuid").distinct(), tombstones.read(number), "uuid")
+    fresh = merge.delete_keys(gone.select("uuid").distinct(), tombstones.read(number, only=gone), "uuid")
     tombstones.upsert(fresh, number)
     return fresh
 
