@@ -327,7 +327,7 @@ def _library_query(metric_id: str):
 
     def run(t):
         entry = c.catalog()[metric_id]
-        return rounded(c.vector(entry, metric_samples(t)).select(*labels, "tick", "value"))
+        return rounded(c.vector(entry, metric_samples(t, entry.sources)).select(*labels, "tick", "value"))
 
     return run
 
@@ -401,15 +401,13 @@ def _stored_sql(metric_id: str) -> str:
 
 def _stored_query(level: str):
     def run(t):
-        samples = metric_samples(t)
+        entries = {i: e for i, e in c.catalog().items() if i in _STORED and e.level == level}
+        samples = metric_samples(t, tuple(source for e in entries.values() for source in e.sources))
         lookups = {
             c.CLUSTER: lambda: {"cluster": F.lit("cluster-1")},
             c.NODE: lambda: {"nodes": relate.node_names(_nodes_view(t))},
         }.get(level, lambda: {"pods": _pods_view(t)})()
-        entries = c.catalog()
-        parts = [
-            c.metric_rows(entries[i], c.vector(entries[i], samples), **lookups) for i in _STORED if entries[i].level == level
-        ]
+        parts = [c.metric_rows(entry, c.vector(entry, samples), **lookups) for entry in entries.values()]
         return rounded(reduce(DataFrame.unionByName, parts))
 
     return run

@@ -108,7 +108,7 @@ _RENAMED = {"container_memory_usage_bytes": {"instance": "node_instance"}}
 
 
 def metric_samples(t, metrics: tuple[str, ...] | None = None) -> DataFrame:
-    """Samples of all metrics; a filter on the metric prunes the other branches of the union."""
+    """Samples of the given metrics, or of all."""
     found = None
     rows = t.events.select(
         "value",

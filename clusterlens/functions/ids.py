@@ -12,9 +12,12 @@ _UUID = rf"(?i)^(?:(?:urn:uuid:)?{_DASHED}|\{{{_DASHED}\}}|[0-9a-f]{{32}})$"
 
 
 def _dashed(digits: Column) -> Column:
-    """32 hex digits -> 8-4-4-4-12."""
-    cuts = ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
-    return F.concat_ws("-", *[F.substring(digits, start, size) for start, size in cuts])
+    """32 hex digits -> 8-4-4-4-12.
+
+    One expression over ``digits``, so that it is evaluated once: expressions inside the
+    branches of a condition are not shared.
+    """
+    return F.regexp_replace(digits, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
 
 
 def uuid5(space: Column, data: Column) -> Column:
