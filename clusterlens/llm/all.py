@@ -1,4 +1,4 @@
 """Collects the queries of all operators."""
 
-from clusterlens.llm import queries_contamination  # noqa: F401  (it registers its queries)
+from clusterlens.llm import queries_contamination, queries_quality  # noqa: F401  (they register their queries)
 from clusterlens.llm.queries import ORACLES, QUERIES  # noqa: F401
