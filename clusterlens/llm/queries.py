@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from clusterlens.llm.ship import ship
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -14,7 +16,11 @@ def query(name: str, sql: str | None = None) -> Callable:
     """Register ``function(read) -> DataFrame``; ``read(table)`` gives a table of the folder."""
 
     def register(function: Callable) -> Callable:
-        QUERIES[name] = lambda spark, folder: function(lambda table: spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet"))
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship(spark)
+            return function(lambda table: spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet"))
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return function
