@@ -60,6 +60,8 @@ class Method:
     compare: Callable[..., tuple[np.ndarray, np.ndarray, np.ndarray]]
     later: Callable[[np.ndarray, np.ndarray], np.ndarray]  # of a run's document and the first one's: does the run repeat it?
     content_type: type
+    # Which runs may hold a window twice; None: windows of one document do not repeat each other.
+    inner: Callable[[np.ndarray, np.ndarray, Runs, np.ndarray], np.ndarray] | None = None
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -123,14 +125,20 @@ def _ask(method: Method, blocks: int, shards: int):
         return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, size, docs = [], 0, 0
+        found, size, docs, sources = [], 0, 0, 0
         for batch in batches:
             parts = block_of(document_keys(batch.column(0)), blocks)
             for first, last, data, offsets in tx.pieces(batch.column(1)):
                 runs = method.runs(data, offsets)
                 doc = np.searchsorted(runs.before, runs.low, side="right") - 1
-                found.append((runs.keys, docs + doc, parts[first:last][doc]))
+                keys, source, part = runs.keys, docs + doc, parts[first:last][doc]
                 docs += last - first
+                if method.inner:  # every run is a source of its own, and one that may hold a window twice is two
+                    twice = np.flatnonzero(method.inner(data, offsets, runs, np.arange(len(keys))))
+                    keys, part = np.concatenate([keys, keys[twice]]), np.concatenate([part, part[twice]])
+                    source = np.arange(len(keys)) + sources
+                    sources += len(keys)
+                found.append((keys, source, part))
                 size += len(data)
                 if size >= FLUSH:
                     yield moved(flush(found))
@@ -241,9 +249,11 @@ def _send(method: Method, shards: int):
             own = np.flatnonzero(wanted[at] == runs.keys)
             doc = np.searchsorted(runs.before, runs.low[own], side="right") - 1
             values, counts = method.content(data, offsets, runs.low[own], runs.high[own])
-            found.append((runs.keys[own], runs.content[own], block.keys[first:last][doc], base + runs.low[own], runs.high[own] - runs.low[own], values, counts))
+            inner = method.inner(data, offsets, runs, own) if method.inner else np.zeros(len(own), bool)
+            at, sizes = base + runs.low[own], runs.high[own] - runs.low[own]
+            found.append((runs.keys[own], runs.content[own], block.keys[first:last][doc], at, sizes, inner, values, counts))
             base += int(runs.before[-1])
-        keys, content, docs, at, sizes, values, counts = (np.concatenate(x) for x in zip(*found))
+        keys, content, docs, at, sizes, inner, values, counts = (np.concatenate(x) for x in zip(*found))
         if not len(keys):
             return pa.Table.from_batches([moved([])])
         order = np.lexsort((at, docs, content, keys))
@@ -257,7 +267,8 @@ def _send(method: Method, shards: int):
         for part, own in by_part((keys[stay] % np.uint64(shards)).astype(np.int64)):
             own = stay[own]
             body = values[tx.spread(starts[own], counts[own])]
-            rows.append((part, RUNS, pack(np.array([block_id], np.int64), keys[own], content[own], docs[own], at[own], sizes[own].astype(np.int32), counts[own].astype(np.int32), body)))
+            head = (np.array([block_id], np.int64), keys[own], content[own], docs[own], at[own])
+            rows.append((part, RUNS, pack(*head, sizes[own].astype(np.int32), counts[own].astype(np.int32), inner[own], body)))
         return pa.Table.from_batches([moved(rows)])
 
     return run
@@ -270,10 +281,10 @@ def _judge(method: Method, shards: int):
         part = table.column("part")[0].as_py()
         if part >= shards:
             return pa.Table.from_batches([moved([(part - shards, FLAGS, x.as_py()) for x in table.column("body")])])
-        types = (np.int64, np.uint64, np.uint64, np.int64, np.int64, np.int32, np.int32, method.content_type)
+        types = (np.int64, np.uint64, np.uint64, np.int64, np.int64, np.int32, np.int32, bool, method.content_type)
         parts = [unpack(x.as_py(), *types) for x in table.column("body")]
         blocks = np.concatenate([np.repeat(x[0], len(x[1])) for x in parts])
-        keys, content, docs, at, sizes, counts, values = (np.concatenate(x) for x in list(zip(*parts))[1:])
+        keys, content, docs, at, sizes, counts, inner, values = (np.concatenate(x) for x in list(zip(*parts))[1:])
         sizes, counts = sizes.astype(np.int64), counts.astype(np.int64)
         flags: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         # Equal runs: those after the first repeat as a whole, and the first stands for them.
@@ -287,7 +298,7 @@ def _judge(method: Method, shards: int):
         # Keys with several runs left: their windows are compared.
         k = keys[stay]
         alone = np.concatenate([[True], k[1:] != k[:-1]]) & np.concatenate([k[1:] != k[:-1], [True]])
-        rest = stay[~alone]
+        rest = stay[~alone | inner[stay]]
         starts = np.cumsum(counts) - counts
         for own in _portions(keys[rest], counts[rest]):
             own = rest[own]
