@@ -84,6 +84,8 @@ def suffix_array(text: Bytes, depth: int) -> np.ndarray:
 def common_prefixes(text: Bytes, order: np.ndarray, limit: int) -> np.ndarray:
     """For each place in the suffix array, the bytes shared with the suffix before it, up to ``limit``.
 
+    The array must be sorted to that depth at least.
+
     Kasai's recurrence along the text (a suffix shares at least one byte less than its left neighbour did),
     run over many strips of the text at once.
     """
@@ -98,7 +100,8 @@ def common_prefixes(text: Bytes, order: np.ndarray, limit: int) -> np.ndarray:
         if at[-1] >= n:
             at, lanes, now = at[:-1], lanes[:-1], now[:-1]
         other = before[at]
-        now = np.where(other >= 0, np.maximum(now - 1, 0), 0)
+        # The recurrence needs the exact order of the two, which holds for prefixes below the limit only.
+        now = np.where((other >= 0) & (now < limit), np.maximum(now - 1, 0), 0)
         most = np.minimum(limit, n - np.maximum(at, other))
         active = np.flatnonzero((other >= 0) & (now < most))
         while len(active):
