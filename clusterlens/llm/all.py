@@ -1,4 +1,4 @@
 """Collects the queries of all operators."""
 
-from clusterlens.llm import queries_contamination, queries_packing, queries_quality, queries_repeats, queries_simhash  # noqa: F401  (they register their queries)
+from clusterlens.llm import queries_contamination, queries_language, queries_packing, queries_quality, queries_repeats, queries_simhash  # noqa: F401  (they register their queries)
 from clusterlens.llm.queries import ORACLES, QUERIES  # noqa: F401
