@@ -88,7 +88,7 @@ def grades_of(label: np.ndarray, doc: np.ndarray, column: np.ndarray, count: np.
     return grade
 
 
-def fit(label: np.ndarray, doc: np.ndarray, column: np.ndarray, count: np.ndarray, *, bits: int, columns: int = 2000, penalty: float = 2e-4, steps: int = 400) -> Model:
+def fit(label: np.ndarray, doc: np.ndarray, column: np.ndarray, count: np.ndarray, *, bits: int, columns: int = 2000, penalty: float = 2e-5, steps: int = 400) -> Model:
     """Fit by Adam on the mean log-likelihood with a ridge penalty."""
     none = np.zeros(0)
     if len(np.unique(label)) < 2:
