@@ -1,4 +1,13 @@
 """Collects the queries of all operators."""
 
-from clusterlens.llm import queries_classifiers, queries_contamination, queries_language, queries_packing, queries_quality, queries_repeats, queries_simhash  # noqa: F401  (they register their queries)
+from clusterlens.llm import (  # noqa: F401  (they register their queries)
+    queries_chat,
+    queries_classifiers,
+    queries_contamination,
+    queries_language,
+    queries_packing,
+    queries_quality,
+    queries_repeats,
+    queries_simhash,
+)
 from clusterlens.llm.queries import ORACLES, QUERIES  # noqa: F401
