@@ -6,6 +6,7 @@ from clusterlens.llm import (  # noqa: F401  (they register their queries)
     queries_contamination,
     queries_language,
     queries_packing,
+    queries_pipeline,
     queries_quality,
     queries_repeats,
     queries_simhash,
