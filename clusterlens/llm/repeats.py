@@ -33,7 +33,7 @@ from clusterlens.llm import text as tx
 
 BLOCK = 4 << 20
 SHARD_BLOCKS = 8
-FLUSH = 32 << 20
+FLUSH = 8 << 20
 LAST = np.iinfo(np.int64).max
 MOVED = "part int, kind int, body binary"
 _MOVED = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("body", pa.binary())])
@@ -49,6 +49,7 @@ class Runs:
     high: np.ndarray
     content: np.ndarray  # hash of all units that the run's windows cover
     before: np.ndarray  # units before each text
+    more: tuple = ()  # what the operator needs again
 
 
 @dataclass
@@ -56,7 +57,7 @@ class Method:
     """What an operator brings: how to find runs, what content to send, and how to compare it."""
 
     runs: Callable[[np.ndarray, np.ndarray], Runs]
-    content: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+    content: Callable[[np.ndarray, Runs, np.ndarray], tuple[np.ndarray, np.ndarray]]
     compare: Callable[..., tuple[np.ndarray, np.ndarray, np.ndarray]]
     later: Callable[[np.ndarray, np.ndarray], np.ndarray]  # of a run's document and the first one's: does the run repeat it?
     content_type: type
@@ -89,11 +90,26 @@ def by_part(parts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(parts[own[0]]), own
 
 
+def united(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same positions as intervals that neither overlap nor touch."""
+    if not len(low):
+        return low, high
+    order = np.argsort(low, kind="stable")
+    low, high = low[order], np.maximum.accumulate(high[order])
+    first = np.flatnonzero(np.concatenate([[True], low[1:] > high[:-1]]))
+    return low[first], high[np.append(first[1:], len(low)) - 1]
+
+
 def moved(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     part, kind, body = zip(*rows) if rows else ((), (), ())
     return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(body, pa.binary())], schema=_MOVED)
 
 
+def lean() -> None:
+    """Let Arrow return freed memory to the system, since many workers share a machine."""
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def document_keys(ids: pa.Array) -> np.ndarray:
     return ids.cast(pa.int64()).fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
 
@@ -125,6 +141,7 @@ def _ask(method: Method, blocks: int, shards: int):
         return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         found, size, docs, sources = [], 0, 0, 0
         for batch in batches:
             parts = block_of(document_keys(batch.column(0)), blocks)
@@ -183,6 +200,7 @@ def _texts(blocks: int):
         return moved(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         held, size = [], 0
         for batch in batches:
             batch = pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.large_string())], names=["id", "text"])
@@ -204,6 +222,7 @@ class Block:
     """The documents of a block in order, their texts joined, and what else was sent to the block."""
 
     def __init__(self, table: pa.Table) -> None:
+        lean()
         kinds, bodies = table.column("kind").to_pylist(), table.column("body")
         self.sent = defaultdict(list)
         texts = []
@@ -248,7 +267,7 @@ def _send(method: Method, shards: int):
             at = np.minimum(np.searchsorted(wanted, runs.keys), len(wanted) - 1)
             own = np.flatnonzero(wanted[at] == runs.keys)
             doc = np.searchsorted(runs.before, runs.low[own], side="right") - 1
-            values, counts = method.content(data, offsets, runs.low[own], runs.high[own])
+            values, counts = method.content(data, runs, own)
             inner = method.inner(data, offsets, runs, own) if method.inner else np.zeros(len(own), bool)
             at, sizes = base + runs.low[own], runs.high[own] - runs.low[own]
             found.append((runs.keys[own], runs.content[own], block.keys[first:last][doc], at, sizes, inner, values, counts))
@@ -262,11 +281,13 @@ def _send(method: Method, shards: int):
         heads = order[new]
         later = method.later(docs[order], docs[heads][np.cumsum(new) - 1]) & ~new
         flagged, stay = order[later], order[~later]
-        rows = [(shards + block_id, FLAGS, pack(at[flagged], at[flagged] + sizes[flagged]))] if len(flagged) else []
+        rows = [(shards + block_id, FLAGS, pack(*united(at[flagged], at[flagged] + sizes[flagged])))] if len(flagged) else []
         starts = np.cumsum(counts) - counts
         for part, own in by_part((keys[stay] % np.uint64(shards)).astype(np.int64)):
             own = stay[own]
             body = values[tx.spread(starts[own], counts[own])]
+            if method.content_type is np.uint8:  # text compresses, hashes do not
+                body = np.frombuffer(pa.compress(body.tobytes(), codec="zstd", asbytes=True), np.uint8)
             head = (np.array([block_id], np.int64), keys[own], content[own], docs[own], at[own])
             rows.append((part, RUNS, pack(*head, sizes[own].astype(np.int32), counts[own].astype(np.int32), inner[own], body)))
         return pa.Table.from_batches([moved(rows)])
@@ -283,6 +304,9 @@ def _judge(method: Method, shards: int):
             return pa.Table.from_batches([moved([(part - shards, FLAGS, x.as_py()) for x in table.column("body")])])
         types = (np.int64, np.uint64, np.uint64, np.int64, np.int64, np.int32, np.int32, bool, method.content_type)
         parts = [unpack(x.as_py(), *types) for x in table.column("body")]
+        if method.content_type is np.uint8:
+            for x in parts:
+                x[-1] = np.frombuffer(pa.decompress(x[-1].tobytes(), int(x[6].sum()), codec="zstd", asbytes=True), np.uint8)
         blocks = np.concatenate([np.repeat(x[0], len(x[1])) for x in parts])
         keys, content, docs, at, sizes, counts, inner, values = (np.concatenate(x) for x in list(zip(*parts))[1:])
         sizes, counts = sizes.astype(np.int64), counts.astype(np.int64)
@@ -305,7 +329,7 @@ def _judge(method: Method, shards: int):
             i, low, high = method.compare(keys[own], docs[own], at[own], sizes[own], values, starts[own], counts[own])
             flags.append((blocks[own[i]], low, high))
         block, low, high = (np.concatenate(x) for x in zip(*flags))
-        return pa.Table.from_batches([moved([(b, FLAGS, pack(low[own], high[own])) for b, own in by_part(block)])])
+        return pa.Table.from_batches([moved([(b, FLAGS, pack(*united(low[own], high[own]))) for b, own in by_part(block)])])
 
     return run
 

@@ -28,7 +28,7 @@ from clusterlens.llm import text as tx
 from clusterlens.llm.repeats import Block, Method, Runs, repeated
 
 PORTION = 1 << 20  # bytes in a suffix array, about
-STRIP = 512
+STRIP = 128
 
 
 class Bytes:
@@ -94,14 +94,16 @@ def common_prefixes(text: Bytes, order: np.ndarray, limit: int) -> np.ndarray:
     before[order[1:]] = order[:-1]
     shared = np.zeros(n, np.int64)
     lanes = np.arange(0, n, STRIP)
-    now = np.zeros(len(lanes), np.int64)
+    now, last = np.zeros(len(lanes), np.int64), np.full(len(lanes), -2)
     for step in range(min(STRIP, n)):
         at = lanes + step
         if at[-1] >= n:
-            at, lanes, now = at[:-1], lanes[:-1], now[:-1]
+            at, lanes, now, last = at[:-1], lanes[:-1], now[:-1], last[:-1]
         other = before[at]
-        # The recurrence needs the exact order of the two, which holds for prefixes below the limit only.
-        now = np.where((other >= 0) & (now < limit), np.maximum(now - 1, 0), 0)
+        # The recurrence needs the exact order of the two, which holds for prefixes below the limit, or the same
+        # pair one byte further.
+        now = np.where((other >= 0) & ((now < limit) | (other == last + 1)), np.maximum(now - 1, 0), 0)
+        last = other
         most = np.minimum(limit, n - np.maximum(at, other))
         active = np.flatnonzero((other >= 0) & (now < most))
         while len(active):
@@ -115,9 +117,8 @@ def common_prefixes(text: Bytes, order: np.ndarray, limit: int) -> np.ndarray:
 
 def _bits(x: np.ndarray) -> np.ndarray:
     """Binary digits of each number."""
-    high = (x >> np.uint64(32)).astype(np.float64)
-    low = (x & np.uint64(0xFFFFFFFF)).astype(np.float64)
-    return np.where(high > 0, 32 + np.frexp(high)[1], np.frexp(low)[1]).astype(np.int64)
+    # Without the digit after the leading one, rounding to a float cannot carry over.
+    return np.frexp((x & ~(x >> np.uint64(1))).astype(np.float64))[1].astype(np.int64)
 
 
 def lower_bound(text: Bytes, order: np.ndarray, other: Bytes, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -169,9 +170,10 @@ def method(width: int, gram: int) -> Method:
         valid = tx.window_starts(offsets, width)
         none = np.zeros(0, np.int64)
         if not valid.any():
-            return Runs(np.zeros(0, np.uint64), none, none, np.zeros(0, np.uint64), offsets)
+            return Runs(np.zeros(0, np.uint64), none, none, np.zeros(0, np.uint64), offsets, (np.zeros(0, np.uint64), np.zeros(0, np.uint64)))
         # The smallest hash over every stretch of width - gram + 1 positions, by doubling.
-        least, span, wanted = hashes.fixed(gram), 1, width - gram + 1
+        grams = hashes.fixed(gram)
+        least, span, wanted = grams, 1, width - gram + 1
         while span * 2 <= wanted:
             least = np.minimum(least[:-span], least[span:])
             span *= 2
@@ -186,19 +188,20 @@ def method(width: int, gram: int) -> Method:
         low = np.flatnonzero(first)
         stop = np.flatnonzero(np.concatenate([first | ~valid, [True]]))
         high = stop[np.searchsorted(stop, low, side="right")]
-        return Runs(tx.mix(keys[low]), low, high, hashes.of(low, high + width - 1), offsets)
+        return Runs(tx.mix(keys[low]), low, high, hashes.of(low, high + width - 1), offsets, (grams, keys[low]))
 
     def inner(data: np.ndarray, offsets: np.ndarray, runs: Runs, own: np.ndarray) -> np.ndarray:
         # Two equal windows of one run hold the key's string at two places.
         if not len(own):
             return np.zeros(0, bool)
+        grams, least = runs.more
         counts = runs.high[own] - runs.low[own] + width - gram
-        equal = tx.mix(tx.Hashes(tx.VALUES[data]).fixed(gram))[tx.spread(runs.low[own], counts)] == np.repeat(runs.keys[own], counts)
+        equal = grams[tx.spread(runs.low[own], counts)] == np.repeat(least[own], counts)
         return np.add.reduceat(equal, np.cumsum(counts) - counts, dtype=np.int64) > 1
 
-    def content(data: np.ndarray, offsets: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        counts = high - low + width - 1
-        return data[tx.spread(low, counts)], counts
+    def content(data: np.ndarray, runs: Runs, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        counts = runs.high[own] - runs.low[own] + width - 1
+        return data[tx.spread(runs.low[own], counts)], counts
 
     def compare(keys, docs, at, sizes, values, starts, counts):
         # Per suffix array: text, sorted distinct windows, and the earliest place of each.
@@ -237,7 +240,7 @@ def method(width: int, gram: int) -> Method:
     return Method(runs, content, compare, lambda doc, first: np.ones(len(doc), bool), np.uint8, inner)
 
 
-def removals(documents: DataFrame, *, width: int = 100, gram: int = 52, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def removals(documents: DataFrame, *, width: int = 100, gram: int = 40, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and ``spans`` (byte intervals removed)."""
     if not 8 <= gram <= width:
         raise ValueError("gram must be between 8 and width")

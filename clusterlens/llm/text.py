@@ -1,6 +1,6 @@
 """Numpy helpers over the UTF-8 bytes of an Arrow text column.
 
-Texts are handled in pieces of about a megabyte (a longer text is a piece of its own), so the
+Texts are handled in pieces of about a quarter of a megabyte (a longer text is a piece of its own), so the
 memory of a task does not depend on how many rows Arrow hands over at once.
 """
 
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -30,12 +30,15 @@ LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], dtype
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: equal inputs give equal outputs, all bits depend on all bits."""
-    x = x ^ (x >> np.uint64(30))
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
-    return x
+    y = x >> np.uint64(30)
+    y ^= x
+    y *= np.uint64(0xBF58476D1CE4E5B9)
+    z = y >> np.uint64(27)
+    y ^= z
+    y *= np.uint64(0x94D049BB133111EB)
+    np.right_shift(y, np.uint64(31), out=z)
+    y ^= z
+    return y
 
 
 VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
