@@ -7,7 +7,7 @@ without exchanging a dictionary.  Away from its ends, a repeated passage is pars
 
 With each symbol goes the stretch of words that its parse depends on.  A symbol is *interior* to a window
 if that stretch lies in the window; whether it is depends on the window alone.  The key of a
-window is its interior symbol of the highest level and then of the widest stretch, with that stretch's hash.
+window is its interior symbol of the highest level, with its stretch's hash.
 Equal windows share their key; shared keys reveal the candidates, and the windows below them are
 verified by a second hash of all their words (124 bits together).
 
@@ -32,6 +32,7 @@ from clusterlens.llm import text as tx
 from clusterlens.llm.repeats import Block, Method, Runs, repeated
 
 ROUNDS = 3
+SHARED = 5
 FAR = 1 << 40
 
 
@@ -89,23 +90,25 @@ def window_keys(names: np.ndarray, before: np.ndarray, width: int) -> np.ndarray
     keys = np.zeros(len(names), np.uint64)
     open_ = tx.window_starts(before, width)
     found = levels(names, before)
-    for number in range(len(found) - 1, -1, -1):
-        if not open_.any():
-            break
-        level = found[number]
-        own = np.flatnonzero((level.high - level.low <= width) & (level.low >= 0) & (level.high <= len(names)))
-        low, high = level.low[own], level.high[own]
-        size = high - low
-        value = (size.astype(np.uint64) << np.uint64(56)) | (
-            tx.mix(hashes.of(low, high) + level.name[own] * np.uint64(2 * number + 1) + (level.start[own] - low).astype(np.uint64)) >> np.uint64(8)
-        )
-        best = np.zeros(len(names), np.uint64)
-        for back in range(width):
-            fits = (size + back <= width) & (low >= back)
-            np.maximum.at(best, low[fits] - back, value[fits])
-        taken = open_ & (best > 0)
-        keys[taken] = best[taken]
-        open_ &= ~taken
+    # First the symbols that at least ``SHARED`` windows have in their interior, so that runs of one key are long.
+    for most in (max(width - SHARED + 1, 1), width):
+        for number in range(len(found) - 1, -1, -1):
+            if not open_.any():
+                return keys
+            level = found[number]
+            own = np.flatnonzero((level.high - level.low <= most) & (level.low >= 0) & (level.high <= len(names)))
+            if number == 0 and most < width:
+                continue
+            low, high = level.low[own], level.high[own]
+            size = high - low
+            value = tx.mix(hashes.of(low, high) + level.name[own] * np.uint64(2 * number + 1) + (level.start[own] - low).astype(np.uint64)) | np.uint64(1)
+            best = np.zeros(len(names), np.uint64)
+            for back in range(width):
+                fits = (size + back <= width) & (low >= back)
+                np.maximum.at(best, low[fits] - back, value[fits])
+            taken = open_ & (best > 0)
+            keys[taken] = best[taken]
+            open_ &= ~taken
     return keys
 
 
@@ -127,11 +130,10 @@ def method(width: int) -> Method:
         low = np.flatnonzero(first)
         stop = np.flatnonzero(np.concatenate([first | ~valid, [True]]))
         high = stop[np.searchsorted(stop, low, side="right")]
-        # High 8 bits hold a length: mix them, so that shards are even.
-        return Runs(tx.mix(keys[low]), low, high, tx.Hashes(names ^ np.uint64(0xA5A5A5A5A5A5A5A5)).of(low, high + width - 1), before)
+        return Runs(tx.mix(keys[low]), low, high, tx.Hashes(names ^ np.uint64(0xA5A5A5A5A5A5A5A5)).of(low, high + width - 1), before, (names,))
 
-    def content(data: np.ndarray, offsets: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        names, _ = _names(data, offsets)
+    def content(data: np.ndarray, runs: Runs, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        (names,), low, high = runs.more, runs.low[own], runs.high[own]
         windows = tx.Hashes(names * np.uint64(0xFF51AFD7ED558CCD) ^ (names >> np.uint64(33))).fixed(width)
         return windows[tx.spread(low, high - low)], high - low
 
