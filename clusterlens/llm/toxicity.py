@@ -30,6 +30,9 @@ from pyspark.sql import types as T
 from clusterlens.llm import text as tx
 
 
+LEAST_Z = 3.0  # columns that distinguish the labels less clearly are noise
+
+
 def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, column and count of every word that occurs in a text; sorted by text and column."""
     low = tx.LOWER[data]
@@ -73,7 +76,8 @@ def select(doc: np.ndarray, column: np.ndarray, positive: np.ndarray, most: int)
     pooled = all_ / (n1 + n0)
     z = (one / n1 - zero / n0) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-9) * (1 / n1 + 1 / n0))
     z[all_ < 3] = 0
-    best = np.sort(np.argsort(-np.abs(z), kind="stable")[:most])
+    best = np.argsort(-np.abs(z), kind="stable")[:most]
+    best = np.sort(best[np.abs(z[best]) >= LEAST_Z])
     return columns[best], z[best]
 
 
@@ -97,8 +101,8 @@ def fit(label: np.ndarray, doc: np.ndarray, column: np.ndarray, count: np.ndarra
     grade = np.unique(label, return_inverse=True)[1]
     if grade.max() == 1:
         grade = np.unique(grades_of(grade, doc, column, count, chosen, z), return_inverse=True)[1]
-    at = np.minimum(np.searchsorted(chosen, column), len(chosen) - 1)
-    known = chosen[at] == column
+    at = np.minimum(np.searchsorted(chosen, column), max(len(chosen) - 1, 0))
+    known = chosen[at] == column if len(chosen) else np.zeros(len(column), bool)
     row, place, value = doc[known], at[known], np.log1p(count[known])
     n, top = len(label), int(grade.max())
     share = np.clip([(grade > k).mean() for k in range(top)], 1e-6, 1 - 1e-6)
