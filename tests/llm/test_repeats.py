@@ -87,12 +87,12 @@ def test_random_texts_of_two_letters(spark, seed):
 
 
 def test_several_suffix_arrays_of_one_key_are_merged(spark, monkeypatch):
-    method = suffix_arrays.method(20, 9)
+    method = suffix_arrays.method(12, 8)
     pick = np.random.default_rng(0)
     rows = [bytes(pick.integers(97, 99, 60).astype(np.uint8)) for _ in range(40)]
     values = np.frombuffer(b"".join(rows), np.uint8)
     n = len(rows)
-    sizes, counts = np.full(n, 41), np.full(n, 60)
+    sizes, counts = np.full(n, 49), np.full(n, 60)
     arguments = np.zeros(n, np.uint64), np.arange(n) // 2, np.arange(n) * 100, sizes, values, np.arange(n) * 60, counts
 
     def flags():
