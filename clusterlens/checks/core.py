@@ -224,7 +224,12 @@ def _services(t):
         F.lit("ns-0").alias("namespace"),
         F.create_map(F.lit("type"), F.col("p_type"), F.lit("absent"), F.lit("x")).alias("selector"),
     )
-    return pair.unionByName(single).unionByName(never)
+    nothing = parts.select("p_type").distinct().select(  # without a selector, which selects nothing
+        F.concat(F.lit("none-"), "p_type").alias("service_uuid"),
+        F.lit("ns-0").alias("namespace"),
+        F.map_filter(F.create_map(F.lit("type"), F.col("p_type")), lambda k, v: F.lit(False)).alias("selector"),
+    )
+    return pair.unionByName(single).unionByName(never).unionByName(nothing)
 
 
 def _labelled_parts(t):
@@ -265,7 +270,7 @@ _ORPHAN_TAGS = "name, namespace, resource, uuid"
       SELECT 'order-' || o_orderkey AS uuid, 'pod' AS resource, 'o' || o_orderkey AS name, 'shop' AS namespace, o_orderstatus AS cluster_uuid
       FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)
       UNION ALL SELECT 'customer-' || c_custkey, 'replica_set', c_name, '', ''
-      FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey))
+      FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 10 = 0))
     SELECT uuid, resource AS kind, nullif(cluster_uuid, '') AS cluster_uuid,
       CASE WHEN namespace = '' THEN name ELSE namespace || '/' || name END AS name, 'ok' AS severity,
       'Automatically resolving the incident because of an orphaned resource.' AS message,
@@ -285,7 +290,7 @@ def orphans(t):
     )
     live = {
         "pod": t.lineitem.select(F.concat(F.lit("order-"), F.col("l_orderkey").cast("string")).alias("uuid")),
-        "replica_set": t.orders.select(F.concat(F.lit("customer-"), F.col("o_custkey").cast("string")).alias("uuid")),
+        "replica_set": t.orders.where("o_orderkey % 10 = 0").select(F.concat(F.lit("customer-"), F.col("o_custkey").cast("string")).alias("uuid")),
     }
     events = notify.orphan_events(relate.orphans(incidents, live))
     return events.select(
@@ -297,7 +302,7 @@ def orphans(t):
     "orphans_by_kind",
     """SELECT resource, count(*) AS n FROM (
       SELECT 'pod' AS resource FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)
-      UNION ALL SELECT 'replica_set' FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey))
+      UNION ALL SELECT 'replica_set' FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 10 = 0))
     GROUP BY resource""",
 )
 def orphans_by_kind(t):
@@ -306,7 +311,7 @@ def orphans_by_kind(t):
     )
     live = {
         "pod": t.lineitem.select(F.col("l_orderkey").alias("uuid")),
-        "replica_set": t.orders.select(F.col("o_custkey").alias("uuid")),
+        "replica_set": t.orders.where("o_orderkey % 10 = 0").select(F.col("o_custkey").alias("uuid")),
     }
     return relate.orphans(incidents, live).groupBy("resource").agg(F.count(F.lit(1)).alias("n"))
 
@@ -332,7 +337,7 @@ def owner_closure(t):
         .unionByName(edges(t.customer, "c_custkey", "customer", "c_nationkey", "nation"))
         .unionByName(edges(t.nation, "n_nationkey", "nation", "n_regionkey", "region"))
     )
-    return relate.owner_closure(found, 3)
+    return relate.owner_closure(found)
 
 
 # --------------------------------------------------------------------------- table maintenance
@@ -474,12 +479,16 @@ def replace_prefix(t):
 
 @query(
     "insert_only",
-    """SELECT user_id, event_id, value FROM events WHERE event_type <> 'error'
+    """SELECT user_id, event_id, value FROM (
+      SELECT user_id, event_id, value, ts FROM events WHERE event_type <> 'error'
+      UNION ALL SELECT user_id, event_id, value, ts + INTERVAL 1 DAY FROM events WHERE event_type = 'error' AND event_id % 3 = 0)
     QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",
 )
 def insert_only(t):
-    empty = changes(t).drop("op").where(F.lit(False))
-    return merge.insert_only(empty, changes(t), ["user_id"], ["ts", "event_id"]).drop("ts")
+    """Onto rows of which some are older and some newer than the changes."""
+    stored = t.events.where((F.col("event_type") == "error") & (F.col("event_id") % 3 == 0))
+    stored = stored.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 DAY")).select(*changes(t).drop("op").columns)
+    return merge.insert_only(stored, changes(t), ["user_id"], ["ts", "event_id"]).drop("ts")
 
 
 @query(
@@ -694,3 +703,30 @@ def rule_routing(t):
     routed, rejected = notify.match_rules(t.spark, events, _RULES, tables)
     assert list(rejected) == ["broken"]
     return routed.select("uuid", F.array_join("rule_ids", ",").alias("rule_ids"))
+
+
+_RULE_ROWS = [
+    ("always", ""),
+    ("no-query", '{"version": 1, "kind": "pod"}'),
+    ("no-kind", '{"version": 1, "query": "SELECT 1"}'),
+    ("list", "[1]"),
+    ("braces", '{"version": 1, "kind": "pod", "query": "SELECT 1 FROM pod_item WHERE order_uuid = ? AND \'a{b}\' <> \'{}\'", "args": [":uuid"]}'),
+    ("zero", '{"version": 1, "kind": "pod", "query": "SELECT 1 FROM pod_item WHERE order_uuid = ? AND 1 / (quantity - quantity) > 0", "args": [":uuid"]}'),
+    ("unknown", '{"version": 1, "kind": "pod", "query": "SELECT 1 FROM missing_table WHERE uuid = ?", "args": [":uuid"]}'),
+    ("argument", '{"version": 1, "kind": "pod", "query": "SELECT 1 FROM pod_item WHERE order_uuid = ?"}'),
+]
+
+
+@query(
+    "rule_routing_errors",
+    """SELECT o_orderkey::VARCHAR AS uuid, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem) THEN 'always,braces' ELSE 'always' END AS rule_ids,
+      'argument,list,no-kind,no-query,unknown,zero' AS rejected FROM orders""",
+)
+def rule_routing_errors(t):
+    """Rules that cannot be used are left out and named; the others still apply."""
+    events = notify.health_events(_order_rows(t), "pod").select("uuid", "cluster_uuid", "kind")
+    tables = {"pod_item": t.lineitem.select(F.col("l_orderkey").cast("string").alias("order_uuid"), F.col("l_quantity").alias("quantity"))}
+    usable, unusable = notify.load_rules(t.spark.createDataFrame(_RULE_ROWS, "id STRING, filter STRING"))
+    routed, failed = notify.match_rules(t.spark, events, usable, tables)
+    names = ",".join(sorted({**unusable, **failed}))
+    return routed.select("uuid", F.array_join("rule_ids", ",").alias("rule_ids"), F.lit(names).alias("rejected"))

@@ -3,23 +3,26 @@
 from __future__ import annotations
 
 import json
+import os
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import islice
 
-from pyspark.errors import AnalysisException, ParseException
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from clusterlens.functions.state import severity, state_rank
 from clusterlens.functions.text import nullable, text, url_path
+from clusterlens.session import scratch_dir
 
 # Fixed values.
 ORPHAN_MESSAGE = "Automatically resolving the incident because of an orphaned resource."
 RULE_VERSION = 1
 
-# Rules are configuration typed in by people; more than this is a mistake in the input.
-MAX_RULES = 10_000
+# So many rules are evaluated in one job: it bounds the size of a plan, not the number of rules.
+RULES_AT_ONCE = 64
 
 
 def health_events(rows: DataFrame, kind: str) -> DataFrame:
@@ -93,7 +96,7 @@ def changed_events(events: DataFrame, previous: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Rule:
-    """A routing rule; without a query it matches every event."""
+    """A routing rule; one made from an empty filter has no query and matches every event."""
 
     id: str
     kind: str | None = None
@@ -102,22 +105,30 @@ class Rule:
 
 
 def parse_rule(id_: str, filter_: str | None) -> Rule:
-    """Decode one rule; raises ``ValueError`` if it cannot be used."""
+    """Decode one rule; raises ``ValueError`` if it cannot be used.
+
+    Only an empty filter matches everything; any other needs a kind and a query.
+    """
     if not filter_:
         return Rule(id_)
     body = json.loads(filter_)
+    if not isinstance(body, dict):
+        raise ValueError(f"rule {id_} is no JSON object")
     if body.get("version") != RULE_VERSION:
         raise ValueError(f"rule {id_} has version {body.get('version')}, {RULE_VERSION} expected")
-    return Rule(id_, body.get("kind"), body.get("query"), tuple(body.get("args") or ()))
+    for field in ("kind", "query"):
+        if not isinstance(body.get(field), str) or not body[field]:
+            raise ValueError(f"rule {id_} has no {field}")
+    args = body.get("args") or []
+    if not isinstance(args, list):
+        raise ValueError(f"rule {id_} has arguments that are no list")
+    return Rule(id_, body["kind"], body["query"], tuple(args))
 
 
 def load_rules(rules: DataFrame) -> tuple[list[Rule], dict[str, str]]:
-    """Rules of a table (id, filter) and, by id, why others are unusable."""
-    rows = rules.select("id", "filter").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} routing rules")
+    """Rules of a table (id, filter), by id, and why others are unusable."""
     usable, rejected = [], {}
-    for row in sorted(rows):
+    for row in rules.select("id", "filter").orderBy("id", "filter").toLocalIterator():
         try:
             usable.append(parse_rule(row["id"], row["filter"]))
         except ValueError as error:
@@ -134,7 +145,7 @@ def _bound(rule: Rule) -> tuple[str, dict[str, object]]:
     def bind(found: re.Match) -> str:
         if found.group() != "?":
             return found.group()  # quoted text
-        value = next(remaining)
+        value = next(remaining)  # StopIteration: an argument is missing
         if value in names:
             return names[value]
         literals[f"arg{len(literals)}"] = value
@@ -144,6 +155,32 @@ def _bound(rule: Rule) -> tuple[str, dict[str, object]]:
     return query, literals
 
 
+def _matched(spark: SparkSession, events: str, rule: Rule) -> DataFrame:
+    """Identifiers of the events that a rule matches."""
+    query, literals = _bound(rule)
+    statement = f"SELECT uuid, kind FROM {events} AS _event WHERE _event.kind = :_kind AND EXISTS ({query})"
+    found = spark.sql(statement, args={**literals, "_kind": rule.kind})
+    return found.select("uuid", "kind", F.lit(rule.id).alias("rule_id"))
+
+
+def _at_fault(error: Exception) -> bool:
+    """Whether the query is to blame: Spark names the condition, or an argument is missing.
+
+    A lost cluster is no fault of a rule; that error is raised.
+    """
+    return isinstance(error, StopIteration) or isinstance(error, PySparkException) and bool(error.getCondition())
+
+
+def _reason(error: Exception) -> str:
+    return str(error).splitlines()[0] if str(error) else type(error).__name__
+
+
+def _groups(rules: Iterable[Rule], size: int) -> Iterator[list[Rule]]:
+    rest = iter(rules)
+    while group := list(islice(rest, size)):
+        yield group
+
+
 def match_rules(
     spark: SparkSession, events: DataFrame, rules: Iterable[Rule], tables: dict[str, DataFrame]
 ) -> tuple[DataFrame, dict[str, str]]:
@@ -151,33 +188,57 @@ def match_rules(
 
     A rule's query matches an event if it returns a row with the event's identifiers bound.
     It is written into a correlated ``EXISTS``, which the optimiser turns into one semi join
-    per rule over all events at once.  ``tables`` are the tables queries may name.  Rules
-    whose query is invalid are left out and reported.
+    per rule over all events at once.  ``tables`` are the tables queries may name.
+
+    The events' identifiers are written to the shared folder once.  Rules are evaluated in
+    groups; each group appends its matches there, and all matches are aggregated once.  If a
+    group fails, be it in analysis or at run time, its rules are evaluated one by one, and those
+    that fail are left out and reported.
     """
     for name, table in tables.items():
         table.createOrReplaceTempView(name)
-    keyed = events.select("uuid", "cluster_uuid", "kind")
-    always, hits, rejected = [], [], {}
-    for rule in rules:
-        if rule.query is None:
-            always.append(rule.id)
-            continue
-        candidates = keyed.where(F.col("kind") == rule.kind)
-        query, literals = "", {}
+    folder = scratch_dir(spark, "rules")
+    events.select("uuid", "cluster_uuid", "kind").write.parquet(f"{folder}/events")
+    view = f"_events_{os.urandom(8).hex()}"
+    spark.read.parquet(f"{folder}/events").createOrReplaceTempView(view)
+    hits = f"{folder}/hits"
+    always, rejected = [], {}
+
+    def conditional() -> Iterator[Rule]:
+        for rule in rules:
+            if rule.query is None:
+                always.append(rule.id)
+            else:
+                yield rule
+
+    def evaluate(number: int, part: int, group: list[Rule]) -> None:
+        found = reduce(DataFrame.unionByName, [_matched(spark, view, rule) for rule in group])
+        # Written again, a group or rule replaces what a failed attempt has left.
+        found.write.mode("overwrite").parquet(f"{hits}/part={number}-{part}")
+
+    written = False
+    for number, group in enumerate(_groups(conditional(), RULES_AT_ONCE)):
         try:
-            query, literals = _bound(rule)
-            matched = spark.sql(
-                f"SELECT uuid, kind FROM {{candidates}} AS _event WHERE EXISTS ({query})", args=literals, candidates=candidates
-            )
-        except (AnalysisException, ParseException, StopIteration, RuntimeError) as error:
-            rejected[rule.id] = str(error).splitlines()[0] if str(error) else type(error).__name__
-            continue
-        hits.append(matched.select("uuid", "kind", F.lit(rule.id).alias("rule_id")))
+            evaluate(number, 0, group)
+            written = True
+        except Exception as group_error:
+            if not _at_fault(group_error):
+                raise
+            for part, rule in enumerate(group, start=1):
+                try:
+                    evaluate(number, part, [rule])
+                    written = True
+                except Exception as error:
+                    if not _at_fault(error):
+                        raise
+                    rejected[rule.id] = _reason(error)
+    spark.catalog.dropTempView(view)
     everywhere = F.array(*[F.lit(i) for i in always]).cast("array<string>")
-    if not hits:
+    if not written:
         return events.withColumn("rule_ids", F.sort_array(everywhere)), rejected
+    matches = spark.read.schema("uuid STRING, kind STRING, rule_id STRING").parquet(hits)
     # A set of rules per object, so it is bounded by the number of rules.
-    found = reduce(DataFrame.unionByName, hits).groupBy("uuid", "kind").agg(F.collect_set("rule_id").alias("_ids"))
+    found = matches.groupBy("uuid", "kind").agg(F.collect_set("rule_id").alias("_ids"))
     ids = F.coalesce(F.col("_ids"), F.array().cast("array<string>"))
     joined = events.join(found, ["uuid", "kind"], "left")
     return (

@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from clusterlens.session import scratch_dir
+
 _NS = "_namespace"
 
 
@@ -28,9 +30,7 @@ def select_pods(
     Containment is checked on one join candidate per pod and selector: each selector is
     joined on its *rarest* entry and the others are then tested in the row.  Equal selectors
     are matched once.  So a label nearly all pods carry costs nothing unless a selector
-    consists of nothing rarer, in which case its matches are the result itself.  The join key
-    is an ordinary equi-join key and no operator above it needs its partitioning, so the
-    adaptive skew split applies.
+    consists of nothing rarer, in which case its matches are the result itself.
     """
     scope = [*within, _NS] if same_namespace else [*within]
 
@@ -48,11 +48,12 @@ def select_pods(
     terms = selectors.select(*scope, "terms", F.explode("terms").alias("term"))
 
     labelled = scoped(pods, pod_key, "labels")
-    entries = labelled.select(pod_key, *scope, "labels", F.explode(F.map_entries("labels")).alias("term"))
+    entries = labelled.select(pod_key, *scope, F.explode(F.map_entries("labels")).alias("term"))
 
-    # How many pods carry each entry any selector asks for (partial counts, then one shuffle).
+    # How many pods carry each entry.  Counted before any join, so that tasks send one row per
+    # entry they have seen, however many pods carry it.
     on = [*scope, "term"]
-    carriers = entries.select(*on).join(terms.select(*on), on, "left_semi").groupBy(*on).count()
+    carriers = entries.groupBy(*on).count()
 
     # A term nobody carries rules its selector out: it has no count and the sizes differ.
     anchors = (
@@ -62,8 +63,10 @@ def select_pods(
         .where(F.col("found") == F.size("terms"))
         .drop("found")
     )
-    candidates = entries.join(anchors, on)
+    # Candidates are keys only; the labels come back by the pod's key, which is never hot.
+    candidates = entries.join(anchors, on).select(pod_key, *scope, "terms")
     covered = F.forall("terms", lambda t: F.coalesce(F.element_at("labels", t["key"]) == t["value"], F.lit(False)))
+    candidates = candidates.join(labelled.select(pod_key, *scope, "labels"), [pod_key, *scope])
     matches = candidates.where(covered).select(pod_key, *scope, "terms")
     return matches.join(wanted, [*scope, "terms"]).select(service_key, pod_key)
 
@@ -101,22 +104,35 @@ def orphans(references: DataFrame, tables: Mapping[str, DataFrame], kinds: DataF
     return checked.join(live, ["resource", "uuid"], "left_anti")
 
 
-def owner_closure(edges: DataFrame, depth: int) -> DataFrame:
-    """All (child, ancestor, distance) pairs up to ``depth`` owner steps.
+def owner_closure(edges: DataFrame) -> DataFrame:
+    """All (child, ancestor, distance) triples, over any number of owner steps.
 
-    ``edges``: (child, owner).  Ownership in a cluster is shallow (pod, replica set,
-    deployment), so a bounded number of equi-joins follows it.
+    ``edges``: (child, owner).  Each step joins the pairs found last with the edges and is
+    written to the shared folder, so it is computed once.  A pair counts with its
+    shortest distance only, which also ends the walk where owners form a cycle.
     """
-    step = edges.select("child", F.col("owner").alias("ancestor"), F.lit(1).alias("distance"))
-    found = step
-    for distance in range(2, depth + 1):
-        step = (
-            step.select("child", F.col("ancestor").alias("_via"))
-            .join(edges.select(F.col("child").alias("_via"), F.col("owner").alias("ancestor")), "_via")
-            .select("child", "ancestor", F.lit(distance).alias("distance"))
-        )
-        found = found.unionByName(step)
-    return found
+    spark = edges.sparkSession
+    folder = scratch_dir(spark, "owners")
+    edges.select("child", "owner").where("child IS NOT NULL AND owner IS NOT NULL").distinct().write.parquet(f"{folder}/edges")
+    stored = spark.read.parquet(f"{folder}/edges")
+    onward = stored.select(F.col("child").alias("_via"), F.col("owner").alias("ancestor"))
+    kind = stored.schema["child"].dataType.simpleString()
+
+    def steps(pattern: str) -> DataFrame:
+        schema = f"child {kind}, ancestor {kind}, distance INT"
+        return spark.read.schema(schema).option("basePath", f"{folder}/steps").parquet(f"{folder}/steps/{pattern}")
+
+    step = stored.select("child", F.col("owner").alias("ancestor"), F.lit(1).alias("distance"))
+    distance = 1
+    while True:
+        step.write.mode("overwrite").parquet(f"{folder}/steps/step={distance}")
+        last = steps(f"step={distance}")
+        if last.isEmpty():
+            return steps("step=*").select("child", "ancestor", "distance")
+        distance += 1
+        reached = last.select("child", F.col("ancestor").alias("_via")).join(onward, "_via").select("child", "ancestor").distinct()
+        fresh = reached.join(steps("step=*").select("child", "ancestor"), ["child", "ancestor"], "left_anti")
+        step = fresh.withColumn("distance", F.lit(distance))
 
 
 def containers_of(containers: DataFrame, pods: DataFrame) -> DataFrame:

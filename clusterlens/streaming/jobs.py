@@ -136,11 +136,13 @@ def health_notifications(
     rules: Callable[[], DataFrame] | None = None,
     tables: Callable[[], dict[str, DataFrame]] = dict,
     sent: KeyedTable | None = None,
+    on_rejected: Callable[[dict[str, str]], None] | None = None,
 ) -> Consumer:
     """Consumer of upserted rows that routes their health events to a sink.
 
     Every upsert makes an event, changed or not; with ``sent``, a table of the events sent
-    last, only changed ones do.  Rules are read once per batch.
+    last, only changed ones do.  Rules are read once per batch; ``on_rejected`` gets the ids of
+    those that cannot be used, each with the reason.
     """
 
     def consume(rows: DataFrame, number: int) -> None:
@@ -148,8 +150,10 @@ def health_notifications(
         if sent is not None:
             events = notify.changed_events(events, sent.read(number, only=events))
         if rules is not None:
-            usable, _ = notify.load_rules(rules())
-            events, _ = notify.match_rules(rows.sparkSession, events, usable, tables())
+            usable, unusable = notify.load_rules(rules())
+            events, failed = notify.match_rules(rows.sparkSession, events, usable, tables())
+            if on_rejected is not None and (unusable or failed):
+                on_rejected({**unusable, **failed})
         events = events.persist()
         try:
             sink(events, number)

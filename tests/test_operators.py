@@ -209,6 +209,15 @@ def test_rules_are_read_and_bad_ones_reported(spark):
     assert [r["rule"] is None for r in readers.decoded_rules(table).orderBy("id").collect()][:2] == [True, False]
 
 
+def test_any_number_of_rules_is_loaded(spark):
+    table = spark.range(10_001).selectExpr("cast(id as string) as id", """concat('{"version": 1, "kind": "pod", "query": "SELECT ', id, '"}') as filter""")
+    usable, rejected = notify.load_rules(table)
+    assert len(usable) == 10_001 and not rejected
+    events = spark.createDataFrame([("u", "c", "pod")], "uuid STRING, cluster_uuid STRING, kind STRING")
+    routed, failed = notify.match_rules(spark, events, usable[:130], {})
+    assert not failed and len(routed.first()["rule_ids"]) == 130
+
+
 def test_placeholders_in_quoted_text_stay(spark):
     query, literals = notify._bound(notify.Rule("r", "pod", "SELECT 1 FROM t WHERE a = ? AND b = '?' AND c = ?", (":uuid", "x")))
     assert query == "SELECT 1 FROM t WHERE a = _event.uuid AND b = '?' AND c = :arg0"
