@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +28,6 @@ from clusterlens.llm import text as tx
 from clusterlens.llm.staging import stage
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-FOUND = T.StructType(
-    [
-        T.StructField("hits", T.ArrayType(T.LongType())),  # first and last-plus-one word, alternating
-        T.StructField("items", T.ArrayType(T.StringType())),
-    ]
-)
-
 
 class Windows:
     """The word windows of some benchmark items, by their number of words."""
@@ -82,7 +75,7 @@ class Windows:
                         yield i, n, items
 
 
-def _scanner(index, with_words: bool):
+def _scanner(index):
     def scan_piece(data: np.ndarray, offsets: np.ndarray):
         low = tx.LOWER[data]
         starts, ends, before = tx.words(low, offsets, tx.ALPHANUMERIC)
@@ -104,7 +97,7 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _pass(index, text: str):
     """Add one block's hits to the columns ``_hits`` and ``_items``."""
-    scan_piece = _scanner(index, False)
+    scan_piece = _scanner(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,30 +130,26 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, limit: int) -> Iterat
         yield [(row.item, row.text) for row in part.toLocalIterator()]
 
 
-def find(
-    documents: DataFrame,
-    benchmark: DataFrame,
-    *,
-    size: int = 10,
-    text: str = "text",
-    item_id: str = "item_id",
-    item_text: str = "text",
-    limit: int = 8 << 20,
+def _through(
+    documents: DataFrame, benchmark: DataFrame, finish: Callable, schema: T.StructType, *, size: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", limit: int = 8 << 20
 ) -> DataFrame:
-    """The documents with two more columns: ``_hits`` (word intervals, flat) and ``_items`` (sorted item ids).
+    """``finish`` over the documents with two more columns: ``_hits`` (word intervals, flat) and ``_items`` (sorted item ids).
 
-    Columns of those names are replaced.
+    Columns of those names are replaced.  The last block's hits are found in the same pass.
     """
     spark = documents.sparkSession
     state = documents.withColumns({"_hits": F.array().cast("array<bigint>"), "_items": F.array().cast("array<string>")})
-    blocks = 0
+    last = None
     for items in _blocks(benchmark, item_id, item_text, limit):
-        if blocks:
-            state = stage(state, "decontamination")
-        index = spark.sparkContext.broadcast(Windows(items, size))
-        state = state.mapInArrow(_pass(index, text), state.schema)
-        blocks += 1
-    return state
+        if last is not None:
+            state = stage(state.mapInArrow(tx.frugal(last), state.schema), "decontamination")
+        last = _pass(spark.sparkContext.broadcast(Windows(items, size)), text)
+    find = last or (lambda batches: batches)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from finish(find(batches))
+
+    return state.mapInArrow(tx.frugal(run), schema)
 
 
 def scan(documents: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -181,7 +170,7 @@ def scan(documents: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id",
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, hits, items = batch.columns
+            ids, texts, hits, items = (batch.column(batch.schema.names.index(c)) for c in ("doc_id", "text", "_hits", "_items"))
             for first, last, data, offsets in tx.pieces(texts):
                 _, _, before = tx.words(tx.LOWER[data], offsets, tx.ALPHANUMERIC)
                 own = hits.slice(first, last - first)
@@ -191,10 +180,8 @@ def scan(documents: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id",
                     names=schema.names,
                 )
 
-    return (
-        find(rows, benchmark, text="text", **options)
-        .mapInArrow(count, schema)
-        .withColumn("spans", F.expr("transform(filter(spans, (x, i) -> i % 2 = 0), (x, i) -> struct(x AS start, spans[2 * i + 1] AS end))"))
+    return _through(rows, benchmark, count, schema, text="text", **options).withColumn(
+        "spans", F.expr("transform(filter(spans, (x, i) -> i % 2 = 0), (x, i) -> struct(x AS start, spans[2 * i + 1] AS end))")
     )
 
 
@@ -231,4 +218,4 @@ def clean(documents: DataFrame, benchmark: DataFrame, *, text: str = "text", dro
                 columns[schema.names.index(text)] = pa.array([new.get(i, t) for i, t in enumerate(kept)], texts.type)
             yield pa.RecordBatch.from_arrays(columns, names=schema.names).filter(pa.array(keep))
 
-    return find(documents, benchmark, text=text, **options).mapInArrow(cut, schema)
+    return _through(documents, benchmark, cut, schema, text=text, **options)

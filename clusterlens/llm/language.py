@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clusterlens.llm import text as tx
+
 ORDER, SIZE, MAX_LANGUAGES = 3, 400, 1000
 UNKNOWN = "und"
 
@@ -107,7 +109,7 @@ def learn(documents: DataFrame, text: str = "text", lang: str = "lang", *, order
                         by_lang, held = {}, 0
             yield sums()
 
-    counts = rows.mapInArrow(run, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(tx.frugal(run), "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     best = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).where(F.col("rank") <= size)
     found: dict[str, list[int]] = {}
     for row in best.orderBy("lang", "rank").limit(size * max_languages + 1).toLocalIterator():
@@ -162,7 +164,7 @@ def identify(documents: DataFrame, profiles: dict[str, np.ndarray], *, text: str
                 [*columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=schema.names
             )
 
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(tx.frugal(run), schema)
 
 
 def fold(doc_id: Column, parts: int) -> Column:

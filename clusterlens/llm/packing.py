@@ -81,7 +81,7 @@ def word_counts(documents: DataFrame, text: str) -> DataFrame:
             total = np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.names.index(c)) for c in carried], pa.array(total)], names=schema.names)
 
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(tx.frugal(run), schema)
 
 
 def pack(

@@ -106,7 +106,7 @@ def with_statistics(documents: DataFrame, text: str = "text", name: str = "featu
             array = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, len(FEATURES), dtype=np.int32), pa.array(flat))
             yield pa.RecordBatch.from_arrays([*[batch.column(names.index(c)) for c in carried], array], names=schema.names)
 
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(tx.frugal(run), schema)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -147,7 +147,7 @@ def fit(rows: DataFrame, *, features: str = "features", label: str = "label", to
         yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(places, pa.int32()), pa.array(sums.ravel())], names=["c", "place", "value"])
 
     sums = np.zeros((2, size))
-    for row in rows.mapInArrow(run, "c int, place int, value double").groupBy("c", "place").agg(F.sum("value").alias("value")).collect():
+    for row in rows.mapInArrow(tx.frugal(run), "c int, place int, value double").groupBy("c", "place").agg(F.sum("value").alias("value")).collect():
         sums[row.c, row.place] = row.value
     counts = sums[:, 0]
     if counts.min() < 2:
@@ -176,7 +176,7 @@ def score(rows: DataFrame, model: Model, *, features: str = "features") -> DataF
             columns = [batch.column(names.index(c)) for c in carried]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(found), pa.array((found >= 0.5).astype(np.int32))], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tx.frugal(run), schema)
 
 
 def classify(documents: DataFrame, labels: DataFrame, learn_from: Column, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:

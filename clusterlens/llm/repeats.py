@@ -233,9 +233,11 @@ class Block:
                 self.sent[kind].append(bodies[i].as_py())
         documents = pa.concat_tables(texts)
         keys = document_keys(documents.column(0).combine_chunks())
-        parts = list(tx.pieces(documents.column(1).combine_chunks(), 1 << 62))
-        data, offsets = (parts[0][2], parts[0][3]) if parts else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
-        tag = tx.Hashes(tx.VALUES[data]).of(offsets[:-1], offsets[1:])
+        column = documents.column(1).combine_chunks()
+        whole = list(tx.pieces(column, 1 << 62))
+        data, offsets = (whole[0][2], whole[0][3]) if whole else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
+        tags = [tx.Hashes(tx.VALUES[part]).of(cut[:-1], cut[1:]) for _, _, part, cut in tx.pieces(column)]
+        tag = np.concatenate([*tags, np.zeros(0, np.uint64)])
         # A null text stands as an empty one; equal rows are alike in any order.
         order = np.lexsort((tag, keys))
         self.ids = documents.column(0).combine_chunks().take(pa.array(order))
@@ -354,11 +356,11 @@ def repeated(documents: DataFrame, method: Method, finish: Callable[[Block, np.n
     partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(1, -(-size // BLOCK), min(partitions, -(-size // tx.PIECE)))
     shards = max(1, -(-blocks // SHARD_BLOCKS), min(partitions, blocks))
-    texts = rows.mapInArrow(_texts(blocks), MOVED)
-    asked = rows.mapInArrow(_ask(method, blocks, shards), MOVED)
-    answers = asked.groupBy("part").applyInArrow(_answer(shards), MOVED)
-    sent = texts.unionByName(answers).groupBy("part").applyInArrow(_send(method, shards), MOVED)
-    flags = sent.groupBy("part").applyInArrow(_judge(method, shards), MOVED)
+    texts = rows.mapInArrow(tx.frugal(_texts(blocks)), MOVED)
+    asked = rows.mapInArrow(tx.frugal(_ask(method, blocks, shards)), MOVED)
+    answers = asked.groupBy("part").applyInArrow(tx.frugal(_answer(shards)), MOVED)
+    sent = texts.unionByName(answers).groupBy("part").applyInArrow(tx.frugal(_send(method, shards)), MOVED)
+    flags = sent.groupBy("part").applyInArrow(tx.frugal(_judge(method, shards)), MOVED)
 
     def end(table: pa.Table) -> pa.Table:
         block = Block(table)
@@ -366,4 +368,4 @@ def repeated(documents: DataFrame, method: Method, finish: Callable[[Block, np.n
         low, high = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         return finish(block, low, high)
 
-    return texts.unionByName(flags).groupBy("part").applyInArrow(end, schema)
+    return texts.unionByName(flags).groupBy("part").applyInArrow(tx.frugal(end), schema)

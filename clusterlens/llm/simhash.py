@@ -23,12 +23,12 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
+from clusterlens.llm import text as tx
 from clusterlens.llm.components import components
 from clusterlens.llm.staging import stage
 
@@ -63,7 +63,7 @@ def fingerprints(documents: DataFrame, text: str, name: str, *, shingle: int, se
             found = np.fromiter(values, np.uint64, batch.num_rows).view(np.int64)
             yield pa.RecordBatch.from_arrays([*[batch.column(names.index(c)) for c in carried], pa.array(found)], names=schema.names)
 
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(tx.frugal(run), schema)
 
 
 class Forest:
@@ -156,7 +156,7 @@ def links(distinct: DataFrame, count: int, budget: int) -> DataFrame:
         signed = values.view(np.int64)
         return pa.table({"u": signed[moved], "v": signed[forest.root[moved]]})
 
-    return dealt.groupBy("a", "b").applyInArrow(join, "u bigint, v bigint")
+    return dealt.groupBy("a", "b").applyInArrow(tx.frugal(join), "u bigint, v bigint")
 
 
 def _classes(rows: DataFrame, budget: int) -> DataFrame:

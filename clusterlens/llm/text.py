@@ -6,7 +6,10 @@ memory of a task does not depend on how many rows Arrow hands over at once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import inspect
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -44,19 +47,26 @@ def mix(x: np.ndarray) -> np.ndarray:
 VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 
 
-@lru_cache(maxsize=4)
+def _geometric(base: int, size: int) -> np.ndarray:
+    out = np.full(size, base, dtype=np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    def geometric(base: int) -> np.ndarray:
-        out = np.full(size, base, dtype=np.uint64)
-        out[0] = 1
-        return np.cumprod(out)
+    return _geometric(_BASE, size), _geometric(pow(_BASE, -1, 1 << 64), size)
+
 
-    return geometric(_BASE), geometric(pow(_BASE, -1, 1 << 64))
+_kept_powers = lru_cache(maxsize=1)(_powers)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers of an odd base modulo 2^64 and of its inverse, at least ``n`` of them."""
-    return _powers(max(1 << 21, 1 << int(n).bit_length()))
+    """The powers of an odd base modulo 2^64 and of its inverse, at least ``n`` of them.
+
+    Those that a piece needs are kept, those that only a very long text needs are not.
+    """
+    least = PIECE * 2
+    return _kept_powers(least) if n <= least else _powers(n)
 
 
 class Hashes:
@@ -77,6 +87,34 @@ class Hashes:
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + sizes * np.uint64(0xD6E8FEB86659FD93))
 
 
+def release() -> None:
+    """Give freed memory back to the system: idle Python workers share a machine with busy ones."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def frugal(function: Callable) -> Callable:
+    """The function of a ``mapInArrow`` or ``applyInArrow``, with :func:`release` at its end."""
+    if inspect.isgeneratorfunction(function):
+
+        def each(batches):
+            try:
+                yield from function(batches)
+            finally:
+                release()
+
+        return each
+
+    def whole(table):
+        try:
+            return function(table)
+        finally:
+            release()
+
+    return whole
+
+
 def pieces(texts: pa.Array | pa.ChunkedArray, limit: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """First and last row, bytes, and offsets of the rows in them. A null is an empty text."""
     base = 0

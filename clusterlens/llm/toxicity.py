@@ -149,7 +149,7 @@ def learn(
                 counts = pa.ListArray.from_arrays(cut, pa.array(count.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([pa.array(labels_[first:last]), columns, counts], names=["label", "columns", "counts"])
 
-    table = rows.mapInArrow(run, "label int, columns array<int>, counts array<int>").toArrow()
+    table = rows.mapInArrow(tx.frugal(run), "label int, columns array<int>, counts array<int>").toArrow()
     columns, counts = table.column("columns").combine_chunks(), table.column("counts").combine_chunks()
     sizes = columns.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     flat = [x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (columns, counts)]
@@ -186,4 +186,4 @@ def score(documents: DataFrame, model: Model, *, text: str = "text") -> DataFram
             found = [pa.array(np.concatenate(severity)), pa.array(p), pa.array(np.concatenate(grade)), pa.array(p >= 0.5)]
             yield pa.RecordBatch.from_arrays([*[batch.column(names.index(c)) for c in carried], *found], names=schema.names)
 
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(tx.frugal(run), schema)
