@@ -51,11 +51,13 @@ def _series(
 ) -> DataFrame:
     """Filtered samples with their series and grouping labels as columns.
 
+    Undefined samples stay: the newest sample counts, and it is the result that is dropped.
+
     A series is its sorted label pairs.  ``series_id`` is a hash of them: it is shuffled and
     sorted by first, which is cheap, and the pairs themselves settle the rare collision.
     """
     wanted = F.col("metric").isin(*metrics) if len(metrics) > 1 else F.col("metric") == metrics[0]
-    keep = reduce(lambda a, b: a & b, matchers, wanted & ~F.isnan("value"))
+    keep = reduce(lambda a, b: a & b, matchers, wanted)
     pairs = F.sort_array(F.map_entries("labels"))
     return samples.where(keep).select(
         F.xxhash64(pairs).alias("series_id"),
@@ -272,9 +274,12 @@ def divide(left: DataFrame, right: DataFrame, on: Sequence[str], scope: Sequence
 
 
 def minute_values(samples: DataFrame, keys: Sequence[str], ts: str = "ts", value: str = "value") -> DataFrame:
-    """Last value per key and minute: a later sample of a minute replaces an earlier one."""
+    """Last value per key and minute: a later sample of a minute replaces an earlier one.
+
+    A minute whose last sample is undefined has no value.
+    """
     return (
-        samples.where(~F.isnan(value))
-        .groupBy(*keys, F.date_trunc("minute", F.col(ts)).alias("minute"))
+        samples.groupBy(*keys, F.date_trunc("minute", F.col(ts)).alias("minute"))
         .agg(F.max_by(value, F.struct(ts, value)).alias("value"))
+        .where(~F.isnan("value"))
     )

@@ -231,8 +231,8 @@ def metric_rows(
     (namespace, pod, pod_uuid), each unique per key within ``scope``.  Values of unknown
     entities are dropped.  The values are aggregated before they get here, so the look-up
     joins a small side; the optimiser broadcasts the dimension if its measured size allows.
-    Several values of one entity and minute (a pod seen through two instances) are reduced to
-    the highest one, because the key of the result is entity, minute, category and name.
+    The key of the result is entity, minute, category and name.  Of several values the one of
+    the latest tick counts, and at one tick (a pod seen through two instances) the highest.
     """
     if metric.level == CLUSTER:
         found = values.withColumn("entity_uuid", cluster if cluster is not None else F.col("cluster_uuid"))
@@ -251,11 +251,11 @@ def metric_rows(
         (F.floor(F.col("tick") / F.lit(m.MINUTE)) * F.lit(m.MINUTE)).cast("bigint").alias("timestamp"),
         F.lit(metric.category).alias("category"),
         name.alias("name"),
+        "tick",
         "value",
     )
-    if metric.level == CLUSTER:
-        return rows
-    return rows.groupBy("entity_uuid", "timestamp", "category", "name").agg(F.max("value").alias("value"))
+    last = F.max_by("value", F.struct("tick", "value"))
+    return rows.groupBy("entity_uuid", "timestamp", "category", "name").agg(last.alias("value"))
 
 
 def level_rows(level: str, samples: DataFrame, *, grid: dict | None = None, **lookups) -> DataFrame:

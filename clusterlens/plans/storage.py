@@ -41,7 +41,8 @@ def persistent_volume(objects: DataFrame, now: Column) -> DataFrame:
     return objects.select(
         *header(),
         mode_mask(_c("known.accessModes")).alias("access_modes"),
-        F.coalesce(milli(_c("known.capacity")["storage"]), F.lit(0).cast("bigint")).alias("capacity"),
+        # Absent is 0; what does not fit is NULL, never 0.
+        F.when(_c("known.capacity")["storage"].isNull(), F.lit(0).cast("bigint")).otherwise(milli(_c("known.capacity")["storage"])).alias("capacity"),
         text(_c("known.persistentVolumeReclaimPolicy")).alias("reclaim_policy"),
         nullable(_c("known.storageClassName")).alias("storage_class"),
         F.coalesce(_c("known.volumeMode"), F.lit("Filesystem")).alias("volume_mode"),

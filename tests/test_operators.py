@@ -117,10 +117,28 @@ def test_rate_of_a_steady_counter_and_of_one_with_a_reset(spark):
     assert not [key for key in found if key[0] == "single"]
 
 
-def test_instants_go_stale_after_five_minutes_and_skip_nan(spark):
-    data = [("m", {"s": "a"}, at(1) + 1, 1.0), ("m", {"s": "a"}, at(3), float("nan")), ("m", {"s": "b"}, at(61), 7.0)]
-    found = rows(metrics.instant(samples(spark, data), "m", ["s"]), "s", "tick", "value")
-    assert found == [("a", at(i), 1.0) for i in range(2, 7)] + [("b", at(i), 7.0) for i in range(61, 66)]
+def test_instants_go_stale_after_five_minutes_and_end_at_nan(spark):
+    data = [("m", {"s": "a"}, at(1) + 1, 1.0), ("m", {"s": "a"}, at(4), float("nan")), ("m", {"s": "b"}, at(61), 7.0)]
+    found = rows(metrics.instant(samples(spark, data), "m", ["s"]).where("not isnan(value)"), "s", "tick", "value")
+    assert found == [("a", at(i), 1.0) for i in range(2, 4)] + [("b", at(i), 7.0) for i in range(61, 66)]
+
+
+def test_the_latest_tick_of_a_minute_counts(spark):
+    data = [("kube_pod_container_resource_requests", {"resource": "cpu", "node": "a", "pod": "p"}, at(1), 2.0), ("machine_cpu_cores", {"node": "a"}, at(1), 4.0)]
+    data += [("machine_cpu_cores", {"node": "a"}, at(1) + 30_000, 8.0)]
+    entry = catalog.catalog()["N03"]
+    vector = catalog.vector(entry, samples(spark, data), step=30_000, lookback=60_000)
+    nodes = spark.createDataFrame([("a", "uuid-a")], "node STRING, node_uuid STRING")
+    found = rows(catalog.metric_rows(entry, vector, nodes=nodes), "entity_uuid", "timestamp", "value")
+    assert found[0] == ("uuid-a", at(1), 0.25)
+
+
+def test_capacities_that_do_not_fit_are_null(spark):
+    volumes = [{"metadata": {"uid": n, "name": n}, "spec": {"capacity": c}} for n, c in (("a", {"storage": "9Pi"}), ("b", {}), ("c", {"storage": "1Ki"}))]
+    read = readers.parse_objects(spark.createDataFrame([(json.dumps(v),) for v in volumes], "raw STRING"), "persistent_volume")
+    tables = kinds()["persistent_volume"].tables(read, F.lit("c"), F.lit(None).cast("timestamp"))
+    found = {r["name"]: r["capacity"] for r in tables["persistent_volume"].collect()}
+    assert found == {"a": None, "b": 0, "c": 1_024_000}
 
 
 def test_division_by_zero_and_unknown_nodes_are_dropped(spark):
