@@ -5,12 +5,14 @@ The tables they keep lie in the shared scratch folder of the session.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from clusterlens.checks.base import query
 from clusterlens.checks.views import OP
-from clusterlens.operators import merge
+from clusterlens.functions.ids import ensure_uuid
+from clusterlens.plans.sync import Store
 from clusterlens.session import scratch_dir
+from clusterlens.sources.readers import parse_objects, read_changes
 from clusterlens.sources.tables import KeyedTable
 from clusterlens.streaming import jobs
 
@@ -37,23 +39,76 @@ def stream_minutes(t):
     return table.read().select("event_type", F.unix_millis("minute").alias("minute_ms"), "value")
 
 
+def _namespace(uid, version) -> Column:
+    meta = F.struct(uid.alias("uid"), uid.alias("name"), version.cast("string").alias("resourceVersion"))
+    return F.to_json(F.struct(meta.alias("metadata")))
+
+
+def _replay(t, rows: DataFrame, name: str, batches: int) -> Store:
+    """Rows (uid, seq, op) as changes of name spaces; each batch holds the changes of one remainder of ``seq``."""
+    folder = scratch_dir(t.spark, name)
+    store = Store(t.spark, f"{folder}/tables", ["namespace"])
+    changes = rows.select(
+        "op",
+        "seq",
+        F.lit("namespace").alias("kind"),
+        "uid",
+        F.col("uid").alias("key"),
+        F.when(F.col("op") != "DELETED", _namespace(F.col("uid"), F.col("seq"))).alias("object"),
+        F.lit("c1").alias("cluster_uuid"),
+    )
+    writer = jobs.object_changes(read_changes(t.spark, f"{folder}/in/*"), store, "namespace", clock=lambda: F.lit("2024-02-01").cast("timestamp"))
+    for number in range(batches):
+        changes.where(F.col("seq") % batches == number).write.json(f"{folder}/in/{number}")
+        finish(writer, f"{folder}/checkpoint")
+    return store
+
+
 @query(
     "stream_changes",
-    f"""SELECT user_id, event_id, value FROM (SELECT *, {OP} AS op FROM events
-      QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) WHERE op <> 'DELETED'""",
+    f"""SELECT 'u' || user_id AS name, event_id::VARCHAR AS resource_version FROM (SELECT *, {OP} AS op FROM events
+      QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1) WHERE op <> 'DELETED'""",
 )
 def stream_changes(t):
-    """A change log applied to a keyed table batch by batch."""
-    folder = scratch_dir(t.spark, "changes")
-    schema = t.spark.createDataFrame([], "user_id BIGINT, event_id BIGINT, value DOUBLE").schema
-    table = KeyedTable(t.spark, f"{folder}/table", schema, ["user_id"])
-
-    def apply(batch: DataFrame, number: int) -> None:
-        last = merge.latest_per_key(batch.withColumn("op", F.expr(OP)), ["user_id"], ["ts", "event_id"]).persist()
-        upserts, deletes = merge.split_changes(last)
-        table.delete(deletes, number)
-        table.upsert(upserts, number)
-        last.unpersist()
-
-    finish(event_stream(t).writeStream.foreachBatch(apply), f"{folder}/checkpoint")
-    return table.read()
+    """A change log applied by the streaming job in batches that do not follow its order."""
+    uid = F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("uid")
+    store = _replay(t, t.events.select(uid, F.col("event_id").alias("seq"), F.expr(OP).alias("op")), "changes", 3)
+    return store.read("namespace").select("name", "resource_version")
+
+
+@query(
+    "stream_reconcile",
+    """SELECT 'c' || c_custkey AS name FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 5 = 0
+    EXCEPT SELECT 'c' || c_custkey FROM customer WHERE c_custkey % 7 = 0""",
+)
+def stream_reconcile(t):
+    """A listing deletes what is gone; a stream batch of the same number neither undoes that nor is undone."""
+    folder = scratch_dir(t.spark, "reconcile")
+    store = Store(t.spark, f"{folder}/tables", ["namespace"])
+    uid, now, cluster = F.concat(F.lit("c"), F.col("c_custkey").cast("string")), F.lit("2024-02-01").cast("timestamp"), F.lit("c1")
+
+    def objects(rows: DataFrame, seq: int) -> DataFrame:
+        return parse_objects(rows.select(_namespace(uid, F.col("c_custkey")).alias("raw"), F.lit(seq).cast("bigint").alias("_seq")), "namespace")
+
+    store.upsert("namespace", objects(t.customer, 1), cluster, now, 0)
+    # Changed after the listing was made: these stay although they are not listed.
+    store.upsert("namespace", objects(t.customer.where("c_custkey % 5 = 0"), 30), cluster, now, 1)
+    store.reconcile("namespace", objects(t.customer.where("c_custkey % 2 = 0"), 20), cluster, 2, seq=20)
+    gone = objects(t.customer.where("c_custkey % 7 = 0"), 40).select(ensure_uuid(F.col("metadata.uid")).alias("uuid"), "_seq")
+    store.delete("namespace", gone, 2)
+    return store.read("namespace").select("name")
+
+
+@query(
+    "child_last_wins",
+    """SELECT 'p' || p_partkey AS protocol, CAST(p_size + 1 AS INTEGER) AS port FROM part""",
+)
+def child_last_wins(t):
+    """Of children that an object lists twice under one key, the last one is stored."""
+    folder = scratch_dir(t.spark, "children")
+    store = Store(t.spark, f"{folder}/tables", ["service"])
+    name = F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
+    ports = [F.struct(F.lit("http").alias("name"), name.alias("protocol"), (F.col("p_size") + k).alias("port")) for k in range(2)]
+    raw = F.to_json(F.struct(F.struct(name.alias("uid"), name.alias("name")).alias("metadata"), F.struct(F.array(*ports).alias("ports")).alias("spec")))
+    store.upsert("service", parse_objects(t.part.select(raw.alias("raw")), "service"), F.lit("c1"), F.lit("2024-02-01").cast("timestamp"), 0)
+    return store.read("service_port").select("protocol", F.col("port").cast("int").alias("port"))

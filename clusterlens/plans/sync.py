@@ -13,11 +13,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from clusterlens.functions.ids import ensure_uuid
-from clusterlens.operators.merge import drop_vanishing, vanished
+from clusterlens.operators.merge import drop_vanishing, latest_per_key, vanished
 from clusterlens.plans.common import Kind, Relation
 from clusterlens.plans.registry import kinds
 from clusterlens.schemas import object_schema
-from clusterlens.sources.tables import KeyedTable
+from clusterlens.sources.tables import SEQ, KeyedTable
 
 _STAGE = "batch"
 
@@ -60,8 +60,8 @@ class Store:
     def _add(self, name: str, keys: tuple[str, ...], schema) -> None:
         self.tables[name] = KeyedTable(self.spark, f"{self.root}/{name}", schema, keys)
 
-    def read(self, table: str, before: int | None = None) -> DataFrame:
-        return self.tables[table].read(before)
+    def read(self, table: str, before: int | None = None, writer: str = "main") -> DataFrame:
+        return self.tables[table].read(before, writer=writer)
 
     # ----------------------------------------------------------------- writes
 
@@ -73,36 +73,54 @@ class Store:
         Children that vanished from an object stay unless ``replace_children``.  The prepared
         objects are written once to a staging folder of the batch: every child table then reads
         only its own nested columns from there, and a lost executor costs no new parsing.
+        Objects may carry a ``_seq``, the sequence number of their change, which their
+        children get as well.
         """
         known = self.kinds[kind]
         staged = f"{self.root}/_staged/{kind}/{_STAGE}={batch}"
         known.prepared(objects, cluster, now).write.mode("overwrite").parquet(staged)
         prepared = self.spark.read.parquet(staged)
+        ordered = [SEQ] if SEQ in prepared.columns else []
+        parents = prepared.select("uuid", *ordered)
         if replace_children:
-            self._delete_children(known, prepared.select("uuid"), batch, own=False)
-        self.tables[kind].upsert(known.table(kind, prepared, now), batch, kind)
+            self._delete_children(known, parents, batch, own=False)
+        own = known.table(kind, prepared, now)
+        self.tables[kind].upsert(own.join(parents, "uuid") if ordered else own, batch, kind)
+        relations = {r.table: (parent, r) for parent in known.relations for r in (parent, *parent.children)}
 
         def write(table: str) -> None:
-            # One object may list a child key twice; the key keeps one of them.
-            children = known.table(table, prepared, now).dropDuplicates(list(self.tables[table].keys))
-            self.tables[table].upsert(children, batch, kind)
+            # One object may list a child key twice; as in a keyed upsert, the last one listed stays.
+            # The rows of an object come from one row in one task, in the order listed.
+            children = known.table(table, prepared, now).withColumn("_at", F.monotonically_increasing_id())
+            children = latest_per_key(children, self.tables[table].keys, ["_at"]).drop("_at")
+            parent, relation = relations[table]
+            if ordered and relation.foreign_key in children.columns:
+                above = parents
+                if relation is not parent and parent.build is not None:
+                    links = parent.build(prepared).select("uuid", F.col(parent.foreign_key).alias("_parent")).distinct()
+                    above = links.join(parents.withColumnRenamed("uuid", "_parent"), "_parent").select("uuid", SEQ)
+                above = above.groupBy("uuid").agg(F.max(SEQ).alias(SEQ)).withColumnRenamed("uuid", relation.foreign_key)
+                children = children.join(above, relation.foreign_key, "left")
+            # Without a parent of their own, entries of shared dictionaries never change.
+            self.tables[table].upsert(children, batch, kind, 0 if ordered else None)
 
         _together(write, known.builders())
         written = self.tables[kind].batch(batch, kind)
         _remove(self.spark, staged)
         return written
 
-    def delete(self, kind: str, gone: DataFrame, batch: int) -> None:
-        """Delete objects by ``uuid`` with everything that hangs on them."""
+    def delete(self, kind: str, gone: DataFrame, batch: int, writer: str = "") -> None:
+        """Delete objects by ``uuid`` with everything that hangs on them; ``gone`` may have a ``_seq``."""
         if gone.isEmpty():
             return  # most batches delete nothing; spare them the look at every child table
         known = self.kinds[kind]
-        self._delete_children(known, gone.select("uuid"), batch, own=True)
-        self.tables[kind].delete(gone, batch, kind)
+        self._delete_children(known, gone.select("uuid", *[c for c in gone.columns if c == SEQ]), batch, own=True, writer=writer or kind)
+        self.tables[kind].delete(gone, batch, writer or kind)
 
-    def _delete_children(self, kind: Kind, gone: DataFrame, batch: int, *, own: bool) -> None:
+    def _delete_children(self, kind: Kind, gone: DataFrame, batch: int, *, own: bool, writer: str = "") -> None:
         """Delete the children of objects; ``own`` also those that are not derived from them."""
         found: dict[str, list[DataFrame]] = {}
+        writer = writer or kind.name
 
         def collect(relations: Iterable[Relation], parents: DataFrame) -> None:
             for relation in relations:
@@ -111,23 +129,28 @@ class Store:
                 if not own and relation.build is None and not relation.children:
                     continue
                 table = self.tables[relation.table]
-                foreign = parents.select(F.col("uuid").alias(relation.foreign_key))
-                doomed = table.keys_of(foreign, relation.foreign_key, batch)
+                foreign = parents.select(F.col("uuid").alias(relation.foreign_key), *[c for c in parents.columns if c == SEQ])
+                doomed = table.keys_of(foreign, relation.foreign_key, batch, writer)
                 found.setdefault(relation.table, []).append(doomed)
                 if relation.children:
                     collect(relation.children, doomed)
 
         collect(kind.relations, gone)
         def write(name: str) -> None:
-            self.tables[name].delete(reduce(DataFrame.unionByName, found[name]).distinct(), batch, kind.name)
+            self.tables[name].delete(reduce(DataFrame.unionByName, found[name]).distinct(), batch, writer)
 
         _together(write, found)
 
-    def reconcile(self, kind: str, listed: DataFrame, cluster: Column, batch: int) -> DataFrame:
-        """Delete a cluster's stored objects that are not listed any more; returns their keys."""
-        stored = self.read(kind, batch).where(F.col("cluster_uuid") == cluster)
+    def reconcile(self, kind: str, listed: DataFrame, cluster: Column, batch: int, seq: int | None = None) -> DataFrame:
+        """Delete a cluster's stored objects that are not listed any more; returns their keys.
+
+        ``seq`` is the sequence number of the listing: what changed after it stays.  The
+        deletes are those of a writer of its own, so no batch of the stream replaces them.
+        """
+        writer = f"{kind}-listing"
+        stored = self.read(kind, batch, writer).where(F.col("cluster_uuid") == cluster)
         gone = vanished(stored, objects_keys(listed))
-        self.delete(kind, gone, batch)
+        self.delete(kind, gone.withColumn(SEQ, F.lit(batch if seq is None else seq).cast("bigint")), batch, writer)
         return gone
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -34,12 +37,20 @@ def build_session(app: str = "clusterlens", master: str | None = None, **conf: s
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for intermediate tables and streaming checkpoints.
 
-    On a cluster it lies under the shared folder named by
-    ``spark.checkpoint.dir``.  Only where that is unset (tests, one machine)
-    a temporary folder of the driver machine is used.
+    It lies under the shared folder named by ``spark.checkpoint.dir``.  Only a local master may do
+    without that: it gets a temporary folder, which goes when the process ends.
     """
     root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     token = os.urandom(8).hex()
     if root:
         return f"{root.rstrip('/')}/clusterlens/{name}-{token}"
-    return tempfile.mkdtemp(prefix=f"clusterlens-{name}-")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
+    return f"{_own_folder()}/{name}-{token}"
+
+
+@cache
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="clusterlens-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder

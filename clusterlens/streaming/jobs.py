@@ -16,7 +16,7 @@ from clusterlens.functions.ids import ensure_uuid
 from clusterlens.operators import logs, merge, notify, relate
 from clusterlens.plans import sync
 from clusterlens.sources.readers import parse_objects
-from clusterlens.sources.tables import KeyedTable
+from clusterlens.sources.tables import SEQ, KeyedTable
 
 Consumer = Callable[[DataFrame, int], None]
 Clock = Callable[[], Column]
@@ -30,6 +30,7 @@ def object_changes(
     clock: Clock = F.current_timestamp,
     replace_children: bool = False,
     ignore_deletes: bool = False,
+    tombstones: KeyedTable | None = None,
     on_upsert: Sequence[Consumer] = (),
     on_delete: Sequence[Consumer] = (),
 ) -> DataStreamWriter:
@@ -37,7 +38,11 @@ def object_changes(
 
     Per batch the last change of each object counts.  Consumers run in order after the write
     and get the rows written, or the keys deleted.  ``ignore_deletes`` is for kinds that are
-    only ever added to (events).
+    only ever added to (events).  With ``tombstones``, a table of deleted keys, a delete counts
+    once until the object is back.
+
+    The sequence number of each change goes into all tables, so that streams with unrelated
+    batches, and changes that arrive late, leave the same rows in any order.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
@@ -46,15 +51,19 @@ def object_changes(
         try:
             now = clock()
             if not ignore_deletes:
-                gone = last.where("deleted").select(F.col("change_uuid").alias("uuid"))
+                gone = last.where("deleted").select(F.col("change_uuid").alias("uuid"), F.col("seq").alias(SEQ))
+                if tombstones is not None:
+                    gone = first_deletes(gone, number, tombstones, kind)
                 store.delete(kind, gone, number)
                 for consumer in on_delete:
                     consumer(gone, number)
-            fresh = last.where(~sync.is_delete()).select("raw", "cluster_uuid")
+            fresh = last.where(~sync.is_delete()).select("raw", "cluster_uuid", F.col("seq").alias(SEQ))
             objects = sync.guarded(parse_objects(fresh, kind), now).withColumnRenamed("cluster_uuid", "source_cluster")
             rows = store.upsert(
                 kind, objects, F.col("source_cluster"), now, number, replace_children=replace_children
             )
+            if tombstones is not None:
+                reappeared(rows, number, tombstones, kind)
             for consumer in on_upsert:
                 consumer(rows, number)
         finally:
@@ -100,7 +109,8 @@ def log_appends(chunks: DataFrame, table: KeyedTable, containers: Callable[[], D
     def apply(batch: DataFrame, number: int) -> None:
         fresh = logs.wanted_chunks(batch, containers()).persist()
         try:
-            table.upsert(logs.append_logs(table.read(number, only=fresh), fresh), number)
+            # Positions in a log are no change numbers: any delete of the container comes after them.
+            table.upsert(logs.append_logs(table.read(number, only=fresh, writer="logs"), fresh), number, "logs", 0)
         finally:
             fresh.unpersist()
 
@@ -115,16 +125,18 @@ def service_pods(store: sync.Store, services: Callable[[], DataFrame], pods: Cal
     table = store.tables["service_pod"]
 
     def on_pods(rows: DataFrame, number: int) -> None:
-        mine = pods().join(rows.select(F.col("uuid").alias("pod_uuid")), "pod_uuid", "left_semi")
-        table.upsert(relate.select_pods(services(), mine), number, "pods")
+        changed = rows.select(F.col("uuid").alias("pod_uuid"), SEQ)
+        mine = pods().join(changed, "pod_uuid", "left_semi")
+        table.upsert(relate.select_pods(services(), mine).join(changed, "pod_uuid"), number, "pods")
 
     def on_services(rows: DataFrame, number: int) -> None:
-        mine = services().join(rows.select(F.col("uuid").alias("service_uuid")), "service_uuid", "left_semi")
-        table.upsert(relate.select_pods(mine, pods()), number, "services")
+        changed = rows.select(F.col("uuid").alias("service_uuid"), SEQ)
+        mine = services().join(changed, "service_uuid", "left_semi")
+        table.upsert(relate.select_pods(mine, pods()).join(changed, "service_uuid"), number, "services")
 
     def on_pod_deletes(gone: DataFrame, number: int) -> None:
-        keys = gone.select(F.col("uuid").alias("pod_uuid"))
-        table.delete(table.read(number, only=keys), number, "pods")
+        keys = gone.select(F.col("uuid").alias("pod_uuid"), SEQ)
+        table.delete(table.keys_of(keys, "pod_uuid", number, "pods"), number, "pods")
 
     return on_pods, on_services, on_pod_deletes
 
@@ -148,7 +160,7 @@ def health_notifications(
     def consume(rows: DataFrame, number: int) -> None:
         events = notify.health_events(rows, kind)
         if sent is not None:
-            events = notify.changed_events(events, sent.read(number, only=events))
+            events = notify.changed_events(events, sent.read(number, only=events, writer=kind))
         if rules is not None:
             usable, unusable = notify.load_rules(rules())
             events, failed = notify.match_rules(rows.sparkSession, events, usable, tables())
@@ -158,30 +170,31 @@ def health_notifications(
         try:
             sink(events, number)
             if sent is not None:
-                sent.upsert(events.select("uuid", "severity", "message"), number)
+                sent.upsert(events.select("uuid", "severity", "message"), number, kind)
         finally:
             events.unpersist()
 
     return consume
 
 
-def json_sink(folder: str) -> Consumer:
-    """Event documents as JSON lines, one folder per batch."""
+def json_sink(folder: str, writer: str = "main") -> Consumer:
+    """Event documents as JSON lines, one folder per batch of a writer."""
 
     def write(events: DataFrame, number: int) -> None:
-        notify.event_json(events).select("value").write.mode("overwrite").text(f"{folder}/batch={number}")
+        notify.event_json(events).select("value").write.mode("overwrite").text(f"{folder}/writer={writer}/batch={number}")
 
     return write
 
 
-def first_deletes(gone: DataFrame, number: int, tombstones: KeyedTable) -> DataFrame:
+def first_deletes(gone: DataFrame, number: int, tombstones: KeyedTable, writer: str = "main") -> DataFrame:
     """Keys deleted now that were not deleted before; they count as deleted until they re-appear."""
-    fresh = merge.delete_keys(gone.select("uuid").distinct(), tombstones.read(number, only=gone), "uuid")
-    tombstones.upsert(fresh, number)
-    return fresh
-
+    known = tombstones.read(number, only=gone, writer=writer)
+    fresh = merge.delete_keys(gone.dropDuplicates(["uuid"]), known, "uuid")
+    tombstones.upsert(fresh, number, writer)
+    return tombstones.batch(number, writer)
 
-def reappeared(rows: DataFrame, number: int, tombstones: KeyedTable) -> None:
-    """Forget the deletes of objects that are back."""
-    tombstones.delete(rows.select("uuid"), number, "back")
 
+def reappeared(rows: DataFrame, number: int, tombstones: KeyedTable, writer: str = "main") -> None:
+    """Forget the deletes of objects that are back, including one of the same change."""
+    back = rows.withColumn(SEQ, F.col(SEQ) + 1) if SEQ in rows.columns else rows
+    tombstones.delete(back, number, f"{writer}-back")

@@ -180,3 +180,30 @@ def test_deletes_are_seen_once_until_the_object_is_back(spark, tmp_path):
     assert jobs.first_deletes(keys, 1, tombstones).count() == 0
     jobs.reappeared(keys, 2, tombstones)
     assert jobs.first_deletes(keys, 3, tombstones).count() == 1
+
+
+def test_pod_deletes_outrank_older_service_changes_of_any_batch(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "tables"), ["pod", "service"])
+    services = spark.createDataFrame([("s1", "shop", {"app": "web"})], "service_uuid STRING, namespace STRING, selector MAP<STRING, STRING>")
+    pods = spark.createDataFrame([("p1", "shop", {"app": "web"}), ("p2", "shop", {"app": "web"})], "pod_uuid STRING, namespace STRING, labels MAP<STRING, STRING>")
+    _, on_services, on_deletes = jobs.service_pods(store, lambda: services, lambda: pods)
+    logs = store.tables["container_log"]
+    log = spark.createDataFrame([("k1", "p1", "text", None), ("k2", "p2", "text", None)], logs.schema)
+    logs.upsert(log, 10, "logs", 0)
+    on_services(spark.createDataFrame([("s1", 7)], "uuid STRING, _seq BIGINT"), 10)
+    gone = spark.createDataFrame([("p1", 9)], "uuid STRING, _seq BIGINT")
+    for _ in range(2):  # a batch written again changes nothing
+        on_deletes(gone, 3)
+    assert rows(store.read("service_pod"), "pod_uuid") == [("p2",)]
+    logs.delete(logs.keys_of(gone.withColumnRenamed("uuid", "pod_uuid"), "pod_uuid", 3, "pod"), 3, "pod")
+    assert rows(logs.read(), "container_uuid") == [("k2",)]
+
+
+def test_deletes_count_once_until_the_object_is_back(spark, tmp_path):
+    seen = []
+    schema = spark.createDataFrame([], "uuid STRING").schema
+    store = Store(spark, str(tmp_path / "tables"), ["namespace"])
+    log = [change("ADDED", 1, "a", space("a", 1), "namespace"), change("DELETED", 2, "a", None, "namespace"), change("DELETED", 3, "a", None, "namespace"),
+           change("ADDED", 4, "a", space("a", 2), "namespace"), change("DELETED", 5, "a", None, "namespace")]
+    replay(spark, tmp_path, log, 5, store, tombstones=KeyedTable(spark, str(tmp_path / "gone"), schema, ["uuid"]), on_delete=[lambda gone, number: seen.append(gone.count())])
+    assert seen == [0, 1, 0, 0, 1]
