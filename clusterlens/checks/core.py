@@ -617,6 +617,13 @@ def log_tail(t):
     return logs.log_tails(chunks, ["source"], seq="doc_id")
 
 
+@query("log_tail_sparse", _TAIL_SQL)
+def log_tail_sparse(t):
+    """Positions are times in nanoseconds, far apart and unevenly spread."""
+    at = F.lit(1_700_000_000_000_000_000) + F.col("doc_id") * F.lit(1_000_003_000) * (F.col("doc_id") + F.lit(1))
+    return logs.log_tails(t.documents.select("source", at.alias("ns"), "text"), ["source"], seq="ns")
+
+
 @query(
     "started_logs",
     """SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)""",

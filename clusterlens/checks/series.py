@@ -134,20 +134,44 @@ def metric_one_minus(t):
     return rounded(pairs.where(F.col("value").isNotNull()).select("user", "tick", "value"))
 
 
+_SHARDED = """SELECT user_id::VARCHAR AS user, CAST(event_id % 3 AS VARCHAR) AS shard, epoch_us(ts) // 1000 AS t,
+    CASE WHEN {} THEN 'nan'::DOUBLE ELSE value END AS v FROM events WHERE event_type = 'click'"""
+
+
+def _sharded(t, undefined: str) -> DataFrame:
+    """Clicks as samples of three series per user, some of them undefined."""
+    labels = F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("shard"), (F.col("event_id") % 3).cast("string"))
+    value = F.when(F.expr(undefined), F.lit(float("nan"))).otherwise(F.col("value"))
+    return t.events.where("event_type = 'click'").select(F.lit("click").alias("metric"), labels.alias("labels"), "ts", value.alias("value"))
+
+
 @query(
     "metric_two_level_avg",
-    sql_value(
-        sql_agg(sql_agg("SELECT user, tick, v FROM (" + sql_instant(
-            "SELECT user_id::VARCHAR AS user, CAST(user_id % 7 AS VARCHAR) AS shard, epoch_us(ts) // 1000 AS t, value AS v FROM events WHERE event_type IN ('click')",
-            ("user", "shard"), HOUR, 600_000) + ")", ("user",)), (), "avg(v)"),
-        (),
-    ),
+    sql_value(sql_agg(sql_agg(sql_instant(_SHARDED.format("false"), ("user", "shard"), 24 * HOUR, HOUR), ("user",)), (), "avg(v)"), ()),
 )
 def metric_two_level_avg(t):
-    inner = m.sum_by(m.instant(event_samples(t), "click", ["user"], **_GRID), ["user"])
+    grid = {"step": HOUR, "lookback": 24 * HOUR, "chunk": 96 * HOUR}
+    inner = m.sum_by(m.instant(_sharded(t, "false"), "click", ["user", "shard"], **grid), ["user"])
     return rounded(m.avg_by(inner))
 
 
+_NAN = "event_id % 5 = 0"
+
+
+@query(
+    "metric_nan",
+    sql_value(
+        "SELECT * FROM (" + sql_agg(sql_instant(_SHARDED.format(_NAN), ("user", "shard"), 24 * HOUR, HOUR), ("user",)) + ") WHERE NOT isnan(v)",
+        ("user",),
+    ),
+)
+def metric_nan(t):
+    """An undefined newest sample makes the sum undefined, and undefined results are dropped."""
+    grid = {"step": HOUR, "lookback": 24 * HOUR, "chunk": 96 * HOUR}
+    found = m.sum_by(m.instant(_sharded(t, _NAN), "click", ["user", "shard"], **grid), ["user"])
+    return rounded(found.where(~F.isnan("value")))
+
+
 _COUNTER_SQL = """SELECT user_id::VARCHAR AS user, epoch_us(ts) // 1000 AS t,
     sum(value) OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) AS v FROM events"""
 

@@ -7,12 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from clusterlens.functions.text import utf8_tail
+from clusterlens.session import scratch_dir
 
 # Fixed value: bytes kept per container.
 LOG_BYTES = 65_535
 
-# Widths of the sequence ranges looked at before single chunks.
-_RANGES = (1 << 20, 1 << 10)
+# Binary digits by which each look at the positions is finer than the one before.
+_STEP = 12
 
 
 def _after(rows: DataFrame, keys: Sequence[str], position: str) -> DataFrame:
@@ -30,22 +31,33 @@ def log_tails(
 ) -> DataFrame:
     """The last ``size`` bytes of the concatenated chunks per key, starting at a whole line.
 
-    ``seq`` is a unique position per key.  Only the chunks that reach into the tail are ever
-    brought together: byte counts of coarse, then finer ranges of positions (partial sums, no
-    text) tell which ranges can reach it, so a key with any number of chunks sends a bounded
-    amount of text to its final task.
+    ``seq`` is a unique position per key, dense or not.  The sizes of the chunks are written
+    once, without their text.  Positions are looked at by their leading binary digits, coarse
+    first: partial sums per stretch of positions tell which stretches can reach into the tail, and
+    only those are looked at more closely.  So a key with any number of chunks brings a bounded
+    number of rows to one task: at most one stretch for each byte of the tail, and the parts of
+    the one in which the tail begins.  The text is joined to the chosen chunks alone, cut to its own last bytes.
     """
-    rows = chunks.select(*keys, F.col(seq).alias("_seq"), F.col(body).alias("_text")).where(F.octet_length("_text") > 0)
-    for width in _RANGES:
-        ranged = rows.withColumn("_range", F.floor(F.col("_seq") / F.lit(width)))
-        totals = ranged.groupBy(*keys, "_range").agg(F.sum(F.octet_length("_text")).alias("_bytes"))
+    spark = chunks.sparkSession
+    folder = scratch_dir(spark, "logs")
+    measured = chunks.select(*keys, F.col(seq).cast("bigint").alias("_seq"), F.octet_length(body).cast("bigint").alias("_bytes"))
+    measured.where("_bytes > 0").write.parquet(folder)
+    rows = spark.read.schema(measured.schema).parquet(folder)
+    low, high = rows.agg(F.min("_seq"), F.max("_seq")).first()
+    digits = (high - low).bit_length() if low is not None else 0
+    for shift in range(_STEP * (digits // _STEP), 0, -_STEP):
+        ranged = rows.withColumn("_range", F.shiftright("_seq", shift))
+        totals = ranged.groupBy(*keys, "_range").agg(F.sum("_bytes").alias("_bytes"))
         # "<=": one byte more than the tail must survive where there is more, to see the cut.
         reaching = _after(totals, keys, "_range").where(F.col("_after") <= size).select(*keys, "_range")
         rows = ranged.join(reaching, [*keys, "_range"], "left_semi").drop("_range")
-    sized = _after(rows.withColumn("_bytes", F.octet_length("_text")), keys, "_seq").where(F.col("_after") <= size)
+    wanted = _after(rows, keys, "_seq").where(F.col("_after") <= size).select(*keys, "_seq")
+    # A character has a byte at least, so this many characters hold the tail and one byte before it.
+    text = chunks.select(*keys, F.col(seq).cast("bigint").alias("_seq"), F.right(F.col(body), F.lit(size + 1)).alias("_text"))
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("_seq", "_text"))), lambda c: c["_text"])
     return (
-        sized.groupBy(*keys)
+        text.join(wanted, [*keys, "_seq"])
+        .groupBy(*keys)
         .agg(F.array_join(ordered, "").alias("_text"))
         .select(*keys, utf8_tail(F.col("_text"), size).alias("logs"))
     )
