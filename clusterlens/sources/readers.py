@@ -45,8 +45,8 @@ def change_objects(changes: DataFrame, kind: str) -> DataFrame:
 def scan_table(table: DataFrame, columns: Sequence[str], cluster: Column) -> DataFrame:
     """Some columns of one cluster's rows.
 
-    Tables are partitioned by cluster, so the filter prunes partitions and the selection
-    prunes columns.
+    The selection prunes columns; where the table is partitioned by cluster, the filter prunes
+    partitions.
     """
     return table.where(F.col("cluster_uuid") == cluster).select(*columns)
 
@@ -60,9 +60,13 @@ def read_samples(spark: SparkSession, path: str, *, stream: bool = False) -> Dat
     return reader.schema(schemas.SAMPLE).parquet(path)
 
 
-def read_incidents(spark: SparkSession, path: str) -> DataFrame:
-    """Open incidents (a JSON array, or one per line), flattened to their tags."""
-    return spark.read.schema(schemas.INCIDENT).option("multiLine", True).json(path).select("object_tags.*")
+def read_incidents(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+    """Open incidents, flattened to their tags.
+
+    With ``lines`` there is one incident per line, which splits into any number of tasks; without,
+    a file is one JSON array and is read by one task.
+    """
+    return spark.read.schema(schemas.INCIDENT).option("multiLine", not lines).json(path).select("object_tags.*")
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
