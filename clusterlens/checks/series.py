@@ -377,6 +377,29 @@ _STORED = {
 }
 
 
+# The rest of the catalogue.
+_ALL_STORED = {
+    **_STORED,
+    "C01": ("node.count", ""),
+    "C02": ("namespace.count", ""),
+    "C03": ("pod.running", ""),
+    "C04": ("pod.pending", ""),
+    "C05": ("pod.failed", ""),
+    "C06": ("pod.succeeded", ""),
+    "C07": ("cpu.usage", ""),
+    "C08": ("memory.usage", ""),
+    "C10": ("network.received.bytes", ""),
+    "C11": ("network.transmitted.bytes", ""),
+    "N12": ("network.transmitted.bytes", ""),
+    "P01": ("cpu.usage", ""),
+    "P03": ("cpu.usage.cores", ""),
+    "P04": ("memory.usage.bytes", ""),
+}
+_ALLOCATED = [f"{r}.{k}{p}" for r in ("cpu", "memory") for k in ("request", "limit") for p in ("", ".percentage")]
+for _prefix, _numbers in (("N", (2, 3, 4, 5, 7, 8, 9, 10)), ("P", range(5, 13)), ("K", range(1, 9))):
+    _ALL_STORED.update({f"{_prefix}{n:02d}": (category, "") for n, category in zip(_numbers, _ALLOCATED)})
+
+
 def _nodes_view(t):
     """Every second node number is known, half of them by name and half by address."""
     number = F.expr(EVENT_COLUMNS["node_no"])
@@ -403,7 +426,7 @@ def _pods_view(t):
 
 def _stored_sql(metric_id: str) -> str:
     vector, labels = LIBRARY[metric_id]
-    category, name = _STORED[metric_id]
+    category, name = _ALL_STORED[metric_id]
     named = name or "''"
     source = f"({vector})"
     if metric_id[0] == "C":
@@ -423,20 +446,34 @@ def _stored_sql(metric_id: str) -> str:
     )
 
 
+def _lookups(t, level: str) -> dict:
+    return {
+        c.CLUSTER: lambda: {"cluster": F.lit("cluster-1")},
+        c.NODE: lambda: {"nodes": relate.node_names(_nodes_view(t))},
+    }.get(level, lambda: {"pods": _pods_view(t)})()
+
+
+def _level_query(level: str):
+    """Every metric of the level, its sources evaluated once."""
+
+    def run(t):
+        sources = {source for e in c.catalog().values() if e.level == level for source in e.sources}
+        return rounded(c.level_rows(level, metric_samples(t, tuple(sources)), **_lookups(t, level)))
+
+    return run
+
+
 def _stored_query(level: str):
     def run(t):
         entries = {i: e for i, e in c.catalog().items() if i in _STORED and e.level == level}
         samples = metric_samples(t, tuple(source for e in entries.values() for source in e.sources))
-        lookups = {
-            c.CLUSTER: lambda: {"cluster": F.lit("cluster-1")},
-            c.NODE: lambda: {"nodes": relate.node_names(_nodes_view(t))},
-        }.get(level, lambda: {"pods": _pods_view(t)})()
-        parts = [c.metric_rows(entry, c.vector(entry, samples), **lookups) for entry in entries.values()]
+        parts = [c.metric_rows(entry, c.vector(entry, samples), **_lookups(t, level)) for entry in entries.values()]
         return rounded(reduce(DataFrame.unionByName, parts))
 
     return run
 
 
-for _level in (c.CLUSTER, c.NODE, c.POD, c.CONTAINER):
-    _ids = [i for i in _STORED if {"C": c.CLUSTER, "N": c.NODE, "P": c.POD, "K": c.CONTAINER}[i[0]] == _level]
-    query(f"metric_rows_{_level}", " UNION ALL ".join(_stored_sql(i) for i in _ids))(_stored_query(_level))
+for _level, _letter in ((c.CLUSTER, "C"), (c.NODE, "N"), (c.POD, "P"), (c.CONTAINER, "K")):
+    _some, _every = ([i for i in sorted(ids) if i[0] == _letter] for ids in (_STORED, _ALL_STORED))
+    query(f"metric_rows_{_level}", " UNION ALL ".join(_stored_sql(i) for i in _some))(_stored_query(_level))
+    query(f"metric_level_{_level}", " UNION ALL ".join(_stored_sql(i) for i in _every))(_level_query(_level))

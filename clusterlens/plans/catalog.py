@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from clusterlens.functions.ids import uuid5
 from clusterlens.functions.text import host_of, label_replace
 from clusterlens.operators import metrics as m
+from clusterlens.session import scratch_dir
 
 # What the matchers leave out.
 IDLE_MODES = "idle|iowait|steal"
@@ -38,6 +39,59 @@ NODE_MEMORY = "machine_memory_bytes"
 CLUSTER, NODE, POD, CONTAINER = "cluster", "node", "pod", "container"
 
 
+# Labels of the source metrics that the library groups by or matches.
+LABELS = {
+    POD_PHASE: ("phase",),
+    POD_QOS: ("qos_class",),
+    NODE_CPU: ("instance", "node", "cpu", "mode"),
+    MEMORY_TOTAL: ("instance", "node"),
+    RECEIVED: ("node", "device"),
+    TRANSMITTED: ("node", "device"),
+    CONTAINER_CPU: ("instance", "namespace", "pod"),
+    CONTAINER_MEMORY: ("instance", "namespace", "pod"),
+    REQUESTS: ("resource", "node", "namespace", "pod", "container"),
+    LIMITS: ("resource", "node", "namespace", "pod", "container"),
+    NODE_CORES: ("node",),
+    NODE_MEMORY: ("node",),
+}
+
+
+class Shared:
+    """Samples of which several metrics are evaluated.
+
+    Per source metric (and window, for rates) the sums over all labels that the library uses are
+    computed once and written to the shared folder; metrics match and sum up those rows.
+    """
+
+    def __init__(self, frame: DataFrame) -> None:
+        self.frame = frame
+        self._found: dict[str, DataFrame] = {}
+
+    def _base(self, key: str, metric: str, vector: Callable[[], DataFrame], scope: Sequence[str]) -> DataFrame:
+        if key not in self._found:
+            by = LABELS[metric]
+            folder = scratch_dir(self.frame.sparkSession, "metrics")
+            m.sum_by(vector(), by, scope).write.parquet(folder)
+            rows = self.frame.sparkSession.read.parquet(folder)
+            self._found[key] = rows.withColumn("labels", F.create_map(*[x for name in by for x in (F.lit(name), F.col(name))]))
+        return self._found[key]
+
+    def sums(self, metric: str, **grid) -> DataFrame:
+        return self._base(f"{metric} {grid}", metric, lambda: m.instant(self.frame, metric, LABELS[metric], **grid), _scope(grid))
+
+    def rates(self, metric: str, minutes: int, **grid) -> DataFrame:
+        window = minutes * m.MINUTE
+        return self._base(f"{metric} {minutes} {grid}", metric, lambda: m.rate(self.frame, metric, window, LABELS[metric], **grid), _scope(grid))
+
+
+def _frame(samples: DataFrame | Shared) -> DataFrame:
+    return samples.frame if isinstance(samples, Shared) else samples
+
+
+def _matching(rows: DataFrame, matchers: Sequence[Column]) -> DataFrame:
+    return reduce(DataFrame.where, matchers, rows)
+
+
 @dataclass(frozen=True)
 class Metric:
     """One named metric: ``build(samples, **grid)`` gives its vector."""
@@ -55,8 +109,12 @@ def _scope(grid: dict) -> Sequence[str]:
 
 
 def _sum(metric: str, by: Sequence[str], *matchers: Column) -> Callable[..., DataFrame]:
-    def build(samples: DataFrame, **grid) -> DataFrame:
-        return m.sum_by(m.instant(samples, metric, by, matchers, **grid), by, _scope(grid))
+    def build(samples: DataFrame | Shared, **grid) -> DataFrame:
+        if isinstance(samples, Shared):
+            vector = _matching(samples.sums(metric, **grid), matchers)
+        else:
+            vector = m.instant(samples, metric, by, matchers, **grid)
+        return m.sum_by(vector, by, _scope(grid))
 
     return build
 
@@ -64,7 +122,11 @@ def _sum(metric: str, by: Sequence[str], *matchers: Column) -> Callable[..., Dat
 def _rate(metric: str, minutes: int, by: Sequence[str], *matchers: Column, sign: int = 1) -> Callable[..., DataFrame]:
     def build(samples: DataFrame, **grid) -> DataFrame:
         grid.pop("lookback", None)
-        vector = m.sum_by(m.rate(samples, metric, minutes * m.MINUTE, by, matchers, **grid), by, _scope(grid))
+        if isinstance(samples, Shared):
+            rates = _matching(samples.rates(metric, minutes, **grid), matchers)
+        else:
+            rates = m.rate(samples, metric, minutes * m.MINUTE, by, matchers, **grid)
+        vector = m.sum_by(rates, by, _scope(grid))
         return vector if sign > 0 else m.negate(vector)
 
     return build
@@ -84,10 +146,9 @@ def _memory_share(by: Sequence[str]) -> Callable[..., DataFrame]:
     """sum(total - available) / sum(total); the two sums run over their own series."""
 
     def build(samples: DataFrame, **grid) -> DataFrame:
-        used = m.matched(samples, MEMORY_TOTAL, MEMORY_FREE, by, F.col("left") - F.col("right"), **grid)
-        total = m.instant(samples, MEMORY_TOTAL, by, **grid)
+        used = m.matched(_frame(samples), MEMORY_TOTAL, MEMORY_FREE, by, F.col("left") - F.col("right"), **grid)
         scope = _scope(grid)
-        return m.divide(m.sum_by(used, by, scope), m.sum_by(total, by, scope), by, scope)
+        return m.divide(m.sum_by(used, by, scope), _sum(MEMORY_TOTAL, by)(samples, **grid), by, scope)
 
     return build
 
@@ -114,16 +175,16 @@ def _pod_memory_share(samples: DataFrame, **grid) -> DataFrame:
 
 def _disk(samples: DataFrame, **grid) -> DataFrame:
     by = ["node", "mountpoint"]
-    free = m.matched(samples, DISK_FREE, DISK_SIZE, by, 1 - F.try_divide("left", "right"), **grid)
+    free = m.matched(_frame(samples), DISK_FREE, DISK_SIZE, by, 1 - F.try_divide("left", "right"), **grid)
     return m.sum_by(free.where(F.col("value").isNotNull()), by, _scope(grid))
 
 
 def _node_count(samples: DataFrame, **grid) -> DataFrame:
-    return m.count_groups(m.instant(samples, NODE_INFO, ["node"], **grid), ["node"], _scope(grid))
+    return m.count_groups(m.instant(_frame(samples), NODE_INFO, ["node"], **grid), ["node"], _scope(grid))
 
 
 def _namespace_count(samples: DataFrame, **grid) -> DataFrame:
-    return m.count_series(m.instant(samples, NAMESPACE_CREATED, **grid), (), _scope(grid))
+    return m.count_series(m.instant(_frame(samples), NAMESPACE_CREATED, **grid), (), _scope(grid))
 
 
 def _allocations(prefix: str, level: str, by: Sequence[str], first: int) -> list[Metric]:
@@ -206,7 +267,7 @@ def catalog() -> dict[str, Metric]:
     return {entry.id: entry for entry in _catalog()}
 
 
-def vector(metric: Metric, samples: DataFrame, **grid) -> DataFrame:
+def vector(metric: Metric, samples: DataFrame | Shared, **grid) -> DataFrame:
     """The metric's vector without undefined values."""
     return metric.build(samples, **grid).where(F.col("value").isNotNull() & ~F.isnan("value"))
 
@@ -258,11 +319,15 @@ def metric_rows(
     return rows.groupBy("entity_uuid", "timestamp", "category", "name").agg(last.alias("value"))
 
 
-def level_rows(level: str, samples: DataFrame, *, grid: dict | None = None, **lookups) -> DataFrame:
-    """All metrics of a level, ready for the keyed upsert."""
+def level_rows(level: str, samples: DataFrame | Shared, *, grid: dict | None = None, **lookups) -> DataFrame:
+    """All metrics of a level, ready for the keyed upsert.
+
+    What several metrics start from is evaluated once; hand in one :class:`Shared` to share it between levels.
+    """
     grid = dict(grid or {})
+    shared = samples if isinstance(samples, Shared) else Shared(samples)
     parts = [
-        metric_rows(entry, vector(entry, samples, **grid), scope=grid.get("scope", ()), **lookups)
+        metric_rows(entry, vector(entry, shared, **grid), scope=grid.get("scope", ()), **lookups)
         for entry in catalog().values()
         if entry.level == level
     ]
