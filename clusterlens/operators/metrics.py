@@ -53,15 +53,15 @@ def _series(
 
     Undefined samples stay: the newest sample counts, and it is the result that is dropped.
 
-    A series is its sorted label pairs.  ``series_id`` is a hash of them: it is shuffled and
-    sorted by first, which is cheap, and the pairs themselves settle the rare collision.
+    A series is its sorted label pairs.  Two hashes of them, 128 bits together, stand for it in
+    shuffles: ``series_id``, which it is dealt by, and ``series``.
     """
     wanted = F.col("metric").isin(*metrics) if len(metrics) > 1 else F.col("metric") == metrics[0]
     keep = reduce(lambda a, b: a & b, matchers, wanted)
     pairs = F.sort_array(F.map_entries("labels"))
     return samples.where(keep).select(
         F.xxhash64(pairs).alias("series_id"),
-        pairs.alias("series"),
+        F.xxhash64(F.lit(1), pairs).alias("series"),
         *scope,
         *[label(name).alias(name) for name in by],
         "metric",
