@@ -176,10 +176,14 @@ def limits(sketch: DataFrame, min_rows: int) -> DataFrame:
     )
 
 
-def _judged(documents: DataFrame, text: str, lang: str, source: str, min_rows: int, carry: list[str]) -> DataFrame:
-    """The carried columns with ``_q`` (counts) and ``_failed`` (names of the broken rules)."""
-    rows = stage(documents.select(*[F.col(c) for c in carry], counts(F.col(text)).alias("_q")), "quality-rules")
-    found = limits(sketches(rows, lang, source, "_q"), min_rows).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("limits").alias("_limits"))
+def _measured(documents: DataFrame, text: str, carry: list[str]) -> DataFrame:
+    return documents.select(*[F.col(c) for c in carry], counts(F.col(text)).alias("_q"))
+
+
+def _judged(rows: DataFrame, lang: str, source: str, min_rows: int) -> DataFrame:
+    """The rows (with their counts in ``_q``) and ``_failed``, the names of the broken rules."""
+    found = stage(limits(sketches(rows, lang, source, "_q"), min_rows), "quality-limits")
+    found = found.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("limits").alias("_limits"))
     joined = rows.join(found, F.col(lang).eqNullSafe(F.col("_lang")) & F.col(source).eqNullSafe(F.col("_source")), "left")
     checks = [
         F.when(
@@ -189,7 +193,7 @@ def _judged(documents: DataFrame, text: str, lang: str, source: str, min_rows: i
         for m in MEASURES
     ]
     base = (F.col("_q.n_words") < MIN_WORDS) | (F.col("_q.n_repeat_words") * 100 > F.col("_q.n_words") * MAX_REPEAT)
-    return joined.select(*carry, "_q", F.array_compact(F.array(F.when(base, F.lit("base")), *checks)).alias("_failed"))
+    return joined.select(*rows.columns, F.array_compact(F.array(F.when(base, F.lit("base")), *checks)).alias("_failed"))
 
 
 def judge(
@@ -197,7 +201,7 @@ def judge(
 ) -> DataFrame:
     """Per document: id, the counts, ``base_failed``, ``failed`` (broken rules) and ``kept``."""
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
-    found = _judged(rows, "text", "lang", "source", min_rows, ["doc_id", "lang", "source"])
+    found = _judged(stage(_measured(rows, "text", ["doc_id", "lang", "source"]), "quality-rules"), "lang", "source", min_rows)
     return found.select(
         "doc_id",
         *[F.col(f"_q.{c}").alias(c) for c in COUNTS],
@@ -208,6 +212,10 @@ def judge(
 
 
 def keep(documents: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", min_rows: int = 200) -> DataFrame:
-    """The documents that break no rule, with all their columns."""
+    """The documents that break no rule, with all their columns.
+
+    The counts are computed twice, for the limits and for the verdict: that costs less than
+    writing all texts along with them.
+    """
     names = documents.columns
-    return _judged(documents, text, lang, source, min_rows, names).where(F.size("_failed") == 0).select(*names)
+    return _judged(_measured(documents, text, names), lang, source, min_rows).where(F.size("_failed") == 0).select(*names)

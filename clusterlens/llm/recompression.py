@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,7 @@ from clusterlens.llm.repeats import Block, Method, Runs, repeated
 
 ROUNDS = 3
 SHARED = 5
+_PLACE = "_place_of_the_text"
 FAR = 1 << 40
 
 
@@ -196,30 +198,25 @@ def deduplicate(documents: DataFrame, *, width: int = 13, doc_id: str = "doc_id"
 
     A removed stretch takes its bytes from its first word up to the next kept word (or the text's end).  Texts
     without repeats stay as they are.  A text that is nothing but a repeat becomes empty.
-    Rows of one id must have one text, or differ in it: a row gets back the cut of its own text.
     """
+    names = documents.columns
 
     def finish(block: Block, low: np.ndarray, high: np.ndarray) -> pa.Table:
-        ids, tags, texts = [], [], []
+        keep = np.ones(len(block.data), bool)
         for first, last, data, starts, ends, before, gone in _marked(block, low, high, width):
-            begins = np.append(starts, len(data))
-            for d in np.unique(np.searchsorted(before, np.flatnonzero(gone), side="right") - 1).tolist():
-                a, b = int(before[d]), int(before[d + 1])
-                at = block.offsets[first + d] - block.offsets[first]
-                stop = int(block.offsets[first + d + 1] - block.offsets[first])
-                edges = np.append(begins[a:b], stop)
-                keep = np.ones(stop - at, bool)
-                for w in np.flatnonzero(gone[a:b]).tolist():
-                    keep[edges[w] - at : edges[w + 1] - at] = False
-                raw = data[at:stop]
-                ids.append(first + d)
-                tags.append(hashlib.sha256(raw).hexdigest())
-                texts.append(raw[keep].tobytes().decode())
-        return pa.table({"_id": block.ids.take(pa.array(ids, pa.int64())), "_tag": pa.array(tags, pa.string()), "_new": pa.array(texts, pa.string())})
-
-    cut = repeated(documents, method(width), finish, "_id bigint, _tag string, _new string", doc_id, text).distinct()
-    names = documents.columns
-    rows = documents.alias("d")
-    same = F.col(f"d.{doc_id}").cast("bigint").eqNullSafe(F.col("c._id")) & (F.sha2(F.col(f"d.{text}").cast("string"), 256) == F.col("c._tag"))
-    joined = rows.join(cut.alias("c"), same, "left")
-    return joined.select(*[F.coalesce("c._new", f"d.{n}").alias(n) if n == text else F.col(f"d.{n}") for n in names])
+            base = int(block.offsets[first])
+            # A word goes with what follows it, up to the next word or the end of its text.
+            stops = np.append(starts[1:], len(data))
+            filled = before[:-1] < before[1:]
+            stops[before[1:][filled] - 1] = (block.offsets[first + 1 : last + 1] - base)[filled]
+            at = np.flatnonzero(gone)
+            keep[base + tx.spread(starts[at], stops[at] - starts[at])] = False
+        sizes = np.diff(np.concatenate([[0], np.cumsum(keep)])[block.offsets])
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        texts = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(block.data[keep].tobytes()))
+        texts = pc.if_else(block.null, pa.scalar(None, pa.large_string()), texts).cast(pa.string())
+        return pa.table([texts if name == text else column for name, column in zip(names, block.rest.columns)], names=names)
+
+    # The text travels once; its place among the carried columns is held by a null.
+    carried = documents.withColumn(_PLACE, F.lit(None).cast("boolean"))
+    return repeated(carried, method(width), finish, documents.schema, doc_id, text, [_PLACE if name == text else name for name in names])

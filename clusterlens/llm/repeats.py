@@ -21,7 +21,7 @@ Documents are ordered by id, those of a null id last; rows of one id are ordered
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -203,7 +203,10 @@ def _texts(blocks: int):
         lean()
         held, size = [], 0
         for batch in batches:
-            batch = pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.large_string())], names=["id", "text"])
+            rest = batch.columns[2:]
+            batch = pa.RecordBatch.from_arrays(
+                [batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.large_string()), *rest], names=["id", "text", *map(str, range(len(rest)))]
+            )
             step = max(1, batch.num_rows // 16)  # what is held stays near FLUSH bytes
             for low in range(0, batch.num_rows, step):
                 part = batch.slice(low, step)
@@ -238,9 +241,11 @@ class Block:
         data, offsets = (whole[0][2], whole[0][3]) if whole else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
         tags = [tx.Hashes(tx.VALUES[part]).of(cut[:-1], cut[1:]) for _, _, part, cut in tx.pieces(column)]
         tag = np.concatenate([*tags, np.zeros(0, np.uint64)])
-        # A null text stands as an empty one; equal rows are alike in any order.
+        # Equal texts of one id are alike in any order.
         order = np.lexsort((tag, keys))
         self.ids = documents.column(0).combine_chunks().take(pa.array(order))
+        self.rest = documents.select(range(2, documents.num_columns)).take(pa.array(order))
+        self.null = column.is_null().take(pa.array(order))
         self.keys = keys[order]
         sizes = np.diff(offsets)[order]
         self.data = data[tx.spread(offsets[:-1][order], sizes)]
@@ -346,10 +351,10 @@ def _portions(keys: np.ndarray, counts: np.ndarray, limit: int = 1 << 20) -> Ite
             low = end
 
 
-def repeated(documents: DataFrame, method: Method, finish: Callable[[Block, np.ndarray, np.ndarray], pa.Table], schema: str, doc_id: str, text: str) -> DataFrame:
+def repeated(documents: DataFrame, method: Method, finish: Callable[[Block, np.ndarray, np.ndarray], pa.Table], schema: str, doc_id: str, text: str, carry: Sequence[str] = ()) -> DataFrame:
     """``finish(block, low, high)`` for every block of documents, with the repeated windows ``low .. high - 1``.
 
-    Positions count units from the start of the block.
+    Positions count units from the start of the block.  The columns ``carry`` are in its ``rest``, in order.
     """
     rows = documents.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -368,4 +373,8 @@ def repeated(documents: DataFrame, method: Method, finish: Callable[[Block, np.n
         low, high = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         return finish(block, low, high)
 
+    if carry:
+        carried = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]
+        whole = documents.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"), *carried)
+        texts = whole.mapInArrow(tx.frugal(_texts(blocks)), MOVED)
     return texts.unionByName(flags).groupBy("part").applyInArrow(tx.frugal(end), schema)

@@ -179,12 +179,15 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
 
 
 def deduplicate(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42, budget: int = 3) -> DataFrame:
-    """One document of each component, with all its columns: that of the smallest id (null last)."""
+    """One document of each component, with all its columns: that of the smallest id (null last).
+
+    Of rows with one id, that of the smallest digest of its text stays; of rows equal in both, one.
+    """
     names = documents.columns
-    marked = fingerprints(documents, text, "_fp", shingle=shingle, seed=seed, drop_text=False)
-    marked = stage(marked.withColumn("_row", F.monotonically_increasing_id()), "fingerprints")
-    order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("_row").alias("row"))
-    rows = marked.select(F.col("_fp").alias("fp"), order.alias("o"))
-    classes = _classes(rows, budget)
-    first = rows.groupBy("fp").agg(F.min("o").alias("o")).join(classes, "fp").groupBy("class").agg(F.min("o").alias("o"))
-    return marked.join(first.select(F.col("o.row").alias("_row")), "_row", "left_semi").select(*names)
+    digest = F.sha2(F.col(text).cast("string"), 256)
+    key = F.concat_ws("|", F.col(doc_id).cast("string"), digest)
+    rows = documents.select(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), digest.alias("digest"), key.alias("key")).alias("o"), F.col(text).alias("text"))
+    rows = stage(fingerprints(rows, "text", "fp", shingle=shingle, seed=seed, drop_text=True), "fingerprints")
+    first = rows.groupBy("fp").agg(F.min("o").alias("o")).join(_classes(rows, budget), "fp").groupBy("class").agg(F.min("o").alias("o"))
+    kept = documents.withColumn("_key", key).join(first.select(F.col("o.key").alias("_key")), "_key", "left_semi")
+    return kept.dropDuplicates(["_key"]).select(*names)
