@@ -1,8 +1,6 @@
-import random
-
 import pytest
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words bigint, part int, body string, score string, _row int, features string, limits int"
+from hard_documents import SCHEMA, hard_rows
 
 
 @pytest.fixture(scope="session", autouse=True)
@@ -12,39 +10,6 @@ def shipped(spark):
     ship(spark)
 
 
-def prose(seed, n, vocabulary=400):
-    pick = random.Random(seed)
-    return " ".join(f"w{pick.randrange(vocabulary)}" for _ in range(n))
-
-
-def hard_rows():
-    """Nulls, empty, blank and very long texts, ties, repeated rows, rows of one id, and shared passages."""
-    shared = prose(1, 60)
-    texts = [
-        (1, prose(2, 50) + " " + shared),
-        (2, shared + "\n" + prose(3, 30)),
-        (2, shared + "\n" + prose(3, 30)),  # a repeated row
-        (3, prose(4, 20) + " " + shared + " " + shared),
-        (3, "another text of the same id " + shared),
-        (4, None),
-        (5, ""),
-        (6, " \n\t "),
-        (None, "no id " + shared),
-        (None, None),
-        (7, prose(5, 40_000, 3_000) + " " + shared),  # very long
-        (8, "the " * 60 + "end"),
-        (9, "the " * 45 + "fin"),
-        (10, "a" * 150 + " " + "é" * 80 + " ñandú über " + "a" * 150),
-        (11, "a b c"),
-        (12, "a b c"),
-        (13, prose(2, 50) + " " + shared),  # an exact copy
-        (14, "### $$$ %%% &&& " * 20),
-        (15, "MANY LOUD WORDS!! " * 12),
-    ]
-    langs, sources = ["en", None, "de"], ["s0", None]
-    return [(i, t, langs[k % 3], sources[k % 2], None if t is None else len(t), k, k, "x", "y", k, "f", 0) for k, (i, t) in enumerate(texts)]
-
-
 @pytest.fixture(scope="session")
 def hard(spark):
     return spark.createDataFrame(hard_rows(), SCHEMA).repartition(3).cache()

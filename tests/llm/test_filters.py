@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from clusterlens.llm import decontamination, packing, quality_rules
-from conftest import hard_rows, prose
+from hard_documents import hard_rows, prose
 
 
 def test_quality_counts_of_hard_rows(hard):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clusterlens.llm import language, quality_classifier, toxicity
-from conftest import hard_rows
+from hard_documents import hard_rows
 
 
 def plain_predict(text, profiles, size):

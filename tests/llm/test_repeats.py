@@ -9,7 +9,7 @@ import pytest
 
 from clusterlens.llm import recompression, suffix_arrays
 from clusterlens.llm import text as tx
-from conftest import hard_rows
+from hard_documents import hard_rows
 
 
 def ordered(rows):

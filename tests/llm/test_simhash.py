@@ -7,7 +7,7 @@ from xxhash import xxh64_intdigest
 
 from clusterlens.llm import simhash
 from clusterlens.llm.components import components
-from conftest import hard_rows, prose
+from hard_documents import hard_rows, prose
 
 
 def plain_fingerprint(text):
