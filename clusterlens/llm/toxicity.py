@@ -10,7 +10,8 @@ labelled 1 are divided at the median number of their marker words (the columns t
 most distinguish the labels) into grades 1 and 2.
 
 The model is fitted on at most ``sample`` labelled rows, those of the smallest hash of the document id; the bound keeps
-both the broadcast of the sample's ids and the fit on the driver small.  All documents are scored, over their whole texts.
+the broadcast of the sample's ids small.  Spark counts their words and chooses at most ``columns`` of them, and only
+these reach the driver.  All documents are scored, over their whole texts.
 
 Defined cases: a null or empty text has no features and gets the severity of an empty text; null labels are ignored;
 with labels of one grade only, or none, that grade (0) is everyone's severity; repeated rows are scored alike.
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clusterlens.llm import text as tx
+from clusterlens.llm.staging import stage
 
 
 LEAST_Z = 3.0  # columns that distinguish the labels less clearly are noise
@@ -132,7 +134,7 @@ def fit(label: np.ndarray, doc: np.ndarray, column: np.ndarray, count: np.ndarra
 
 
 def learn(
-    documents: DataFrame, labels: DataFrame, learn_from: Column, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 20_000, bits: int = 20
+    documents: DataFrame, labels: DataFrame, learn_from: Column, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 20_000, bits: int = 20, columns: int = 2000
 ) -> Model:
     """Fit to a bounded sample of the labelled documents that meet ``learn_from`` (a condition on ``doc_id``)."""
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).where("label is not null").where(learn_from)
@@ -145,15 +147,28 @@ def learn(
             for first, last, data, offsets in tx.pieces(batch.column(1)):
                 doc, column, count = features(data, offsets, bits)
                 cut = np.searchsorted(doc, np.arange(last - first + 1)).astype(np.int32)
-                columns = pa.ListArray.from_arrays(cut, pa.array(column.astype(np.int32)))
-                counts = pa.ListArray.from_arrays(cut, pa.array(count.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(labels_[first:last]), columns, counts], names=["label", "columns", "counts"])
-
-    table = rows.mapInArrow(tx.frugal(run), "label int, columns array<int>, counts array<int>").toArrow()
-    columns, counts = table.column("columns").combine_chunks(), table.column("counts").combine_chunks()
-    sizes = columns.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = [x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (columns, counts)]
-    return fit(table.column("label").to_numpy().astype(np.int64), np.repeat(np.arange(len(sizes)), sizes), flat[0], flat[1], bits=bits)
+                found = [pa.ListArray.from_arrays(cut, pa.array(x.astype(np.int32))) for x in (column, count)]
+                yield pa.RecordBatch.from_arrays([pa.array(labels_[first:last]), *found], names=["label", "columns", "counts"])
+
+    held = stage(rows.mapInArrow(tx.frugal(run), "label int, columns array<int>, counts array<int>").withColumn("row", F.monotonically_increasing_id()), "toxicity")
+    # Only the columns that distinguish the labels come to the driver, however long the texts are.
+    known = held.select("row", "label").toArrow()
+    order = np.argsort(known.column("row").to_numpy())
+    ids, values = known.column("row").to_numpy()[order], known.column("label").to_numpy()[order].astype(np.int64)
+    least = int(values.min()) if len(values) else 0
+    n1 = int((values > least).sum())
+    n0 = len(values) - n1
+    none = np.zeros(0, np.int64)
+    if not n1:
+        return fit(values, none, none, none, bits=bits)
+    words = held.select("row", "label", F.explode(F.arrays_zip("columns", "counts")).alias("w")).select("row", "label", F.col("w.columns").alias("column"), F.col("w.counts").alias("count"))
+    counts = words.groupBy("column").agg(F.sum((F.col("label") > least).cast("double")).alias("one"), F.count("*").alias("all"))
+    share = F.col("all") / (n1 + n0)
+    z = F.abs(F.col("one") / n1 - (F.col("all") - F.col("one")) / n0) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) * (1 / n1 + 1 / n0))
+    chosen = counts.withColumn("z", z).where((F.col("all") >= 3) & (F.col("z") >= LEAST_Z)).orderBy(F.desc("z"), "column").limit(columns).select("column")
+    table = words.join(F.broadcast(chosen), "column").select("row", "column", "count").toArrow()
+    doc, column, count = (table.column(c).to_numpy() for c in ("row", "column", "count"))
+    return fit(values, np.searchsorted(ids, doc), column.astype(np.int64), count.astype(np.int64), bits=bits, columns=columns)
 
 
 def score(documents: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
