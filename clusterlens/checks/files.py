@@ -17,12 +17,13 @@ from clusterlens.sources.tables import KeyedTable
 from clusterlens.streaming import jobs
 
 NOW = "2024-02-01"
+PAGE = 10_000  # objects of a listing page, at most
 
 
 def _customer_spaces(t) -> DataFrame:
     uid = F.concat(F.lit("c"), F.col("c_custkey").cast("string"))
     meta = F.struct(uid.alias("uid"), uid.alias("name"), F.col("c_nationkey").cast("string").alias("resourceVersion"))
-    return t.customer.select(F.struct(meta.alias("metadata")).alias("item"), "c_nationkey")
+    return t.customer.select(F.struct(meta.alias("metadata")).alias("item"), "c_nationkey", F.expr(f"c_custkey div {PAGE}").alias("page_no"))
 
 
 _SPACES_SQL = """SELECT 'c' || c_custkey AS name, c_nationkey::VARCHAR AS resource_version,
@@ -44,12 +45,12 @@ def read_snapshot(t):
 
 @query("read_listing", _SPACES_SQL)
 def read_listing(t):
-    """API list documents, one page per nation."""
+    """API list documents, in pages of bounded size per nation."""
     folder = scratch_dir(t.spark, "listing")
     page = F.to_json(F.struct(F.lit("List").alias("kind"), F.collect_list("item").alias("items")))
-    pages = _customer_spaces(t).groupBy("c_nationkey").agg(page.alias("page"))
-    pages.write.partitionBy("c_nationkey").text(folder)
-    return _spaces(readers.read_objects(t.spark, f"{folder}/*/*.txt", "namespace", listing=True))
+    pages = _customer_spaces(t).groupBy("c_nationkey", "page_no").agg(page.alias("page"))
+    pages.write.partitionBy("c_nationkey", "page_no").text(folder)
+    return _spaces(readers.read_objects(t.spark, f"{folder}/*/*/*.txt", "namespace", listing=True))
 
 
 @query("read_metric_samples", "SELECT event_type AS metric, user_id::VARCHAR AS user, sum(value) AS value FROM events GROUP BY 1, 2")
