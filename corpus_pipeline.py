@@ -4,7 +4,8 @@ Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; :func:`run`
 Parquet to the shared folder and gives it to the next stage.  All but the last return the columns of ``documents``.
 
 1. Quality rules drop documents that break an adaptive limit.
-2. Of each group of documents that share 80 % of their five-word shingles, the document of the smallest id stays.
+2. Of each group of documents that near-duplicate links connect (SimHash over three-word shingles, at most three
+   differing bits), the document of the smallest id stays.
 3. Word sequences of 13 words and more that an earlier document also holds are cut out.
 4. Words of benchmark items are cut out; documents mostly made of them go.
 5. What is left is packed into batches of equal padded length.
@@ -19,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clusterlens.llm import decontamination, near_copies, packing, quality_rules, recompression
+from clusterlens.llm import decontamination, packing, quality_rules, recompression, simhash
 from clusterlens.llm.ship import ship
 from clusterlens.llm.staging import stage
 
@@ -38,7 +39,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return near_copies.deduplicate(docs)
+    return simhash.deduplicate(docs, shingle=3, budget=3)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
