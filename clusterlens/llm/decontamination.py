@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clusterlens.llm import text as tx
-from clusterlens.llm.staging import stage
+from clusterlens.llm.staging import free_name, stage
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -95,14 +95,14 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _pass(index, text: str):
-    """Add one block's hits to the columns ``_hits`` and ``_items``."""
+def _pass(index, text: str, hits_name: str, items_name: str):
+    """Add one block's hits to the columns of hits and of items."""
     scan_piece = _scanner(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            hits, items = batch.column(names.index("_hits")).to_pylist(), batch.column(names.index("_items")).to_pylist()
+            hits, items = batch.column(names.index(hits_name)).to_pylist(), batch.column(names.index(items_name)).to_pylist()
             for first, last, data, offsets in tx.pieces(batch.column(names.index(text))):
                 starts, _, before, at, end, own = scan_piece(data, offsets)
                 mask = tx.covered(len(starts), at, end)
@@ -113,8 +113,8 @@ def _pass(index, text: str):
                     hits[first + doc] = np.stack(_runs(local), axis=1).ravel().tolist()
                     items[first + doc] = sorted(set(items[first + doc]) | own[doc])
             columns = list(batch.columns)
-            columns[names.index("_hits")] = pa.array(hits, pa.list_(pa.int64()))
-            columns[names.index("_items")] = pa.array(items, pa.list_(pa.string()))
+            columns[names.index(hits_name)] = pa.array(hits, pa.list_(pa.int64()))
+            columns[names.index(items_name)] = pa.array(items, pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
@@ -133,21 +133,22 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, limit: int) -> Iterat
 def _through(
     documents: DataFrame, benchmark: DataFrame, finish: Callable, schema: T.StructType, *, size: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", limit: int = 8 << 20
 ) -> DataFrame:
-    """``finish`` over the documents with two more columns: ``_hits`` (word intervals, flat) and ``_items`` (sorted item ids).
+    """``finish(batches, hits, items)`` over the documents with two more columns, whose free names it gets.
 
-    Columns of those names are replaced.  The last block's hits are found in the same pass.
+    They hold the hits (word intervals, flat) and the sorted item ids.  The last block's hits are found in the same pass.
     """
     spark = documents.sparkSession
-    state = documents.withColumns({"_hits": F.array().cast("array<bigint>"), "_items": F.array().cast("array<string>")})
+    hits, found_items = (free_name(name, documents.columns) for name in ("_hits", "_items"))
+    state = documents.withColumns({hits: F.array().cast("array<bigint>"), found_items: F.array().cast("array<string>")})
     last = None
     for items in _blocks(benchmark, item_id, item_text, limit):
         if last is not None:
             state = stage(state.mapInArrow(tx.frugal(last), state.schema), "decontamination")
-        last = _pass(spark.sparkContext.broadcast(Windows(items, size)), text)
+        last = _pass(spark.sparkContext.broadcast(Windows(items, size)), text, hits, found_items)
     find = last or (lambda batches: batches)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from finish(find(batches))
+        yield from finish(find(batches), hits, found_items)
 
     return state.mapInArrow(tx.frugal(run), schema)
 
@@ -168,9 +169,9 @@ def scan(documents: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id",
         ]
     )
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch], *added: str) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, hits, items = (batch.column(batch.schema.names.index(c)) for c in ("doc_id", "text", "_hits", "_items"))
+            ids, texts, hits, items = (batch.column(batch.schema.names.index(c)) for c in ("doc_id", "text", *added))
             for first, last, data, offsets in tx.pieces(texts):
                 _, _, before = tx.words(tx.LOWER[data], offsets, tx.ALPHANUMERIC)
                 own = hits.slice(first, last - first)
@@ -194,11 +195,11 @@ def clean(documents: DataFrame, benchmark: DataFrame, *, text: str = "text", dro
     """
     schema = documents.schema
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch], hits_name: str, _: str) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
             at = names.index(text)
-            texts, hits = batch.column(at), batch.column(names.index("_hits")).to_pylist()
+            texts, hits = batch.column(at), batch.column(names.index(hits_name)).to_pylist()
             touched = {i for i, x in enumerate(hits) if x}
             new, keep = {}, np.ones(batch.num_rows, bool)
             for i in touched:

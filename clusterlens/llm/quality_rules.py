@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clusterlens.llm.staging import stage
+from clusterlens.llm.staging import column, stage
 
 
 @dataclass(frozen=True)
@@ -176,46 +176,44 @@ def limits(sketch: DataFrame, min_rows: int) -> DataFrame:
     )
 
 
-def _measured(documents: DataFrame, text: str, carry: list[str]) -> DataFrame:
-    return documents.select(*[F.col(c) for c in carry], counts(F.col(text)).alias("_q"))
-
-
-def _judged(rows: DataFrame, lang: str, source: str, min_rows: int) -> DataFrame:
-    """The rows (with their counts in ``_q``) and ``_failed``, the names of the broken rules."""
-    found = stage(limits(sketches(rows, lang, source, "_q"), min_rows), "quality-limits")
-    found = found.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("limits").alias("_limits"))
-    joined = rows.join(found, F.col(lang).eqNullSafe(F.col("_lang")) & F.col(source).eqNullSafe(F.col("_source")), "left")
+def _judged(rows: DataFrame, min_rows: int) -> DataFrame:
+    """Rows of ``lang``, ``source``, counts ``q`` and more, with ``failed``: the names of the broken rules."""
+    found = stage(limits(sketches(rows, "lang", "source", "q"), min_rows), "quality-limits")
+    found = found.select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), "limits")
+    joined = rows.join(found, F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")), "left")
     checks = [
         F.when(
-            (value(m, "_q") > F.col("_limits")[m.name]["high"]) | (value(m, "_q") < F.col("_limits")[m.name]["low"]),
+            (value(m, "q") > F.col("limits")[m.name]["high"]) | (value(m, "q") < F.col("limits")[m.name]["low"]),
             F.lit(m.name),
         )
         for m in MEASURES
     ]
-    base = (F.col("_q.n_words") < MIN_WORDS) | (F.col("_q.n_repeat_words") * 100 > F.col("_q.n_words") * MAX_REPEAT)
-    return joined.select(*rows.columns, F.array_compact(F.array(F.when(base, F.lit("base")), *checks)).alias("_failed"))
+    base = (F.col("q.n_words") < MIN_WORDS) | (F.col("q.n_repeat_words") * 100 > F.col("q.n_words") * MAX_REPEAT)
+    return joined.select(*rows.columns, F.array_compact(F.array(F.when(base, F.lit("base")), *checks)).alias("failed"))
 
 
 def judge(
     documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", min_rows: int = 200
 ) -> DataFrame:
     """Per document: id, the counts, ``base_failed``, ``failed`` (broken rules) and ``kept``."""
-    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
-    found = _judged(stage(_measured(rows, "text", ["doc_id", "lang", "source"]), "quality-rules"), "lang", "source", min_rows)
+    rows = documents.select(
+        column(doc_id).alias("doc_id"), column(lang).alias("lang"), column(source).alias("source"), counts(column(text)).alias("q")
+    )
+    found = _judged(stage(rows, "quality-rules"), min_rows)
     return found.select(
         "doc_id",
-        *[F.col(f"_q.{c}").alias(c) for c in COUNTS],
-        F.array_contains("_failed", "base").alias("base_failed"),
-        F.col("_failed").alias("failed"),
-        (F.size("_failed") == 0).alias("kept"),
+        *[F.col(f"q.{c}").alias(c) for c in COUNTS],
+        F.array_contains("failed", "base").alias("base_failed"),
+        "failed",
+        (F.size("failed") == 0).alias("kept"),
     )
 
 
 def keep(documents: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", min_rows: int = 200) -> DataFrame:
-    """The documents that break no rule, with all their columns.
+    """The documents that break no rule, with all their columns, which travel as one struct and may have any names.
 
-    The counts are computed twice, for the limits and for the verdict: that costs less than
-    writing all texts along with them.
+    The counts are computed once and staged with their documents.
     """
-    names = documents.columns
-    return _judged(_measured(documents, text, names), lang, source, min_rows).where(F.size("_failed") == 0).select(*names)
+    whole = F.struct(*[column(c) for c in documents.columns])
+    rows = documents.select(whole.alias("row"), column(lang).alias("lang"), column(source).alias("source"), counts(column(text)).alias("q"))
+    return _judged(stage(rows, "quality-rules"), min_rows).where(F.size("failed") == 0).select("row.*")

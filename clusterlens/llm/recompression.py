@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 
 from clusterlens.llm import text as tx
 from clusterlens.llm.repeats import Block, Method, Runs, repeated
+from clusterlens.llm.staging import free_name
 
 ROUNDS = 3
 SHARED = 5
-_PLACE = "_place_of_the_text"
 FAR = 1 << 40
 
 
@@ -218,5 +218,6 @@ def deduplicate(documents: DataFrame, *, width: int = 13, doc_id: str = "doc_id"
         return pa.table([texts if name == text else column for name, column in zip(names, block.rest.columns)], names=names)
 
     # The text travels once; its place among the carried columns is held by a null.
-    carried = documents.withColumn(_PLACE, F.lit(None).cast("boolean"))
-    return repeated(carried, method(width), finish, documents.schema, doc_id, text, [_PLACE if name == text else name for name in names])
+    place = free_name("place_of_the_text", names)
+    carried = documents.withColumn(place, F.lit(None).cast("boolean"))
+    return repeated(carried, method(width), finish, documents.schema, doc_id, text, [place if name == text else name for name in names])

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clusterlens.llm import text as tx
+from clusterlens.llm.staging import column
 
 BLOCK = 4 << 20
 SHARD_BLOCKS = 8
@@ -356,7 +357,7 @@ def repeated(documents: DataFrame, method: Method, finish: Callable[[Block, np.n
 
     Positions count units from the start of the block.  The columns ``carry`` are in its ``rest``, in order.
     """
-    rows = documents.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
+    rows = documents.select(column(doc_id).cast("bigint").alias("id"), column(text).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(1, -(-size // BLOCK), min(partitions, -(-size // tx.PIECE)))
@@ -374,7 +375,7 @@ def repeated(documents: DataFrame, method: Method, finish: Callable[[Block, np.n
         return finish(block, low, high)
 
     if carry:
-        carried = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]
-        whole = documents.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"), *carried)
+        carried = [column(c).alias(f"c{i}") for i, c in enumerate(carry)]
+        whole = documents.select(column(doc_id).cast("bigint").alias("id"), column(text).cast("string").alias("text"), *carried)
         texts = whole.mapInArrow(tx.frugal(_texts(blocks)), MOVED)
     return texts.unionByName(flags).groupBy("part").applyInArrow(tx.frugal(end), schema)

@@ -30,7 +30,7 @@ from xxhash import xxh64_intdigest
 
 from clusterlens.llm import text as tx
 from clusterlens.llm.components import components
-from clusterlens.llm.staging import stage
+from clusterlens.llm.staging import column, stage
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SUBTRIE = 1 << 18  # fingerprints in a subtrie, about
@@ -181,13 +181,19 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
 def deduplicate(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42, budget: int = 3) -> DataFrame:
     """One document of each component, with all its columns: that of the smallest id (null last).
 
-    Of rows with one id, that of the smallest digest of its text stays; of rows equal in both, one.
+    Of rows with one id, that of the smallest digest of its text stays, then that of the smallest digest of its
+    other columns; of rows equal in everything, one.  The documents' columns travel as one struct, so
+    they may have any names.
     """
     names = documents.columns
-    digest = F.sha2(F.col(text).cast("string"), 256)
-    key = F.concat_ws("|", F.col(doc_id).cast("string"), digest)
-    rows = documents.select(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), digest.alias("digest"), key.alias("key")).alias("o"), F.col(text).alias("text"))
+    rest = [column(c) for c in names if c not in (doc_id, text)]
+    digests = [F.sha2(column(text).cast("string"), 256), F.sha2(F.to_json(F.struct(*rest)) if rest else F.lit(""), 256)]
+    key = F.concat_ws("|", column(doc_id).cast("string"), *digests)
+    first = F.struct(column(doc_id).isNull().alias("none"), column(doc_id).alias("id"), key.alias("key"))
+    rows = documents.select(first.alias("o"), column(text).alias("text"))
     rows = stage(fingerprints(rows, "text", "fp", shingle=shingle, seed=seed, drop_text=True), "fingerprints")
-    first = rows.groupBy("fp").agg(F.min("o").alias("o")).join(_classes(rows, budget), "fp").groupBy("class").agg(F.min("o").alias("o"))
-    kept = documents.withColumn("_key", key).join(first.select(F.col("o.key").alias("_key")), "_key", "left_semi")
-    return kept.dropDuplicates(["_key"]).select(*names)
+    chosen = rows.groupBy("fp").agg(F.min("o").alias("o")).join(_classes(rows, budget), "fp").groupBy("class").agg(F.min("o").alias("o"))
+    keyed = documents.select(F.struct(*[column(c) for c in names]).alias("row"), key.alias("key"))
+    kept = keyed.join(chosen.select(F.col("o.key").alias("key")), "key", "left_semi")
+    # Rows of one key are equal in all columns.
+    return kept.dropDuplicates(["key"]).select("row.*")

@@ -1,8 +1,9 @@
-"""Tables written to the shared folder, to cut a lineage or to read a result more than once."""
+"""Tables written to the shared folder, and names for columns of any table."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from clusterlens.session import scratch_dir
 
@@ -13,3 +14,16 @@ def stage(frame: DataFrame, name: str) -> DataFrame:
     folder = scratch_dir(spark, name)
     frame.write.parquet(folder)
     return spark.read.schema(frame.schema).parquet(folder)
+
+
+def column(name: str) -> Column:
+    """The column of exactly that name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_name(wanted: str, taken: list[str]) -> str:
+    """``wanted``, with underscores before it until no column is called so (case does not distinguish columns)."""
+    known = {name.lower() for name in taken}
+    while wanted.lower() in known:
+        wanted = "_" + wanted
+    return wanted

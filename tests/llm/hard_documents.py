@@ -2,7 +2,9 @@
 
 import random
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words bigint, part int, body string, score string, _row int, features string, limits int"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words bigint, part int, body string, score string, _row int, features string, limits int, _key string, _hits string, _items string, _q string, _lang string, _limits string, _failed string, _place_of_the_text string, key string, row string, q string, failed string, place_of_the_text string, o string"
+
+CLASHING = tuple("key hits items q lang limits failed place k r qq f p o".split())  # values of columns whose names operators use inside
 
 
 def prose(seed, n, vocabulary=400):
@@ -35,4 +37,4 @@ def hard_rows():
         (15, "MANY LOUD WORDS!! " * 12),
     ]
     langs, sources = ["en", None, "de"], ["s0", None]
-    return [(i, t, langs[k % 3], sources[k % 2], None if t is None else len(t), k, k, "x", "y", k, "f", 0) for k, (i, t) in enumerate(texts)]
+    return [(i, t, langs[k % 3], sources[k % 2], None if t is None else len(t), k, k, "x", "y", k, "f", 0, *CLASHING) for k, (i, t) in enumerate(texts)]

@@ -5,6 +5,7 @@ import pytest
 
 from clusterlens.llm import decontamination, recompression, simhash
 from clusterlens.llm.staging import stage
+from hard_documents import CLASHING
 
 
 @pytest.fixture(scope="module")
@@ -46,7 +47,17 @@ def test_run_equals_the_stages(spark, results):
 
 
 def test_hard_rows_pass_all_stages(spark, hard):
+    """Columns of any name come through unchanged."""
     docs = hard
-    for _, function in corpus_pipeline.STAGES:
+    for name, function in corpus_pipeline.STAGES:
         docs = stage(function(spark, docs, "/root/testdata/sf0.001"), "test-pipeline")
+        if name != "packing":
+            assert docs.columns == hard.columns
+            assert {tuple(r)[-len(CLASHING) :] for r in docs.collect()} == {CLASHING}
     assert docs.count() > 0
+
+
+def test_of_rows_equal_in_id_and_text_one_stays_for_good(spark):
+    rows = [(1, "one text of some words", x) for x in ("b", "a", "c", "a")]
+    kept = {tuple(simhash.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string, extra string").repartition(n)).collect()) for n in (1, 2, 4)}
+    assert len(kept) == 1 and len(next(iter(kept))) == 1
