@@ -9,7 +9,7 @@ With each symbol goes the stretch of words that its parse depends on.  A symbol
 if that stretch lies in the window; whether it is depends on the window alone.  The key of a
 window is its interior symbol of the highest level, with its stretch's hash.
 Equal windows share their key; shared keys reveal the candidates, and the windows below them are
-verified by a second hash of all their words (124 bits together).
+verified word by word on their bytes, so a collision of names removes nothing.
 
 A word is removed if a window of ``width`` words that covers it also starts in a document with a smaller id.
 
@@ -114,14 +114,39 @@ def window_keys(names: np.ndarray, before: np.ndarray, width: int) -> np.ndarray
     return keys
 
 
-def _names(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def same_windows(tokens: list[bytes], width: int) -> np.ndarray:
+    """A number for the ``width`` words from each position on; equal numbers mean equal words.
+
+    Words are numbered by a dictionary, and stretches of doubled length by their pairs of numbers.
+    Past the end there is one more word, which equals no other.
+    """
+    known: dict[bytes, int] = {}
+    power = np.array([known.setdefault(t, len(known) + 1) for t in tokens], np.int64)
+
+    def joined(left: np.ndarray, right: np.ndarray, ahead: int) -> np.ndarray:
+        after = np.zeros(len(right), np.int64)
+        after[: max(len(right) - ahead, 0)] = right[ahead:]
+        return np.unique(left * (after.max(initial=0) + 1) + after, return_inverse=True)[1] + 1
+
+    found, size, step = None, 0, 1
+    while True:
+        if width & step:
+            found = power if found is None else joined(found, power, size)
+            size += step
+        if size == width:
+            return found
+        power = joined(power, power, step)
+        step *= 2
+
+
+def _names(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     starts, ends, before = tx.words(data, offsets, tx.NOT_SPACE)
-    return tx.Hashes(tx.VALUES[data]).of(starts, ends), before
+    return tx.Hashes(tx.VALUES[data]).of(starts, ends), starts, ends, before
 
 
 def method(width: int) -> Method:
     def runs(data: np.ndarray, offsets: np.ndarray) -> Runs:
-        names, before = _names(data, offsets)
+        names, starts, ends, before = _names(data, offsets)
         keys = window_keys(names, before, width)
         valid = tx.window_starts(before, width)
         first = valid.copy()
@@ -132,24 +157,29 @@ def method(width: int) -> Method:
         low = np.flatnonzero(first)
         stop = np.flatnonzero(np.concatenate([first | ~valid, [True]]))
         high = stop[np.searchsorted(stop, low, side="right")]
-        return Runs(tx.mix(keys[low]), low, high, tx.Hashes(names ^ np.uint64(0xA5A5A5A5A5A5A5A5)).of(low, high + width - 1), before, (names,))
+        return Runs(tx.mix(keys[low]), low, high, tx.Hashes(names ^ np.uint64(0xA5A5A5A5A5A5A5A5)).of(low, high + width - 1), before, (starts, ends))
 
     def content(data: np.ndarray, runs: Runs, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        (names,), low, high = runs.more, runs.low[own], runs.high[own]
-        windows = tx.Hashes(names * np.uint64(0xFF51AFD7ED558CCD) ^ (names >> np.uint64(33))).fixed(width)
-        return windows[tx.spread(low, high - low)], high - low
+        """The words of each run, each followed by one space."""
+        (starts, ends), low, n_words = runs.more, runs.low[own], runs.high[own] - runs.low[own] + width - 1
+        word = tx.spread(low, n_words)
+        sizes = ends[word] - starts[word] + 1
+        upto = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(n_words)]
+        return tx.joined(data, starts[word], ends[word])[0], np.diff(upto, prepend=0)
 
     def compare(keys, docs, at, sizes, values, starts, counts):
-        run = np.repeat(np.arange(len(keys)), counts)
-        window, place = values[tx.spread(starts, counts)], tx.spread(at, counts)
-        order = np.lexsort((docs[run], window, keys[run]))
+        n_words = sizes + width - 1
+        run, place = np.repeat(np.arange(len(keys)), sizes), tx.spread(at, sizes)
+        same = same_windows(values[tx.spread(starts, counts)].tobytes().split(b" ")[:-1], width)
+        window = same[tx.spread(np.cumsum(n_words) - n_words, sizes)]
+        order = np.lexsort((docs[run], window))
         run, window, place = run[order], window[order], place[order]
-        new = np.concatenate([[True], (window[1:] != window[:-1]) | (keys[run[1:]] != keys[run[:-1]])])
+        new = np.concatenate([[True], window[1:] != window[:-1]])
         least = docs[run][new][np.cumsum(new) - 1]
         again = docs[run] > least
         return run[again], place[again], place[again] + 1
 
-    return Method(runs, content, compare, lambda doc, first: doc > first, np.uint64)
+    return Method(runs, content, compare, lambda doc, first: doc > first)
 
 
 def _marked(block: Block, low: np.ndarray, high: np.ndarray, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:

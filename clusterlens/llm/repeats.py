@@ -48,20 +48,19 @@ class Runs:
     keys: np.ndarray
     low: np.ndarray
     high: np.ndarray
-    content: np.ndarray  # hash of all units that the run's windows cover
+    content: np.ndarray  # hash of all units that the run's windows cover; runs of one hash are compared byte by byte
     before: np.ndarray  # units before each text
     more: tuple = ()  # what the operator needs again
 
 
 @dataclass
 class Method:
-    """What an operator brings: how to find runs, what content to send, and how to compare it."""
+    """What an operator brings: how to find runs, what bytes of them to send, and how to compare these."""
 
     runs: Callable[[np.ndarray, np.ndarray], Runs]
     content: Callable[[np.ndarray, Runs, np.ndarray], tuple[np.ndarray, np.ndarray]]
     compare: Callable[..., tuple[np.ndarray, np.ndarray, np.ndarray]]
     later: Callable[[np.ndarray, np.ndarray], np.ndarray]  # of a run's document and the first one's: does the run repeat it?
-    content_type: type
     # Which runs may hold a window twice; None: windows of one document do not repeat each other.
     inner: Callable[[np.ndarray, np.ndarray, Runs, np.ndarray], np.ndarray] | None = None
 
@@ -101,6 +100,31 @@ def united(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low[first], high[np.append(first[1:], len(low)) - 1]
 
 
+def alike(values: np.ndarray, starts: np.ndarray, counts: np.ndarray, first: np.ndarray, second: np.ndarray, limit: int = 1 << 20) -> np.ndarray:
+    """Which pairs of slices (start and count in ``values``) are equal, compared in portions of about ``limit``."""
+    equal = counts[first] == counts[second]
+    todo = np.flatnonzero(equal)
+    upto = np.cumsum(counts[first[todo]])
+    low = 0
+    while low < len(todo):
+        high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + limit, side="right")))
+        own = todo[low:high]
+        sizes = counts[first[own]]
+        same = values[tx.spread(starts[first[own]], sizes)] == values[tx.spread(starts[second[own]], sizes)]
+        wrong = np.flatnonzero(~same)
+        equal[own[np.searchsorted(np.cumsum(sizes), wrong, side="right")]] = False
+        low = high
+    return equal
+
+
+def repeats_first(method: Method, order: np.ndarray, new: np.ndarray, docs: np.ndarray, values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Which of the runs in ``order`` repeat the first run of their key and hash (``new``) as a whole."""
+    heads = order[new][np.cumsum(new) - 1]
+    found = method.later(docs[order], docs[heads]) & ~new
+    found[found] = alike(values, starts, counts, order[found], heads[found])
+    return found
+
+
 def moved(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     part, kind, body = zip(*rows) if rows else ((), (), ())
     return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(body, pa.binary())], schema=_MOVED)
@@ -286,16 +310,13 @@ def _send(method: Method, shards: int):
         order = np.lexsort((at, docs, content, keys))
         k, c = keys[order], content[order]
         new = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])
-        heads = order[new]
-        later = method.later(docs[order], docs[heads][np.cumsum(new) - 1]) & ~new
+        starts = np.cumsum(counts) - counts
+        later = repeats_first(method, order, new, docs, values, starts, counts)
         flagged, stay = order[later], order[~later]
         rows = [(shards + block_id, FLAGS, pack(*united(at[flagged], at[flagged] + sizes[flagged])))] if len(flagged) else []
-        starts = np.cumsum(counts) - counts
         for part, own in by_part((keys[stay] % np.uint64(shards)).astype(np.int64)):
             own = stay[own]
-            body = values[tx.spread(starts[own], counts[own])]
-            if method.content_type is np.uint8:  # text compresses, hashes do not
-                body = np.frombuffer(pa.compress(body.tobytes(), codec="zstd", asbytes=True), np.uint8)
+            body = np.frombuffer(pa.compress(values[tx.spread(starts[own], counts[own])].tobytes(), codec="zstd", asbytes=True), np.uint8)
             head = (np.array([block_id], np.int64), keys[own], content[own], docs[own], at[own])
             rows.append((part, RUNS, pack(*head, sizes[own].astype(np.int32), counts[own].astype(np.int32), inner[own], body)))
         return pa.Table.from_batches([moved(rows)])
@@ -310,11 +331,10 @@ def _judge(method: Method, shards: int):
         part = table.column("part")[0].as_py()
         if part >= shards:
             return pa.Table.from_batches([moved([(part - shards, FLAGS, x.as_py()) for x in table.column("body")])])
-        types = (np.int64, np.uint64, np.uint64, np.int64, np.int64, np.int32, np.int32, bool, method.content_type)
+        types = (np.int64, np.uint64, np.uint64, np.int64, np.int64, np.int32, np.int32, bool, np.uint8)
         parts = [unpack(x.as_py(), *types) for x in table.column("body")]
-        if method.content_type is np.uint8:
-            for x in parts:
-                x[-1] = np.frombuffer(pa.decompress(x[-1].tobytes(), int(x[6].sum()), codec="zstd", asbytes=True), np.uint8)
+        for x in parts:
+            x[-1] = np.frombuffer(pa.decompress(x[-1].tobytes(), int(x[6].sum()), codec="zstd", asbytes=True), np.uint8)
         blocks = np.concatenate([np.repeat(x[0], len(x[1])) for x in parts])
         keys, content, docs, at, sizes, counts, inner, values = (np.concatenate(x) for x in list(zip(*parts))[1:])
         sizes, counts = sizes.astype(np.int64), counts.astype(np.int64)
@@ -323,15 +343,14 @@ def _judge(method: Method, shards: int):
         order = np.lexsort((at, docs, content, keys))
         k, c = keys[order], content[order]
         new = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])
-        heads = order[new]
-        after = method.later(docs[order], docs[heads][np.cumsum(new) - 1]) & ~new
+        starts = np.cumsum(counts) - counts
+        after = repeats_first(method, order, new, docs, values, starts, counts)
         later, stay = order[after], order[~after]
         flags.append((blocks[later], at[later], at[later] + sizes[later]))
         # Keys with several runs left: their windows are compared.
         k = keys[stay]
         alone = np.concatenate([[True], k[1:] != k[:-1]]) & np.concatenate([k[1:] != k[:-1], [True]])
         rest = stay[~alone | inner[stay]]
-        starts = np.cumsum(counts) - counts
         for own in _portions(keys[rest], counts[rest]):
             own = rest[own]
             i, low, high = method.compare(keys[own], docs[own], at[own], sizes[own], values, starts[own], counts[own])
@@ -343,7 +362,7 @@ def _judge(method: Method, shards: int):
 
 
 def _portions(keys: np.ndarray, counts: np.ndarray, limit: int = 1 << 20) -> Iterator[np.ndarray]:
-    """Positions, cut between keys into portions of about ``limit`` units; one key is never divided."""
+    """Positions, cut between keys into portions of about ``limit`` bytes; one key is never divided."""
     low, ends = 0, np.flatnonzero(np.concatenate([keys[1:] != keys[:-1], [True]])) + 1 if len(keys) else []
     size = np.cumsum(counts)
     for end in np.asarray(ends, np.int64).tolist():

@@ -237,7 +237,7 @@ def method(width: int, gram: int) -> Method:
         run, place = (np.concatenate(x) for x in zip(*out))
         return run, place, place + 1
 
-    return Method(runs, content, compare, lambda doc, first: np.ones(len(doc), bool), np.uint8, inner)
+    return Method(runs, content, compare, lambda doc, first: np.ones(len(doc), bool), inner)
 
 
 def removals(documents: DataFrame, *, width: int = 100, gram: int = 40, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

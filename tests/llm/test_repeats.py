@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from clusterlens.llm import recompression, suffix_arrays
+from clusterlens.llm import recompression, repeats, suffix_arrays
 from clusterlens.llm import text as tx
 from hard_documents import hard_rows
 
@@ -147,3 +147,28 @@ def test_empty(none):
     assert suffix_arrays.removals(none).count() == 0
     assert recompression.removals(none).count() == 0
     assert recompression.deduplicate(none).count() == 0
+
+
+def test_words_whose_names_collide(spark):
+    """Thue-Morse words have equal polynomial hashes modulo 2^64, whatever the base: only their bytes tell them apart."""
+    one = "a"
+    while len(one) < 1024:
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    names, *_ = recompression._names(np.frombuffer(f"{one} {other}".encode(), np.uint8), np.array([0, 2049]))
+    assert names[0] == names[1]
+    rest = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{rest} {one}"), (2, f"{rest} {other}"), (3, f"{rest} {one}"), (4, f"{rest} {other}")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = recompression.removals(frame).drop("spans").collect()
+    assert sorted(map(tuple, found), key=repr) == brute_words(rows, 13)
+    found = suffix_arrays.removals(frame).drop("spans").collect()
+    assert sorted(map(tuple, found), key=repr) == brute_bytes(rows, 100)
+
+
+def test_equal_slices():
+    values = np.frombuffer(b"abcabcabdab", np.uint8)
+    starts, counts = np.array([0, 3, 6, 9]), np.array([3, 3, 3, 2])
+    for limit in (1, 4, 100):
+        found = repeats.alike(values, starts, counts, np.array([0, 0, 0, 1, 3]), np.array([1, 2, 3, 2, 3]), limit)
+        assert found.tolist() == [True, False, False, False, True]
