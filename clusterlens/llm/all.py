@@ -9,6 +9,7 @@ from clusterlens.llm import (  # noqa: F401  (they register their queries)
     queries_pipeline,
     queries_quality,
     queries_repeats,
+    queries_runs,
     queries_simhash,
 )
 from clusterlens.llm.queries import ORACLES, QUERIES  # noqa: F401
