@@ -10,6 +10,8 @@ from clusterlens.llm import (  # noqa: F401  (they register their queries)
     queries_quality,
     queries_repeats,
     queries_runs,
+    queries_secrets,
     queries_simhash,
+    queries_tokens,
 )
 from clusterlens.llm.queries import ORACLES, QUERIES  # noqa: F401
