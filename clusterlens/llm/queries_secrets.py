@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clusterlens.llm.queries import query
@@ -44,6 +44,10 @@ FROM d LEFT JOIN g USING (doc_row)
 @query("op12_secret_scan", SQL)
 def op12(read) -> DataFrame:
     found = scan(read("documents"))
-    counts = [F.size(F.filter("spans", lambda s, k=rule.kind: s["kind"] == k)).cast("bigint").alias(f"n_{rule.kind}") for rule in BASE]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    counts = [count(rule.kind) for rule in BASE]
     base = F.filter("spans", lambda s: s["place"] < len(BASE))
     return found.select("doc_id", *counts, F.sha2(span_list(base), 256).alias("base_sha256"), span_list(F.col("spans")).alias("spans"))

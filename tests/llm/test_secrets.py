@@ -1,5 +1,6 @@
 """Secrets against Python's regular expressions, and trigram queries against texts that match."""
 
+import hashlib
 import random
 import re
 from collections import Counter
@@ -86,6 +87,21 @@ def test_candidates_are_few(spark):
     assert {r.key: r.rules for r in ss.candidates(frame, ss.BASE).collect()} == {2: ["assign"], 3: ["access"]}
 
 
+def test_query_counts(spark, tmp_path):
+    """The digest columns against plain ones, on texts with many kinds of secrets."""
+    from clusterlens.llm.queries import QUERIES
+
+    rows = [(i, secrets(i)) for i in range(200)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for row in QUERIES["op12_secret_scan"](spark, str(tmp_path)).collect():
+        spans = plain_spans(rows[row.doc_id][1])
+        base = ",".join(f"{k}:{s}:{e}" for s, p, e, k in spans if p < 3)
+        kinds = Counter(x[3] for x in spans)
+        assert (row.n_assign, row.n_access, row.n_hex) == tuple(kinds[r.kind] for r in ss.BASE)
+        assert row.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert row.spans == ",".join(f"{k}:{s}:{e}" for s, p, e, k in spans)
+
+
 def test_no_python_worker(spark, hard):
     plan = ss.scan(hard)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
