@@ -6,10 +6,14 @@ of token occurrences that share bytes: an overlap link, whose value is the numbe
 of both end, the text falls into groups; products of the token-group matrices are the shared-group links, of which
 only the number is computed (the symbolic phase of the product), since a group's pairs grow with its square.
 
+Tokens of neither tokenizer reach over the place between a character that is surely no white space and a space, so a
+text is cut into *segments* there.  A piece of texts encodes and links each distinct segment once; its documents are lists
+of segments.  Any other text is one segment.
+
 Counts over the corpus: how many documents hold a pair of ids linked.  Tasks count pairs before the shuffle, so what moves
 is bounded by the pairs of ids that occur.  Each link's count is then looked up in the counted pairs, which are broadcast in
-blocks of at most ``BLOCK`` pairs; each block is one pass over the tokens, which are kept, and sums add up over blocks.  The
-encoding is done once.
+blocks of at most ``BLOCK`` pairs; each block is one pass over the stored pieces, and sums add up over blocks.  The encoding
+is done once.
 
 Defined cases: texts that are null, empty, or not given back by the bytes of their tokens have no tokens, zeros and
 an empty digest; every row gets a row, and counts as a document, also repeated rows and those of null or equal ids; ties for the
@@ -21,8 +25,10 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +36,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clusterlens.llm import text as tx
+from clusterlens.llm.repeats import pack, unpack
 from clusterlens.llm.staging import column, stage
 
 BLOCK = 1 << 20  # pairs of ids in a broadcast, 17 bytes each
 HELD = 1 << 20  # pairs of ids that a task holds before it hands them on, about
-PORTION = 1 << 18  # bytes of text encoded or linked at once; a longer text is a portion of its own
+KNOWN = 1 << 17  # segments whose tokens a task remembers; beyond that it forgets them all
+# A segment ends where one of these characters, none of which is white space, comes before a space; spaces at the end
+# of a text stay with what is before them.
+SEGMENT = re.compile(r" [^ ]*(?:(?<=[^!-~\u00a1-\u052f]) [^ ]*| +\Z)*")
+CLOSED = re.compile("[!-~\u00a1-\u052f]$")
 RESULT = (
     "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_shared_group_links bigint,"
     " n_best bigint, count_sum bigint, groups_sha256 string"
@@ -169,8 +180,8 @@ class Links:
     def pairs(self) -> np.ndarray:
         return self.a[self.left] << 32 | self.b[self.right]
 
-    def digests(self, names_a: list[str], names_b: list[str]) -> list[str]:
-        """Of each text, the digest of ``a1,a2|b1;a3|b2,b3``: the ids of each group in order."""
+    def groups(self, names_a: list[str], names_b: list[str]) -> list[str]:
+        """Of each text, ``a1,a2|b1;a3|b2,b3``: the ids of each group in order."""
         # Tokens of A followed by a comma or a bar, tokens of B by a comma or a semicolon.
         last_a = np.append(self.group_a[1:] != self.group_a[:-1], True)[: len(self.a)]
         last_b = np.append(self.group_b[1:] != self.group_b[:-1], True)[: len(self.b)]
@@ -182,11 +193,8 @@ class Links:
         code[np.arange(len(self.b)) + upto_a[self.group_b + 1]] = 2 * len(names_a) + self.b * 2 + last_b
         table = [n + s for n in names_a for s in ",|"] + [n + s for n in names_b for s in ",;"]
         cut = (self.before_a + self.before_b).tolist()
-        listed = code.tolist()
-        out = []
-        for low, high in zip(cut[:-1], cut[1:]):
-            out.append(hashlib.sha256("".join([table[c] for c in listed[low:high]])[:-1].encode()).hexdigest() if high > low else "")
-        return out
+        listed = [table[c] for c in code.tolist()]
+        return ["".join(listed[low:high])[:-1] for low, high in zip(cut[:-1], cut[1:])]
 
 
 def _sums(values: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -194,61 +202,111 @@ def _sums(values: np.ndarray, before: np.ndarray) -> np.ndarray:
     return upto[before[1:]] - upto[before[:-1]]
 
 
+class Encoder:
+    """Segments to the ids of both tokenizers, remembered up to ``KNOWN`` of them."""
+
+    def __init__(self, vocabularies: tuple[Vocabulary, Vocabulary]) -> None:
+        self.vocabularies, self.known = vocabularies, {}
+
+    def of(self, segments: list[str]) -> list[tuple[list[int], list[int], bool]]:
+        """Ids of both, and whether their bytes are the segment's."""
+        if len(self.known) > KNOWN:
+            self.known.clear()
+        missing = [s for s in segments if s not in self.known]
+        closed = [s for s in missing if CLOSED.search(s)]
+        if closed:
+            self._together(closed)
+        for s in missing:
+            if s not in self.known:
+                ids = [v.encode([s[1:]])[0] for v in self.vocabularies]
+                good = all(v.text(np.array(x, np.int64)).tobytes() == s.encode() for v, x in zip(self.vocabularies, ids))
+                self.known[s] = (*ids, good)
+        return [self.known[s] for s in segments]
+
+    def _together(self, segments: list[str]) -> None:
+        """Encode segments joined to one text; those of a text whose tokens are not its bytes stay unknown."""
+        joined = "".join(segments)
+        ends = np.cumsum([len(s.encode()) for s in segments])
+        cuts = []
+        for v in self.vocabularies:
+            ids = v.encode([joined[1:]])[0]
+            upto = np.cumsum(v.sizes[ids])
+            at = np.minimum(np.searchsorted(upto, ends), len(upto) - 1)
+            if (upto[at] != ends).any() or v.text(np.array(ids, np.int64)).tobytes() != joined.encode():
+                return
+            cuts.append((ids, [0, *(at + 1).tolist()]))
+        (a, cut_a), (b, cut_b) = cuts
+        for k, s in enumerate(segments):
+            self.known[s] = (a[cut_a[k] : cut_a[k + 1]], b[cut_b[k] : cut_b[k + 1]], True)
+
+
+def _ends(sizes: list[int]) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))]).astype(np.int64)
+
+
 def _encoder(held):
-    """Texts to the ids of both tokenizers, as packed numbers."""
+    """Texts to pieces: the ids of the documents, and packed the distinct segments' tokens and each document's segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = _vocabularies(*held.value)
+        encoder = Encoder(_vocabularies(*held.value))
         for batch in batches:
             for first, last, data, offsets in tx.pieces(batch.column(1)):
-                texts = [bytes(data[a:b]).decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-                packed = []
-                for k, text in enumerate(texts):
-                    if not text:
-                        packed.append((b"", b""))
-                        continue
-                    a, b = (np.array(v.encode([text])[0], np.int64) for v in (one, two))
-                    wanted = np.concatenate([[0x20], data[offsets[k] : offsets[k + 1]]]).astype(np.uint8)
-                    good = all(np.array_equal(v.text(ids), wanted) for v, ids in ((one, a), (two, b)))
-                    packed.append((a.astype(np.uint32).tobytes(), b.astype(np.uint32).tobytes()) if good else (b"", b""))
-                left, right = zip(*packed)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, last - first), pa.array(map(_small, left), pa.binary()), pa.array(map(_small, right), pa.binary())],
-                    names=["doc_id", "a", "b"],
+                texts = [data[a:b].tobytes().decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                number: dict[str, int] = {}
+                held_by = [[number.setdefault(s, len(number)) for s in SEGMENT.findall(" " + t)] if t else [] for t in texts]
+                tokens = encoder.of(list(number))
+                bad = {k for k, x in enumerate(tokens) if not x[2]}
+                if bad:
+                    for d, own in enumerate(held_by):
+                        if not bad.isdisjoint(own) and not _whole(" " + texts[d], [tokens[k] for k in own], encoder.vocabularies):
+                            held_by[d] = []
+                one, two = [x[0] for x in tokens], [x[1] for x in tokens]
+                body = pack(
+                    np.fromiter(chain.from_iterable(one), np.int32),
+                    _ends(list(map(len, one))),
+                    np.fromiter(chain.from_iterable(two), np.int32),
+                    _ends(list(map(len, two))),
+                    np.fromiter(chain.from_iterable(held_by), np.int32),
+                    _ends(list(map(len, held_by))),
                 )
+                ids = pa.ListArray.from_arrays(pa.array([0, last - first], pa.int32()), pa.concat_arrays([batch.column(0).slice(first, last - first)]))
+                stored = len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
+                zeros = pa.array([[0] * (last - first)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([stored], pa.binary()), zeros, zeros], names=["ids", "body", "n_best", "count_sum"])
 
     return run
 
 
-def _small(ids: bytes) -> bytes:
-    """Ids for storage: the four bytes of all of them in turn, compressed."""
-    if not ids:
-        return b""
-    planes = np.frombuffer(ids, np.uint8).reshape(-1, 4).T.tobytes()
-    return len(ids).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+def _whole(text: str, tokens: list[tuple], vocabularies: tuple[Vocabulary, Vocabulary]) -> bool:
+    """Whether the tokens of all segments together are the text's bytes for both tokenizers."""
+    return all(
+        v.text(np.fromiter(chain.from_iterable(x[k] for x in tokens), np.int64)).tobytes() == text.encode() for k, v in enumerate(vocabularies)
+    )
+
 
+class Piece:
+    """The stored texts of a piece: links between the tokens of its distinct segments, and the segments of each text."""
 
-def _large(stored: bytes | None) -> np.ndarray:
-    if not stored:
-        return np.zeros(0, np.int64)
-    planes = pa.decompress(stored[8:], int.from_bytes(stored[:8], "little"), codec="zstd", asbytes=True)
-    return np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel().astype(np.int64)
+    def __init__(self, stored: bytes, one: Vocabulary, two: Vocabulary) -> None:
+        body = pa.decompress(stored[8:], int.from_bytes(stored[:8], "little"), codec="zstd", asbytes=True)
+        a, before_a, b, before_b, segment, self.before = unpack(body, np.int32, np.int64, np.int32, np.int64, np.int32, np.int64)
+        a, b, self.segment = a.astype(np.int64), b.astype(np.int64), segment.astype(np.int64)
+        used = np.unique(self.segment)
+        if len(used) < len(before_a) - 1:  # those of texts without tokens go
+            new = np.zeros(len(before_a), np.int64)
+            new[used] = np.arange(len(used))
+            a, before_a, b, before_b = *_slices(a, before_a, used), *_slices(b, before_b, used)
+            self.segment = new[self.segment]
+        self.links = Links(a, before_a, one.sizes[a], b, before_b, two.sizes[b])
 
+    def total(self, before: np.ndarray) -> np.ndarray:
+        """Sums over the segments of each text, from what lies before each segment."""
+        return _sums(np.diff(before)[self.segment], self.before).astype(np.int64)
 
-def _portions(batch: pa.RecordBatch, one: Vocabulary, two: Vocabulary) -> Iterator[tuple[int, int, Links]]:
-    """Rows ``low .. high - 1`` of a batch and their links."""
-    low = 0
-    while low < batch.num_rows:
-        a, b, high, size = [], [], low, 0
-        while high < batch.num_rows and (high == low or size < PORTION):
-            a.append(_large(batch.column(1)[high].as_py()))
-            b.append(_large(batch.column(2)[high].as_py()))
-            size += 4 * max(len(a[-1]), len(b[-1]))  # about the bytes of the text
-            high += 1
-        before = [np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64) for ids in (a, b)]
-        left, right = np.concatenate(a), np.concatenate(b)
-        yield low, high, Links(left, before[0], one.sizes[left], right, before[1], two.sizes[right])
-        low = high
+
+def _slices(values: np.ndarray, before: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.diff(before)[own]
+    return values[tx.spread(before[own], sizes)], _ends(sizes.tolist())
 
 
 def _counter(held):
@@ -268,14 +326,20 @@ def _counter(held):
         one, two = _vocabularies(*held.value)
         parts, size = [], 0
         for batch in batches:
-            for low, high, links in _portions(batch, one, two):
+            for stored in batch.column(1):
+                piece = Piece(stored.as_py(), one, two)
+                links = piece.links
                 if not len(links.left):
                     continue
-                pair, doc = links.pairs(), np.repeat(np.arange(high - low), np.diff(links.before_links))
-                order = np.lexsort((doc, pair))
-                pair, doc = pair[order], doc[order]
-                once = np.concatenate([[True], (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])])
-                found, counts = np.unique(pair[once], return_counts=True)
+                pairs, number = np.unique(links.pairs(), return_inverse=True)
+                doc = np.repeat(np.arange(len(piece.before) - 1), np.diff(piece.before))
+                many = len(links.before_links) - 1
+                own = np.unique(doc * many + piece.segment)
+                doc, segment = own // many, own % many
+                sizes = np.diff(links.before_links)[segment]
+                own = np.unique(np.repeat(doc, sizes) * len(pairs) + number[tx.spread(links.before_links[segment], sizes)])
+                counts = np.bincount(own % len(pairs), minlength=len(pairs))
+                found = pairs
                 parts.append((found, counts.astype(np.int64)))
                 size += len(found)
                 if size > HELD:
@@ -297,16 +361,18 @@ def _looker(held, block):
         one, two = _vocabularies(*held.value)
         pairs, counts, best = (np.frombuffer(x, t) for x, t in zip(block.value, (np.int64, np.int64, np.bool_)))
         for batch in batches:
-            n_best, total = (batch.column(k).to_numpy().copy() for k in (3, 4))
-            for low, high, links in _portions(batch, one, two):
-                if not len(links.left) or not len(pairs):
-                    continue
-                wanted = links.pairs()
-                at = np.minimum(np.searchsorted(pairs, wanted), len(pairs) - 1)
-                here = pairs[at] == wanted
-                n_best[low:high] += _sums(here & best[at], links.before_links)
-                total[low:high] += _sums(np.where(here, counts[at], 0), links.before_links)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n_best), pa.array(total)], names=batch.schema.names)
+            for k in range(batch.num_rows):
+                piece = Piece(batch.column(1)[k].as_py(), one, two)
+                n_best, total = (batch.column(c)[k].values.to_numpy().copy() for c in (2, 3))
+                if len(piece.links.left) and len(pairs):
+                    wanted = piece.links.pairs()
+                    at = np.minimum(np.searchsorted(pairs, wanted), len(pairs) - 1)
+                    here = pairs[at] == wanted
+                    n_best += piece.total(_ends(_sums(here & best[at], piece.links.before_links)))
+                    total += piece.total(_ends(_sums(np.where(here, counts[at], 0), piece.links.before_links)))
+                added = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in (n_best, total)]
+                row = batch.slice(k, 1)
+                yield pa.RecordBatch.from_arrays([row.column(0), row.column(1), *added], names=batch.schema.names)
 
     return run
 
@@ -316,10 +382,17 @@ def _finisher(held, find):
         one, two = _vocabularies(*held.value)
         names = [[str(i) for i in range(len(v.sizes))] for v in (one, two)]
         for batch in find(batches):
-            for low, high, links in _portions(batch, one, two):
-                numbers = [np.diff(links.before_a), np.diff(links.before_b), np.diff(links.n_groups), np.diff(links.before_links), np.diff(links.shared_group_links)]
-                part = batch.slice(low, high - low)
-                columns = [part.column(0), *[pa.array(x.astype(np.int64)) for x in numbers], part.column(3), part.column(4), pa.array(links.digests(*names), pa.string())]
+            for k in range(batch.num_rows):
+                piece = Piece(batch.column(1)[k].as_py(), one, two)
+                links = piece.links
+                numbers = [piece.total(x) for x in (links.before_a, links.before_b, links.n_groups, links.before_links, links.shared_group_links)]
+                groups, listed, cut = links.groups(*names), piece.segment.tolist(), piece.before.tolist()
+                digests = [
+                    hashlib.sha256(";".join([groups[i] for i in listed[low:high]]).encode()).hexdigest() if high > low else ""
+                    for low, high in zip(cut[:-1], cut[1:])
+                ]
+                sums = [batch.column(c)[k].values for c in (2, 3)]
+                columns = [batch.column(0)[k].values, *[pa.array(x) for x in numbers], *sums, pa.array(digests, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in RESULT.split(", ")])
 
     return run
@@ -328,10 +401,13 @@ def _finisher(held, find):
 # --------------------------------------------------------------------------- all documents
 
 
+_PIECE = "ids array<bigint>, body binary, n_best array<bigint>, count_sum array<bigint>"
+
+
 def encoded(documents: DataFrame, held, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, a, b``: the stored ids of both tokenizers."""
+    """Pieces of documents: their ids, their segments and tokens, and zeros to add counts to."""
     rows = documents.select(column(doc_id).cast("bigint").alias("doc_id"), column(text).cast("string").alias("text"))
-    return rows.mapInArrow(tx.frugal(_encoder(held)), "doc_id bigint, a binary, b binary")
+    return rows.mapInArrow(tx.frugal(_encoder(held)), _PIECE)
 
 
 def pair_counts(tokens: DataFrame, held) -> DataFrame:
@@ -362,9 +438,7 @@ def align(documents: DataFrame, definition: str, model: bytes, *, doc_id: str =
     held = context.broadcast((definition, model))
     tokens = stage(encoded(documents, held, doc_id=doc_id, text=text), "tokens")
     counts = stage(pair_counts(tokens, held), "pairs")
-    zero = F.lit(0).cast("bigint")
-    state = tokens.select("doc_id", "a", "b", zero.alias("n_best"), zero.alias("count_sum"))
-    last = None
+    state, last = tokens, None
     for part in _blocks(counts, block):
         if last is not None:
             state = stage(state.mapInArrow(tx.frugal(last), state.schema), "links")
@@ -380,13 +454,23 @@ def links_of(documents: DataFrame, definition: str, model: bytes, *, doc_id: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = _vocabularies(*held.value)
         for batch in batches:
-            for low, high, links in _portions(batch, one, two):
-                doc = np.repeat(np.arange(high - low), np.diff(links.before_links))
-                fields = (links.left - links.before_a[doc], links.right - links.before_b[doc], links.a[links.left], links.b[links.right], links.shared)
+            for k in range(batch.num_rows):
+                piece = Piece(batch.column(1)[k].as_py(), one, two)
+                links, before = piece.links, piece.before
+                # Places count from the start of the text: first those before a segment, then those in it.
+                ahead = [np.concatenate([[0], np.cumsum(np.diff(x)[piece.segment])]) for x in (links.before_a, links.before_b)]
+                sizes = np.diff(links.before_links)[piece.segment]
+                at = tx.spread(links.before_links[piece.segment], sizes)
+                segment, doc = (np.repeat(x, sizes) for x in (piece.segment, np.repeat(np.arange(len(before) - 1), np.diff(before))))
+                places = [
+                    np.repeat(x[:-1], sizes) - x[before[:-1]][doc] + own[at] - start[segment]
+                    for x, own, start in zip(ahead, (links.left, links.right), (links.before_a, links.before_b))
+                ]
+                fields = (*places, links.a[links.left[at]], links.b[links.right[at]], links.shared[at])
                 flat = pa.StructArray.from_arrays([pa.array(f.astype(np.int64)) for f in fields], fields=list(link))
-                offsets = pa.array(links.before_links.astype(np.int64))
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)])[before].astype(np.int64))
                 listed = pa.LargeListArray.from_arrays(offsets, flat).cast(pa.list_(link))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), listed], names=["doc_id", "links"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[k].values, listed], names=["doc_id", "links"])
 
     schema = "doc_id bigint, links array<struct<a_place bigint, b_place bigint, a bigint, b bigint, shared_bytes bigint>>"
     return encoded(documents, held, doc_id=doc_id, text=text).mapInArrow(tx.frugal(run), schema)

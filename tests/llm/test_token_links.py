@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -96,7 +97,9 @@ def test_hard_rows(hard, none, files):
 
 
 def test_links_share_bytes(spark, files):
-    row = tl.links_of(spark.createDataFrame([(1, "naïve 😀 tokens")], "doc_id bigint, text string"), *files).first()
+    rows = tl.links_of(spark.createDataFrame([(1, "naïve 😀 tokens"), (2, "two two tokens"), (3, None)], "doc_id bigint, text string"), *files).collect()
+    row, second, third = sorted(rows, key=lambda r: r.doc_id)
+    assert third.links == [] and [(x.a_place, x.b_place) for x in second.links] == [(0, 0), (1, 1), (2, 2)]
     assert sum(x.shared_bytes for x in row.links) == len(" naïve 😀 tokens".encode())
     one, two = tl._vocabularies(*files)
     assert sorted((x.a, x.b) for x in row.links) == sorted(
@@ -104,6 +107,17 @@ def test_links_share_bytes(spark, files):
     )
 
 
+def test_segments_join_to_the_tokens_of_the_text(files):
+    vocabularies = tl._vocabularies(*files)
+    for text in [t for t in texts() if t and "▁" not in t] + [" ", "a ", "é  ", "\n "] + [r[1] for r in hard_rows() if r[1] and len(r[1]) < 100_000]:
+        segments = tl.SEGMENT.findall(" " + text)
+        assert "".join(segments) == " " + text
+        found = tl.Encoder(vocabularies).of(segments)
+        for k, v in enumerate(vocabularies):
+            assert sum((x[k] for x in found), []) == v.encode([text])[0]
+    assert not [t for v in vocabularies for t in np.split(v.bytes, v.starts[1:]) if re.search("[!-~\u00a1-\u052f] ", t.tobytes().decode(errors="ignore"))]
+
+
 def test_texts_that_tokens_do_not_give_back(spark, files):
     definition, model = files
     one, two = tl._vocabularies(definition, model)
