@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from clusterlens.checks.base import OBJECT_SPACE, query, sql_uuid5
 from clusterlens.checks.views import OP, RESOURCE_VALUES, SQL_CONTAINERS, changes, containers
@@ -337,7 +337,56 @@ def owner_closure(t):
         .unionByName(edges(t.customer, "c_custkey", "customer", "c_nationkey", "nation"))
         .unionByName(edges(t.nation, "n_nationkey", "nation", "n_regionkey", "region"))
     )
-    return relate.owner_closure(found)
+    return relate.reachable(found)
+
+
+def _text(*parts) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+_RELATED_EDGES = """SELECT 'pod-' || o_orderkey AS child, 'set-' || o_custkey AS owner, 'owner' AS relation FROM orders
+      UNION ALL SELECT 'set-' || c_custkey, 'deployment-' || c_nationkey, 'owner' FROM customer
+      UNION ALL SELECT 'pod-' || o_orderkey, 'claim-' || c_custkey, 'claim' FROM orders JOIN customer ON c_custkey = o_custkey % 500 AND c_nationkey % 5 = o_orderkey % 5
+      UNION ALL SELECT 'volume-' || c_custkey, 'claim-' || c_custkey, 'claim' FROM customer
+      UNION ALL SELECT 'ingress-' || s_suppkey, 'service-' || p_partkey, 'backend' FROM supplier JOIN part ON p_partkey = s_suppkey * 3 AND s_nationkey % 2 = p_size % 2
+      UNION ALL SELECT 'slice-' || p_partkey, 'pod-' || p_partkey, 'target' FROM part"""
+
+
+def _related_tables(t) -> dict[str, DataFrame]:
+    """Orders as pods, customers as their owners, claims and volumes, parts as services, suppliers as ingresses."""
+
+    def named(table: DataFrame, kind: str, key: str, namespace: Column) -> DataFrame:
+        return table.select(_text(f"{kind}-", F.col(key)).alias("uuid"), F.lit("c1").alias("cluster_uuid"), _text("ns-", namespace).alias("namespace"), _text("n-", F.col(key)).alias("name"))
+
+    order, customer = F.col("o_orderkey"), F.col("c_custkey")
+    return {
+        "pod": named(t.orders, "pod", "o_orderkey", order % 5),
+        "pvc": named(t.customer, "claim", "c_custkey", F.col("c_nationkey") % 5),
+        "service": named(t.part, "service", "p_partkey", F.col("p_size") % 2),
+        "ingress": named(t.supplier, "ingress", "s_suppkey", F.col("s_nationkey") % 2),
+        "pod_owner": t.orders.select(_text("pod-", order).alias("pod_uuid"), _text("set-", F.col("o_custkey")).alias("owner_uuid")),
+        "replica_set_owner": t.customer.select(_text("set-", customer).alias("replica_set_uuid"), _text("deployment-", F.col("c_nationkey")).alias("owner_uuid")),
+        "pod_pvc": t.orders.select(_text("pod-", order).alias("pod_uuid"), _text("n-", F.col("o_custkey") % 500).alias("claim_name")),
+        "persistent_volume_claim_ref": t.customer.select(_text("volume-", customer).alias("persistent_volume_uuid"), _text("claim-", customer).alias("uid")),
+        "ingress_backend_service": t.supplier.select(_text("ingress-", F.col("s_suppkey")).alias("ingress_uuid"), _text("n-", F.col("s_suppkey") * 3).alias("service_name")),
+        "endpoint_target_ref": t.part.select(_text("slice-", F.col("p_partkey")).alias("endpoint_slice_uuid"), _text("pod-", F.col("p_partkey")).alias("uid")),
+    }
+
+
+@query("object_edges", f"SELECT DISTINCT child, owner, relation FROM ({_RELATED_EDGES})")
+def object_edges(t):
+    return relate.object_edges(_related_tables(t), identify=lambda uid: uid)
+
+
+@query(
+    "related_objects",
+    f"""WITH RECURSIVE e AS (SELECT DISTINCT child, owner FROM ({_RELATED_EDGES})),
+    r AS (SELECT child, owner AS ancestor, 1 AS distance FROM e UNION SELECT r.child, e.owner, r.distance + 1 FROM r JOIN e ON r.ancestor = e.child)
+    SELECT child, ancestor, min(distance) AS distance FROM r GROUP BY 1, 2""",
+)
+def related_objects(t):
+    """What every object leads to over owners, claims, backends and targets."""
+    return relate.reachable(relate.object_edges(_related_tables(t), identify=lambda uid: uid))
 
 
 # --------------------------------------------------------------------------- table maintenance
@@ -724,6 +773,51 @@ _RULE_ROWS = [
 ]
 
 
+_LIMITS = 5_000  # rules per template
+
+
+@query(
+    "rule_routing_templates",
+    f"""WITH r AS (SELECT i, 'over-' || i AS id, i % 50 AS quantity, i % 7 AS line FROM range({_LIMITS}) x(i)),
+    hits AS (SELECT DISTINCT l_orderkey, id FROM lineitem JOIN r ON l_quantity > quantity AND l_linenumber = line
+      UNION SELECT o_orderkey, 'status-' || i FROM orders JOIN range({_LIMITS}) x(i) ON o_orderstatus = ['F', 'O', 'P', 'X'][1 + i % 4] AND i % 100 = 0)
+    SELECT o_orderkey::VARCHAR AS uuid, count(id) AS rules, coalesce(sum(hash_of), 0)::BIGINT AS ids
+    FROM orders LEFT JOIN (SELECT l_orderkey, id, CAST(regexp_extract(id, '[0-9]+') AS BIGINT) AS hash_of FROM hits) ON l_orderkey = o_orderkey GROUP BY 1""",
+)
+def rule_routing_templates(t):
+    """Many rules that differ in their arguments only; ones whose arguments do not fit the query are rejected singly."""
+    events = notify.health_events(_order_rows(t), "pod").select("uuid", "cluster_uuid", "kind")
+    tables = {
+        "pod_item": t.lineitem.select(F.col("l_orderkey").cast("string").alias("order_uuid"), F.col("l_quantity").alias("quantity"), F.col("l_linenumber").alias("line")),
+        "pod_state": t.orders.select(F.col("o_orderkey").cast("string").alias("uuid"), F.col("o_orderstatus").alias("status")),
+    }
+
+    def body(query: str, *args: Column) -> Column:
+        given = F.concat_ws(",", F.lit('":uuid"'), *args)
+        return F.concat(F.lit(f'{{"version": 1, "kind": "pod", "query": "{query}", "args": ['), given, F.lit("]}"))
+
+    number = F.col("id")
+    over = t.spark.range(_LIMITS).select(
+        F.concat(F.lit("over-"), number.cast("string")).alias("id"),
+        body("SELECT 1 FROM pod_item WHERE order_uuid = ? AND quantity > ? AND line = ?", (number % 50).cast("string"), (number % 7).cast("string")).alias("filter"),
+    )
+    states = F.array(*[F.lit(f'"{x}"') for x in "FOPX"])
+    status = t.spark.range(0, _LIMITS, 100).select(
+        F.concat(F.lit("status-"), number.cast("string")).alias("id"),
+        body("SELECT 1 FROM pod_state WHERE uuid = ? AND status = ?", states[(number % 4).cast("int")]).alias("filter"),
+    )
+    # A template of two rules, one of which divides by zero.
+    broken = t.spark.range(2).select(
+        F.concat(F.lit("divide-"), number.cast("string")).alias("id"),
+        body("SELECT 1 FROM pod_item WHERE order_uuid = ? AND quantity / ? < 0", number.cast("string")).alias("filter"),
+    )
+    rules = notify.judged_rules(over.unionByName(status).unionByName(broken))
+    routed, rejected = notify.match_rule_table(events, rules, tables)
+    assert list(rejected) == ["divide-0"], rejected
+    total = F.aggregate("rule_ids", F.lit(0).cast("bigint"), lambda n, i: n + F.regexp_extract(i, "[0-9]+", 0).cast("bigint"))
+    return routed.select("uuid", F.size("rule_ids").cast("bigint").alias("rules"), total.alias("ids"))
+
+
 @query(
     "rule_routing_errors",
     """SELECT o_orderkey::VARCHAR AS uuid, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem) THEN 'always,braces' ELSE 'always' END AS rule_ids,

@@ -5,10 +5,9 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
-from itertools import islice
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -21,8 +20,11 @@ from clusterlens.session import scratch_dir
 ORPHAN_MESSAGE = "Automatically resolving the incident because of an orphaned resource."
 RULE_VERSION = 1
 
-# So many rules are evaluated in one job: it bounds the size of a plan, not the number of rules.
-RULES_AT_ONCE = 64
+# So many templates are evaluated in one job: it bounds the size of a plan, not the number of rules.
+TEMPLATES_AT_ONCE = 64
+
+# Arguments that stand for a value of the event.
+EVENT_VALUES = {":uuid": "_event.uuid", ":cluster_uuid": "_event.cluster_uuid"}
 
 
 def health_events(rows: DataFrame, kind: str) -> DataFrame:
@@ -136,31 +138,96 @@ def load_rules(rules: DataFrame) -> tuple[list[Rule], dict[str, str]]:
     return usable, rejected
 
 
-def _bound(rule: Rule) -> tuple[str, dict[str, object]]:
-    """The rule's query with its ``?`` bound to the event or to named literals."""
-    names = {":uuid": "_event.uuid", ":cluster_uuid": "_event.cluster_uuid"}
-    literals: dict[str, object] = {}
-    remaining = iter(rule.args)
+def judged_rules(rules: DataFrame) -> DataFrame:
+    """Rules of a table (id, filter) decoded in Spark: ``id, kind, query, args, types`` and ``reason``, why one is unusable.
+
+    The conditions are those of :func:`parse_rule`.  ``args`` are texts and ``types`` what they are: ``string``, ``bigint``,
+    ``double``, ``boolean``, ``void``, or the name of an event value.  A rule of an empty filter has no query.
+    """
+    body = F.try_parse_json("filter")
+    shown = rules.select("id", "filter", body.alias("body")).withColumn("form", F.schema_of_variant("body"))
+
+    def field(name: str, kind: str) -> Column:
+        return F.try_variant_get("body", f"$.{name}", kind)
+
+    args = F.coalesce(field("args", "array<variant>"), F.array().cast("array<variant>"))
+    listed = F.schema_of_variant(field("args", "variant")).startswith("ARRAY") | F.coalesce(F.is_variant_null(field("args", "variant")), F.lit(True))
+
+    def kind_of(value: Column) -> Column:
+        name = F.schema_of_variant(value)
+        text = F.try_variant_get(value, "$", "string")
+        return (
+            F.when((name == "STRING") & text.isin(*EVENT_VALUES), text)
+            .when(name == "STRING", "string")
+            .when(name.startswith("DECIMAL") | (name == "DOUBLE"), "double")
+            .otherwise(F.lower(name))
+        )
+
+    empty = F.coalesce(F.col("filter"), F.lit("")) == ""
+    version = field("version", "string")
+    reason = (
+        F.when(empty, None)
+        .when(F.col("body").isNull(), "its filter is no JSON")
+        .when(~F.col("form").startswith("OBJECT"), "it is no JSON object")
+        .when(~F.coalesce(version == str(RULE_VERSION), F.lit(False)), F.concat(F.lit(f"version {RULE_VERSION} expected, not "), F.coalesce(version, F.lit("none"))))
+        .when(F.coalesce(field("kind", "string"), F.lit("")) == "", "it has no kind")
+        .when(F.coalesce(field("query", "string"), F.lit("")) == "", "it has no query")
+        .when(~listed, "its arguments are no list")
+    )
+    return shown.select(
+        "id",
+        F.when(~empty, field("kind", "string")).alias("kind"),
+        F.when(~empty, field("query", "string")).alias("query"),
+        F.transform(args, lambda v: F.try_variant_get(v, "$", "string")).alias("args"),
+        F.transform(args, kind_of).alias("types"),
+        reason.alias("reason"),
+    )
+
+
+def _bound(query: str, types: Iterable[str]) -> str:
+    """The query with its ``?`` bound to the event or to the columns of the rule's parameters."""
+    remaining = iter(enumerate(types))
 
     def bind(found: re.Match) -> str:
         if found.group() != "?":
             return found.group()  # quoted text
-        value = next(remaining)  # StopIteration: an argument is missing
-        if value in names:
-            return names[value]
-        literals[f"arg{len(literals)}"] = value
-        return f":arg{len(literals) - 1}"
+        number, kind = next(remaining)  # StopIteration: an argument is missing
+        return EVENT_VALUES.get(kind, "NULL" if kind == "void" else f"_rule.p{number}")
 
-    query = re.sub(r"'(?:[^'\\]|\\.|'')*'|\"[^\"]*\"|`[^`]*`|\?", bind, rule.query or "")
-    return query, literals
+    return re.sub(r"'(?:[^'\\]|\\.|'')*'|\"[^\"]*\"|`[^`]*`|\?", bind, query)
 
 
-def _matched(spark: SparkSession, events: str, rule: Rule) -> DataFrame:
-    """Identifiers of the events that a rule matches."""
-    query, literals = _bound(rule)
-    statement = f"SELECT uuid, kind FROM {events} AS _event WHERE _event.kind = :_kind AND EXISTS ({query})"
-    found = spark.sql(statement, args={**literals, "_kind": rule.kind})
-    return found.select("uuid", "kind", F.lit(rule.id).alias("rule_id"))
+@dataclass(frozen=True)
+class Template:
+    """What rules share that differ in the values of their arguments only."""
+
+    number: int
+    kind: str
+    query: str
+    types: tuple[str, ...]
+
+    def matches(self, events: str, rules: DataFrame) -> DataFrame:
+        """``uuid, kind, rule_id`` of the events that the rules match, by one join of events, tables and parameters.
+
+        An inner lateral join lets the optimiser begin with the tables the query names and join the parameters last; a query
+        that does not look at the event is a semi join per event anyway.
+        """
+        own = rules.where(F.col("template") == self.number)
+        values = [
+            F.col("args")[k].cast(kind).alias(f"p{k}") for k, kind in enumerate(self.types) if kind not in EVENT_VALUES and kind != "void"
+        ]
+        view = f"_rules_{os.urandom(8).hex()}"
+        own.select(F.col("id").alias("rule_id"), *values).createOrReplaceTempView(view)
+        query = _bound(self.query, self.types)
+        spark = rules.sparkSession
+        try:
+            return spark.sql(
+                f"SELECT DISTINCT _event.uuid, _event.kind, _rule.rule_id FROM {events} AS _event JOIN {view} AS _rule,"
+                f" LATERAL ({query}) WHERE _event.kind = :_kind",
+                args={"_kind": self.kind},
+            )
+        finally:
+            spark.catalog.dropTempView(view)
 
 
 def _at_fault(error: Exception) -> bool:
@@ -175,26 +242,19 @@ def _reason(error: Exception) -> str:
     return str(error).splitlines()[0] if str(error) else type(error).__name__
 
 
-def _groups(rules: Iterable[Rule], size: int) -> Iterator[list[Rule]]:
-    rest = iter(rules)
-    while group := list(islice(rest, size)):
-        yield group
-
-
-def match_rules(
-    spark: SparkSession, events: DataFrame, rules: Iterable[Rule], tables: dict[str, DataFrame]
-) -> tuple[DataFrame, dict[str, str]]:
-    """Add ``rule_ids``, the sorted ids of the rules that match each event.
+def match_rule_table(events: DataFrame, rules: DataFrame, tables: dict[str, DataFrame]) -> tuple[DataFrame, dict[str, str]]:
+    """Add ``rule_ids``, the sorted ids of the rules that match each event; ``rules`` are those of :func:`judged_rules`.
 
-    A rule's query matches an event if it returns a row with the event's identifiers bound.
-    It is written into a correlated ``EXISTS``, which the optimiser turns into one semi join
-    per rule over all events at once.  ``tables`` are the tables queries may name.
+    A rule's query matches an event if it returns a row with the event's identifiers bound.  Rules of the same query,
+    kind and types of arguments form a *template*: their arguments are a table that is joined once, however many they
+    are, and the driver sees the distinct templates only.  ``tables`` are the tables queries may name.
 
-    The events' identifiers are written to the shared folder once.  Rules are evaluated in
-    groups; each group appends its matches there, and all matches are aggregated once.  If a
-    group fails, be it in analysis or at run time, its rules are evaluated one by one, and those
-    that fail are left out and reported.
+    The events' identifiers and the rules are written to the shared folder once.  Several templates are evaluated in one
+    job; each job appends its matches there, and all matches are aggregated once.  If a job fails, be it in analysis
+    or at run time, its templates are evaluated one by one, and the rules of one that fails are halved until those
+    at fault are alone; these are left out and reported.
     """
+    spark = events.sparkSession
     for name, table in tables.items():
         table.createOrReplaceTempView(name)
     folder = scratch_dir(spark, "rules")
@@ -202,46 +262,71 @@ def match_rules(
     view = f"_events_{os.urandom(8).hex()}"
     spark.read.parquet(f"{folder}/events").createOrReplaceTempView(view)
     hits = f"{folder}/hits"
-    always, rejected = [], {}
-
-    def conditional() -> Iterator[Rule]:
-        for rule in rules:
-            if rule.query is None:
-                always.append(rule.id)
-            else:
-                yield rule
+    usable = rules.where(F.col("reason").isNull())
+    found = usable.where(F.col("query").isNotNull()).select("kind", "query", "types").distinct().collect()
+    templates = [Template(k, r.kind, r.query, tuple(r.types)) for k, r in enumerate(sorted(found, key=lambda r: (r.kind, r.query, r.types)))]
+    schema = "template int, kind string, query string, types array<string>"
+    numbered = spark.createDataFrame([(t.number, t.kind, t.query, list(t.types)) for t in templates], schema)
+    usable.join(numbered, ["kind", "query", "types"]).select("template", "id", "args").write.parquet(f"{folder}/rules")
+    stored = spark.read.schema("template int, id string, args array<string>").parquet(f"{folder}/rules")
+    rejected: dict[str, str] = {}
+    written = False
 
-    def evaluate(number: int, part: int, group: list[Rule]) -> None:
-        found = reduce(DataFrame.unionByName, [_matched(spark, view, rule) for rule in group])
-        # Written again, a group or rule replaces what a failed attempt has left.
-        found.write.mode("overwrite").parquet(f"{hits}/part={number}-{part}")
+    def evaluate(name: str, group: list[Template], own: DataFrame) -> None:
+        nonlocal written
+        # Written again, a part replaces what a failed attempt has left.
+        reduce(DataFrame.unionByName, [t.matches(view, own) for t in group]).write.mode("overwrite").parquet(f"{hits}/part={name}")
+        written = True
 
-    written = False
-    for number, group in enumerate(_groups(conditional(), RULES_AT_ONCE)):
+    def halved(template: Template, depth: int, part: int) -> None:
+        own = stored.where((F.col("template") == template.number) & (F.pmod(F.xxhash64("id", "args"), F.lit(1 << depth)) == part))
         try:
-            evaluate(number, 0, group)
-            written = True
+            evaluate(f"{template.number}-{depth}-{part}", [template], own)
+        except Exception as error:
+            if not _at_fault(error):
+                raise
+            some = own.select("id", "args").distinct().limit(2).collect()
+            if len(some) < 2 or depth == 62:
+                rejected.update({r.id: _reason(error) for r in some})
+                return
+            halved(template, depth + 1, part)
+            halved(template, depth + 1, part + (1 << depth))
+
+    for low in range(0, len(templates), TEMPLATES_AT_ONCE):
+        group = templates[low : low + TEMPLATES_AT_ONCE]
+        try:
+            evaluate(f"group-{low}", group, stored)
         except Exception as group_error:
             if not _at_fault(group_error):
                 raise
-            for part, rule in enumerate(group, start=1):
-                try:
-                    evaluate(number, part, [rule])
-                    written = True
-                except Exception as error:
-                    if not _at_fault(error):
-                        raise
-                    rejected[rule.id] = _reason(error)
+            for template in group:
+                halved(template, 0, 0)
     spark.catalog.dropTempView(view)
-    everywhere = F.array(*[F.lit(i) for i in always]).cast("array<string>")
-    if not written:
-        return events.withColumn("rule_ids", F.sort_array(everywhere)), rejected
-    matches = spark.read.schema("uuid STRING, kind STRING, rule_id STRING").parquet(hits)
+    everywhere = usable.where(F.col("query").isNull()).agg(F.collect_set("id").alias("_always"))
+    matches = spark.createDataFrame([], "uuid STRING, kind STRING, rule_id STRING")
+    if written:
+        matches = spark.read.schema("uuid STRING, kind STRING, rule_id STRING").parquet(hits)
     # A set of rules per object, so it is bounded by the number of rules.
-    found = matches.groupBy("uuid", "kind").agg(F.collect_set("rule_id").alias("_ids"))
+    by_event = matches.groupBy("uuid", "kind").agg(F.collect_set("rule_id").alias("_ids"))
     ids = F.coalesce(F.col("_ids"), F.array().cast("array<string>"))
-    joined = events.join(found, ["uuid", "kind"], "left")
-    return (
-        joined.withColumn("rule_ids", F.sort_array(F.concat(ids, everywhere))).select(*events.columns, "rule_ids"),
-        rejected,
-    )
+    joined = events.join(by_event, ["uuid", "kind"], "left").crossJoin(everywhere)  # one row
+    routed = joined.withColumn("rule_ids", F.array_sort(F.array_distinct(F.concat(ids, F.col("_always")))))
+    return routed.select(*events.columns, "rule_ids"), rejected
+
+
+def _type(value: object) -> str:
+    if isinstance(value, str):
+        return value if value in EVENT_VALUES else "string"
+    return {bool: "boolean", int: "bigint", float: "double", type(None): "void"}.get(type(value), "string")
+
+
+def match_rules(
+    spark: SparkSession, events: DataFrame, rules: Iterable[Rule], tables: dict[str, DataFrame]
+) -> tuple[DataFrame, dict[str, str]]:
+    """:func:`match_rule_table` for rules that are already parsed."""
+    rows = [
+        (r.id, r.kind, r.query, [None if a is None else json.dumps(a) if not isinstance(a, str) else a for a in r.args], [_type(a) for a in r.args], None)
+        for r in rules
+    ]
+    schema = "id string, kind string, query string, args array<string>, types array<string>, reason string"
+    return match_rule_table(events, spark.createDataFrame(rows, schema), tables)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
+from clusterlens.functions.ids import ensure_uuid
 from clusterlens.session import scratch_dir
 
 _NS = "_namespace"
@@ -84,7 +85,7 @@ def node_names(nodes: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     return listed.groupBy(*within, "node").agg(F.max("node_uuid").alias("node_uuid"))
 
 
-def orphans(references: DataFrame, tables: Mapping[str, DataFrame], kinds: DataFrame | None = None) -> DataFrame:
+def orphans(references: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
     """References (``resource``, ``uuid``, ...) whose object is in no table of its kind.
 
     Fails closed: a reference of a kind without a table raises when the result is computed,
@@ -104,35 +105,77 @@ def orphans(references: DataFrame, tables: Mapping[str, DataFrame], kinds: DataF
     return checked.join(live, ["resource", "uuid"], "left_anti")
 
 
-def owner_closure(edges: DataFrame) -> DataFrame:
-    """All (child, ancestor, distance) triples, over any number of owner steps.
+# Tables of owner references: the object's column; its owner is ``owner_uuid``.
+OWNER_SUFFIX = "_owner"
 
-    ``edges``: (child, owner).  Each step joins the pairs found last with the edges and is
-    written to the shared folder, so it is computed once.  A pair counts with its
-    shortest distance only, which also ends the walk where owners form a cycle.
+# Tables that refer to another object by name within their parent's name space: parent and its column, name, target, relation.
+NAMED_REFERENCES = {
+    "pod_pvc": ("pod", "pod_uuid", "claim_name", "pvc", "claim"),
+    "ingress_backend_service": ("ingress", "ingress_uuid", "service_name", "service", "backend"),
+}
+
+# Tables that refer to another object by uid: column of the object, relation.
+UID_REFERENCES = {
+    "persistent_volume_claim_ref": ("persistent_volume_uuid", "claim"),
+    "endpoint_target_ref": ("endpoint_slice_uuid", "target"),
+}
+
+
+def object_edges(tables: Mapping[str, DataFrame], identify: Callable[[Column], Column] = ensure_uuid) -> DataFrame:
+    """Edges (child, owner, relation) between objects, from those of the stored tables that are given.
+
+    Pods and other objects to their owners, volumes and pods to claims, ingresses to services, endpoint slices to
+    their targets.  ``identify`` turns a uid into the identifier of a stored row.  References by name need the
+    tables of both objects; one that names no stored object is no edge.
+    """
+    found = []
+    for name, table in sorted(tables.items()):
+        if name.endswith(OWNER_SUFFIX):
+            child = f"{name.removesuffix(OWNER_SUFFIX)}_uuid"
+            found.append(table.select(F.col(child).alias("child"), F.col("owner_uuid").alias("owner"), F.lit("owner").alias("relation")))
+        elif name in UID_REFERENCES:
+            child, relation = UID_REFERENCES[name]
+            found.append(table.select(F.col(child).alias("child"), identify(F.col("uid")).alias("owner"), F.lit(relation).alias("relation")))
+        elif name in NAMED_REFERENCES:
+            parent, child, label, target, relation = NAMED_REFERENCES[name]
+            if parent not in tables or target not in tables:
+                continue
+            place = ["cluster_uuid", "namespace"]
+            parents = tables[parent].select(F.col("uuid").alias("child"), *place)
+            targets = tables[target].select(F.col("uuid").alias("owner"), *place, F.col("name").alias("_name"))
+            named = table.select(F.col(child).alias("child"), F.col(label).alias("_name")).join(parents, "child")
+            found.append(named.join(targets, [*place, "_name"]).select("child", "owner", F.lit(relation).alias("relation")))
+    edges = reduce(DataFrame.unionByName, found)
+    return edges.where("child IS NOT NULL AND owner IS NOT NULL").distinct()
+
+
+def reachable(edges: DataFrame) -> DataFrame:
+    """All (child, ancestor, distance) triples over any number of edges (child, owner), by path doubling.
+
+    After round r all pairs within 2^r edges are known.  A shortest path of up to twice that has an object exactly
+    2^r edges on, so the next round joins the pairs at that distance with the known ones; a chain of 1,000
+    takes ten rounds.  A pair counts with its shortest distance, which also ends the search where edges form a
+    cycle.  Every round is written to the shared folder once and counts what the next one needs as it goes.
     """
     spark = edges.sparkSession
-    folder = scratch_dir(spark, "owners")
-    edges.select("child", "owner").where("child IS NOT NULL AND owner IS NOT NULL").distinct().write.parquet(f"{folder}/edges")
-    stored = spark.read.parquet(f"{folder}/edges")
-    onward = stored.select(F.col("child").alias("_via"), F.col("owner").alias("ancestor"))
-    kind = stored.schema["child"].dataType.simpleString()
-
-    def steps(pattern: str) -> DataFrame:
-        schema = f"child {kind}, ancestor {kind}, distance INT"
-        return spark.read.schema(schema).option("basePath", f"{folder}/steps").parquet(f"{folder}/steps/{pattern}")
-
-    step = stored.select("child", F.col("owner").alias("ancestor"), F.lit(1).alias("distance"))
-    distance = 1
+    folder = scratch_dir(spark, "reachable")
+    kind = edges.schema["child"].dataType.simpleString()
+    schema = f"child {kind}, ancestor {kind}, distance INT"
+    fresh = edges.select("child", F.col("owner").alias("ancestor"), F.lit(1).alias("distance"))
+    fresh = fresh.where("child IS NOT NULL AND ancestor IS NOT NULL").distinct()
+    reach = 1
     while True:
-        step.write.mode("overwrite").parquet(f"{folder}/steps/step={distance}")
-        last = steps(f"step={distance}")
-        if last.isEmpty():
-            return steps("step=*").select("child", "ancestor", "distance")
-        distance += 1
-        reached = last.select("child", F.col("ancestor").alias("_via")).join(onward, "_via").select("child", "ancestor").distinct()
-        fresh = reached.join(steps("step=*").select("child", "ancestor"), ["child", "ancestor"], "left_anti")
-        step = fresh.withColumn("distance", F.lit(distance))
+        seen = Observation()
+        marked = fresh.observe(seen, F.count_if(F.col("distance") == reach).alias("farthest"))
+        marked.write.mode("overwrite").parquet(f"{folder}/reach={reach}")
+        known = spark.read.schema(schema).option("basePath", folder).parquet(f"{folder}/reach=*").select("child", "ancestor", "distance")
+        if not seen.get["farthest"]:
+            return known
+        far = known.where(F.col("distance") == reach).select("child", F.col("ancestor").alias("_via"))
+        onward = known.select(F.col("child").alias("_via"), "ancestor", (F.col("distance") + reach).alias("distance"))
+        found = far.join(onward, "_via").groupBy("child", "ancestor").agg(F.min("distance").alias("distance"))
+        fresh = found.join(known.select("child", "ancestor"), ["child", "ancestor"], "left_anti")
+        reach *= 2
 
 
 def containers_of(containers: DataFrame, pods: DataFrame) -> DataFrame:

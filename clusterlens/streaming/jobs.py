@@ -162,10 +162,12 @@ def health_notifications(
         if sent is not None:
             events = notify.changed_events(events, sent.read(number, only=events, writer=kind))
         if rules is not None:
-            usable, unusable = notify.load_rules(rules())
-            events, failed = notify.match_rules(rows.sparkSession, events, usable, tables())
-            if on_rejected is not None and (unusable or failed):
-                on_rejected({**unusable, **failed})
+            judged = notify.judged_rules(rules())
+            events, failed = notify.match_rule_table(events, judged, tables())
+            if on_rejected is not None:
+                unusable = {r.id: r.reason for r in judged.where("reason IS NOT NULL").select("id", "reason").toLocalIterator()}
+                if unusable or failed:
+                    on_rejected({**unusable, **failed})
         events = events.persist()
         try:
             sink(events, number)

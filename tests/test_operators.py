@@ -237,9 +237,35 @@ def test_any_number_of_rules_is_loaded(spark):
 
 
 def test_placeholders_in_quoted_text_stay(spark):
-    query, literals = notify._bound(notify.Rule("r", "pod", "SELECT 1 FROM t WHERE a = ? AND b = '?' AND c = ?", (":uuid", "x")))
-    assert query == "SELECT 1 FROM t WHERE a = _event.uuid AND b = '?' AND c = :arg0"
-    assert literals == {"arg0": "x"}
+    query = notify._bound("SELECT 1 FROM t WHERE a = ? AND b = '?' AND c = ? AND d = ?", (":uuid", "string", "void"))
+    assert query == "SELECT 1 FROM t WHERE a = _event.uuid AND b = '?' AND c = _rule.p1 AND d = NULL"
+
+
+def test_rules_are_judged_as_the_parser_does(spark):
+    filters = [
+        None, "", "{", "[1]", "1", "null", '{"version": 2, "kind": "pod", "query": "q"}', '{"kind": "pod", "query": "q"}', '{"version": 1, "query": "q"}',
+        '{"version": 1, "kind": "pod"}', '{"version": 1, "kind": "", "query": "q"}', '{"version": 1, "kind": "pod", "query": "q"}',
+        '{"version": 1, "kind": "pod", "query": "q", "args": 5}', '{"version": 1, "kind": "pod", "query": "q", "args": null}',
+        '{"version": 1, "kind": "pod", "query": "q", "args": [":uuid", "x", 1, 1.5, true, null]}',
+    ]
+    table = spark.createDataFrame([(str(i), f) for i, f in enumerate(filters)], "id STRING, filter STRING")
+    judged = {r.id: r for r in notify.judged_rules(table).collect()}
+    usable, rejected = notify.load_rules(table)
+    assert {i for i, r in judged.items() if r.reason} == set(rejected)
+    for rule in usable:
+        assert (judged[rule.id].kind, judged[rule.id].query) == (rule.kind, rule.query)
+    assert judged["14"].types == [":uuid", "string", "bigint", "double", "boolean", "void"]
+    assert judged["14"].args == [":uuid", "x", "1", "1.5", "true", None]
+
+
+def test_a_chain_of_1000_takes_ten_rounds(spark, tmp_path):
+    edges = spark.range(1000).selectExpr("id AS child", "id + 1 AS owner")
+    found = relate.reachable(edges)
+    assert found.count() == 1000 * 1001 // 2 and found.where("distance <> ancestor - child").count() == 0
+    assert len({f.split("reach=")[1].split("/")[0] for f in found.inputFiles()}) <= 11
+    cycle = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (5, 0), (5, 2), (7, None)], "child bigint, owner bigint")
+    expected = [(0, 0, 3), (0, 1, 1), (0, 2, 2), (1, 0, 2), (1, 1, 3), (1, 2, 1), (2, 0, 1), (2, 1, 2), (2, 2, 3), (5, 0, 1), (5, 1, 2), (5, 2, 1)]
+    assert sorted(map(tuple, relate.reachable(cycle).collect())) == expected
 
 
 def test_snapshots_in_both_layouts(spark, tmp_path):
