@@ -5,16 +5,21 @@ The tables they keep lie in the shared scratch folder of the session.
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clusterlens.checks.base import query
-from clusterlens.checks.views import OP
+from clusterlens.checks.series import _lookups, _nodes_view, _stored_sql, rounded
+from clusterlens.checks.views import OP, metric_samples
 from clusterlens.functions.ids import ensure_uuid
+from clusterlens.operators import relate
+from clusterlens.plans import catalog
 from clusterlens.plans.sync import Store
 from clusterlens.session import scratch_dir
-from clusterlens.sources.readers import parse_objects, read_changes
+from clusterlens.sources.readers import parse_objects, read_changes, read_samples
 from clusterlens.sources.tables import KeyedTable
-from clusterlens.streaming import jobs
+from clusterlens.streaming import jobs, polling, state
 
 
 def event_stream(t) -> DataFrame:
@@ -112,3 +117,155 @@ def child_last_wins(t):
     raw = F.to_json(F.struct(F.struct(name.alias("uid"), name.alias("name")).alias("metadata"), F.struct(F.array(*ports).alias("ports")).alias("spec")))
     store.upsert("service", parse_objects(t.part.select(raw.alias("raw")), "service"), F.lit("c1"), F.lit("2024-02-01").cast("timestamp"), 0)
     return store.read("service_port").select("protocol", F.col("port").cast("int").alias("port"))
+
+
+# --------------------------------------------------------------------------- state store and watermarks
+
+_CHANGE_COLUMNS = ["op", "seq", "kind", "uid", "key", "object", "cluster_uuid"]
+
+
+def _customer_changes(t) -> DataFrame:
+    uid = F.concat(F.lit("c"), F.col("c_custkey").cast("string"))
+    return t.customer.select(
+        F.lit("ADDED").alias("op"),
+        F.col("c_custkey").alias("seq"),
+        F.lit("namespace").alias("kind"),
+        uid.alias("uid"),
+        uid.alias("key"),
+        _namespace(uid, F.col("c_nationkey")).alias("object"),
+        F.lit("c1").alias("cluster_uuid"),
+    )
+
+
+@query("stream_redelivered", "SELECT 'c' || c_custkey AS name, c_nationkey::VARCHAR AS resource_version, 1::BIGINT AS times FROM customer")
+def stream_redelivered(t):
+    """Every record is delivered three times over three batches; the consumer of upserts sees it once."""
+    folder = scratch_dir(t.spark, "redelivered")
+    store = Store(t.spark, f"{folder}/tables", ["namespace"])
+    records = _customer_changes(t)
+
+    def seen(rows: DataFrame, number: int) -> None:
+        rows.select("name", "resource_version").write.mode("overwrite").parquet(f"{folder}/seen/batch={number}")
+
+    changes = read_changes(t.spark, f"{folder}/in/*").withColumn("received", F.col("_metadata.file_modification_time"))
+    writer = jobs.object_changes(
+        state.first_deliveries(changes), store, "namespace", clock=lambda: F.lit("2024-02-01").cast("timestamp"), on_upsert=[seen]
+    )
+    for number in range(3):
+        # Twice within the batch in part, and again in the others.
+        again = records.where(F.col("c_custkey") % 3 == number)
+        records.where(F.col("c_custkey") % 3 != (number + 1) % 3).unionByName(again).write.json(f"{folder}/in/{number}")
+        finish(writer, f"{folder}/checkpoint")
+    found = t.spark.read.schema("name STRING, resource_version STRING").parquet(f"{folder}/seen")
+    return found.groupBy("name", "resource_version").agg(F.count(F.lit(1)).alias("times"))
+
+
+@query(
+    "stream_delete_once",
+    f"""WITH c AS (SELECT user_id, event_id, {OP} = 'DELETED' AS gone FROM events),
+    s AS (SELECT *, coalesce(lag(gone) OVER (PARTITION BY user_id ORDER BY event_id), false) AS before FROM c)
+    SELECT 'u' || user_id AS uid, event_id AS seq FROM s WHERE gone AND NOT before""",
+)
+def stream_delete_once(t):
+    """Of the deletes of an object in a row the first one counts, also where the stream was started anew in between."""
+    folder = scratch_dir(t.spark, "delete-once")
+    rows = t.events.select(
+        F.expr(OP).alias("op"),
+        F.col("event_id").alias("seq"),
+        F.lit("pod").alias("kind"),
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("uid"),
+        F.lit(None).cast("string").alias("key"),
+        F.lit(None).cast("string").alias("object"),
+        F.lit("c1").alias("cluster_uuid"),
+    )
+    middle = t.events.agg(F.max("event_id")).first()[0] // 2
+    with state.keyed_state(t.spark):
+        for number, part in enumerate((F.col("seq") <= middle, F.col("seq") > middle)):
+            rows.where(part).write.json(f"{folder}/in/{number}")
+            counted = state.delete_once(read_changes(t.spark, f"{folder}/in/*"), hours=10_000)
+            finish(counted.writeStream.format("parquet").option("path", f"{folder}/out"), f"{folder}/checkpoint")
+    return t.spark.read.schema("cluster_uuid STRING, kind STRING, uid STRING, seq BIGINT").parquet(f"{folder}/out").select("uid", "seq")
+
+
+# The events up to MIDDLE come first; some of the last six hours and of days before are held back and come with the rest.
+_MIDDLE, _LATE = "2024-01-16 00:00:00", "12 hours"
+_NEAR = f"ts < TIMESTAMP '{_MIDDLE}' AND ts >= TIMESTAMP '2024-01-15 18:00:00' AND event_id % 2 = 0"
+_FAR = f"ts < TIMESTAMP '2024-01-14 00:00:00' AND event_id % 10 = 0"
+
+
+@query(
+    "stream_minute_windows",
+    f"""WITH e AS (SELECT *, ts < TIMESTAMP '{_MIDDLE}' AND NOT ({_NEAR}) AND NOT ({_FAR}) AS early FROM events),
+    w AS (SELECT max(ts) - INTERVAL '{_LATE}' AS mark FROM e WHERE early)
+    SELECT event_type, epoch_us(date_trunc('minute', ts)) // 1000 AS minute_ms, arg_max(value, (ts, value)) AS value FROM e, w
+    WHERE event_id % 7 <> 0 AND (early OR date_trunc('minute', ts) + INTERVAL '1 minute' > date_trunc('millisecond', mark)) GROUP BY 1, 2""",
+)
+def stream_minute_windows(t):
+    """Late rows within the allowed time count, later ones are dropped, and a minute is written once, when it is over."""
+    folder = scratch_dir(t.spark, "minute-windows")
+    value = F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("value")
+    # Undefined samples move the watermark no further than defined ones: their time stays, their value does not count.
+    rows = t.events.select("event_type", "ts", value, F.expr(f"ts < TIMESTAMP '{_MIDDLE}' AND NOT ({_NEAR}) AND NOT ({_FAR})").alias("early"))
+    flush = t.spark.createDataFrame([("flush", datetime(2030, 1, 1), 0.0)], "event_type STRING, ts TIMESTAMP, value DOUBLE")
+    schema = "event_type STRING, ts TIMESTAMP, value DOUBLE"
+    parts = [rows.where("early").drop("early"), rows.where("NOT early").drop("early"), flush]
+    for number, part in enumerate(parts):
+        part.write.parquet(f"{folder}/in/{number}")
+        windows = jobs.minute_windows(t.spark.readStream.schema(schema).parquet(f"{folder}/in/*"), ["event_type"], _LATE)
+        finish(windows.writeStream.format("parquet").option("path", f"{folder}/out"), f"{folder}/checkpoint")
+    found = t.spark.read.schema("event_type STRING, minute TIMESTAMP, value DOUBLE").parquet(f"{folder}/out")
+    return found.select("event_type", F.unix_millis("minute").alias("minute_ms"), "value")
+
+
+# --------------------------------------------------------------------------- metrics as their samples arrive
+
+
+def _polled(t, level: str, lookups) -> DataFrame:
+    """The samples of a level in three batches that interleave, the last of them partly delivered before."""
+    folder = scratch_dir(t.spark, f"polled-{level}")
+    sources = {source for e in catalog.catalog().values() if e.level == level for source in e.sources}
+    samples = metric_samples(t, tuple(sources)).withColumn("part", F.pmod(F.xxhash64("ts"), F.lit(3)))
+    states = polling.StepStates(t.spark, f"{folder}/states")
+    writer = polling.metric_level(read_samples(t.spark, f"{folder}/in/*", stream=True), level, states, f"{folder}/rows", lookups=lookups)
+    for number in (2, 0, 1):
+        chosen = F.col("part") == number
+        again = chosen | (F.col("part") == 2) & (F.unix_millis("ts") % 10 == 0) if number == 1 else chosen
+        samples.where(again).drop("part").write.parquet(f"{folder}/in/{number}")
+        finish(writer, f"{folder}/checkpoint")
+    return rounded(polling.read_rows(t.spark, f"{folder}/rows").drop("hour"))
+
+
+def _level_sql(level: str) -> str:
+    letter = {catalog.CLUSTER: "C", catalog.NODE: "N"}[level]
+    return " UNION ALL ".join(_stored_sql(i) for i in sorted(catalog_ids()) if i[0] == letter)
+
+
+def catalog_ids() -> list[str]:
+    from clusterlens.checks.series import _ALL_STORED
+
+    return list(_ALL_STORED)
+
+
+@query("stream_metric_level_node", _level_sql(catalog.NODE))
+def stream_metric_level_node(t):
+    """All node metrics from out-of-order batches; a node is renamed meanwhile and seen when its dimension is refreshed."""
+    clock = [datetime(2024, 1, 1)]
+
+    def load() -> DataFrame:
+        known = _nodes_view(t)
+        early = clock[0] < datetime(2024, 1, 1, 1)
+        return relate.node_names(known.withColumn("name", F.concat(F.lit("old-"), "name")) if early else known)
+
+    nodes = polling.Refreshed(t.spark, load, clock=lambda: clock[0])
+
+    def lookups() -> dict:
+        found = {"nodes": nodes()}
+        clock[0] += timedelta(minutes=40)  # the second batch still has the first copy, the third one reads anew
+        return found
+
+    return _polled(t, catalog.NODE, lookups)
+
+
+@query("stream_metric_level_cluster", _level_sql(catalog.CLUSTER))
+def stream_metric_level_cluster(t):
+    return _polled(t, catalog.CLUSTER, lambda: _lookups(t, catalog.CLUSTER))

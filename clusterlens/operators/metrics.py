@@ -276,10 +276,7 @@ def divide(left: DataFrame, right: DataFrame, on: Sequence[str], scope: Sequence
 def minute_values(samples: DataFrame, keys: Sequence[str], ts: str = "ts", value: str = "value") -> DataFrame:
     """Last value per key and minute: a later sample of a minute replaces an earlier one.
 
-    A minute whose last sample is undefined has no value.
+    Undefined samples are left out, as a stream of them leaves what is stored.
     """
-    return (
-        samples.groupBy(*keys, F.date_trunc("minute", F.col(ts)).alias("minute"))
-        .agg(F.max_by(value, F.struct(ts, value)).alias("value"))
-        .where(~F.isnan("value"))
-    )
+    defined = samples.where(~F.isnan(value))
+    return defined.groupBy(*keys, F.date_trunc("minute", F.col(ts)).alias("minute")).agg(F.max_by(value, F.struct(ts, value)).alias("value"))
