@@ -26,9 +26,9 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,8 @@ from clusterlens.llm.staging import column, stage
 
 BLOCK = 1 << 20  # pairs of ids in a broadcast, 17 bytes each
 HELD = 1 << 20  # pairs of ids that a task holds before it hands them on, about
-KNOWN = 1 << 17  # segments whose tokens a task remembers; beyond that it forgets them all
+TOGETHER = 1 << 11  # segments encoded as one text: tokenizers slow down on long ones
+PORTION = 1 << 21  # bytes of text in a piece; a longer text is a piece of its own
 # A segment ends where one of these characters, none of which is white space, comes before a space; spaces at the end
 # of a text stay with what is before them.
 SEGMENT = re.compile(r" [^ ]*(?:(?<=[^!-~\u00a1-\u052f]) [^ ]*| +\Z)*")
@@ -110,18 +111,44 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Vocabulary:
-    """The bytes of each token, and an encoder of many texts."""
+    """The bytes of each token, and an encoder of many texts; ``ascii`` encodes ASCII text alike, but faster."""
 
-    def __init__(self, tokens: list[bytes], encode: Callable[[list[str]], list[list[int]]]) -> None:
-        self.encode = encode
+    def __init__(
+        self, tokens: list[bytes], encode: Callable[[list[str]], list[list[int]]], ascii: Callable[[str], list[int]] | None = None
+    ) -> None:
+        self.encode, self._ascii = encode, ascii
         self.sizes = np.array([len(t) for t in tokens], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
 
+    def one(self, text: str) -> np.ndarray:
+        return np.array(self._ascii(text) if self._ascii and text.isascii() else self.encode([text])[0], np.int64)
+
     def text(self, ids: np.ndarray) -> np.ndarray:
         return self.bytes[tx.spread(self.starts[ids], self.sizes[ids])]
 
 
+# Fixed value: how a byte-level tokenizer cuts text before merging.
+CUT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def _by_rank(definition: dict, tokens: list[bytes]) -> Callable[[str], list[int]] | None:
+    """An encoder by ranks, if merges are numbered in their order and the text is cut as usual.
+
+    Both cut ASCII text alike; beyond that their versions of Unicode may differ.
+    """
+    import tiktoken
+
+    model, cut = definition["model"], definition.get("pre_tokenizer") or {}
+    merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    numbered = all(model["vocab"].get(a + b) == 256 + k for k, (a, b) in enumerate(merges))
+    if not numbered or cut.get("type") != "ByteLevel" or not cut.get("use_regex", True) or definition.get("normalizer"):
+        return None
+    ranks = {token: k for k, token in enumerate(tokens[: 256 + len(merges)])}
+    encoding = tiktoken.Encoding("byte-level", pat_str=CUT, mergeable_ranks=ranks, special_tokens={})
+    return lambda text: encoding.encode_ordinary(" " + text)
+
+
 def byte_level(definition: str) -> Vocabulary:
     """A byte-level tokenizer; it reads the text after a space, and special tokens' strings as plain text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -133,7 +160,11 @@ def byte_level(definition: str) -> Vocabulary:
     alphabet = byte_alphabet()
     names = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())]
     tokens = [special[i] if i in special else bytes(alphabet[c] for c in name) for i, name in enumerate(names)]
-    return Vocabulary(tokens, lambda texts: [e.ids for e in tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)])
+
+    def encode(texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+
+    return Vocabulary(tokens, encode, _by_rank(json.loads(definition), tokens))
 
 
 def pieces(model: bytes) -> Vocabulary:
@@ -180,9 +211,11 @@ class Links:
     def pairs(self) -> np.ndarray:
         return self.a[self.left] << 32 | self.b[self.right]
 
-    def groups(self, names_a: list[str], names_b: list[str]) -> list[str]:
-        """Of each text, ``a1,a2|b1;a3|b2,b3``: the ids of each group in order."""
-        # Tokens of A followed by a comma or a bar, tokens of B by a comma or a semicolon.
+    def groups(self, table: list[str], of_a: int) -> list[str]:
+        """Of each text, ``a1,a2|b1;a3|b2,b3``: the ids of each group in order.
+
+        ``table`` has the ids of A followed by a comma or a bar, ``of_a`` entries, then those of B by a comma or a semicolon.
+        """
         last_a = np.append(self.group_a[1:] != self.group_a[:-1], True)[: len(self.a)]
         last_b = np.append(self.group_b[1:] != self.group_b[:-1], True)[: len(self.b)]
         count = len(self.before_groups) - 1
@@ -190,8 +223,7 @@ class Links:
         upto_b = np.concatenate([[0], np.cumsum(np.bincount(self.group_b, minlength=count))])
         code = np.empty(len(self.a) + len(self.b), np.int64)
         code[np.arange(len(self.a)) + upto_b[self.group_a]] = self.a * 2 + last_a
-        code[np.arange(len(self.b)) + upto_a[self.group_b + 1]] = 2 * len(names_a) + self.b * 2 + last_b
-        table = [n + s for n in names_a for s in ",|"] + [n + s for n in names_b for s in ",;"]
+        code[np.arange(len(self.b)) + upto_a[self.group_b + 1]] = of_a + self.b * 2 + last_b
         cut = (self.before_a + self.before_b).tolist()
         listed = [table[c] for c in code.tolist()]
         return ["".join(listed[low:high])[:-1] for low, high in zip(cut[:-1], cut[1:])]
@@ -202,73 +234,90 @@ def _sums(values: np.ndarray, before: np.ndarray) -> np.ndarray:
     return upto[before[1:]] - upto[before[:-1]]
 
 
-class Encoder:
-    """Segments to the ids of both tokenizers, remembered up to ``KNOWN`` of them."""
-
-    def __init__(self, vocabularies: tuple[Vocabulary, Vocabulary]) -> None:
-        self.vocabularies, self.known = vocabularies, {}
-
-    def of(self, segments: list[str]) -> list[tuple[list[int], list[int], bool]]:
-        """Ids of both, and whether their bytes are the segment's."""
-        if len(self.known) > KNOWN:
-            self.known.clear()
-        missing = [s for s in segments if s not in self.known]
-        closed = [s for s in missing if CLOSED.search(s)]
-        if closed:
-            self._together(closed)
-        for s in missing:
-            if s not in self.known:
-                ids = [v.encode([s[1:]])[0] for v in self.vocabularies]
-                good = all(v.text(np.array(x, np.int64)).tobytes() == s.encode() for v, x in zip(self.vocabularies, ids))
-                self.known[s] = (*ids, good)
-        return [self.known[s] for s in segments]
-
-    def _together(self, segments: list[str]) -> None:
-        """Encode segments joined to one text; those of a text whose tokens are not its bytes stay unknown."""
-        joined = "".join(segments)
-        ends = np.cumsum([len(s.encode()) for s in segments])
-        cuts = []
-        for v in self.vocabularies:
-            ids = v.encode([joined[1:]])[0]
-            upto = np.cumsum(v.sizes[ids])
-            at = np.minimum(np.searchsorted(upto, ends), len(upto) - 1)
-            if (upto[at] != ends).any() or v.text(np.array(ids, np.int64)).tobytes() != joined.encode():
-                return
-            cuts.append((ids, [0, *(at + 1).tolist()]))
-        (a, cut_a), (b, cut_b) = cuts
-        for k, s in enumerate(segments):
-            self.known[s] = (a[cut_a[k] : cut_a[k + 1]], b[cut_b[k] : cut_b[k + 1]], True)
-
-
-def _ends(sizes: list[int]) -> np.ndarray:
-    return np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))]).astype(np.int64)
+def segment_tokens(segments: list[str], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of all segments in order, how many each has, and whether their bytes are the segment's.
+
+    Segments that end where tokens end are joined and encoded as one text, the others one by one.  If a joined text
+    is not given back by its tokens, its halves are encoded, down to single segments.
+    """
+    raw = [s.encode() for s in segments]
+    lengths = np.array([len(x) for x in raw], np.int64)
+    ended = np.array([CLOSED.search(s[-1]) is not None for s in segments], bool)
+    counts, good = np.zeros(len(segments), np.int64), np.ones(len(segments), bool)
+    parts, order = [], []
+
+    def single(k: int) -> None:
+        ids = vocabulary.one(segments[k][1:])
+        good[k] = vocabulary.text(ids).tobytes() == raw[k]
+        counts[k] = len(ids)
+        parts.append(ids)
+        order.append(k)
+
+    def together(own: list[int]) -> None:
+        if len(own) < 2:
+            for k in own:
+                single(k)
+            return
+        joined = b"".join([raw[k] for k in own])
+        ids = vocabulary.one(joined[1:].decode())
+        upto, ends = np.cumsum(vocabulary.sizes[ids]), np.cumsum(lengths[own])
+        at = np.minimum(np.searchsorted(upto, ends), len(upto) - 1)
+        if (upto[at] != ends).any() or vocabulary.text(ids).tobytes() != joined:
+            together(own[: len(own) // 2])
+            together(own[len(own) // 2 :])
+            return
+        counts[own] = np.diff(at + 1, prepend=0)
+        parts.append(ids)
+        order.extend(own)
+
+    plain = np.array([s.isascii() for s in segments], bool)
+    for closed in (np.flatnonzero(ended & plain).tolist(), np.flatnonzero(ended & ~plain).tolist()):
+        for low in range(0, len(closed), TOGETHER):
+            together(closed[low : low + TOGETHER])
+    for k in np.flatnonzero(~ended).tolist():
+        single(k)
+    ids = np.concatenate([*parts, np.zeros(0, np.int64)])
+    place = np.argsort(np.array(order, np.int64))
+    starts = np.cumsum(counts[order]) - counts[order] if order else np.zeros(0, np.int64)
+    return ids[tx.spread(starts[place], counts)], counts, good
+
+
+def _ends(sizes: list[int] | np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(np.asarray(sizes, np.int64))]).astype(np.int64)
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
 
 
 def _encoder(held):
     """Texts to pieces: the ids of the documents, and packed the distinct segments' tokens and each document's segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(_vocabularies(*held.value))
+        vocabularies = _vocabularies(*held.value)
         for batch in batches:
-            for first, last, data, offsets in tx.pieces(batch.column(1)):
+            for first, last, data, offsets in tx.pieces(batch.column(1), PORTION):
                 texts = [data[a:b].tobytes().decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
                 number: dict[str, int] = {}
-                held_by = [[number.setdefault(s, len(number)) for s in SEGMENT.findall(" " + t)] if t else [] for t in texts]
-                tokens = encoder.of(list(number))
-                bad = {k for k, x in enumerate(tokens) if not x[2]}
-                if bad:
-                    for d, own in enumerate(held_by):
-                        if not bad.isdisjoint(own) and not _whole(" " + texts[d], [tokens[k] for k in own], encoder.vocabularies):
-                            held_by[d] = []
-                one, two = [x[0] for x in tokens], [x[1] for x in tokens]
-                body = pack(
-                    np.fromiter(chain.from_iterable(one), np.int32),
-                    _ends(list(map(len, one))),
-                    np.fromiter(chain.from_iterable(two), np.int32),
-                    _ends(list(map(len, two))),
-                    np.fromiter(chain.from_iterable(held_by), np.int32),
-                    _ends(list(map(len, held_by))),
-                )
+                segment, sizes = array("i"), []
+                for t in texts:
+                    own = SEGMENT.findall(" " + t) if t else []
+                    segment.extend([number.setdefault(s, len(number)) for s in own])
+                    sizes.append(len(own))
+                segment, before = np.frombuffer(segment, np.int32) if segment else np.zeros(0, np.int32), _ends(sizes)
+                (a, count_a, good_a), (b, count_b, good_b) = (segment_tokens(list(number), v) for v in vocabularies)
+                bad = ~(good_a & good_b)[segment]
+                if bad.any():
+                    keep = np.ones(len(segment), bool)
+                    for d in np.unique(np.searchsorted(before, np.flatnonzero(bad), side="right") - 1).tolist():
+                        own = segment[before[d] : before[d + 1]]
+                        sides = ((a, count_a), (b, count_b))
+                        given = [v.text(_slices(x, _ends(n), own)[0]) for v, (x, n) in zip(vocabularies, sides)]
+                        if any(x.tobytes() != (" " + texts[d]).encode() for x in given):
+                            keep[before[d] : before[d + 1]], sizes[d] = False, 0
+                    segment, before = segment[keep], _ends(sizes)
+                body = pack(a.astype(np.int32), _ends(count_a), b.astype(np.int32), _ends(count_b), segment, before)
                 ids = pa.ListArray.from_arrays(pa.array([0, last - first], pa.int32()), pa.concat_arrays([batch.column(0).slice(first, last - first)]))
                 stored = len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
                 zeros = pa.array([[0] * (last - first)], pa.list_(pa.int64()))
@@ -277,13 +326,6 @@ def _encoder(held):
     return run
 
 
-def _whole(text: str, tokens: list[tuple], vocabularies: tuple[Vocabulary, Vocabulary]) -> bool:
-    """Whether the tokens of all segments together are the text's bytes for both tokenizers."""
-    return all(
-        v.text(np.fromiter(chain.from_iterable(x[k] for x in tokens), np.int64)).tobytes() == text.encode() for k, v in enumerate(vocabularies)
-    )
-
-
 class Piece:
     """The stored texts of a piece: links between the tokens of its distinct segments, and the segments of each text."""
 
@@ -291,7 +333,7 @@ class Piece:
         body = pa.decompress(stored[8:], int.from_bytes(stored[:8], "little"), codec="zstd", asbytes=True)
         a, before_a, b, before_b, segment, self.before = unpack(body, np.int32, np.int64, np.int32, np.int64, np.int32, np.int64)
         a, b, self.segment = a.astype(np.int64), b.astype(np.int64), segment.astype(np.int64)
-        used = np.unique(self.segment)
+        used = np.flatnonzero(np.bincount(self.segment, minlength=1))
         if len(used) < len(before_a) - 1:  # those of texts without tokens go
             new = np.zeros(len(before_a), np.int64)
             new[used] = np.arange(len(used))
@@ -306,7 +348,7 @@ class Piece:
 
 def _slices(values: np.ndarray, before: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.diff(before)[own]
-    return values[tx.spread(before[own], sizes)], _ends(sizes.tolist())
+    return values[tx.spread(before[own], sizes)], _ends(sizes)
 
 
 def _counter(held):
@@ -334,10 +376,10 @@ def _counter(held):
                 pairs, number = np.unique(links.pairs(), return_inverse=True)
                 doc = np.repeat(np.arange(len(piece.before) - 1), np.diff(piece.before))
                 many = len(links.before_links) - 1
-                own = np.unique(doc * many + piece.segment)
+                own = _distinct(doc * many + piece.segment)
                 doc, segment = own // many, own % many
                 sizes = np.diff(links.before_links)[segment]
-                own = np.unique(np.repeat(doc, sizes) * len(pairs) + number[tx.spread(links.before_links[segment], sizes)])
+                own = _distinct(np.repeat(doc, sizes) * len(pairs) + number[tx.spread(links.before_links[segment], sizes)])
                 counts = np.bincount(own % len(pairs), minlength=len(pairs))
                 found = pairs
                 parts.append((found, counts.astype(np.int64)))
@@ -380,13 +422,13 @@ def _looker(held, block):
 def _finisher(held, find):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = _vocabularies(*held.value)
-        names = [[str(i) for i in range(len(v.sizes))] for v in (one, two)]
+        table = [f"{i}{end}" for v, ends in ((one, ",|"), (two, ",;")) for i in range(len(v.sizes)) for end in ends]
         for batch in find(batches):
             for k in range(batch.num_rows):
                 piece = Piece(batch.column(1)[k].as_py(), one, two)
                 links = piece.links
                 numbers = [piece.total(x) for x in (links.before_a, links.before_b, links.n_groups, links.before_links, links.shared_group_links)]
-                groups, listed, cut = links.groups(*names), piece.segment.tolist(), piece.before.tolist()
+                groups, listed, cut = links.groups(table, 2 * len(one.sizes)), piece.segment.tolist(), piece.before.tolist()
                 digests = [
                     hashlib.sha256(";".join([groups[i] for i in listed[low:high]]).encode()).hexdigest() if high > low else ""
                     for low, high in zip(cut[:-1], cut[1:])

@@ -112,12 +112,27 @@ def test_segments_join_to_the_tokens_of_the_text(files):
     for text in [t for t in texts() if t and "▁" not in t] + [" ", "a ", "é  ", "\n "] + [r[1] for r in hard_rows() if r[1] and len(r[1]) < 100_000]:
         segments = tl.SEGMENT.findall(" " + text)
         assert "".join(segments) == " " + text
-        found = tl.Encoder(vocabularies).of(segments)
-        for k, v in enumerate(vocabularies):
-            assert sum((x[k] for x in found), []) == v.encode([text])[0]
+        for v in vocabularies:
+            ids, counts, good = tl.segment_tokens(segments, v)
+            assert good.all() and counts.sum() == len(ids) and ids.tolist() == v.encode([text])[0]
     assert not [t for v in vocabularies for t in np.split(v.bytes, v.starts[1:]) if re.search("[!-~\u00a1-\u052f] ", t.tobytes().decode(errors="ignore"))]
 
 
+def test_ranks_encode_ascii_like_the_definition(files):
+    one = tl.byte_level(files[0])
+    assert one._ascii
+    some = [f"{a}{chr(i)}{b}{chr(j)} x" for i in range(128) for j in range(128) for a, b in (("", "a"), ("1 ", ""))]
+    some += ["<|endoftext|>", "don't we'LL I'm", "   \n\n  a  ", "0123456789abcdef" * 9, "e" * 300, prose(8, 300)]
+    assert [one._ascii(t) for t in some] == one.encode(some)
+
+
+def test_a_segment_that_is_not_given_back(files):
+    segments = [" one", " two▁three", " four", " fünf "]
+    for v, wanted in zip(tl._vocabularies(*files), ([True] * 4, [True, False, True, True])):
+        ids, counts, good = tl.segment_tokens(segments, v)
+        assert good.tolist() == wanted and ids.tolist() == sum((v.encode([s[1:]])[0] for s in segments), [])
+
+
 def test_texts_that_tokens_do_not_give_back(spark, files):
     definition, model = files
     one, two = tl._vocabularies(definition, model)
