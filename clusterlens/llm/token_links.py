@@ -42,7 +42,7 @@ from clusterlens.llm.staging import column, stage
 BLOCK = 1 << 20  # pairs of ids in a broadcast, 17 bytes each
 HELD = 1 << 20  # pairs of ids that a task holds before it hands them on, about
 TOGETHER = 1 << 11  # segments encoded as one text: tokenizers slow down on long ones
-PORTION = 1 << 21  # bytes of text in a piece; a longer text is a piece of its own
+PORTION = 1 << 19  # bytes of text in a piece; a longer text is a piece of its own
 # A segment ends where one of these characters, none of which is white space, comes before a space; spaces at the end
 # of a text stay with what is before them.
 SEGMENT = re.compile(r" [^ ]*(?:(?<=[^!-~\u00a1-\u052f]) [^ ]*| +\Z)*")
