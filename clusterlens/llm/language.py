@@ -9,8 +9,9 @@ subtracted from one, relative to the largest possible.
 Characters are lower-cased; everything that is no letter separates words, and a word is bounded by one
 separator on either side.  Ties in frequency are broken by the n-gram itself, ties in distance by the language's name.
 
-Counts are taken over all training documents: tasks sum up by language and n-gram, Spark adds these, and only the
-profiles (``size`` n-grams a language, and at most ``max_languages`` languages) reach the driver.
+Counts are taken over all training documents: tasks sum up by language and n-gram, Spark adds these, and the profiles
+become a table.  Documents are compared with ``at_once`` languages at a time, whose profiles (``size`` n-grams each) are all that
+reaches the driver and a broadcast; with more languages the least distance so far goes along to the next block.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0, as is any text if nothing
 was learned; rows of null language teach nothing; repeated rows count as often as they stand.
@@ -18,7 +19,7 @@ was learned; rows of null language teach nothing; repeated rows count as often a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from functools import lru_cache
 
 import numpy as np
@@ -28,8 +29,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clusterlens.llm import text as tx
+from clusterlens.llm.staging import column, free_name, stage
 
-ORDER, SIZE, MAX_LANGUAGES = 3, 400, 1000
+ORDER, SIZE, AT_ONCE = 3, 400, 1000
 UNKNOWN = "und"
 
 
@@ -73,8 +75,8 @@ def top(codes: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     return codes[np.argsort(-counts, kind="stable")][:size]
 
 
-def learn(documents: DataFrame, text: str = "text", lang: str = "lang", *, order: int = ORDER, size: int = SIZE, max_languages: int = MAX_LANGUAGES) -> dict[str, np.ndarray]:
-    """The profiles of all languages."""
+def learn_table(documents: DataFrame, text: str = "text", lang: str = "lang", *, order: int = ORDER, size: int = SIZE) -> DataFrame:
+    """The profiles of all languages as a table: ``lang, rank`` (from 1) and ``code`` of each n-gram."""
     if not 1 <= order <= 3:
         raise ValueError("n-grams of one to three characters are supported")
     rows = documents.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
@@ -111,12 +113,27 @@ def learn(documents: DataFrame, text: str = "text", lang: str = "lang", *, order
 
     counts = rows.mapInArrow(tx.frugal(run), "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     best = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).where(F.col("rank") <= size)
-    found: dict[str, list[int]] = {}
-    for row in best.orderBy("lang", "rank").limit(size * max_languages + 1).toLocalIterator():
-        found.setdefault(row.lang, []).append(row.code)
-        if len(found) > max_languages:
-            raise ValueError(f"over {max_languages} languages to learn; raise max_languages")
-    return {name: np.array(codes, np.int64).view(np.uint64) for name, codes in found.items()}
+    return stage(best.select("lang", "rank", "code"), "language-profiles")
+
+
+def learn(documents: DataFrame, text: str = "text", lang: str = "lang", *, order: int = ORDER, size: int = SIZE, max_languages: int = AT_ONCE) -> dict[str, np.ndarray]:
+    """The profiles on the driver; raises for more than ``max_languages`` of them, which ``learn_table`` takes."""
+    found = blocks(learn_table(documents, text, lang, order=order, size=size), max_languages)
+    first = next(found, {})
+    if next(found, None):
+        raise ValueError(f"over {max_languages} languages; use learn_table")
+    return first
+
+
+def blocks(profiles: DataFrame, at_once: int) -> Iterator[dict[str, np.ndarray]]:
+    """The profiles of ``at_once`` languages after another, in order of their names."""
+    rest = profiles
+    while names := [r.lang for r in rest.select("lang").distinct().orderBy("lang").limit(at_once).collect()]:
+        rows = rest.where(F.col("lang") <= names[-1]).orderBy("lang", "rank").toArrow()
+        langs, codes = rows.column("lang").to_pylist(), rows.column("code").to_numpy()
+        cuts = [0, *(k for k in range(1, len(langs)) if langs[k] != langs[k - 1]), len(langs)]
+        yield {langs[a]: codes[a:b].astype(np.int64).view(np.uint64) for a, b in zip(cuts, cuts[1:])}
+        rest = rest.where(F.col("lang") > names[-1])
 
 
 def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -149,20 +166,42 @@ class Profiles:
         return self.names[best], 1.0 - float(distance[best]) / (self.size * len(own))
 
 
-def identify(documents: DataFrame, profiles: dict[str, np.ndarray], *, text: str = "text", order: int = ORDER, size: int = SIZE) -> DataFrame:
-    """The documents without the text, with ``lang_pred`` and ``score`` (0 to 1); columns of those names are replaced."""
-    table = documents.sparkSession.sparkContext.broadcast(Profiles(profiles, order, size))  # at most size * max_languages n-grams
+def identify(
+    documents: DataFrame, profiles: DataFrame | Mapping[str, np.ndarray], *, text: str = "text", order: int = ORDER, size: int = SIZE, at_once: int = AT_ONCE
+) -> DataFrame:
+    """The documents without the text, with ``lang_pred`` and ``score`` (0 to 1); columns of those names are replaced.
+
+    ``profiles``: what ``learn_table`` or ``learn`` found.  With more than ``at_once`` languages in the table, the
+    documents are written to the shared folder between two blocks of languages.
+    """
+    parts = iter([profiles]) if isinstance(profiles, Mapping) else blocks(profiles, at_once)
+    now, following = next(parts, {}), next(parts, None)
+    carried = [c for c in documents.columns if c not in (text, "lang_pred", "score")]
+    held = free_name("text", [*carried, "lang_pred", "score"])
+    rows = documents.select(*[column(c) for c in carried], column(text).alias(held))
+    found = _compared(rows, now, held, order, size, first=True, last=following is None)
+    while following is not None:
+        now, following = following, next(parts, None)
+        found = _compared(stage(found, "language"), now, held, order, size, first=False, last=following is None)
+    return found
+
+
+def _compared(documents: DataFrame, profiles: Mapping[str, np.ndarray], text: str, order: int, size: int, *, first: bool, last: bool) -> DataFrame:
+    """The best language so far: of these profiles, or the one found before if none of these is nearer."""
+    table = documents.sparkSession.sparkContext.broadcast(Profiles(dict(profiles), order, size))  # at most size * at_once n-grams
     carried = [c for c in documents.columns if c not in (text, "lang_pred", "score")]
-    schema = T.StructType([*[documents.schema[c] for c in carried], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    fields = [*[documents.schema[c] for c in carried], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    schema = T.StructType(fields if last else [*fields, T.StructField(text, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.schema.names
-            found = [table.value.predict(x.as_py()) for x in batch.column(names.index(text))]
-            columns = [batch.column(names.index(c)) for c in carried]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=schema.names
-            )
+            at = batch.schema.names.index
+            found = [table.value.predict(x.as_py()) for x in batch.column(at(text))]
+            if not first:
+                before = zip(batch.column(at("lang_pred")).to_pylist(), batch.column(at("score")).to_pylist())
+                found = [new if new[1] > old[1] else old for old, new in zip(before, found)]
+            columns = [*[batch.column(at(c)) for c in carried], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns if last else [*columns, batch.column(at(text))], names=schema.names)
 
     return documents.mapInArrow(tx.frugal(run), schema)
 
