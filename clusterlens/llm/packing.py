@@ -6,9 +6,9 @@ its bucket).  Inside a bucket, documents form batches of ``budget // bound`` row
 so that a padded batch stays within the token budget; a document longer than the budget is a batch
 of its own.
 
-The histogram has a bounded size: lengths below 2^(digits) count exactly, longer ones are rounded up to
-``digits`` leading binary digits, and bounds are chosen among these values.  Ranks inside a bucket come
-from counts per slice of the bucket, so that a bucket holding most documents is numbered by many tasks.
+The histogram counts every length exactly.  It has at most sqrt(2 * tokens) lengths, since n different lengths take
+n * (n - 1) / 2 tokens at least: 16 bytes each on the driver, and the program divides and conquers (``buckets`` * n * log n steps).
+Ranks inside a bucket come from counts per slice of the bucket, so that a bucket holding most documents is numbered by many tasks.
 
 Defined cases: a null or empty text has no tokens and is padded like any other; repeated rows are
 packed once each; an empty table gives an empty result; columns of clashing names are no problem,
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,14 +44,7 @@ def bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> tuple[list[
     best[0] = 0
     choice = []
     for _ in range(min(buckets, n)):
-        # now[j]: least padding of the first j lengths with one more bucket, ending at length j - 1.
-        now, at = np.full(n + 1, far), np.zeros(n + 1, np.int64)
-        now[0] = 0
-        for j in range(1, n + 1):
-            cost = best[:j] + (rows[j] - rows[:j]) * lengths[j - 1] - (tokens[j] - tokens[:j])
-            at[j] = np.argmin(cost)
-            now[j] = cost[at[j]]
-        best = now
+        best, at = _one_more(best, lengths, rows, tokens)
         choice.append(at)
     found, j = [], n
     for at in reversed(choice):
@@ -61,11 +54,36 @@ def bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> tuple[list[
     return found[::-1], int(best[n])
 
 
-def rounded(length: Column, digits: int) -> Column:
-    """The length, or beyond ``digits`` binary digits the next larger value with that many leading ones."""
-    shift = F.greatest(F.length(F.bin(length)) - digits, F.lit(0))
-    step = F.call_function("shiftleft", F.lit(1).cast("bigint"), shift)
-    return F.ceil(length / step).cast("bigint") * step
+def _one_more(best: np.ndarray, lengths: np.ndarray, rows: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least padding of the first j lengths with one more bucket that ends at length j - 1, and where that bucket begins.
+
+    The beginning never moves back as j grows (the padding has the quadrangle inequality), so the middle one of a range of j bounds those
+    of both halves.  All ranges of one depth are searched together: about as many candidates as lengths.
+    """
+    n = len(lengths)
+    now, at = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+    first, last, low, high = (np.array([x], np.int64) for x in (1, n, 0, n - 1))  # ranges of j, and of beginnings
+    while len(first):
+        middle = (first + last) // 2
+        width = np.minimum(high, middle - 1) - low + 1
+        heads = np.cumsum(width) - width
+        begin = np.arange(width.sum()) - np.repeat(heads - low, width)
+        j = np.repeat(middle, width)
+        cost = best[begin] + (rows[j] - rows[begin]) * lengths[j - 1] - (tokens[j] - tokens[begin])
+        now[middle] = np.minimum.reduceat(cost, heads)
+        least = np.flatnonzero(cost == np.repeat(now[middle], width))
+        at[middle] = begin[least[np.searchsorted(least, heads)]]
+        left, right = first < middle, middle < last
+        first, last, low, high = (
+            np.concatenate(x)
+            for x in (
+                (first[left], middle[right] + 1),
+                (middle[left] - 1, last[right]),
+                (low[left], at[middle][right]),
+                (at[middle][left], high[right]),
+            )
+        )
+    return now, at
 
 
 def word_counts(documents: DataFrame, text: str) -> DataFrame:
@@ -85,7 +103,7 @@ def word_counts(documents: DataFrame, text: str) -> DataFrame:
 
 
 def pack(
-    documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", buckets: int = 16, budget: int = 8192, digits: int = 8, slices: int | None = None
+    documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", buckets: int = 16, budget: int = 8192, slices: int | None = None
 ) -> DataFrame:
     """Per document: id, ``n_tokens``, ``bucket`` (from 0), ``bound``, ``batch`` (inside the bucket) and ``slot`` in it.
 
@@ -94,8 +112,8 @@ def pack(
     spark = documents.sparkSession
     slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = stage(word_counts(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text"), "packing")
-    histogram = sorted(tuple(r) for r in rows.groupBy(rounded(F.col("n_tokens"), digits).alias("length")).count().collect())
-    lengths, counts = (np.array([h[k] for h in histogram], np.int64) for k in (0, 1))
+    histogram = rows.groupBy("n_tokens").count().toArrow().sort_by("n_tokens")
+    lengths, counts = (histogram.column(c).to_numpy() for c in ("n_tokens", "count"))
     found, _ = bounds(lengths, counts, buckets)
     upper = F.array(*[F.lit(b).cast("bigint") for b in found]) if found else F.array(F.lit(0).cast("bigint"))
     placed = rows.select(

@@ -109,6 +109,24 @@ def test_bounds_are_optimal():
         assert waste == best == padding(bounds) and len(bounds) <= buckets
 
 
+def test_bounds_of_many_lengths():
+    pick = np.random.default_rng(5)
+    for n, buckets in ((200, 16), (257, 3), (64, 1)):
+        lengths = np.sort(pick.choice(20_000, n, replace=False)).astype(np.int64)
+        counts = (pick.pareto(1, n) * 10 + 1).astype(np.int64)
+        least = {0: 0}  # of the first j lengths
+        for _ in range(buckets):
+            again = {0: 0}
+            for j in range(1, n + 1):
+                again[j] = min(least[i] + int((counts[i:j] * (lengths[j - 1] - lengths[i:j])).sum()) for i in range(j) if i in least)
+            least = again
+        bounds, waste = packing.bounds(lengths, counts, buckets)
+        upper = np.array(bounds)[np.searchsorted(bounds, lengths)]
+        assert waste == least[n] == int((counts * (upper - lengths)).sum()) and len(bounds) <= buckets
+    lengths = np.arange(1, 100_001, dtype=np.int64)
+    assert len(packing.bounds(lengths, np.ones(100_000, np.int64), 16)[0]) == 16
+
+
 def test_packed_batches(spark, data, hard, none):
     for frame in (data("documents"), hard):
         rows = packing.pack(frame, buckets=6, budget=2000, slices=3).collect()
