@@ -136,10 +136,18 @@ def fit(label: np.ndarray, doc: np.ndarray, column: np.ndarray, count: np.ndarra
 def learn(
     documents: DataFrame, labels: DataFrame, learn_from: Column, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 20_000, bits: int = 20, columns: int = 2000
 ) -> Model:
-    """Fit to a bounded sample of the labelled documents that meet ``learn_from`` (a condition on ``doc_id``)."""
+    """Fit to at most ``sample`` of the labelled documents that meet ``learn_from`` (a condition on ``doc_id``).
+
+    The sample goes by a hash of the id; rows equal in id, text and label count once.
+    """
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).where("label is not null").where(learn_from)
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
-    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("label", "text")
+    texts = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("copy"))
+    # An id may stand in any number of rows: what is learned from is bounded after the join.
+    one = ["doc_id", "label", "copy"]
+    labelled = texts.select("doc_id", "copy").join(F.broadcast(chosen), "doc_id").select(*one).distinct()
+    taken = stage(labelled.orderBy(F.xxhash64("doc_id"), *one).limit(sample), "toxicity-sample")
+    rows = texts.join(F.broadcast(taken), ["doc_id", "copy"]).groupBy(*one).agg(F.min("text").alias("text")).select("label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
