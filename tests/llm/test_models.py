@@ -66,6 +66,18 @@ def test_language_hard_rows(hard, none):
         language.learn(hard, max_languages=1)
 
 
+def test_languages_in_blocks(spark, data, hard, none):
+    documents = data("documents").select("doc_id", "text", F.concat("lang", F.pmod("doc_id", F.lit(3)).cast("string")).alias("lang"))
+    table = language.learn_table(documents)
+    rows = documents.select("doc_id", "text", F.lit(5).alias("score")).union(hard.select(F.col("doc_id") + 10**6, "text", F.lit(5)))
+    whole = sorted(language.identify(rows, table).collect(), key=repr)
+    assert len({r.lang_pred for r in whole}) > 5
+    for at_once in (1, 5):
+        assert sorted(language.identify(rows, table, at_once=at_once).collect(), key=repr) == whole
+    assert [len(b) for b in language.blocks(table, 5)] == [5, 5, 2]
+    assert {r.lang_pred for r in language.identify(hard, language.learn_table(none)).collect()} == {"und"}
+
+
 def test_quality_statistics_of_single_texts_and_together():
     from clusterlens.llm.text import pieces
     import pyarrow as pa
@@ -162,6 +174,24 @@ def test_toxicity_of_planted_words(spark):
     assert all(0 <= r.severity <= 2 and 0 <= r.p_toxic <= 1 for r in found.values())
 
 
+def test_toxicity_sample_bounds_rows(spark, monkeypatch):
+    sizes = []
+    fit = toxicity.fit
+
+    def seen(label, *rest, **named):
+        sizes.append(len(label))
+        return fit(label, *rest, **named)
+
+    monkeypatch.setattr(toxicity, "fit", seen)
+    rows = [(k, f"word{k % 7} bad{k % 2}") for k in range(30)] + [(3, f"text {k}") for k in range(500)] + [(4, "same")] * 300
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id bigint, toxic int")
+    toxicity.learn(documents, labels, F.lit(True), sample=20)
+    toxicity.learn(documents, labels, F.lit(True), sample=30)
+    toxicity.learn(documents, labels, F.lit(True))
+    assert sizes[0] <= 20 and sizes[1] == 30 and sizes[2] == 531
+
+
 def test_toxicity_hard_rows(spark, hard, none):
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, None), (7, 0), (8, 1), (13, 0), (99, 1)], "doc_id bigint, toxic int")
     model = toxicity.learn(hard, labels, F.lit(True))
