@@ -6,10 +6,12 @@ The tables they keep lie in the shared scratch folder of the session.
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clusterlens.checks.base import query
+from clusterlens.checks.core import _labelled_parts, _services
 from clusterlens.checks.series import _lookups, _nodes_view, _stored_sql, rounded
 from clusterlens.checks.views import OP, metric_samples
 from clusterlens.functions.ids import ensure_uuid
@@ -19,7 +21,7 @@ from clusterlens.plans.sync import Store
 from clusterlens.session import scratch_dir
 from clusterlens.sources.readers import parse_objects, read_changes, read_samples
 from clusterlens.sources.tables import KeyedTable
-from clusterlens.streaming import jobs, polling, state
+from clusterlens.streaming import jobs, polling, selectors, state
 
 
 def event_stream(t) -> DataFrame:
@@ -217,6 +219,52 @@ def stream_minute_windows(t):
     return found.select("event_type", F.unix_millis("minute").alias("minute_ms"), "value")
 
 
+# --------------------------------------------------------------------------- services and their pods
+
+
+@query(
+    "stream_service_pods",
+    """SELECT p_brand || '|' || p_type || '|' || (p_size % 2) AS service_uuid, p_partkey AS pod_uuid FROM part WHERE p_partkey % 7 <> 1 AND p_partkey % 11 <> 0
+    UNION ALL SELECT p_brand, p_partkey FROM part WHERE p_size % 2 = 0 AND p_partkey % 7 <> 1 AND p_partkey % 11 <> 0""",
+)
+def stream_service_pods(t):
+    """Three batches in which pods and services arrive, change and go in any order: older versions after newer ones, deletes before additions."""
+    folder = scratch_dir(t.spark, "service-pods")
+    pods, services = _labelled_parts(t), _services(t)
+    pod_uid, service_uid = F.concat(F.lit("p"), F.col("pod_uuid").cast("string")), F.col("service_uuid")
+
+    def changes(rows: DataFrame, kind: str, uid, seq: int, part, labels=None, selector=None, op: str = "UPDATED") -> DataFrame:
+        meta = F.struct(uid.alias("uid"), uid.alias("name"), F.col("namespace"), *([labels.alias("labels")] if labels is not None else []))
+        fields = [meta.alias("metadata"), *([F.struct(selector.alias("selector")).alias("spec")] if selector is not None else [])]
+        document = F.to_json(F.struct(*fields)) if op != "DELETED" else F.lit(None).cast("string")
+        columns = {"op": F.lit(op), "seq": F.lit(seq), "kind": F.lit(kind), "uid": uid, "key": uid, "object": document, "cluster_uuid": F.lit("c1")}
+        return rows.select(*[c.alias(n) for n, c in columns.items()], F.pmod(part, F.lit(3)).alias("part"))
+
+    number = F.col("pod_uuid")
+    all_ = F.create_map(F.lit("tier"), F.lit("shop"))  # would select every pod
+    moved = F.create_map(F.lit("tier"), F.lit("other"))
+    some = F.xxhash64("service_uuid")
+    log = [
+        changes(pods, "pod", pod_uid, 100, number, labels=F.col("labels")),
+        changes(pods.where("pod_uuid % 5 = 0"), "pod", pod_uid, 50, number + 1, labels=moved),  # older, though it comes later
+        changes(pods.where("pod_uuid % 7 = 1"), "pod", pod_uid, 200, number + 2, labels=moved),
+        changes(pods.where("pod_uuid % 11 = 0"), "pod", pod_uid, 300, number + 1, op="DELETED"),
+        changes(services, "service", service_uid, 20, some, selector=F.col("selector")),
+        changes(services, "service", service_uid, 10, some + 1, selector=all_),
+        changes(services.where("service_uuid NOT LIKE '%|%' AND size(selector) = 0"), "service", service_uid, 400, some + 2, op="DELETED"),
+    ]
+    rows = reduce(DataFrame.unionByName, log)
+    index = selectors.SelectorIndex(t.spark, f"{folder}/index")
+    writer = selectors.service_pods(read_changes(t.spark, f"{folder}/in/*"), index)
+    for part in range(3):
+        rows.where(F.col("part") == part).drop("part").write.json(f"{folder}/in/{part}")
+        finish(writer, f"{folder}/checkpoint")
+    names = services.select(ensure_uuid(service_uid).alias("a"), "service_uuid")
+    numbers = pods.select(ensure_uuid(pod_uid).alias("b"), "pod_uuid")
+    found = index.read().select(F.col("service_uuid").alias("a"), F.col("pod_uuid").alias("b"))
+    return found.join(names, "a").join(numbers, "b").select("service_uuid", "pod_uuid")
+
+
 # --------------------------------------------------------------------------- metrics as their samples arrive
 
 
