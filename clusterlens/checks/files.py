@@ -109,3 +109,30 @@ def stream_logs(t):
     stream = t.spark.readStream.schema(schemas.LOG_CHUNK).parquet(f"{folder}/in")
     finish(jobs.log_appends(stream, table, lambda: started), f"{folder}/checkpoint")
     return table.read().select(F.col("container_uuid").alias("source"), "logs")
+
+
+@query(
+    "stream_log_files",
+    _TAIL_SQL.replace("FROM documents WHERE text <> ''", "FROM (SELECT source, doc_id, concat(text, chr(10)) AS text FROM documents WHERE text IS NOT NULL)"),
+)
+def stream_log_files(t):
+    """Two log files per container in two batches, each read in several splits."""
+    folder = scratch_dir(t.spark, "log-files")
+    half, size = t.documents.agg(F.expr("max(doc_id) div 2"), F.sum(F.octet_length("text"))).first()
+    rows = t.documents.where("text IS NOT NULL").select(
+        F.lit("p").alias("pod_uuid"), F.col("source").alias("container_uuid"), (F.col("doc_id") > half).cast("int").alias("seq"), "doc_id", "text"
+    )
+    layout = ["pod_uuid", "container_uuid", "seq"]
+    started = t.documents.select(F.col("source").alias("uuid"), F.lit(True).alias("started")).distinct()
+    table = KeyedTable(t.spark, f"{folder}/table", t.spark.createDataFrame([], UNFILLED["container_log"]).schema, ["container_uuid"])
+    setting, before = "spark.sql.files.maxPartitionBytes", t.spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for number in range(2):
+        ordered = rows.where(F.col("seq") == number).repartition("container_uuid").sortWithinPartitions(*layout, "doc_id")
+        ordered.drop("doc_id").write.partitionBy(*layout).text(f"{folder}/in/{number}")
+        t.spark.conf.set(setting, str(max((size or 0) // 100, 1024)))
+        try:
+            lines = readers.read_log_lines(t.spark, f"{folder}/in/*/*/*/*")
+            finish(jobs.log_file_appends(lines, table, lambda: started), f"{folder}/checkpoint")
+        finally:
+            t.spark.conf.set(setting, before)
+    return table.read().select(F.col("container_uuid").alias("source"), "logs")

@@ -81,3 +81,32 @@ def wanted_chunks(chunks: DataFrame, containers: DataFrame) -> DataFrame:
     """Chunks of containers that are started; logs of others are not collected."""
     started = containers.where(F.col("started")).select(F.col("uuid").alias("container_uuid"))
     return chunks.join(started, "container_uuid", "left_semi")
+
+
+def line_chunks(lines: DataFrame, containers: DataFrame) -> DataFrame:
+    """Chunks of one line each, numbered per container, from the lines of one batch of ``read_log_lines``.
+
+    Only started containers count.  The lines of a split are numbered by the task that reads it; sizes of all splits, one row
+    each, then tell how many lines lie before it.  A file's last line gets a newline only if the file ends with one.
+    The lines are written once to the shared folder, so that all steps see the same numbers.
+    """
+    spark = lines.sparkSession
+    folder = scratch_dir(spark, "log-lines")
+    read = wanted_chunks(lines.withColumn("_row", F.monotonically_increasing_id()), containers)
+    read.write.parquet(folder)
+    rows = spark.read.schema(read.schema).parquet(folder)
+    split = ["container_uuid", "pod_uuid", "path", "block"]
+    sizes = rows.groupBy(*split, "seq", "file_size").agg(
+        F.min("_row").alias("_first"), F.max("_row").alias("_last"), F.sum(F.octet_length("text") + 1).alias("_bytes")
+    )
+    before = Window.partitionBy("container_uuid", "pod_uuid").orderBy("seq", "path", "block").rowsBetween(Window.unboundedPreceding, -1)
+    file = Window.partitionBy("container_uuid", "pod_uuid", "path")
+    at_end = (F.col("block") == F.max("block").over(file)) & (F.sum("_bytes").over(file) == F.col("file_size") + 1)
+    placed = sizes.select(
+        *split,
+        (F.coalesce(F.sum(F.col("_last") - F.col("_first") + 1).over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
+        F.when(at_end, F.col("_last")).alias("_open"),
+    )
+    text = F.when(F.col("_row").eqNullSafe(F.col("_open")), F.col("text")).otherwise(F.concat("text", F.lit("\n")))
+    joined = rows.drop("seq").join(placed, split)
+    return joined.select("container_uuid", "pod_uuid", (F.col("_row") + F.col("_shift")).alias("seq"), text.alias("text"), "ts")

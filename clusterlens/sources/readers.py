@@ -100,3 +100,23 @@ def read_log_chunks(spark: SparkSession, path: str) -> DataFrame:
         F.col("value").alias("text"),
         F.col("_metadata.file_modification_time").alias("ts"),
     )
+
+
+def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Stream of the lines of log files of any size, each with the split it comes from.
+
+    Folder layout: ``pod_uuid=.../container_uuid=.../`` and in it ``<seq>.log``, or ``seq=<seq>/`` with a file.  A large file is
+    read by many tasks; ``operators.logs.line_chunks`` puts its lines in order again.
+    """
+    name = F.col("_metadata.file_path")
+    seq = F.regexp_extract(name, r"(?:/seq=|/)([0-9]+)(?:\.log|/[^/]*)$", 1)
+    return spark.readStream.option("lineSep", "\n").text(path).select(
+        F.regexp_extract(name, "container_uuid=([^/]+)", 1).alias("container_uuid"),
+        F.regexp_extract(name, "pod_uuid=([^/]+)", 1).alias("pod_uuid"),
+        seq.try_cast("bigint").alias("seq"),
+        F.col("value").alias("text"),
+        F.col("_metadata.file_modification_time").alias("ts"),
+        name.alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.col("_metadata.file_size").alias("file_size"),
+    )

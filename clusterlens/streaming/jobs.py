@@ -109,14 +109,27 @@ def log_appends(chunks: DataFrame, table: KeyedTable, containers: Callable[[], D
     def apply(batch: DataFrame, number: int) -> None:
         fresh = logs.wanted_chunks(batch, containers()).persist()
         try:
-            # Positions in a log are no change numbers: any delete of the container comes after them.
-            table.upsert(logs.append_logs(table.read(number, only=fresh, writer="logs"), fresh), number, "logs", 0)
+            _append(fresh, table, number)
         finally:
             fresh.unpersist()
 
     return chunks.writeStream.foreachBatch(apply)
 
 
+def log_file_appends(lines: DataFrame, table: KeyedTable, containers: Callable[[], DataFrame]) -> DataStreamWriter:
+    """The same from the lines of log files of any size (``read_log_lines``)."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        _append(logs.line_chunks(batch, containers()), table, number)
+
+    return lines.writeStream.foreachBatch(apply)
+
+
+def _append(fresh: DataFrame, table: KeyedTable, number: int) -> None:
+    # Positions in a log are no change numbers: any delete of the container comes after them.
+    table.upsert(logs.append_logs(table.read(number, only=fresh, writer="logs"), fresh), number, "logs", 0)
+
+
 def service_pods(store: sync.Store, services: Callable[[], DataFrame], pods: Callable[[], DataFrame]) -> tuple[Consumer, Consumer, Consumer]:
     """Consumers that keep ``service_pod``: after pod upserts, service upserts and pod deletes.
 

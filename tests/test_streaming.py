@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clusterlens import schemas
 from clusterlens.plans.sync import Store
-from clusterlens.sources.readers import parse_objects, read_changes, read_log_chunks
+from clusterlens.sources.readers import parse_objects, read_changes, read_log_chunks, read_log_lines
 from clusterlens.sources.tables import KeyedTable
 from clusterlens.streaming import jobs
 
@@ -173,6 +173,33 @@ def test_log_files_are_read_by_path(spark, tmp_path):
     assert [tuple(r)[:4] for r in spark.table("chunks").collect()] == [("c1", "p1", 7, "a\nb\n")]
 
 
+def test_log_files_of_many_splits_keep_their_order(spark, tmp_path):
+    schema = spark.createDataFrame([], "container_uuid STRING, pod_uuid STRING, logs STRING, last_update TIMESTAMP").schema
+    table = KeyedTable(spark, str(tmp_path / "t"), schema, ["container_uuid"])
+    containers = spark.createDataFrame([("c1", True), ("c2", False), ("c3", True)], "uuid STRING, started BOOLEAN")
+    wanted = {"c1": "", "c3": ""}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        for batch, numbers in enumerate([(10, 9), (11,)]):
+            for container in ("c1", "c2", "c3"):
+                folder = tmp_path / "in" / "pod_uuid=p1" / f"container_uuid={container}"
+                folder.mkdir(parents=True, exist_ok=True)
+                for seq in numbers:
+                    # Lines of many lengths, empty ones, carriage returns; file 9 breaks off inside a line.
+                    text = "".join(f"{container} {seq} {n} " + "é" * (n * 37 % 90) + ("\r\n" if n % 5 else "\n\n") for n in range(60))
+                    (folder / f"{seq}.log").write_bytes((text + ("begun " if seq == 9 else "")).encode())
+                for seq in sorted(numbers):
+                    if container in wanted:
+                        wanted[container] += (folder / f"{seq}.log").read_bytes().decode()
+            lines = read_log_lines(spark, str(tmp_path / "in" / "*" / "*"))
+            jobs.log_file_appends(lines, table, lambda: containers).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert dict(rows(table.read(), "container_uuid", "logs")) == wanted
+    assert all(len(text.encode()) < 65_535 for text in wanted.values())
+
+
 def test_deletes_are_seen_once_until_the_object_is_back(spark, tmp_path):
     tombstones = KeyedTable(spark, str(tmp_path / "t"), spark.createDataFrame([], "uuid STRING").schema, ["uuid"])
     keys = spark.createDataFrame([("a",)], "uuid STRING")
