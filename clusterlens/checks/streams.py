@@ -219,6 +219,89 @@ def stream_minute_windows(t):
     return found.select("event_type", F.unix_millis("minute").alias("minute_ms"), "value")
 
 
+# --------------------------------------------------------------------------- consumers and children of the change job
+
+
+def _change_records(rows: DataFrame, kind: str, uid, seq, document, op, cluster=None, keep=()) -> DataFrame:
+    columns = {"op": op, "seq": seq, "kind": F.lit(kind), "uid": uid, "key": uid, "object": document, "cluster_uuid": cluster if cluster is not None else F.lit("c1")}
+    return rows.select(*[c.alias(n) for n, c in columns.items()], *keep)
+
+
+@query(
+    "stream_notifications",
+    """WITH w AS (SELECT o_custkey AS k, count(*) AS want, count(*) FILTER (o_orderstatus <> 'F') AS have, count(*) FILTER (o_orderstatus = 'P') AS missing
+      FROM orders GROUP BY 1),
+    v AS (SELECT k, 0 AS batch, want, have, missing FROM w UNION ALL SELECT k, 1, want, want, 0 FROM w WHERE k % 2 = 0),
+    e AS (SELECT k, batch, concat('shop/d', k) AS name,
+      CASE WHEN missing > 0 THEN 'crit' WHEN have < want THEN 'warning' ELSE 'ok' END AS severity,
+      CASE WHEN missing > 0 THEN printf('Deployment shop/d%d has %d unavailable replicas.', k, missing)
+        WHEN have < want THEN printf('Deployment shop/d%d only has %d out of %d desired replicas available.', k, have, want)
+        ELSE printf('Deployment shop/d%d has all %d desired replicas available.', k, want) END AS message FROM v)
+    SELECT batch, name, severity, message FROM e WHERE batch = 0 OR message <> (SELECT any_value(f.message) FROM e f WHERE f.k = e.k AND f.batch = 0)""",
+)
+def stream_notifications(t):
+    """The change job with a notifier: the second batch changes some deployments and repeats others, which send nothing."""
+    folder = scratch_dir(t.spark, "notifications")
+    store = Store(t.spark, f"{folder}/tables", ["deployment"])
+    sent = KeyedTable(t.spark, f"{folder}/sent", t.spark.createDataFrame([], "uuid STRING, severity STRING, message STRING").schema, ["uuid"])
+    counts = t.orders.groupBy(F.col("o_custkey").alias("k")).agg(
+        F.count(F.lit(1)).alias("want"), F.count_if(F.col("o_orderstatus") != "F").alias("have"), F.count_if(F.col("o_orderstatus") == "P").alias("missing")
+    )
+    uid = F.concat(F.lit("d"), F.col("k").cast("string"))
+    meta = F.struct(uid.alias("uid"), uid.alias("name"), F.lit("shop").alias("namespace"))
+
+    def document(have, missing):
+        status = F.struct(have.alias("availableReplicas"), missing.alias("unavailableReplicas"))
+        return F.to_json(F.struct(meta.alias("metadata"), F.struct(F.col("want").alias("replicas")).alias("spec"), status.alias("status")))
+
+    first = _change_records(counts, "deployment", uid, F.col("k"), document(F.col("have"), F.col("missing")), F.lit("ADDED"))
+    well = _change_records(counts.where("k % 2 = 0"), "deployment", uid, F.col("k") + 10**9, document(F.col("want"), F.lit(0)), F.lit("UPDATED"))
+    again = _change_records(counts.where("k % 2 = 1 AND k % 3 = 0"), "deployment", uid, F.col("k") + 10**9, document(F.col("have"), F.col("missing")), F.lit("UPDATED"))
+    notifier = jobs.health_notifications("deployment", jobs.json_sink(f"{folder}/events"), sent=sent)
+    clock = lambda: F.lit("2024-02-01").cast("timestamp")
+    writer = jobs.object_changes(read_changes(t.spark, f"{folder}/in/*"), store, "deployment", clock=clock, on_upsert=[notifier])
+    for number, records in enumerate((first, well.unionByName(again))):
+        records.write.json(f"{folder}/in/{number}")
+        finish(writer, f"{folder}/checkpoint")
+    found = t.spark.read.schema("name STRING, severity STRING, message STRING, writer STRING, batch INT").json(f"{folder}/events")
+    return found.select("batch", "name", "severity", "message")
+
+
+@query(
+    "stream_cascade",
+    """SELECT 'c' || (p_partkey % 2) AS cluster, concat('s', p_partkey) AS name, port FROM part, (VALUES ('a'), ('b')) AS v(port)
+    WHERE p_partkey % 3 <> 0 OR p_partkey % 4 = 0""",
+)
+def stream_cascade(t):
+    """Children go with their objects, of two clusters, though the deletes come a batch before the additions; what is added again later stays."""
+    folder = scratch_dir(t.spark, "cascade")
+    store = Store(t.spark, f"{folder}/tables", ["service"])
+    key = F.col("p_partkey")
+    uid, cluster = F.concat(F.lit("s"), key.cast("string")), F.concat(F.lit("c"), (key % 2).cast("string"))
+    ports = [F.struct(F.lit(p).alias("name"), F.lit("TCP").alias("protocol"), F.lit(80 + k).alias("port")) for k, p in enumerate("ab")]
+    meta = F.struct(uid.alias("uid"), uid.alias("name"))
+    document = F.to_json(F.struct(meta.alias("metadata"), F.struct(F.array(*ports).alias("ports")).alias("spec")))
+
+    def records(rows: DataFrame, seq: int, op: str, part) -> DataFrame:
+        content = document if op != "DELETED" else F.lit(None).cast("string")
+        found = _change_records(rows, "service", uid, F.lit(seq).cast("bigint"), content, F.lit(op), cluster)
+        return found.withColumn("part", F.pmod(F.expr("cast(substr(uid, 2) AS bigint)") + part, F.lit(3)))
+
+    log = [
+        records(t.part, 10, "ADDED", 1),
+        records(t.part.where("p_partkey % 3 = 0"), 20, "DELETED", 0),
+        records(t.part.where("p_partkey % 12 = 0"), 30, "UPDATED", 2),
+    ]
+    rows = reduce(DataFrame.unionByName, log)
+    writer = jobs.object_changes(read_changes(t.spark, f"{folder}/in/*"), store, "service", clock=lambda: F.lit("2024-02-01").cast("timestamp"))
+    for part in range(3):
+        rows.where(F.col("part") == part).drop("part").write.json(f"{folder}/in/{part}")
+        finish(writer, f"{folder}/checkpoint")
+    services = store.read("service").select(F.col("uuid").alias("service_uuid"), F.col("cluster_uuid").alias("cluster"), "name")
+    # A full join: neither a port without its service nor a service without ports may be left.
+    return store.read("service_port").select("service_uuid", F.col("name").alias("port")).join(services, "service_uuid", "full").select("cluster", "name", "port")
+
+
 # --------------------------------------------------------------------------- services and their pods
 
 
@@ -237,8 +320,8 @@ def stream_service_pods(t):
         meta = F.struct(uid.alias("uid"), uid.alias("name"), F.col("namespace"), *([labels.alias("labels")] if labels is not None else []))
         fields = [meta.alias("metadata"), *([F.struct(selector.alias("selector")).alias("spec")] if selector is not None else [])]
         document = F.to_json(F.struct(*fields)) if op != "DELETED" else F.lit(None).cast("string")
-        columns = {"op": F.lit(op), "seq": F.lit(seq), "kind": F.lit(kind), "uid": uid, "key": uid, "object": document, "cluster_uuid": F.lit("c1")}
-        return rows.select(*[c.alias(n) for n, c in columns.items()], F.pmod(part, F.lit(3)).alias("part"))
+        part = F.pmod(part, F.lit(3)).alias("part")
+        return _change_records(rows.select("*", part), kind, uid, F.lit(seq), document, F.lit(op), keep=("part",))
 
     number = F.col("pod_uuid")
     all_ = F.create_map(F.lit("tier"), F.lit("shop"))  # would select every pod

@@ -81,6 +81,12 @@ class Store:
         known.prepared(objects, cluster, now).write.mode("overwrite").parquet(staged)
         prepared = self.spark.read.parquet(staged)
         ordered = [SEQ] if SEQ in prepared.columns else []
+        if ordered:
+            # A change may arrive after a newer delete: nothing would remove its children any more.
+            late = self.tables[kind].deleted_since(prepared.select("uuid", SEQ))
+            if not late.isEmpty():
+                prepared.join(late, "uuid", "left_anti").select(prepared.columns).write.mode("overwrite").parquet(f"{staged}-live")
+                prepared = self.spark.read.schema(prepared.schema).parquet(f"{staged}-live")
         parents = prepared.select("uuid", *ordered)
         if replace_children:
             self._delete_children(known, parents, batch, own=False)
@@ -107,6 +113,7 @@ class Store:
         _together(write, known.builders())
         written = self.tables[kind].batch(batch, kind)
         _remove(self.spark, staged)
+        _remove(self.spark, f"{staged}-live")
         return written
 
     def delete(self, kind: str, gone: DataFrame, batch: int, writer: str = "") -> None:

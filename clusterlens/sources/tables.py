@@ -80,6 +80,11 @@ class KeyedTable:
         latest = parents.groupBy(foreign_key).agg(F.max(SEQ).alias(SEQ))
         return rows.join(latest, foreign_key).groupBy(*self.keys).agg(F.max(SEQ).alias(SEQ))
 
+    def deleted_since(self, rows: DataFrame) -> DataFrame:
+        """Keys of rows that a change with a higher sequence number deleted."""
+        gone = self._log(None, "").where(F.col(_GONE)).select(*self.keys, F.col(SEQ).alias("_at"))
+        return rows.join(gone, list(self.keys)).where(F.col("_at") > F.col(SEQ)).select(*self.keys).distinct()
+
     def _log(self, before: int | None, writer: str) -> DataFrame:
         schema = T.StructType(
             [
