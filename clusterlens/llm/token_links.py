@@ -253,27 +253,29 @@ def segment_tokens(segments: list[str], vocabulary: Vocabulary) -> tuple[np.ndar
         parts.append(ids)
         order.append(k)
 
-    def together(own: list[int]) -> None:
-        if len(own) < 2:
-            for k in own:
-                single(k)
-            return
-        joined = b"".join([raw[k] for k in own])
-        ids = vocabulary.one(joined[1:].decode())
-        upto, ends = np.cumsum(vocabulary.sizes[ids]), np.cumsum(lengths[own])
-        at = np.minimum(np.searchsorted(upto, ends), len(upto) - 1)
-        if (upto[at] != ends).any() or vocabulary.text(ids).tobytes() != joined:
-            together(own[: len(own) // 2])
-            together(own[len(own) // 2 :])
-            return
-        counts[own] = np.diff(at + 1, prepend=0)
-        parts.append(ids)
-        order.extend(own)
+    def together(waiting: list[list[int]]) -> None:
+        # A loop: a function that names itself would hold all arrays of this call until a garbage collection.
+        while waiting:
+            own = waiting.pop()
+            if len(own) < 2:
+                for k in own:
+                    single(k)
+                continue
+            joined = b"".join([raw[k] for k in own])
+            ids = vocabulary.one(joined[1:].decode())
+            upto, ends = np.cumsum(vocabulary.sizes[ids]), np.cumsum(lengths[own])
+            at = np.minimum(np.searchsorted(upto, ends), len(upto) - 1)
+            if (upto[at] != ends).any() or vocabulary.text(ids).tobytes() != joined:
+                waiting += [own[len(own) // 2 :], own[: len(own) // 2]]
+                continue
+            counts[own] = np.diff(at + 1, prepend=0)
+            parts.append(ids)
+            order.extend(own)
 
     plain = np.array([s.isascii() for s in segments], bool)
     for closed in (np.flatnonzero(ended & plain).tolist(), np.flatnonzero(ended & ~plain).tolist()):
         for low in range(0, len(closed), TOGETHER):
-            together(closed[low : low + TOGETHER])
+            together([closed[low : low + TOGETHER]])
     for k in np.flatnonzero(~ended).tolist():
         single(k)
     ids = np.concatenate([*parts, np.zeros(0, np.int64)])
