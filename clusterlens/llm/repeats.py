@@ -15,7 +15,9 @@ A key or passage that a third of all documents share thus reaches a shard once p
 per block, not once per document.  What moves is packed into byte strings, one per sender and
 receiver.  Blocks hold about ``BLOCK`` bytes of text, and their number follows the input.
 
-Documents are ordered by id, those of a null id last; rows of one id are ordered by their text.
+Documents are ordered by id, those of a null id last; rows of one id are ordered by their text.  Documents are
+dealt to blocks by id.  The rows of an id that many share (``null`` included) are dealt by a hash of their
+text as well, so that no id fills a block by itself; only equal texts of one id stay together.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ BLOCK = 4 << 20
 SHARD_BLOCKS = 8
 FLUSH = 8 << 20
 LAST = np.iinfo(np.int64).max
+ROW_BYTES = 64  # what a row counts for beside its text
+PLACE = 40  # bits of a place in a block; above them, for documents of a shared id, stands the start of the text's hash
 MOVED = "part int, kind int, body binary"
 _MOVED = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("body", pa.binary())])
 KEYS, TEXTS, FLAGS, RUNS = 0, 1, 2, 3
@@ -139,11 +143,23 @@ def document_keys(ids: pa.Array) -> np.ndarray:
     return ids.cast(pa.int64()).fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
-    return (tx.mix(keys.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+def text_tags(texts: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A hash of each text."""
+    found = [tx.Hashes(tx.VALUES[part]).of(cut[:-1], cut[1:]) for _, _, part, cut in tx.pieces(texts)]
+    return np.concatenate([*found, np.zeros(0, np.uint64)])
 
 
-def _ask(method: Method, blocks: int, shards: int):
+def block_of(ids: pa.Array, texts: pa.Array, blocks: int, shared: np.ndarray) -> np.ndarray:
+    """The block of each document; those of the ids in ``shared`` are spread by their texts."""
+    keys = document_keys(ids)
+    mixed = tx.mix(keys.view(np.uint64))
+    own = np.flatnonzero(np.isin(keys, shared))
+    if len(own):
+        mixed[own] = tx.mix(mixed[own] ^ text_tags(texts.take(pa.array(own))))
+    return (mixed % np.uint64(blocks)).astype(np.int64)
+
+
+def _ask(method: Method, blocks: int, shards: int, shared: np.ndarray):
     """Stage 1. Part 0 .. shards - 1: a shard; shards + b: block b."""
 
     def flush(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[tuple[int, int, bytes]]:
@@ -169,7 +185,7 @@ def _ask(method: Method, blocks: int, shards: int):
         lean()
         found, size, docs, sources = [], 0, 0, 0
         for batch in batches:
-            parts = block_of(document_keys(batch.column(0)), blocks)
+            parts = block_of(batch.column(0), batch.column(1), blocks, shared)
             for first, last, data, offsets in tx.pieces(batch.column(1)):
                 runs = method.runs(data, offsets)
                 doc = np.searchsorted(runs.before, runs.low, side="right") - 1
@@ -210,12 +226,12 @@ def _answer(shards: int):
     return run
 
 
-def _texts(blocks: int):
+def _texts(blocks: int, shared: np.ndarray):
     """The documents, packed by block."""
     def flush(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
         options = pa.ipc.IpcWriteOptions(compression="zstd")
         table = pa.Table.from_batches(batches)
-        parts = block_of(document_keys(table.column(0).combine_chunks()), blocks)
+        parts = block_of(table.column(0).combine_chunks(), table.column(1), blocks, shared)
         rows = []
         for part, own in by_part(parts):
             sink = pa.BufferOutputStream()
@@ -264,14 +280,14 @@ class Block:
         column = documents.column(1).combine_chunks()
         whole = list(tx.pieces(column, 1 << 62))
         data, offsets = (whole[0][2], whole[0][3]) if whole else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
-        tags = [tx.Hashes(tx.VALUES[part]).of(cut[:-1], cut[1:]) for _, _, part, cut in tx.pieces(column)]
-        tag = np.concatenate([*tags, np.zeros(0, np.uint64)])
+        tag = text_tags(column)
         # Equal texts of one id are alike in any order.
         order = np.lexsort((tag, keys))
         self.ids = documents.column(0).combine_chunks().take(pa.array(order))
         self.rest = documents.select(range(2, documents.num_columns)).take(pa.array(order))
         self.null = column.is_null().take(pa.array(order))
         self.keys = keys[order]
+        self.tags = tag[order]
         sizes = np.diff(offsets)[order]
         self.data = data[tx.spread(offsets[:-1][order], sizes)]
         self.offsets = np.concatenate([[0], np.cumsum(sizes)])
@@ -285,7 +301,7 @@ class Block:
             low = high
 
 
-def _send(method: Method, shards: int):
+def _send(method: Method, shards: int, shared: np.ndarray):
     """Stage 3: the runs of repeated keys, each distinct one once per block; others are judged here."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -302,9 +318,11 @@ def _send(method: Method, shards: int):
             values, counts = method.content(data, runs, own)
             inner = method.inner(data, offsets, runs, own) if method.inner else np.zeros(len(own), bool)
             at, sizes = base + runs.low[own], runs.high[own] - runs.low[own]
-            found.append((runs.keys[own], runs.content[own], block.keys[first:last][doc], at, sizes, inner, values, counts))
+            # Places of documents of one id in different blocks are compared by their texts' hashes first.
+            above = (block.tags[first:last][doc] >> np.uint64(PLACE + 1)).astype(np.int64) << PLACE
+            found.append((runs.keys[own], runs.content[own], block.keys[first:last][doc], at, above, sizes, inner, values, counts))
             base += int(runs.before[-1])
-        keys, content, docs, at, sizes, inner, values, counts = (np.concatenate(x) for x in zip(*found))
+        keys, content, docs, at, above, sizes, inner, values, counts = (np.concatenate(x) for x in zip(*found))
         if not len(keys):
             return pa.Table.from_batches([moved([])])
         order = np.lexsort((at, docs, content, keys))
@@ -316,8 +334,10 @@ def _send(method: Method, shards: int):
         rows = [(shards + block_id, FLAGS, pack(*united(at[flagged], at[flagged] + sizes[flagged])))] if len(flagged) else []
         for part, own in by_part((keys[stay] % np.uint64(shards)).astype(np.int64)):
             own = stay[own]
+            spread = np.isin(docs[own], shared)
+            place = at[own] + np.where(spread, above[own], 0)
             body = np.frombuffer(pa.compress(values[tx.spread(starts[own], counts[own])].tobytes(), codec="zstd", asbytes=True), np.uint8)
-            head = (np.array([block_id], np.int64), keys[own], content[own], docs[own], at[own])
+            head = (np.array([block_id], np.int64), keys[own], content[own], docs[own], place)
             rows.append((part, RUNS, pack(*head, sizes[own].astype(np.int32), counts[own].astype(np.int32), inner[own], body)))
         return pa.Table.from_batches([moved(rows)])
 
@@ -356,6 +376,9 @@ def _judge(method: Method, shards: int):
             i, low, high = method.compare(keys[own], docs[own], at[own], sizes[own], values, starts[own], counts[own])
             flags.append((blocks[own[i]], low, high))
         block, low, high = (np.concatenate(x) for x in zip(*flags))
+        width = high - low
+        low = low & ((1 << PLACE) - 1)
+        high = low + width
         return pa.Table.from_batches([moved([(b, FLAGS, pack(*united(low[own], high[own]))) for b, own in by_part(block)])])
 
     return run
@@ -377,14 +400,18 @@ def repeated(documents: DataFrame, method: Method, finish: Callable[[Block, np.n
     Positions count units from the start of the block.  The columns ``carry`` are in its ``rest``, in order.
     """
     rows = documents.select(column(doc_id).cast("bigint").alias("id"), column(text).cast("string").alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    by_id = rows.groupBy("id").agg(F.sum(F.octet_length("text")).alias("size"), F.count(F.lit(1)).alias("times"))
+    heavy = (F.col("times") > 1) & (F.coalesce("size", F.lit(0)) + ROW_BYTES * F.col("times") > BLOCK)
+    # Fewer ids than blocks can be this heavy.
+    size, found = by_id.agg(F.sum("size"), F.collect_list(F.when(heavy, F.struct("id")))).first()
+    size, shared = size or 0, np.array([LAST if row["id"] is None else row["id"] for row in found], np.int64)
     partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(1, -(-size // BLOCK), min(partitions, -(-size // tx.PIECE)))
     shards = max(1, -(-blocks // SHARD_BLOCKS), min(partitions, blocks))
-    texts = rows.mapInArrow(tx.frugal(_texts(blocks)), MOVED)
-    asked = rows.mapInArrow(tx.frugal(_ask(method, blocks, shards)), MOVED)
+    texts = rows.mapInArrow(tx.frugal(_texts(blocks, shared)), MOVED)
+    asked = rows.mapInArrow(tx.frugal(_ask(method, blocks, shards, shared)), MOVED)
     answers = asked.groupBy("part").applyInArrow(tx.frugal(_answer(shards)), MOVED)
-    sent = texts.unionByName(answers).groupBy("part").applyInArrow(tx.frugal(_send(method, shards)), MOVED)
+    sent = texts.unionByName(answers).groupBy("part").applyInArrow(tx.frugal(_send(method, shards, shared)), MOVED)
     flags = sent.groupBy("part").applyInArrow(tx.frugal(_judge(method, shards)), MOVED)
 
     def end(table: pa.Table) -> pa.Table:
@@ -396,5 +423,5 @@ def repeated(documents: DataFrame, method: Method, finish: Callable[[Block, np.n
     if carry:
         carried = [column(c).alias(f"c{i}") for i, c in enumerate(carry)]
         whole = documents.select(column(doc_id).cast("bigint").alias("id"), column(text).cast("string").alias("text"), *carried)
-        texts = whole.mapInArrow(tx.frugal(_texts(blocks)), MOVED)
+        texts = whole.mapInArrow(tx.frugal(_texts(blocks, shared)), MOVED)
     return texts.unionByName(flags).groupBy("part").applyInArrow(tx.frugal(end), schema)

@@ -86,6 +86,26 @@ def test_random_texts_of_two_letters(spark, seed):
     assert sorted(map(tuple, found), key=repr) == brute_words(rows, 7)
 
 
+@pytest.mark.parametrize("id_", [None, 7])
+def test_rows_of_one_id_are_spread_over_blocks(spark, monkeypatch, id_):
+    monkeypatch.setattr(repeats, "BLOCK", 500)
+    rows = [(id_ if doc % 3 else doc, text) for doc, text in random_rows(5)]
+    rows += [(id_, "")] * 20 + [(id_, None)] * 3 + rows[:4]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = suffix_arrays.removals(frame, width=24, gram=12).drop("spans").collect()
+    assert sorted(map(tuple, found), key=repr) == brute_bytes(rows, 24)
+    found = recompression.removals(frame, width=5).drop("spans").collect()
+    assert sorted(map(tuple, found), key=repr) == brute_words(rows, 5)
+    # The blocks of that id are many, and both passes deal alike.
+    import pyarrow as pa
+
+    ids, texts = (pa.array(x) for x in zip(*rows))
+    shared = repeats.document_keys(ids[1:2])
+    parts = repeats.block_of(ids, texts, 16, shared)
+    assert len({p for p, row in zip(parts.tolist(), rows) if row[0] == id_}) > 4
+    assert (parts[3:9] == repeats.block_of(ids[3:9], texts[3:9], 16, shared)).all()
+
+
 def test_several_suffix_arrays_of_one_key_are_merged(spark, monkeypatch):
     method = suffix_arrays.method(12, 8)
     pick = np.random.default_rng(0)
