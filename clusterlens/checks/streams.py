@@ -121,6 +121,38 @@ def child_last_wins(t):
     return store.read("service_port").select("protocol", F.col("port").cast("int").alias("port"))
 
 
+@query(
+    "reconcile_children",
+    """SELECT 'service' AS kind, 'c' || (p_partkey % 2) AS cluster, 's' || p_partkey AS name, 2::BIGINT AS ports,
+      (p_size + 1090)::BIGINT AS port_sum, 1::BIGINT AS labels FROM part WHERE p_partkey % 4 <> 2
+    UNION ALL SELECT 'pvc', 'c' || (p_partkey % 2), 'v' || p_partkey, NULL, NULL, 1 FROM part""",
+)
+def reconcile_children(t):
+    """A listing of one of two clusters: what it lacks goes with its children; the other cluster and a kind in the same tables stay."""
+    folder = scratch_dir(t.spark, "reconcile-children")
+    store = Store(t.spark, f"{folder}/tables", ["service", "pvc"])
+    # The port "a" is listed twice.
+    numbers = (("a", F.lit(80)), ("b", F.lit(90)), ("a", F.col("p_size") + 1000))
+    ports = F.array(*[F.struct(F.lit(name).alias("name"), port.cast("int").alias("port")) for name, port in numbers])
+
+    def objects(rows: DataFrame, kind: str, prefix: str) -> DataFrame:
+        uid = F.concat(F.lit(prefix), F.col("p_partkey").cast("string"))
+        meta = F.struct(uid.alias("uid"), uid.alias("name"), F.create_map(F.lit("brand"), F.col("p_brand")).alias("labels"))
+        fields = [meta.alias("metadata"), *([F.struct(ports.alias("ports")).alias("spec")] if kind == "service" else [])]
+        return parse_objects(rows.select(F.to_json(F.struct(*fields)).alias("raw")), kind)
+
+    for number in range(2):
+        rows = t.part.where(F.col("p_partkey") % 2 == number)
+        for kind, prefix in (("service", "s"), ("pvc", "v")):
+            store.upsert(kind, objects(rows, kind, prefix), F.lit(f"c{number}"), F.lit("2024-02-01").cast("timestamp"), number)
+    store.reconcile("service", objects(t.part.where("p_partkey % 4 = 0"), "service", "s"), F.lit("c0"), 2)
+    kept = [store.read(kind).select(F.lit(kind).alias("kind"), "uuid", F.col("cluster_uuid").alias("cluster"), "name") for kind in ("service", "pvc")]
+    ports = store.read("service_port").groupBy(F.col("service_uuid").alias("uuid")).agg(F.count(F.lit(1)).alias("ports"), F.sum("port").alias("port_sum"))
+    labels = store.read("resource_label").groupBy(F.col("resource_uuid").alias("uuid")).agg(F.count(F.lit(1)).alias("labels"))
+    # Full joins: children without their object would show.
+    return reduce(DataFrame.unionByName, kept).join(ports, "uuid", "full").join(labels, "uuid", "full").drop("uuid")
+
+
 # --------------------------------------------------------------------------- state store and watermarks
 
 _CHANGE_COLUMNS = ["op", "seq", "kind", "uid", "key", "object", "cluster_uuid"]

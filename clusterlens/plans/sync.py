@@ -13,11 +13,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from clusterlens.functions.ids import ensure_uuid
-from clusterlens.operators.merge import drop_vanishing, latest_per_key, vanished
+from clusterlens.operators.merge import drop_vanishing, vanished
 from clusterlens.plans.common import Kind, Relation
 from clusterlens.plans.registry import kinds
 from clusterlens.schemas import object_schema
-from clusterlens.sources.tables import SEQ, KeyedTable
+from clusterlens.sources.tables import LISTED, SEQ, KeyedTable
 
 _STAGE = "batch"
 
@@ -95,10 +95,9 @@ class Store:
         relations = {r.table: (parent, r) for parent in known.relations for r in (parent, *parent.children)}
 
         def write(table: str) -> None:
-            # One object may list a child key twice; as in a keyed upsert, the last one listed stays.
-            # The rows of an object come from one row in one task, in the order listed.
-            children = known.table(table, prepared, now).withColumn("_at", F.monotonically_increasing_id())
-            children = latest_per_key(children, self.tables[table].keys, ["_at"]).drop("_at")
+            # One object may list a child key twice; as in a keyed upsert, the last one listed counts, which reading
+            # decides. The rows of an object come from one row in one task, in the order listed.
+            children = known.table(table, prepared, now).withColumn(LISTED, F.monotonically_increasing_id())
             parent, relation = relations[table]
             if ordered and relation.foreign_key in children.columns:
                 above = parents
@@ -155,7 +154,7 @@ class Store:
         deletes are those of a writer of its own, so no batch of the stream replaces them.
         """
         writer = f"{kind}-listing"
-        stored = self.read(kind, batch, writer).where(F.col("cluster_uuid") == cluster)
+        stored = self.tables[kind].keys_where(F.col("cluster_uuid") == cluster, batch, writer)
         gone = vanished(stored, objects_keys(listed))
         self.delete(kind, gone.withColumn(SEQ, F.lit(batch if seq is None else seq).cast("bigint")), batch, writer)
         return gone

@@ -5,7 +5,7 @@ changed rows and tombstones; writing a batch again replaces it, so a retried mic
 idempotent and costs only the size of the change, never of the table.  Every row and tombstone
 carries the sequence number of the change it comes from, and reading takes the row of the
 highest one per key, whichever writer wrote it and in whatever batch; at equal numbers an upsert
-wins over a delete, then the later batch.  :meth:`KeyedTable.compact` folds all batches into a new folder; readers
+wins over a delete, then the later batch, then the row listed last (``_listed``).  :meth:`KeyedTable.compact` folds all batches into a new folder; readers
 of the old one keep their files.  With a table format that has row-level merges use
 ``DataFrame.mergeInto`` instead; the pure functions in ``operators.merge`` serve both.
 """
@@ -18,8 +18,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from clusterlens.operators.merge import latest_per_key
 
-SEQ = "_seq"
+SEQ, LISTED = "_seq", "_listed"
 _BATCH, _STEP, _WRITER, _GONE = "batch_id", "step", "writer", "_deleted"
+_ORDER = (SEQ, _STEP, _BATCH, _WRITER, LISTED)
 
 
 class KeyedTable:
@@ -39,9 +40,10 @@ class KeyedTable:
         """Insert or replace whole rows.
 
         The sequence number is that of the column ``_seq``, else ``seq``, else the batch number
-        (for tables of one writer).
+        (for tables of one writer).  Rows may share a key if a column ``_listed`` orders them.
         """
-        known = rows.select(*self.schema.names, self._sequence(rows, batch if seq is None else seq))
+        listed = [c for c in rows.columns if c == LISTED]
+        known = rows.select(*self.schema.names, self._sequence(rows, batch if seq is None else seq), *listed)
         self._write(known.withColumn(_GONE, F.lit(False)), batch, 2, writer)
 
     def delete(self, keys: DataFrame, batch: int, writer: str = "main", seq: int | None = None) -> None:
@@ -66,9 +68,17 @@ class KeyedTable:
         if only is not None:
             shared = [k for k in self.keys if k in only.columns]
             log = log.join(only.select(*shared), shared, "left_semi")
-        latest = latest_per_key(log, self.keys, [SEQ, _STEP, _BATCH, _WRITER])
+        latest = latest_per_key(log, self.keys, _ORDER)
         return latest.where(~F.col(_GONE)).select(self.schema.names)
 
+    def keys_where(self, fixed: Column, before: int | None = None, writer: str = "main") -> DataFrame:
+        """Keys of the current rows that meet a condition on columns that never change for a key.
+
+        The scan filters by it, and nothing but keys is shuffled.
+        """
+        log = self._log(before, writer).where(fixed | F.col(_GONE)).select(*self.keys, _GONE, *_ORDER)
+        return latest_per_key(log, self.keys, _ORDER).where(~F.col(_GONE)).select(*self.keys)
+
     def keys_of(self, parents: DataFrame, foreign_key: str, before: int | None = None, writer: str = "main") -> DataFrame:
         """Keys of all rows that ever belonged to the parents (their foreign key never changes).
 
@@ -90,6 +100,7 @@ class KeyedTable:
             [
                 *self.schema.fields,
                 T.StructField(SEQ, T.LongType()),
+                T.StructField(LISTED, T.LongType()),
                 T.StructField(_GONE, T.BooleanType()),
                 T.StructField(_BATCH, T.LongType()),
                 T.StructField(_STEP, T.IntegerType()),
@@ -105,6 +116,6 @@ class KeyedTable:
     def compact(self, target: str) -> "KeyedTable":
         """Current rows as a new table of one batch."""
         compacted = KeyedTable(self.spark, target, self.schema, self.keys)
-        latest = latest_per_key(self._log(None, ""), self.keys, [SEQ, _STEP, _BATCH, _WRITER])
+        latest = latest_per_key(self._log(None, ""), self.keys, _ORDER)
         compacted.upsert(latest.where(~F.col(_GONE)), 0)
         return compacted

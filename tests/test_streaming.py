@@ -234,3 +234,43 @@ def test_deletes_count_once_until_the_object_is_back(spark, tmp_path):
            change("ADDED", 4, "a", space("a", 2), "namespace"), change("DELETED", 5, "a", None, "namespace")]
     replay(spark, tmp_path, log, 5, store, tombstones=KeyedTable(spark, str(tmp_path / "gone"), schema, ["uuid"]), on_delete=[lambda gone, number: seen.append(gone.count())])
     assert seen == [0, 1, 0, 0, 1]
+
+
+def test_children_are_written_without_an_exchange(spark, tmp_path, monkeypatch):
+    plans, write = {}, KeyedTable._write
+
+    def recorded(self, rows, batch, step, writer):
+        plans[self.path.rsplit("/", 1)[1]] = rows._jdf.queryExecution().executedPlan().toString()
+        write(self, rows, batch, step, writer)
+
+    monkeypatch.setattr(KeyedTable, "_write", recorded)
+    store = Store(spark, str(tmp_path / "tables"), ["service"])
+    ports = ",".join('{"name":"%s","port":%d}' % (name, port) for port, name in enumerate("abaab", 1))
+    raw = '{"metadata":{"uid":"u","name":"s","labels":{"x":"y"}},"spec":{"ports":[%s]}}' % ports
+    objects = parse_objects(spark.createDataFrame([(raw,)], "raw STRING"), "service")
+    store.upsert("service", objects, F.lit("c"), F.lit("2024-02-01").cast("timestamp"), 0)
+    assert {"service", "service_port", "service_label"} <= set(plans)
+    assert [name for name, plan in plans.items() if "Exchange" in plan] == []
+    table = store.tables["service_port"]
+    for stored in (table, table.compact(str(tmp_path / "compacted"))):
+        assert sorted((r["name"], r["port"]) for r in stored.read().collect()) == [("a", 4), ("b", 5)]
+    # A later batch wins whatever was listed how late before.
+    again = parse_objects(spark.createDataFrame([(raw.replace('"port":4', '"port":9'),)], "raw STRING"), "service")
+    store.upsert("service", again, F.lit("c"), F.lit("2024-02-01").cast("timestamp"), 1)
+    assert sorted((r["name"], r["port"]) for r in table.read().collect()) == [("a", 9), ("b", 5)]
+
+
+def test_a_listing_reads_nothing_but_keys_of_its_cluster(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "tables"), ["namespace"])
+    now = F.lit("2024-02-01").cast("timestamp")
+    for batch, cluster in enumerate("cd"):
+        raw = [('{"metadata":{"uid":"%s%d","name":"n"}}' % (cluster, k),) for k in range(3)]
+        store.upsert("namespace", parse_objects(spark.createDataFrame(raw, "raw STRING"), "namespace"), F.lit(cluster), now, batch)
+    keys = store.tables["namespace"].keys_where(F.col("cluster_uuid") == "c")
+    plan = keys._jdf.queryExecution().executedPlan().toString()
+    assert "Or(EqualTo(cluster_uuid,c),EqualTo(_deleted,true))" in plan
+    assert "document" not in plan.split("ReadSchema")[1]
+    listed = parse_objects(spark.createDataFrame([('{"metadata":{"uid":"c1","name":"n"}}',)], "raw STRING"), "namespace")
+    assert store.reconcile("namespace", listed, F.lit("c"), 2).count() == 2
+    assert sorted(r["uid"] for r in store.read("namespace").collect()) == ["c1", "d0", "d1", "d2"]
+    assert store.tables["namespace"].keys_where(F.col("cluster_uuid") == "c").count() == 1
