@@ -17,7 +17,7 @@ from clusterlens.operators.merge import drop_vanishing, vanished
 from clusterlens.plans.common import Kind, Relation
 from clusterlens.plans.registry import kinds
 from clusterlens.schemas import object_schema
-from clusterlens.sources.tables import LISTED, SEQ, KeyedTable
+from clusterlens.sources.tables import FEW, LISTED, SEQ, KeyedTable, sized
 
 _STAGE = "batch"
 
@@ -83,11 +83,11 @@ class Store:
         ordered = [SEQ] if SEQ in prepared.columns else []
         if ordered:
             # A change may arrive after a newer delete: nothing would remove its children any more.
-            late = self.tables[kind].deleted_since(prepared.select("uuid", SEQ))
+            late = self.tables[kind].deleted_since(sized(prepared.select("uuid", SEQ)))
             if not late.isEmpty():
                 prepared.join(late, "uuid", "left_anti").select(prepared.columns).write.mode("overwrite").parquet(f"{staged}-live")
                 prepared = self.spark.read.schema(prepared.schema).parquet(f"{staged}-live")
-        parents = prepared.select("uuid", *ordered)
+        parents = sized(prepared.select("uuid", *ordered))
         if replace_children:
             self._delete_children(known, parents, batch, own=False)
         own = known.table(kind, prepared, now)
@@ -117,10 +117,12 @@ class Store:
 
     def delete(self, kind: str, gone: DataFrame, batch: int, writer: str = "") -> None:
         """Delete objects by ``uuid`` with everything that hangs on them; ``gone`` may have a ``_seq``."""
-        if gone.isEmpty():
+        some = gone.limit(FEW + 1).count()
+        if not some:
             return  # most batches delete nothing; spare them the look at every child table
         known = self.kinds[kind]
-        self._delete_children(known, gone.select("uuid", *[c for c in gone.columns if c == SEQ]), batch, own=True, writer=writer or kind)
+        keys = gone.select("uuid", *[c for c in gone.columns if c == SEQ])
+        self._delete_children(known, keys if some <= FEW else keys.hint("merge"), batch, own=True, writer=writer or kind)
         self.tables[kind].delete(gone, batch, writer or kind)
 
     def _delete_children(self, kind: Kind, gone: DataFrame, batch: int, *, own: bool, writer: str = "") -> None:
@@ -155,7 +157,8 @@ class Store:
         """
         writer = f"{kind}-listing"
         stored = self.tables[kind].keys_where(F.col("cluster_uuid") == cluster, batch, writer)
-        gone = vanished(stored, objects_keys(listed))
+        # A listing is as large as what is stored: its keys are never broadcast.
+        gone = vanished(stored, objects_keys(listed).hint("merge"))
         self.delete(kind, gone.withColumn(SEQ, F.lit(batch if seq is None else seq).cast("bigint")), batch, writer)
         return gone
 

@@ -22,6 +22,18 @@ SEQ, LISTED = "_seq", "_listed"
 _BATCH, _STEP, _WRITER, _GONE = "batch_id", "step", "writer", "_deleted"
 _ORDER = (SEQ, _STEP, _BATCH, _WRITER, LISTED)
 
+# A join may broadcast a change of up to so many rows.
+FEW = 20_000
+
+
+def sized(rows: DataFrame) -> DataFrame:
+    """Rows of a change as a side of joins, which broadcast them only if a count says that they are few.
+
+    The optimiser estimates some columns of wide rows by the share of their declared widths in the size of the files, which
+    is far too small for the keys of objects; any number of them would then be sent through the driver.
+    """
+    return rows if rows.limit(FEW + 1).count() <= FEW else rows.hint("merge")
+
 
 class KeyedTable:
     """One keyed table: ``upsert``, ``delete`` and ``read``."""
@@ -67,7 +79,7 @@ class KeyedTable:
         log = self._log(before, writer)
         if only is not None:
             shared = [k for k in self.keys if k in only.columns]
-            log = log.join(only.select(*shared), shared, "left_semi")
+            log = log.join(sized(only.select(*shared)), shared, "left_semi")
         latest = latest_per_key(log, self.keys, _ORDER)
         return latest.where(~F.col(_GONE)).select(self.schema.names)
 

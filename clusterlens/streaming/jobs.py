@@ -16,7 +16,7 @@ from clusterlens.functions.ids import ensure_uuid
 from clusterlens.operators import logs, merge, notify, relate
 from clusterlens.plans import sync
 from clusterlens.sources.readers import parse_objects
-from clusterlens.sources.tables import SEQ, KeyedTable
+from clusterlens.sources.tables import SEQ, KeyedTable, sized
 
 Consumer = Callable[[DataFrame, int], None]
 Clock = Callable[[], Column]
@@ -139,12 +139,12 @@ def service_pods(store: sync.Store, services: Callable[[], DataFrame], pods: Cal
 
     def on_pods(rows: DataFrame, number: int) -> None:
         changed = rows.select(F.col("uuid").alias("pod_uuid"), SEQ)
-        mine = pods().join(changed, "pod_uuid", "left_semi")
+        mine = pods().join(sized(changed), "pod_uuid", "left_semi")
         table.upsert(relate.select_pods(services(), mine).join(changed, "pod_uuid"), number, "pods")
 
     def on_services(rows: DataFrame, number: int) -> None:
         changed = rows.select(F.col("uuid").alias("service_uuid"), SEQ)
-        mine = services().join(changed, "service_uuid", "left_semi")
+        mine = services().join(sized(changed), "service_uuid", "left_semi")
         table.upsert(relate.select_pods(mine, pods()).join(changed, "service_uuid"), number, "services")
 
     def on_pod_deletes(gone: DataFrame, number: int) -> None:
