@@ -206,28 +206,35 @@ class Template:
     query: str
     types: tuple[str, ...]
 
-    def matches(self, events: str, rules: DataFrame) -> DataFrame:
-        """``uuid, kind, rule_id`` of the events that the rules match, by one join of events, tables and parameters.
+    def bound(self) -> tuple[str, ...]:
+        """The columns of an event that the query is bound to."""
+        return tuple(value.removeprefix("_event.") for key, value in EVENT_VALUES.items() if key in self.types)
 
-        An inner lateral join lets the optimiser begin with the tables the query names and join the parameters last; a query
-        that does not look at the event is a semi join per event anyway.
+    def matches(self, events: str, places: str, rules: DataFrame) -> DataFrame:
+        """``template, kind, uuid, cluster_uuid, cases``: which of the rules' cases match, by what the query is bound to.
+
+        A query that is not bound to the uuid is evaluated per cluster (``places``), not per event.  An inner lateral join lets the
+        optimiser begin with the tables the query names and join the parameters last.
         """
         own = rules.where(F.col("template") == self.number)
         values = [
             F.col("args")[k].cast(kind).alias(f"p{k}") for k, kind in enumerate(self.types) if kind not in EVENT_VALUES and kind != "void"
         ]
         view = f"_rules_{os.urandom(8).hex()}"
-        own.select(F.col("id").alias("rule_id"), *values).createOrReplaceTempView(view)
-        query = _bound(self.query, self.types)
+        own.select(F.col("number").alias("rule_case"), *values).createOrReplaceTempView(view)
+        query, keys = _bound(self.query, self.types), self.bound()
         spark = rules.sparkSession
         try:
-            return spark.sql(
-                f"SELECT DISTINCT _event.uuid, _event.kind, _rule.rule_id FROM {events} AS _event JOIN {view} AS _rule,"
-                f" LATERAL ({query}) WHERE _event.kind = :_kind",
+            found = spark.sql(
+                f"SELECT _event.kind, {''.join(f'_event.{k}, ' for k in keys)}collect_set(_rule.rule_case) AS cases"
+                f" FROM {events if 'uuid' in keys else places} AS _event JOIN {view} AS _rule,"
+                f" LATERAL ({query}) WHERE _event.kind = :_kind GROUP BY {', '.join(['_event.kind', *[f'_event.{k}' for k in keys]])}",
                 args={"_kind": self.kind},
             )
         finally:
             spark.catalog.dropTempView(view)
+        rest = [F.col(k) if k in keys else F.lit(None).cast("string").alias(k) for k in ("uuid", "cluster_uuid")]
+        return found.select(F.lit(self.number).alias("template"), "kind", *rest, "cases")
 
 
 def _at_fault(error: Exception) -> bool:
@@ -247,47 +254,55 @@ def match_rule_table(events: DataFrame, rules: DataFrame, tables: dict[str, Data
 
     A rule's query matches an event if it returns a row with the event's identifiers bound.  Rules of the same query,
     kind and types of arguments form a *template*: their arguments are a table that is joined once, however many they
-    are, and the driver sees the distinct templates only.  ``tables`` are the tables queries may name.
+    are, and the driver sees the distinct templates only.  Rules of a template that are given the same arguments are one *case*
+    of it; matches are sets of numbers of cases until the ids take their place in the last step.  ``tables`` are the tables
+    queries may name.
 
-    The events' identifiers and the rules are written to the shared folder once.  Several templates are evaluated in one
+    The events' identifiers and the cases are written to the shared folder once.  Several templates are evaluated in one
     job; each job appends its matches there, and all matches are aggregated once.  If a job fails, be it in analysis
-    or at run time, its templates are evaluated one by one, and the rules of one that fails are halved until those
-    at fault are alone; these are left out and reported.
+    or at run time, its templates are evaluated one by one, and the cases of one that fails are halved until those
+    at fault are alone; their rules are left out and reported.
     """
     spark = events.sparkSession
     for name, table in tables.items():
         table.createOrReplaceTempView(name)
     folder = scratch_dir(spark, "rules")
     events.select("uuid", "cluster_uuid", "kind").write.parquet(f"{folder}/events")
-    view = f"_events_{os.urandom(8).hex()}"
-    spark.read.parquet(f"{folder}/events").createOrReplaceTempView(view)
+    view, places = f"_events_{os.urandom(8).hex()}", f"_places_{os.urandom(8).hex()}"
+    known = spark.read.schema("uuid string, cluster_uuid string, kind string").parquet(f"{folder}/events")
+    known.createOrReplaceTempView(view)
+    known.select("cluster_uuid", "kind").distinct().write.parquet(f"{folder}/places")
+    spark.read.schema("cluster_uuid string, kind string").parquet(f"{folder}/places").createOrReplaceTempView(places)
     hits = f"{folder}/hits"
     usable = rules.where(F.col("reason").isNull())
     found = usable.where(F.col("query").isNotNull()).select("kind", "query", "types").distinct().collect()
     templates = [Template(k, r.kind, r.query, tuple(r.types)) for k, r in enumerate(sorted(found, key=lambda r: (r.kind, r.query, r.types)))]
     schema = "template int, kind string, query string, types array<string>"
     numbered = spark.createDataFrame([(t.number, t.kind, t.query, list(t.types)) for t in templates], schema)
-    usable.join(numbered, ["kind", "query", "types"]).select("template", "id", "args").write.parquet(f"{folder}/rules")
-    stored = spark.read.schema("template int, id string, args array<string>").parquet(f"{folder}/rules")
+    cases = usable.join(numbered, ["kind", "query", "types"]).groupBy("template", "args").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    # One row, as large as the rule_ids of an event that all rules match; the numbers have no gaps.
+    listed = cases.agg(F.sort_array(F.collect_list(F.struct("template", "args", "ids"))).alias("cases"))
+    listed.select(F.posexplode("cases").alias("number", "case")).select("number", "case.*").write.parquet(f"{folder}/rules")
+    stored = spark.read.schema("number int, template int, args array<string>, ids array<string>").parquet(f"{folder}/rules")
     rejected: dict[str, str] = {}
     written = False
 
     def evaluate(name: str, group: list[Template], own: DataFrame) -> None:
         nonlocal written
         # Written again, a part replaces what a failed attempt has left.
-        reduce(DataFrame.unionByName, [t.matches(view, own) for t in group]).write.mode("overwrite").parquet(f"{hits}/part={name}")
+        reduce(DataFrame.unionByName, [t.matches(view, places, own) for t in group]).write.mode("overwrite").parquet(f"{hits}/part={name}")
         written = True
 
     def halved(template: Template, depth: int, part: int) -> None:
-        own = stored.where((F.col("template") == template.number) & (F.pmod(F.xxhash64("id", "args"), F.lit(1 << depth)) == part))
+        own = stored.where((F.col("template") == template.number) & (F.pmod(F.xxhash64("number"), F.lit(1 << depth)) == part))
         try:
             evaluate(f"{template.number}-{depth}-{part}", [template], own)
         except Exception as error:
             if not _at_fault(error):
                 raise
-            some = own.select("id", "args").distinct().limit(2).collect()
+            some = own.select("ids").limit(2).collect()
             if len(some) < 2 or depth == 62:
-                rejected.update({r.id: _reason(error) for r in some})
+                rejected.update({id_: _reason(error) for r in some for id_ in r.ids})
                 return
             halved(template, depth + 1, part)
             halved(template, depth + 1, part + (1 << depth))
@@ -302,15 +317,27 @@ def match_rule_table(events: DataFrame, rules: DataFrame, tables: dict[str, Data
             for template in group:
                 halved(template, 0, 0)
     spark.catalog.dropTempView(view)
-    everywhere = usable.where(F.col("query").isNull()).agg(F.collect_set("id").alias("_always"))
-    matches = spark.createDataFrame([], "uuid STRING, kind STRING, rule_id STRING")
-    if written:
-        matches = spark.read.schema("uuid STRING, kind STRING, rule_id STRING").parquet(hits)
-    # A set of rules per object, so it is bounded by the number of rules.
-    by_event = matches.groupBy("uuid", "kind").agg(F.collect_set("rule_id").alias("_ids"))
-    ids = F.coalesce(F.col("_ids"), F.array().cast("array<string>"))
-    joined = events.join(by_event, ["uuid", "kind"], "left").crossJoin(everywhere)  # one row
-    routed = joined.withColumn("rule_ids", F.array_sort(F.array_distinct(F.concat(ids, F.col("_always")))))
+    spark.catalog.dropTempView(places)
+    always = usable.where(F.col("query").isNull()).agg(F.collect_set("id").alias("_always"))
+    named = F.transform(F.sort_array(F.collect_list(F.struct("number", "ids"))), lambda c: c["ids"])
+    everywhere = always.crossJoin(stored.agg(named.alias("_named")))  # one row
+    schema = "template INT, kind STRING, uuid STRING, cluster_uuid STRING, cases ARRAY<INT>"
+    matches = spark.read.schema(schema).parquet(hits) if written else spark.createDataFrame([], schema)
+    by_uuid = matches.where(F.col("template").isin([t.number for t in templates if "uuid" in t.bound()])).select("uuid", "kind", "cases")
+    parts = [by_uuid]
+    for keys in ((), ("cluster_uuid",)):
+        numbers = [t.number for t in templates if t.bound() == keys]
+        if numbers:
+            here = matches.where(F.col("template").isin(numbers)).select(F.col("kind").alias("_kind"), F.col("cluster_uuid").alias("_cluster"), "cases")
+            same = [F.col("kind") == F.col("_kind"), *[F.col(k).eqNullSafe(F.col("_cluster")) for k in keys]]
+            parts.append(known.join(here, same).select("uuid", "kind", "cases"))
+    # A set of cases per object, so it is bounded by the number of rules.
+    by_event = reduce(DataFrame.unionByName, parts).groupBy("uuid", "kind").agg(F.flatten(F.collect_list("cases")).alias("_cases"))
+    # Numbers of cases are few bytes for what they become: a given number of partitions is not merged by their size.
+    spread = events.join(by_event, ["uuid", "kind"], "left").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    joined = spread.crossJoin(everywhere)
+    ids = F.flatten(F.transform(F.coalesce("_cases", F.array().cast("array<int>")), lambda k: F.get("_named", k)))
+    routed = joined.withColumn("rule_ids", F.sort_array(F.array_distinct(F.concat(ids, F.col("_always")))))
     return routed.select(*events.columns, "rule_ids"), rejected
 
 
