@@ -12,6 +12,9 @@ from clusterlens.session import scratch_dir
 # Fixed value: bytes kept per container.
 LOG_BYTES = 65_535
 
+# Up to so many started containers are sent to all tasks.
+FEW_CONTAINERS = 20_000
+
 # Binary digits by which each look at the positions is finer than the one before.
 _STEP = 12
 
@@ -78,9 +81,14 @@ def append_logs(
 
 
 def wanted_chunks(chunks: DataFrame, containers: DataFrame) -> DataFrame:
-    """Chunks of containers that are started; logs of others are not collected."""
+    """Chunks of containers that are started; logs of others are not collected.
+
+    Where a count says that few containers are started, no text is shuffled: a join by container would bring all chunks of
+    one to one task.
+    """
     started = containers.where(F.col("started")).select(F.col("uuid").alias("container_uuid"))
-    return chunks.join(started, "container_uuid", "left_semi")
+    few = started.limit(FEW_CONTAINERS + 1).count() <= FEW_CONTAINERS
+    return chunks.join(F.broadcast(started) if few else started, "container_uuid", "left_semi")
 
 
 def line_chunks(lines: DataFrame, containers: DataFrame) -> DataFrame:

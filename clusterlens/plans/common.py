@@ -77,7 +77,7 @@ def header() -> list[Column]:
     ]
 
 
-def exploded(rows: DataFrame, source: str, *keep: Column | str, names: tuple[str, ...] = ("item",)) -> DataFrame:
+def exploded(rows: DataFrame, source: Column | str, *keep: Column | str, names: tuple[str, ...] = ("item",)) -> DataFrame:
     """One row per element of an array (or entry of a map) column.
 
     The optimiser puts a test for emptiness below a plain explode, which evaluates the array

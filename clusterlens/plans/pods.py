@@ -33,6 +33,17 @@ from clusterlens.plans.common import (
 _RESOURCE_FIELDS = dict(zip(RESOURCES, (("limits", "cpu"), ("requests", "cpu"), ("limits", "memory"), ("requests", "memory"))))
 
 
+def _specs() -> tuple[Column, Column, Column]:
+    """The specs of a pod's containers: init, sidecar, app, each in spec order."""
+    inits, apps = F.col("spec.initContainers"), F.col("spec.containers")
+    inits, apps = F.coalesce(inits, F.filter(apps, lambda c: F.lit(False))), F.coalesce(apps, F.filter(inits, lambda c: F.lit(False)))
+
+    def restarts(c: Column) -> Column:
+        return F.coalesce(c["restartPolicy"] == "Always", F.lit(False))
+
+    return F.filter(inits, lambda c: ~restarts(c)), F.filter(inits, restarts), apps
+
+
 def _paired(role: str, specs: Column, statuses: Column) -> Column:
     """Containers with the status of their name (the last one, NULL if there is none)."""
 
@@ -59,16 +70,11 @@ def prepare(objects: DataFrame, now: Column) -> DataFrame:
     Each ``transform`` fixes one intermediate result per element (status, then verdict), which
     the next one reads as a field: expressions inside a lambda are not shared otherwise.
     """
-    inits, apps = F.col("spec.initContainers"), F.col("spec.containers")
-    inits, apps = F.coalesce(inits, F.filter(apps, lambda c: F.lit(False))), F.coalesce(apps, F.filter(inits, lambda c: F.lit(False)))
-
-    def restarts(c: Column) -> Column:
-        return F.coalesce(c["restartPolicy"] == "Always", F.lit(False))
-
+    inits, sidecars, apps = _specs()
     init_status, app_status = F.col("status.initContainerStatuses"), F.col("status.containerStatuses")
     paired = F.concat(
-        _paired("init", F.filter(inits, lambda c: ~restarts(c)), init_status),
-        _paired("sidecar", F.filter(inits, restarts), init_status),
+        _paired("init", inits, init_status),
+        _paired("sidecar", sidecars, init_status),
         _paired("app", apps, app_status),
     )
     classified = objects.withColumn("all_containers", F.transform(paired, _classified))
@@ -119,8 +125,6 @@ def containers(pods: DataFrame) -> DataFrame:
         zero(status["restartCount"]).alias("restart_count"),
         F.col("c.health.rank").alias("rank"),
         F.col("c.health.reason").alias("reason"),
-        spec["volumeDevices"].alias("devices"),
-        spec["volumeMounts"].alias("mounts"),
     )
 
 
@@ -149,24 +153,28 @@ def _of_role(role: str) -> Build:
     return build
 
 
+def _listed(pods: DataFrame, field: str) -> DataFrame:
+    """``container_uuid, pod_uuid, item`` of a list in the specs of all containers, which needs no verdict about them."""
+    specs = F.transform(F.concat(*_specs()), lambda c: F.struct(c["name"].alias("name"), c[field].alias("items")))
+    found = exploded(pods, specs, F.col("uuid").alias("pod_uuid"), names=("c",))
+    items = exploded(found, "c.items", "pod_uuid", F.col("c.name").alias("_name"))
+    return items.select(uuid5(F.col("pod_uuid"), F.col("_name")).alias("container_uuid"), "pod_uuid", "item")
+
+
 def devices(pods: DataFrame) -> DataFrame:
-    return (
-        exploded(containers(pods), "devices", F.col("uuid").alias("container_uuid"), "pod_uuid", names=("d",))
-        .select("container_uuid", "pod_uuid", F.col("d.name").alias("name"), F.col("d.devicePath").alias("path"))
+    return _listed(pods, "volumeDevices").select(
+        "container_uuid", "pod_uuid", F.col("item.name").alias("name"), F.col("item.devicePath").alias("path")
     )
 
 
 def mounts(pods: DataFrame) -> DataFrame:
-    return (
-        exploded(containers(pods), "mounts", F.col("uuid").alias("container_uuid"), "pod_uuid", names=("m",))
-        .select(
-            "container_uuid",
-            "pod_uuid",
-            F.col("m.name").alias("volume_name"),
-            F.col("m.mountPath").alias("path"),
-            nullable(F.col("m.subPath")).alias("sub_path"),
-            flag(F.col("m.readOnly")).alias("read_only"),
-        )
+    return _listed(pods, "volumeMounts").select(
+        "container_uuid",
+        "pod_uuid",
+        F.col("item.name").alias("volume_name"),
+        F.col("item.mountPath").alias("path"),
+        nullable(F.col("item.subPath")).alias("sub_path"),
+        flag(F.col("item.readOnly")).alias("read_only"),
     )
 
 
