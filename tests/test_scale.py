@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from clusterlens.plans.registry import kinds
 from clusterlens.plans.sync import Store
 from clusterlens.sources import tables
 from clusterlens.sources.readers import parse_objects
@@ -46,3 +47,20 @@ def test_children_and_deletes_of_a_large_batch(spark, tmp_path, monkeypatch, lim
     store.delete("service", gone, 2)
     assert sorted(r.name for r in store.read("service").collect()) == sorted(f"s{n}" for n in range(20) if n not in (1, 2))
     assert store.read("service_port").count() == 18
+
+
+def test_devices_need_no_verdict(spark):
+    """What the specs of containers list is read without the health of the containers, in the same order as they are stored."""
+    raw = """{"metadata": {"uid": "p"}, "spec": {
+      "initContainers": [{"name": "proxy", "restartPolicy": "Always", "volumeDevices": [{"name": "d", "devicePath": "/p"}]},
+        {"name": "setup", "volumeDevices": [{"name": "d", "devicePath": "/s"}]}],
+      "containers": [{"name": "main", "volumeDevices": [{"name": "d", "devicePath": "/m"}, {"name": "e", "devicePath": "/n"}]}, {"name": "bare"}]}}"""
+    pod, now = kinds()["pod"], F.lit("2024-02-01").cast("timestamp")
+    prepared = pod.prepared(parse_objects(spark.createDataFrame([(raw,)], "raw STRING"), "pod"), F.lit("c1"), now)
+    found = pod.table("container_device", prepared, now)
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        assert "terminated successfully" not in found._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert [r.path for r in found.collect()] == ["/s", "/p", "/m", "/n"]
