@@ -3,13 +3,15 @@
 The index is plain Parquet, one folder per batch and in it one per bucket:
 
 - ``postings``: label entries of pods, by bucket of the entry,
-- ``anchors``: each selector under its rarest entry when it came, by bucket of that entry,
+- ``anchors``: each different selector under its rarest entry when it first came, by bucket of that entry,
 - ``pods`` and ``services``: what they looked like, by bucket of their key,
-- ``pairs``: which version of a service selected which version of a pod.
+- ``pairs``: which selector covers which version of a pod.
 
 A batch of pods looks up the anchors in the buckets of its own entries, a batch of services the postings in those of its
-selectors; neither reads the other side's objects or counts labels of the whole cluster.  A pair counts as long as both its
-versions are the current ones, so changes and deletes need no look at older pairs, and batches may arrive in any order.
+selectors; neither reads the other side's objects or counts labels of the whole cluster.  Equal selectors are matched and
+stored once, whichever services and versions of them carry one; reading gives their pods to the services.  A pair counts as
+long as its pod's version is the current one and a service's current version carries its selector, so changes and deletes
+need no look at older pairs, and batches may arrive in any order.
 Every batch writes what it knows before it looks anything up: of a pod and a service that arrive in two streams at the same
 time at least one sees the other.  Writing a batch again replaces its folders.
 """
@@ -32,11 +34,18 @@ _TABLES = {
     "pods": "cluster_uuid STRING, namespace STRING, uuid STRING, labels MAP<STRING, STRING>, seq BIGINT, gone BOOLEAN",
     "services": "cluster_uuid STRING, namespace STRING, uuid STRING, selector MAP<STRING, STRING>, seq BIGINT, gone BOOLEAN",
     "postings": f"cluster_uuid STRING, namespace STRING, entry {_ENTRY}, uuid STRING, seq BIGINT",
-    "anchors": f"cluster_uuid STRING, namespace STRING, entry {_ENTRY}, uuid STRING, seq BIGINT, terms ARRAY<{_ENTRY}>",
-    "pairs": "service_uuid STRING, service_seq BIGINT, pod_uuid STRING, pod_seq BIGINT",
+    "anchors": f"cluster_uuid STRING, namespace STRING, entry {_ENTRY}, terms ARRAY<{_ENTRY}>, wanted BINARY",
+    "pairs": "wanted BINARY, pod_uuid STRING, pod_seq BIGINT",
 }
 
 
+def _selectors(services: DataFrame) -> DataFrame:
+    """Versions of services that select something, with the entries of the selector and ``wanted``, which stands for them and their scope."""
+    terms = F.sort_array(F.map_entries("selector"))
+    chosen = services.where("NOT gone").where(F.size("selector") > 0).select(*_SCOPE, "uuid", "seq", terms.alias("terms"))
+    return chosen.withColumn("wanted", F.unhex(F.md5(F.to_json(F.struct(*_SCOPE, "terms")))))
+
+
 class SelectorIndex:
     """Services and the pods they select, as far as the batches given so far tell.
 
@@ -60,13 +69,15 @@ class SelectorIndex:
     def services_changed(self, rows: DataFrame, number: int) -> None:
         """``cluster_uuid, uuid, namespace, selector, seq, gone``: the last change of each service of a batch."""
         self._write("services", self._scoped(rows, "selector"), number, "uuid")
-        services = self._batch("services", number).where("NOT gone").where(F.size("selector") > 0)
-        terms = services.select(*_SCOPE, "uuid", "seq", F.sort_array(F.map_entries("selector")).alias("terms"))
+        terms = _selectors(self._batch("services", number)).select(*_SCOPE, "terms", "wanted").distinct()
         terms = terms.withColumn("entry", F.explode("terms")).withColumn("bucket", self._bucket("entry"))
+        # A selector that an earlier batch brought has met the pods before it, and those after it have met its anchor.
+        known = self._read("anchors", terms).where(F.col("batch") != number).select("wanted")
+        terms = terms.join(known, "wanted", "left_anti")
         on = [*_SCOPE, "bucket", "entry"]
         carriers = self._read("postings", terms).groupBy(*on).count()
         rarest = F.min_by("entry", F.struct(F.coalesce("count", F.lit(0)), F.col("entry")))
-        anchors = terms.join(carriers, on, "left").groupBy(*_SCOPE, "uuid", "seq", "terms").agg(rarest.alias("entry"))
+        anchors = terms.join(carriers, on, "left").groupBy(*_SCOPE, "terms", "wanted").agg(rarest.alias("entry"))
         self._write("anchors", anchors, number, "entry")
         anchors = self._batch("anchors", number)
         folder = scratch_dir(self.spark, "candidates")
@@ -78,28 +89,32 @@ class SelectorIndex:
 
     @staticmethod
     def _met(postings: DataFrame, anchors: DataFrame) -> DataFrame:
-        """Versions of pods that carry the anchor of a version of a service."""
-        mine = anchors.select(*_SCOPE, "bucket", "entry", F.col("uuid").alias("service_uuid"), F.col("seq").alias("service_seq"), "terms")
+        """Versions of pods that carry the anchor of a selector."""
+        mine = anchors.select(*_SCOPE, "bucket", "entry", "terms", "wanted")
         found = postings.join(mine, [*_SCOPE, "bucket", "entry"])
-        return found.select("service_uuid", "service_seq", "terms", F.col("uuid").alias("pod_uuid"), F.col("seq").alias("pod_seq"))
+        return found.select("wanted", "terms", F.col("uuid").alias("pod_uuid"), F.col("seq").alias("pod_seq"))
 
     def _pair(self, met: DataFrame, pods: DataFrame, number: int, side: str) -> None:
         labels = pods.select(F.col("uuid").alias("pod_uuid"), F.col("seq").alias("pod_seq"), "labels")
         covered = F.forall("terms", lambda x: F.coalesce(F.element_at("labels", x["key"]) == x["value"], F.lit(False)))
-        pairs = met.join(labels, ["pod_uuid", "pod_seq"]).where(covered).select("service_uuid", "service_seq", "pod_uuid", "pod_seq").distinct()
+        pairs = met.join(labels, ["pod_uuid", "pod_seq"]).where(covered).select("wanted", "pod_uuid", "pod_seq").distinct()
         pairs.write.mode("overwrite").parquet(f"{self.root}/pairs/batch={number}/side={side}")
 
     # ----------------------------------------------------------------- the relation
 
     def read(self) -> DataFrame:
         """``service_uuid, pod_uuid``: what the current services select of the current pods."""
-        pairs = self._read("pairs").select("service_uuid", "service_seq", "pod_uuid", "pod_seq").distinct()
-        for table, name in (("pods", "pod"), ("services", "service")):
+
+        def current(table: str, name: str) -> DataFrame:
             # At equal numbers an upsert wins over a delete.
             last = self._read(table).groupBy(F.col("uuid").alias(f"{name}_uuid")).agg(F.max(F.struct("seq", ~F.col("gone"))).alias("last"))
-            current = last.where("last.col2").select(f"{name}_uuid", F.col("last.seq").alias(f"{name}_seq"))
-            pairs = pairs.join(current, [f"{name}_uuid", f"{name}_seq"], "left_semi")
-        return pairs.select("service_uuid", "pod_uuid")
+            return last.where("last.col2").select(f"{name}_uuid", F.col("last.seq").alias(f"{name}_seq"))
+
+        pairs = self._read("pairs").select("wanted", "pod_uuid", "pod_seq")
+        pairs = pairs.join(current("pods", "pod"), ["pod_uuid", "pod_seq"], "left_semi").select("wanted", "pod_uuid")
+        services = _selectors(self._read("services")).select(F.col("uuid").alias("service_uuid"), F.col("seq").alias("service_seq"), "wanted")
+        services = services.join(current("services", "service"), ["service_uuid", "service_seq"], "left_semi").select("service_uuid", "wanted")
+        return pairs.join(services.distinct(), "wanted").select("service_uuid", "pod_uuid").distinct()
 
     def folded(self, target: str) -> "SelectorIndex":
         """An index of the last versions only, with anchors chosen anew; streams go on with it under their own batch numbers.

@@ -73,3 +73,18 @@ def test_only_the_buckets_of_a_batch_are_read(spark, tmp_path):
     assert 0 < len(probed.inputFiles()) and probed.select(F.col("bucket")).distinct().count() == 1
     plan = probed._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan
+
+
+def test_equal_selectors_are_matched_and_stored_once(spark, tmp_path):
+    index = SelectorIndex(spark, str(tmp_path / "index"), buckets=2)
+    pods = [("c", f"p{n}", "n", {"tier": "shop", "app": f"a{n % 2}"}, 1, False) for n in range(20)]
+    index.pods_changed(spark.createDataFrame(pods[:10], POD), 0)
+    for number in range(3):  # the same selector by many services, and again by newer versions of them
+        index.services_changed(spark.createDataFrame([("c", f"s{n}", "n", {"tier": "shop"}, number, False) for n in range(30)], SERVICE), number)
+    index.pods_changed(spark.createDataFrame(pods[10:], POD), 3)
+    assert index._read("anchors").count() == 1 and index._read("pairs").count() == 20
+    assert pairs(index.read()) == sorted((f"s{n}", f"p{k}") for n in range(30) for k in range(20))
+    index.services_changed(spark.createDataFrame([("c", "s0", "n", {"app": "a1"}, 9, False), ("c", "s1", "n", {}, 9, False)], SERVICE), 4)
+    found = pairs(index.read())
+    assert [p for s, p in found if s == "s0"] == sorted(f"p{k}" for k in range(1, 20, 2))
+    assert "s1" not in {s for s, _ in found} and len(found) == 28 * 20 + 10
