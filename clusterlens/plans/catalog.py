@@ -56,17 +56,60 @@ LABELS = {
 }
 
 
+# Labels that requests and limits are summed up by, and what is allocated: source metric, resource and capacity of the node.
+ALLOCATED_BY = {NODE: ("node",), POD: ("node", "namespace", "pod"), CONTAINER: ("node", "namespace", "pod", "container")}
+ALLOCATED = {
+    "cpu.request": (REQUESTS, "cpu", NODE_CORES),
+    "cpu.limit": (LIMITS, "cpu", NODE_CORES),
+    "memory.request": (REQUESTS, "memory", NODE_MEMORY),
+    "memory.limit": (LIMITS, "memory", NODE_MEMORY),
+}
+_PERCENTAGE = ".percentage"
+
+
 class Shared:
     """Samples of which several metrics are evaluated.
 
     Per source metric (and window, for rates) the sums over all labels that the library uses are
-    computed once and written to the shared folder; metrics match and sum up those rows.
+    computed once and written to the shared folder; metrics match and sum up those rows.  Requests, limits and
+    capacities of nodes are put side by side, one row per labels and tick.  Samples of one ``level`` only are summed up
+    by its own labels at once.
     """
 
-    def __init__(self, frame: DataFrame) -> None:
-        self.frame = frame
+    def __init__(self, frame: DataFrame, level: str = "") -> None:
+        self.frame, self.level = frame, level
         self._found: dict[str, DataFrame] = {}
 
+    def _written(self, key: str, rows: DataFrame) -> DataFrame:
+        if key not in self._found:
+            folder = scratch_dir(self.frame.sparkSession, "metrics")
+            rows.write.parquet(folder)
+            self._found[key] = self.frame.sparkSession.read.schema(rows.schema).parquet(folder)
+        return self._found[key]
+
+    def allocated(self, level: str, **grid) -> DataFrame:
+        """Requests and limits by the labels of a level: a column per key of ``ALLOCATED``."""
+        scope, by = _scope(grid), ALLOCATED_BY[level]
+        finest = by if self.level else ALLOCATED_BY[CONTAINER]
+        known = [m.equals("resource", r) for r in ("cpu", "memory")]
+        vectors = m.instants(self.frame, [REQUESTS, LIMITS], [*finest, "resource"], [known[0] | known[1]], **grid)
+        value = {c: F.when((F.col("metric") == source) & (F.col("resource") == r), F.col("value")) for c, (source, r, _) in ALLOCATED.items()}
+        rows = vectors.groupBy(*scope, *finest, "tick").agg(*[F.sum(v).alias(c) for c, v in value.items()])
+        if self.level:
+            return rows
+        rows = self._written(f"allocated {grid}", rows)
+        if by == finest:
+            return rows
+        return rows.groupBy(*scope, *by, "tick").agg(*[F.sum(F.col(f"`{c}`")).alias(c) for c in ALLOCATED])
+
+    def capacities(self, **grid) -> DataFrame:
+        """CPU cores and memory per node: a column per metric."""
+        sources = [NODE_CORES, NODE_MEMORY]
+        vectors = m.instants(self.frame, sources, ["node"], **grid)
+        sums = [F.sum(F.when(F.col("metric") == source, F.col("value"))).alias(source) for source in sources]
+        rows = vectors.groupBy(*_scope(grid), "node", "tick").agg(*sums)
+        return rows if self.level else self._written(f"capacities {grid}", rows)
+
     def _base(self, key: str, metric: str, vector: Callable[[], DataFrame], scope: Sequence[str]) -> DataFrame:
         if key not in self._found:
             by = LABELS[metric]
@@ -108,13 +151,18 @@ def _scope(grid: dict) -> Sequence[str]:
     return grid.get("scope", ())
 
 
+def _sum_shared(rows: DataFrame, metric: str, by: Sequence[str], scope: Sequence[str]) -> DataFrame:
+    """Shared rows are unique per label values and tick: by all their labels there is nothing left to sum up."""
+    if set(by) == set(LABELS[metric]):
+        return rows.select(*scope, *by, "tick", "value")
+    return m.sum_by(rows, by, scope)
+
+
 def _sum(metric: str, by: Sequence[str], *matchers: Column) -> Callable[..., DataFrame]:
     def build(samples: DataFrame | Shared, **grid) -> DataFrame:
         if isinstance(samples, Shared):
-            vector = _matching(samples.sums(metric, **grid), matchers)
-        else:
-            vector = m.instant(samples, metric, by, matchers, **grid)
-        return m.sum_by(vector, by, _scope(grid))
+            return _sum_shared(_matching(samples.sums(metric, **grid), matchers), metric, by, _scope(grid))
+        return m.sum_by(m.instant(samples, metric, by, matchers, **grid), by, _scope(grid))
 
     return build
 
@@ -123,10 +171,9 @@ def _rate(metric: str, minutes: int, by: Sequence[str], *matchers: Column, sign:
     def build(samples: DataFrame, **grid) -> DataFrame:
         grid.pop("lookback", None)
         if isinstance(samples, Shared):
-            rates = _matching(samples.rates(metric, minutes, **grid), matchers)
+            vector = _sum_shared(_matching(samples.rates(metric, minutes, **grid), matchers), metric, by, _scope(grid))
         else:
-            rates = m.rate(samples, metric, minutes * m.MINUTE, by, matchers, **grid)
-        vector = m.sum_by(rates, by, _scope(grid))
+            vector = m.sum_by(m.rate(samples, metric, minutes * m.MINUTE, by, matchers, **grid), by, _scope(grid))
         return vector if sign > 0 else m.negate(vector)
 
     return build
@@ -187,25 +234,16 @@ def _namespace_count(samples: DataFrame, **grid) -> DataFrame:
     return m.count_series(m.instant(_frame(samples), NAMESPACE_CREATED, **grid), (), _scope(grid))
 
 
-def _allocations(prefix: str, level: str, by: Sequence[str], first: int) -> list[Metric]:
+def _allocations(prefix: str, level: str, first: int) -> list[Metric]:
     """Requests and limits of CPU and memory, each as an amount and as a share of the node."""
     found, number = [], first
-    for resource, capacity in (("cpu", NODE_CORES), ("memory", NODE_MEMORY)):
-        for kind, source in (("request", REQUESTS), ("limit", LIMITS)):
-            amount = _sum(source, by, m.equals("resource", resource))
-            category = f"{resource}.{kind}"
-            found.append(Metric(f"{prefix}{number:02d}", level, category, amount, sources=(source,)))
-            found.append(
-                Metric(
-                    f"{prefix}{number + 1:02d}",
-                    level,
-                    f"{category}.percentage",
-                    _share(amount, capacity),
-                    sources=(source, capacity),
-                )
-            )
-            number += 2
-        if prefix == "N" and resource == "cpu":
+    for category, (source, resource, capacity) in ALLOCATED.items():
+        amount = _sum(source, ALLOCATED_BY[level], m.equals("resource", resource))
+        found.append(Metric(f"{prefix}{number:02d}", level, category, amount, sources=(source,)))
+        share = f"{category}{_PERCENTAGE}"
+        found.append(Metric(f"{prefix}{number + 1:02d}", level, share, _share(amount, capacity), sources=(source, capacity)))
+        number += 2
+        if prefix == "N" and category == "cpu.limit":
             number += 1  # N06 is the memory usage
     return found
 
@@ -240,7 +278,7 @@ def _catalog() -> list[Metric]:
             (RECEIVED,),
         ),
         Metric("N01", NODE, "cpu.usage", _cpu(2, ["node", "cpu"], ["node"]), sources=(NODE_CPU,)),
-        *_allocations("N", NODE, ["node"], 2),
+        *_allocations("N", NODE, 2),
         Metric("N06", NODE, "memory.usage", _memory_share(["instance"]), sources=(MEMORY_TOTAL, MEMORY_FREE)),
         Metric("N11", NODE, "network.received.bytes", _rate(RECEIVED, 2, ["node"]), sources=(RECEIVED,)),
         Metric(
@@ -253,8 +291,8 @@ def _catalog() -> list[Metric]:
         Metric("P02", POD, "memory.usage", _pod_memory_share, sources=(CONTAINER_MEMORY, MEMORY_TOTAL)),
         Metric("P03", POD, "cpu.usage.cores", _rate(CONTAINER_CPU, 2, ["namespace", "pod"]), sources=(CONTAINER_CPU,)),
         Metric("P04", POD, "memory.usage.bytes", _sum(CONTAINER_MEMORY, ["namespace", "pod"]), sources=(CONTAINER_MEMORY,)),
-        *_allocations("P", POD, ["node", "namespace", "pod"], 5),
-        *_allocations("K", CONTAINER, ["node", "namespace", "pod", "container"], 1),
+        *_allocations("P", POD, 5),
+        *_allocations("K", CONTAINER, 1),
     ]
     return sorted(entries, key=lambda e: ("CNPK".index(e.id[0]), e.id))
 
@@ -285,6 +323,7 @@ def metric_rows(
     nodes: DataFrame | None = None,
     pods: DataFrame | None = None,
     scope: Sequence[str] = (),
+    step: int = 0,
 ) -> DataFrame:
     """Vector -> (entity_uuid, timestamp, category, name, value).
 
@@ -294,29 +333,66 @@ def metric_rows(
     joins a small side; the optimiser broadcasts the dimension if its measured size allows.
     The key of the result is entity, minute, category and name.  Of several values the one of
     the latest tick counts, and at one tick (a pod seen through two instances) the highest.
+    ``step``: that of the grid, if it is known.
     """
-    if metric.level == CLUSTER:
-        found = values.withColumn("entity_uuid", cluster if cluster is not None else F.col("cluster_uuid"))
-    elif metric.level == NODE:
+    found = _entities(metric.level, values, cluster=cluster, nodes=nodes, pods=pods, scope=scope)
+    name = F.col(metric.name_label) if metric.name_label else F.lit("")
+    rows = found.select("entity_uuid", _timestamp(), F.lit(metric.category).alias("category"), name.alias("name"), "tick", "value")
+    return rows.groupBy("entity_uuid", "timestamp", "category", "name").agg(_last("value", step).alias("value"))
+
+
+def _timestamp() -> Column:
+    return (F.floor(F.col("tick") / F.lit(m.MINUTE)) * F.lit(m.MINUTE)).cast("bigint").alias("timestamp")
+
+
+def _last(value: str, step: int) -> Column:
+    """The value of a minute's latest tick, at one tick the highest.  Steps of whole minutes have one tick a minute."""
+    if step and step % m.MINUTE == 0:
+        return F.max(value)
+    return F.max_by(value, F.struct("tick", value))
+
+
+def _entities(
+    level: str, values: DataFrame, *, cluster: Column | None = None, nodes: DataFrame | None = None, pods: DataFrame | None = None, scope: Sequence[str] = ()
+) -> DataFrame:
+    """Values with the ``entity_uuid`` they belong to."""
+    if level == CLUSTER:
+        return values.withColumn("entity_uuid", cluster if cluster is not None else F.col("cluster_uuid"))
+    if level == NODE:
         for absent in {"node", "instance"} - set(values.columns):
             values = values.withColumn(absent, F.lit(""))
         looked_up = values.withColumn("node", node_key())
-        found = looked_up.join(nodes, [*scope, "node"]).withColumnRenamed("node_uuid", "entity_uuid")
-    else:
-        found = values.where(F.col("pod") != "").join(pods, [*scope, "namespace", "pod"])
-        entity = F.col("pod_uuid") if metric.level == POD else uuid5(F.col("pod_uuid"), F.col("container"))
-        found = found.withColumn("entity_uuid", entity)
-    name = F.col(metric.name_label) if metric.name_label else F.lit("")
-    rows = found.select(
-        "entity_uuid",
-        (F.floor(F.col("tick") / F.lit(m.MINUTE)) * F.lit(m.MINUTE)).cast("bigint").alias("timestamp"),
-        F.lit(metric.category).alias("category"),
-        name.alias("name"),
-        "tick",
-        "value",
-    )
-    last = F.max_by("value", F.struct("tick", "value"))
-    return rows.groupBy("entity_uuid", "timestamp", "category", "name").agg(last.alias("value"))
+        return looked_up.join(nodes, [*scope, "node"]).withColumnRenamed("node_uuid", "entity_uuid")
+    found = values.where(F.col("pod") != "").join(pods, [*scope, "namespace", "pod"])
+    return found.withColumn("entity_uuid", F.col("pod_uuid") if level == POD else uuid5(F.col("pod_uuid"), F.col("container")))
+
+def _allocation_rows(level: str, categories: Sequence[str], shared: Shared, grid: dict, **lookups) -> DataFrame:
+    """:func:`metric_rows` of all allocation metrics of a level.
+
+    A row carries all of them through the look-up joins and the last aggregation, and becomes a row per category at the end.
+    """
+    scope = _scope(grid)
+    values = shared.allocated(level, **grid).join(shared.capacities(**grid), [*scope, "node", "tick"], "left")
+
+    def value(category: str) -> Column:
+        amount = category.removesuffix(_PERCENTAGE)
+        found = F.col(f"`{amount}`")
+        if amount != category:
+            found = F.try_divide(found, F.col(ALLOCATED[amount][2]))
+        return F.when(~F.isnan(found), found)
+
+    def newest(name: str) -> Column:
+        """Of the minute's ticks at which the metric has a value."""
+        if grid.get("step", m.MINUTE) % m.MINUTE == 0:
+            return _last(name, m.MINUTE)
+        return F.max(F.when(F.col(name).isNotNull(), F.struct("tick", name)))[name]
+
+    names = {f"value_{n}": category for n, category in enumerate(categories)}
+    values = values.select(*scope, *ALLOCATED_BY[level], "tick", *[value(c).alias(n) for n, c in names.items()])
+    rows = _entities(level, values, scope=scope, **lookups).select("entity_uuid", _timestamp(), "tick", *names)
+    last = rows.groupBy("entity_uuid", "timestamp").agg(*[newest(n).alias(n) for n in names])
+    each = F.array(*[F.struct(F.lit(c).alias("category"), F.lit("").alias("name"), F.col(n).alias("value")) for n, c in names.items()])
+    return last.select("entity_uuid", "timestamp", F.inline(each)).where(F.col("value").isNotNull())
 
 
 def level_rows(level: str, samples: DataFrame | Shared, *, grid: dict | None = None, **lookups) -> DataFrame:
@@ -325,10 +401,13 @@ def level_rows(level: str, samples: DataFrame | Shared, *, grid: dict | None = N
     What several metrics start from is evaluated once; hand in one :class:`Shared` to share it between levels.
     """
     grid = dict(grid or {})
-    shared = samples if isinstance(samples, Shared) else Shared(samples)
+    shared = samples if isinstance(samples, Shared) else Shared(samples, level)
+    entries = [entry for entry in catalog().values() if entry.level == level]
+    allocated = [e.category for e in entries if e.category.removesuffix(_PERCENTAGE) in ALLOCATED]
+    step = grid.get("step", m.MINUTE)
     parts = [
-        metric_rows(entry, vector(entry, shared, **grid), scope=grid.get("scope", ()), **lookups)
-        for entry in catalog().values()
-        if entry.level == level
+        metric_rows(entry, vector(entry, shared, **grid), scope=_scope(grid), step=step, **lookups) for entry in entries if entry.category not in allocated
     ]
+    if allocated:
+        parts.append(_allocation_rows(level, allocated, shared, grid, **lookups))
     return reduce(DataFrame.unionByName, parts)

@@ -1,8 +1,11 @@
 """What joins and jobs may not do as their input grows."""
 
+from functools import reduce
+
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from clusterlens.plans import catalog
 from clusterlens.plans.registry import kinds
 from clusterlens.plans.sync import Store
 from clusterlens.sources import tables
@@ -49,6 +52,41 @@ def test_children_and_deletes_of_a_large_batch(spark, tmp_path, monkeypatch, lim
     assert store.read("service_port").count() == 18
 
 
+@pytest.mark.parametrize("step", [60_000, 30_000])
+def test_allocations_share_their_joins(spark, step):
+    """All allocation metrics of a level go through one aggregation and its joins, with the rows that each has by itself."""
+    samples = []
+    for n in range(60):
+        labels = {"resource": ("cpu", "memory", "disk")[n % 3], "node": f"n{n % 2}" if n % 7 else "", "namespace": "a", "pod": f"p{n % 5}", "container": f"c{n % 4}"}
+        for metric, factor in ((catalog.REQUESTS, 1), (catalog.LIMITS, 2)):
+            if (n + factor) % 9:
+                samples.append((metric, labels, n * 11, float("nan") if n == 31 else float(factor * n)))
+        samples.append((catalog.NODE_CORES, {"node": f"n{n % 2}"}, n * 11, float(n % 4)))
+        if n % 2:
+            samples.append((catalog.NODE_MEMORY, {"node": "n1"}, n * 11, 100.0))
+    rows = spark.createDataFrame(samples, "metric STRING, labels MAP<STRING, STRING>, s BIGINT, value DOUBLE")
+    rows = rows.withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    pods = spark.createDataFrame([("a", f"p{n}", f"00000000-0000-0000-0000-00000000000{n}") for n in range(4)], "namespace STRING, pod STRING, pod_uuid STRING")
+    nodes = spark.createDataFrame([("n0", "u0"), ("n1", "u1")], "node STRING, node_uuid STRING")
+    grid = {"step": step}
+    levels = [(catalog.CONTAINER, {"pods": pods}), (catalog.POD, {"pods": pods}), (catalog.NODE, {"nodes": nodes})]
+    for level, lookups in levels[: 3 if step == 60_000 else 1]:
+        def found(frame):
+            kept = frame.where("category LIKE '%request%' OR category LIKE '%limit%'")
+            return sorted((r.entity_uuid, r.timestamp, r.category, r.name, round(r.value, 9)) for r in kept.collect())
+
+        entries = [e for e in catalog.catalog().values() if e.level == level and e.category.split(".")[1] in ("request", "limit")]
+        assert len(entries) == 8
+        alone = [catalog.metric_rows(e, catalog.vector(e, rows, **grid), **lookups) for e in entries]
+        wanted = found(reduce(DataFrame.unionByName, alone))
+        whole = catalog.level_rows(level, rows, grid=grid, **lookups)
+        assert wanted and found(whole) == wanted
+        if level == catalog.POD:
+            assert found(catalog.level_rows(level, catalog.Shared(rows), grid=grid, **lookups)) == wanted
+        if level == catalog.CONTAINER:
+            assert _plan(whole).count("Exchange hashpartitioning") <= 8
+
+
 def test_devices_need_no_verdict(spark):
     """What the specs of containers list is read without the health of the containers, in the same order as they are stored."""
     raw = """{"metadata": {"uid": "p"}, "spec": {
