@@ -9,10 +9,17 @@ from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from clusterlens.functions.ids import ensure_uuid
 from clusterlens.session import scratch_dir
+from clusterlens.sources.tables import few
 
 _NS = "_namespace"
 
 
+def _signature(entries: Column) -> Column:
+    """64 bits, of which each entry sets one: those of some of the entries are among those of all."""
+    bit = lambda e: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(e), F.lit(64)).cast("int"))
+    return F.aggregate(entries, F.lit(0).cast("bigint"), lambda bits, e: bits.bitwiseOR(bit(e)))
+
+
 def select_pods(
     services: DataFrame,
     pods: DataFrame,
@@ -31,7 +38,9 @@ def select_pods(
     Containment is checked on one join candidate per pod and selector: each selector is
     joined on its *rarest* entry and the others are then tested in the row.  Equal selectors
     are matched once.  So a label nearly all pods carry costs nothing unless a selector
-    consists of nothing rarer, in which case its matches are the result itself.
+    consists of nothing rarer, in which case its matches are the result itself.  A signature of
+    all labels goes along with every entry, so that most candidates whose labels do not cover the
+    selector end where they are found, and are not sorted together with the labels of their pods.
     """
     scope = [*within, _NS] if same_namespace else [*within]
 
@@ -49,7 +58,8 @@ def select_pods(
     terms = selectors.select(*scope, "terms", F.explode("terms").alias("term"))
 
     labelled = scoped(pods, pod_key, "labels")
-    entries = labelled.select(pod_key, *scope, F.explode(F.map_entries("labels")).alias("term"))
+    listed = F.map_entries("labels")
+    entries = labelled.select(pod_key, *scope, _signature(listed).alias("has"), F.explode(listed).alias("term"))
 
     # How many pods carry each entry.  Counted before any join, so that tasks send one row per
     # entry they have seen, however many pods carry it.
@@ -63,11 +73,16 @@ def select_pods(
         .agg(F.min_by("term", F.struct("count", "term")).alias("term"), F.count(F.lit(1)).alias("found"))
         .where(F.col("found") == F.size("terms"))
         .drop("found")
+        .withColumn("needs", _signature(F.col("terms")))
     )
     # Candidates are keys only; the labels come back by the pod's key, which is never hot.
-    candidates = entries.join(anchors, on).select(pod_key, *scope, "terms")
+    likely = F.col("has").bitwiseAND(F.col("needs")) == F.col("needs")
+    # Files of a few megabytes hold a gigabyte of labels, as they compress so well: it is the selectors that are broadcast, if a
+    # count says that they are few, and neither entries nor labels of pods, whatever size is expected of them.
+    how = "broadcast" if few(selectors) else "merge"
+    candidates = entries.join(anchors.hint(how), on).where(likely).select(pod_key, *scope, "terms")
     covered = F.forall("terms", lambda t: F.coalesce(F.element_at("labels", t["key"]) == t["value"], F.lit(False)))
-    candidates = candidates.join(labelled.select(pod_key, *scope, "labels"), [pod_key, *scope])
+    candidates = candidates.join(labelled.select(pod_key, *scope, "labels").hint("merge"), [pod_key, *scope])
     matches = candidates.where(covered).select(pod_key, *scope, "terms")
     return matches.join(wanted, [*scope, "terms"]).select(service_key, pod_key)
 

@@ -32,7 +32,11 @@ def sized(rows: DataFrame) -> DataFrame:
     The optimiser estimates some columns of wide rows by the share of their declared widths in the size of the files, which
     is far too small for the keys of objects; any number of them would then be sent through the driver.
     """
-    return rows if rows.limit(FEW + 1).count() <= FEW else rows.hint("merge")
+    return rows if few(rows) else rows.hint("merge")
+
+
+def few(rows: DataFrame) -> bool:
+    return rows.limit(FEW + 1).count() <= FEW
 
 
 class KeyedTable:

@@ -5,11 +5,13 @@ from functools import reduce
 import pytest
 from pyspark.sql import DataFrame, functions as F
 
+from clusterlens.operators import metrics, relate
 from clusterlens.plans import catalog
 from clusterlens.plans.registry import kinds
 from clusterlens.plans.sync import Store
 from clusterlens.sources import tables
 from clusterlens.sources.readers import parse_objects
+from clusterlens.streaming import polling
 
 
 def _plan(rows) -> str:
@@ -87,6 +89,39 @@ def test_allocations_share_their_joins(spark, step):
             assert _plan(whole).count("Exchange hashpartitioning") <= 8
 
 
+def test_labels_of_all_pods_are_not_broadcast(spark, tmp_path):
+    """Files of labels look small; candidates that cannot be covered are left out before labels are looked at."""
+    labels = F.create_map(F.lit("tier"), F.lit("shop"), F.lit("app"), F.format_string("a%d", F.col("id") % 50))
+    spark.range(1000).select(F.col("id").alias("pod_uuid"), F.lit("n").alias("namespace"), labels.alias("labels")).write.parquet(f"{tmp_path}/pods")
+    pods = spark.read.parquet(f"{tmp_path}/pods")
+    selector = F.create_map(F.lit("tier"), F.lit("shop"), F.lit("app"), F.format_string("a%d", "id"))
+    services = spark.range(3).select(F.col("id").alias("service_uuid"), F.lit("n").alias("namespace"), selector.alias("selector"))
+    found = relate.select_pods(services, pods)
+    assert sorted(map(tuple, found.collect())) == [(s, p) for s in range(3) for p in range(s, 1000, 50)]
+    lines = _plan(found).split("\n")
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    sent = [n for n, line in enumerate(lines) if "BroadcastExchange" in line]
+    below = [lines[k] for n in sent for k in range(n + 1, next((k for k in range(n + 1, len(lines)) if depth[k] <= depth[n]), len(lines)))]
+    assert below and not [line for line in below if "pod_uuid" in line]
+
+
+def test_repeated_samples_need_no_shuffle_of_their_own(spark, tmp_path):
+    """Samples that several batches delivered count once, where the samples of a series meet anyway."""
+    rows = [("a", {"x": str(n % 2)}, n * 13, None if n == 9 else float(n % 7)) for n in range(40)]
+    samples = spark.createDataFrame(rows, "metric STRING, labels MAP<STRING, STRING>, s BIGINT, value DOUBLE").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    states = polling.StepStates(spark, f"{tmp_path}/states")
+    for number in range(2):
+        states.add(samples, number)
+    again = states.samples([0], once=False)
+    assert again.count() == 80 and states.samples([0]).count() == 40 and "Exchange" not in _plan(again)
+
+    def found(vector):
+        return sorted((r.tick, r.value) for r in vector.where("value IS NOT NULL").collect())
+
+    assert found(metrics.rate(again, "a", 120_000, repeated=True)) == found(metrics.rate(samples, "a", 120_000))
+    assert found(metrics.instant(again, "a", repeated=True)) == found(metrics.instant(samples, "a"))
+
+
 def test_devices_need_no_verdict(spark):
     """What the specs of containers list is read without the health of the containers, in the same order as they are stored."""
     raw = """{"metadata": {"uid": "p"}, "spec": {
