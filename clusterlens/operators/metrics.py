@@ -98,8 +98,12 @@ def instants(
     step: int = MINUTE,
     lookback: int = LOOKBACK,
     chunk: int = CHUNK,
+    repeated: bool = False,
 ) -> DataFrame:
-    """Per series and tick the last sample of (tick - lookback, tick], for one or more metrics."""
+    """Per series and tick the last sample of (tick - lookback, tick], for one or more metrics.
+
+    Samples may be ``repeated``: of several at one time only the last one reaches a tick.
+    """
     rows = _chunked(_series(samples, metrics, by, matchers, scope), scope, lookback, step, chunk)
     order = Window.partitionBy(*scope, "series_id", "chunk", "series", "metric").orderBy("t", "value")
     following = F.lead("t").over(order)
@@ -154,6 +158,7 @@ def rate(
     scope: Sequence[str] = (),
     step: int = MINUTE,
     chunk: int = CHUNK,
+    repeated: bool = False,
 ) -> DataFrame:
     """Per-second increase of a counter over (tick - window, tick], per series and tick.
 
@@ -162,11 +167,15 @@ def rate(
     1.1 times that distance, and never to before the counter was zero.
 
     Samples are first condensed into one row per step, so a sample is stored once however
-    many overlapping windows see it; the windows are then put together from steps.
+    many overlapping windows see it; the windows are then put together from steps.  If samples may be
+    ``repeated``, equal ones of a series count once; they are next to each other where the series is put in order anyway.
     """
     rows = _chunked(_series(samples, [metric], by, matchers, scope), scope, window, step, chunk)
     key = [*scope, "series_id", "chunk", "series"]
     order = Window.partitionBy(*key).orderBy("t", "value")
+    if repeated:
+        before = F.lag(F.struct("t", "value")).over(order)
+        rows = rows.withColumn("again", before.eqNullSafe(F.struct("t", "value"))).where("NOT again").drop("again")
     previous = F.lag("value").over(order)
     rows = rows.withColumns(
         {

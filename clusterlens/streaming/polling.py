@@ -68,9 +68,9 @@ class StepStates:
         t = F.unix_millis("ts")
         slot = F.floor(t / F.lit(self.step)).cast("bigint") * F.lit(self.step)
         rows = samples.select(
-            *self.scope, "metric", F.array_sort(F.map_entries("labels")).alias("pairs"), slot.alias("slot"), F.struct(t.alias("t"), "value").alias("sample")
+            *self.scope, "metric", F.sort_array(F.map_entries("labels")).alias("pairs"), slot.alias("slot"), F.struct(t.alias("t"), "value").alias("sample")
         ).withColumn("hour", F.floor(F.col("slot") / F.lit(HOUR)).cast("bigint"))
-        states = rows.groupBy(*self._key()).agg(F.array_sort(F.collect_set("sample")).alias("samples"))
+        states = rows.groupBy(*self._key()).agg(F.sort_array(F.collect_set("sample")).alias("samples"))
         stored = states.withColumn("batch", F.lit(number).cast("bigint"))
         stored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour", "batch").parquet(self.path)
         if not exists(self.spark, self.path):
@@ -81,10 +81,15 @@ class StepStates:
     def _read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
-    def samples(self, hours: Sequence[int]) -> DataFrame:
-        """All samples of some hours, each once; only their partitions are read."""
-        states = self._read().where(F.col("hour").isin(*hours))
-        merged = states.groupBy(*self._key()).agg(F.array_distinct(F.flatten(F.collect_list("samples"))).alias("samples"))
+    def samples(self, hours: Sequence[int], once: bool = True) -> DataFrame:
+        """All samples of some hours, each once; only their partitions are read.
+
+        Without ``once`` the states of different batches are not brought together, so a sample that several batches
+        delivered is there several times.
+        """
+        merged = self._read().where(F.col("hour").isin(*hours))
+        if once:
+            merged = merged.groupBy(*self._key()).agg(F.array_distinct(F.flatten(F.collect_list("samples"))).alias("samples"))
         labels = F.map_from_entries("pairs").alias("labels")
         each = merged.select(*self.scope, "metric", labels, F.explode("samples").alias("s"))
         return each.select(*self.scope, "metric", "labels", F.timestamp_millis("s.t").alias("ts"), F.col("s.value").alias("value"))
@@ -119,8 +124,9 @@ def metric_level(
             return
         ahead = -(-reach // HOUR)
         due = sorted({hour + k for hour in touched for k in range(ahead + 1)})
-        known = states.samples(sorted({hour - k for hour in due for k in range(ahead + 1)}))
-        rows = catalog.level_rows(level, known, grid=grid, **lookups())
+        # What several batches delivered is left to the evaluation, which brings the samples of a series together once.
+        known = states.samples(sorted({hour - k for hour in due for k in range(ahead + 1)}), once=False)
+        rows = catalog.level_rows(level, known, grid={**grid, "repeated": True}, **lookups())
         hour = F.floor(F.col("timestamp") / F.lit(HOUR)).cast("bigint")
         fresh = rows.withColumn("hour", hour).where(F.col("hour").isin(*due))
         # An hour that has no rows left still gets its partition replaced, by one row without an entity.
