@@ -122,7 +122,7 @@ class Store:
             return  # most batches delete nothing; spare them the look at every child table
         known = self.kinds[kind]
         keys = gone.select("uuid", *[c for c in gone.columns if c == SEQ])
-        self._delete_children(known, keys if some <= FEW else keys.hint("merge"), batch, own=True, writer=writer or kind)
+        self._delete_children(known, F.broadcast(keys) if some <= FEW else keys.hint("merge"), batch, own=True, writer=writer or kind)
         self.tables[kind].delete(gone, batch, writer or kind)
 
     def _delete_children(self, kind: Kind, gone: DataFrame, batch: int, *, own: bool, writer: str = "") -> None:
@@ -141,7 +141,7 @@ class Store:
                 doomed = table.keys_of(foreign, relation.foreign_key, batch, writer)
                 found.setdefault(relation.table, []).append(doomed)
                 if relation.children:
-                    collect(relation.children, doomed)
+                    collect(relation.children, sized(doomed))
 
         collect(kind.relations, gone)
         def write(name: str) -> None:

@@ -27,12 +27,13 @@ FEW = 20_000
 
 
 def sized(rows: DataFrame) -> DataFrame:
-    """Rows of a change as a side of joins, which broadcast them only if a count says that they are few.
+    """Rows of a change as a side of joins, which broadcast them, and never the other side, if a count says that they are few.
 
     The optimiser estimates some columns of wide rows by the share of their declared widths in the size of the files, which
-    is far too small for the keys of objects; any number of them would then be sent through the driver.
+    is far too small for the keys of objects, those of a change and those stored; any number of them would then be sent
+    through the driver.
     """
-    return rows if few(rows) else rows.hint("merge")
+    return F.broadcast(rows) if few(rows) else rows.hint("merge")
 
 
 def few(rows: DataFrame) -> bool:

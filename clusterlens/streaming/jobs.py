@@ -138,17 +138,17 @@ def service_pods(store: sync.Store, services: Callable[[], DataFrame], pods: Cal
     table = store.tables["service_pod"]
 
     def on_pods(rows: DataFrame, number: int) -> None:
-        changed = rows.select(F.col("uuid").alias("pod_uuid"), SEQ)
-        mine = pods().join(sized(changed), "pod_uuid", "left_semi")
+        changed = sized(rows.select(F.col("uuid").alias("pod_uuid"), SEQ))
+        mine = pods().join(changed, "pod_uuid", "left_semi")
         table.upsert(relate.select_pods(services(), mine).join(changed, "pod_uuid"), number, "pods")
 
     def on_services(rows: DataFrame, number: int) -> None:
-        changed = rows.select(F.col("uuid").alias("service_uuid"), SEQ)
-        mine = services().join(sized(changed), "service_uuid", "left_semi")
+        changed = sized(rows.select(F.col("uuid").alias("service_uuid"), SEQ))
+        mine = services().join(changed, "service_uuid", "left_semi")
         table.upsert(relate.select_pods(mine, pods()).join(changed, "service_uuid"), number, "services")
 
     def on_pod_deletes(gone: DataFrame, number: int) -> None:
-        keys = gone.select(F.col("uuid").alias("pod_uuid"), SEQ)
+        keys = sized(gone.select(F.col("uuid").alias("pod_uuid"), SEQ))
         table.delete(table.keys_of(keys, "pod_uuid", number, "pods"), number, "pods")
 
     return on_pods, on_services, on_pod_deletes

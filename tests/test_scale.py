@@ -54,6 +54,48 @@ def test_children_and_deletes_of_a_large_batch(spark, tmp_path, monkeypatch, lim
     assert store.read("service_port").count() == 18
 
 
+def test_stored_keys_are_not_broadcast_for_a_small_change(spark, tmp_path, monkeypatch):
+    """Tombstones of a wide table look smaller to the optimiser than a few objects with long documents, however many they are."""
+    schema = spark.createDataFrame([], "k STRING, " + ", ".join(f"c{n} STRING" for n in range(40))).schema
+    table = tables.KeyedTable(spark, f"{tmp_path}/table", schema, ["k"])
+    table.delete(spark.range(3000).select(F.col("id").cast("string").alias("k")), 0, seq=5)
+    long = F.concat(*[F.sha2(F.concat_ws("-", "id", F.lit(n)), 512) for n in range(80)])
+    spark.range(50).select(F.col("id").cast("string").alias("k"), (F.col("id") % 10).alias("_seq"), long.alias("raw")).write.parquet(f"{tmp_path}/change")
+    change = spark.read.parquet(f"{tmp_path}/change").select("k", "_seq")
+    small = table.deleted_since(tables.sized(change))
+    assert "BuildLeft" in _plan(small) and "BuildRight" not in _plan(small)
+    monkeypatch.setattr(tables, "FEW", 10)
+    large = table.deleted_since(tables.sized(change))
+    assert "Broadcast" not in _plan(large)
+    assert sorted(r.k for r in small.collect()) == sorted(r.k for r in large.collect()) == sorted(str(n) for n in range(50) if n % 10 < 5)
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_grandchildren_are_not_broadcast_for_a_delete(spark, tmp_path, monkeypatch, limit):
+    """What is stored of the children of deleted objects' children is not sent through the driver either."""
+    monkeypatch.setattr(tables, "FEW", limit)
+    monkeypatch.setattr("clusterlens.plans.sync.FEW", limit)
+    store = Store(spark, f"{tmp_path}/tables", ["pod"])
+    document = """{"metadata": {"uid": "p%1$d", "name": "p%1$d"}, "spec": {"containers": [{"name": "a", "volumeMounts": [{"name": "v", "mountPath": "/v"}]}]}}"""
+    pods = spark.range(30).select(F.format_string(document, "id").alias("raw"), F.lit(1).cast("bigint").alias("_seq"))
+    store.upsert("pod", parse_objects(pods, "pod"), F.lit("c1"), F.lit("2024-02-01").cast("timestamp"), 0)
+    plans, delete = {}, tables.KeyedTable.delete
+
+    def recorded(self, keys, *rest, **named):
+        plans[self.path.rpartition("/")[2]] = _plan(keys)
+        delete(self, keys, *rest, **named)
+
+    monkeypatch.setattr(tables.KeyedTable, "delete", recorded)
+    gone = store.read("pod").where("name < 'p2'").select("uuid", F.lit(3).cast("bigint").alias("_seq"))
+    store.delete("pod", gone, 2)
+    assert "container_mount" in plans
+    assert all("BuildLeft" not in plan for plan in plans.values())  # the stored rows are on the left
+    assert ("SortMergeJoin" in plans["container_mount"]) == (limit == 0)
+    left = sorted(r.name for r in store.read("pod").collect())
+    assert left == sorted(f"p{n}" for n in range(30) if not f"p{n}" < "p2")
+    assert store.read("container").count() == store.read("container_mount").count() == len(left)
+
+
 @pytest.mark.parametrize("step", [60_000, 30_000])
 def test_allocations_share_their_joins(spark, step):
     """All allocation metrics of a level go through one aggregation and its joins, with the rows that each has by itself."""
