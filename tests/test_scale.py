@@ -96,6 +96,29 @@ def test_grandchildren_are_not_broadcast_for_a_delete(spark, tmp_path, monkeypat
     assert store.read("container").count() == store.read("container_mount").count() == len(left)
 
 
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_rows_of_a_large_batch_are_not_broadcast(spark, tmp_path, monkeypatch, limit):
+    """Neither the objects of a batch nor their children are written through a broadcast, unless the batch is small."""
+    monkeypatch.setattr(tables, "FEW", limit)
+    monkeypatch.setattr("clusterlens.plans.sync.FEW", limit)
+    store = Store(spark, f"{tmp_path}/tables", ["namespace"])
+    document = """{"metadata": {"uid": "n%1$d", "name": "n%1$d", "labels": {"a": "%1$d"}}}"""
+    objects = spark.range(40).select(F.format_string(document, "id").alias("raw"), F.col("id").alias("_seq"))
+    plans, upsert = {}, tables.KeyedTable.upsert
+
+    def recorded(self, rows, *rest, **named):
+        plans[self.path.rpartition("/")[2]] = _plan(rows)
+        upsert(self, rows, *rest, **named)
+
+    monkeypatch.setattr(tables.KeyedTable, "upsert", recorded)
+    store.upsert("namespace", parse_objects(objects, "namespace"), F.lit("c1"), F.lit("2024-02-01").cast("timestamp"), 0)
+    assert {"namespace", "namespace_label"} <= set(plans)
+    assert "BuildLeft" not in "".join(plans.values())
+    for table in ("namespace", "namespace_label"):
+        assert ("BuildRight" in plans[table]) == (limit > 0)
+        assert store.read(table).count() == 40
+
+
 @pytest.mark.parametrize("step", [60_000, 30_000])
 def test_allocations_share_their_joins(spark, step):
     """All allocation metrics of a level go through one aggregation and its joins, with the rows that each has by itself."""
