@@ -30,7 +30,15 @@ def event_stream(t) -> DataFrame:
 
 
 def finish(writer, checkpoint: str) -> None:
-    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    _to_the_end(writer, checkpoint).start().awaitTermination()
+
+
+def finish_stateful(t, writer, checkpoint: str) -> None:
+    state.started(_to_the_end(writer, checkpoint), t.spark).awaitTermination()
+
+
+def _to_the_end(writer, checkpoint: str):
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
 @query(
@@ -183,13 +191,18 @@ def stream_redelivered(t):
 
     changes = read_changes(t.spark, f"{folder}/in/*").withColumn("received", F.col("_metadata.file_modification_time"))
     writer = jobs.object_changes(
-        state.first_deliveries(changes), store, "namespace", clock=lambda: F.lit("2024-02-01").cast("timestamp"), on_upsert=[seen]
+        state.first_deliveries(changes),
+        store,
+        "namespace",
+        clock=lambda: F.lit("2024-02-01").cast("timestamp"),
+        stateful=True,
+        on_upsert=[seen],
     )
     for number in range(3):
         # Twice within the batch in part, and again in the others.
         again = records.where(F.col("c_custkey") % 3 == number)
         records.where(F.col("c_custkey") % 3 != (number + 1) % 3).unionByName(again).write.json(f"{folder}/in/{number}")
-        finish(writer, f"{folder}/checkpoint")
+        finish_stateful(t, writer, f"{folder}/checkpoint")
     found = t.spark.read.schema("name STRING, resource_version STRING").parquet(f"{folder}/seen")
     return found.groupBy("name", "resource_version").agg(F.count(F.lit(1)).alias("times"))
 
@@ -217,7 +230,7 @@ def stream_delete_once(t):
         for number, part in enumerate((F.col("seq") <= middle, F.col("seq") > middle)):
             rows.where(part).write.json(f"{folder}/in/{number}")
             counted = state.delete_once(read_changes(t.spark, f"{folder}/in/*"), hours=10_000)
-            finish(counted.writeStream.format("parquet").option("path", f"{folder}/out"), f"{folder}/checkpoint")
+            finish_stateful(t, counted.writeStream.format("parquet").option("path", f"{folder}/out"), f"{folder}/checkpoint")
     return t.spark.read.schema("cluster_uuid STRING, kind STRING, uid STRING, seq BIGINT").parquet(f"{folder}/out").select("uid", "seq")
 
 
@@ -246,7 +259,7 @@ def stream_minute_windows(t):
     for number, part in enumerate(parts):
         part.write.parquet(f"{folder}/in/{number}")
         windows = jobs.minute_windows(t.spark.readStream.schema(schema).parquet(f"{folder}/in/*"), ["event_type"], _LATE)
-        finish(windows.writeStream.format("parquet").option("path", f"{folder}/out"), f"{folder}/checkpoint")
+        finish_stateful(t, windows.writeStream.format("parquet").option("path", f"{folder}/out"), f"{folder}/checkpoint")
     found = t.spark.read.schema("event_type STRING, minute TIMESTAMP, value DOUBLE").parquet(f"{folder}/out")
     return found.select("event_type", F.unix_millis("minute").alias("minute_ms"), "value")
 

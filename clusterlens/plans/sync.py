@@ -6,8 +6,9 @@ deleted objects, objects, children.  Every write replaces what the same batch wr
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -163,6 +164,17 @@ class Store:
         return gone
 
 
+@contextmanager
+def staged(store: Store, changes: DataFrame, kind: str, batch: int) -> Iterator[DataFrame]:
+    """The change records of a batch, read from a staging folder that goes with the context."""
+    folder = f"{store.root}/_staged/{kind}-changes/{_STAGE}={batch}"
+    changes.write.mode("overwrite").parquet(folder)
+    try:
+        yield store.spark.read.schema(changes.schema).parquet(folder)
+    finally:
+        _remove(store.spark, folder)
+
+
 def _together(task: Callable[[str], None], names: Iterable[str]) -> None:
     """Run independent table writes as concurrent Spark jobs; the first error is raised."""
     with ThreadPoolExecutor(max_workers=CONCURRENT_WRITES) as pool:

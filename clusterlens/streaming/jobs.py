@@ -8,6 +8,7 @@ leaves the same tables.  Tables are the state; no state lives only in memory.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from contextlib import nullcontext
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -31,6 +32,7 @@ def object_changes(
     replace_children: bool = False,
     ignore_deletes: bool = False,
     tombstones: KeyedTable | None = None,
+    stateful: bool = False,
     on_upsert: Sequence[Consumer] = (),
     on_delete: Sequence[Consumer] = (),
 ) -> DataStreamWriter:
@@ -39,14 +41,20 @@ def object_changes(
     Per batch the last change of each object counts.  Consumers run in order after the write
     and get the rows written, or the keys deleted.  ``ignore_deletes`` is for kinds that are
     only ever added to (events).  With ``tombstones``, a table of deleted keys, a delete counts
-    once until the object is back.
+    once until the object is back.  ``stateful`` says that the stream has an operator with state:
+    each batch is then written to a staging folder first.  All stages of a plan that starts at the
+    state, also those after a shuffle or a cache, would send its metrics with every task.
 
     The sequence number of each change goes into all tables, so that streams with unrelated
     batches, and changes that arrive late, leave the same rows in any order.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        mine = batch.where(F.col("kind") == kind).withColumn("change_uuid", ensure_uuid(F.col("uid")))
+        mine = batch.where(F.col("kind") == kind)
+        with sync.staged(store, mine, kind, number) if stateful else nullcontext(mine) as known:
+            change(known.withColumn("change_uuid", ensure_uuid(F.col("uid"))), number)
+
+    def change(mine: DataFrame, number: int) -> None:
         last = sync.coalesced(mine.withColumnRenamed("object", "raw")).persist()
         try:
             now = clock()

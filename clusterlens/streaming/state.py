@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from math import ceil, sqrt
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from clusterlens.operators.merge import DELETED
@@ -13,6 +15,25 @@ from clusterlens.operators.merge import DELETED
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PARTITIONS = "spark.sql.shuffle.partitions"
+
+# A state has so many times the square root of the session's shuffle partitions, and never more than those.
+SPREAD = 8
+
+
+def started(writer: DataStreamWriter, spark: SparkSession) -> StreamingQuery:
+    """Start a query with state.
+
+    Each task over a state tells the driver a figure of every partition of the state, so what is sent grows with the square of
+    their number.  With :data:`SPREAD` it grows with the shuffle partitions instead.  The checkpoint keeps the number that it
+    was made with.
+    """
+    before = spark.conf.get(_PARTITIONS)
+    spark.conf.set(_PARTITIONS, str(min(int(before), ceil(SPREAD * sqrt(int(before))))))
+    try:
+        return writer.start()  # the query has a copy of the settings
+    finally:
+        spark.conf.set(_PARTITIONS, before)
 
 
 @contextmanager
