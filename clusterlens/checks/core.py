@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clusterlens.checks.base import OBJECT_SPACE, query, sql_uuid5
@@ -813,10 +816,18 @@ def rule_routing_templates(t):
         body("SELECT 1 FROM pod_item WHERE order_uuid = ? AND quantity / ? < 0", number.cast("string")).alias("filter"),
     )
     rules = notify.judged_rules(over.unionByName(status).unionByName(broken))
-    routed, rejected = notify.match_rule_table(events, rules, tables)
+
+    def counted(rule_ids: pa.ListArray) -> pa.Array:
+        """How many ids each event has, and the sum of their numbers; a number is read once per distinct id."""
+        ends = rule_ids.offsets.to_numpy()
+        coded = rule_ids.values
+        numbers = pc.struct_field(pc.extract_regex(coded.dictionary, "(?P<n>[0-9]+)"), 0).cast(pa.int64())
+        totals = np.concatenate([[0], np.cumsum(numbers.to_numpy()[coded.indices.to_numpy()])])[ends]
+        return pa.StructArray.from_arrays([np.diff(ends).astype(np.int64), np.diff(totals)], ["rules", "ids"])
+
+    routed, rejected = notify.match_rule_table(events, rules, tables, (counted, "struct<rules: bigint, ids: bigint>"))
     assert list(rejected) == ["divide-0"], rejected
-    total = F.aggregate("rule_ids", F.lit(0).cast("bigint"), lambda n, i: n + F.regexp_extract(i, "[0-9]+", 0).cast("bigint"))
-    return routed.select("uuid", F.size("rule_ids").cast("bigint").alias("rules"), total.alias("ids"))
+    return routed.select("uuid", "rule_ids.rules", "rule_ids.ids")
 
 
 @query(
