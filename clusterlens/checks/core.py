@@ -817,12 +817,16 @@ def rule_routing_templates(t):
     )
     rules = notify.judged_rules(over.unionByName(status).unionByName(broken))
 
+    seen = []  # a dictionary of ids and their numbers
+
     def counted(rule_ids: pa.ListArray) -> pa.Array:
         """How many ids each event has, and the sum of their numbers; a number is read once per distinct id."""
         ends = rule_ids.offsets.to_numpy()
         coded = rule_ids.values
-        numbers = pc.struct_field(pc.extract_regex(coded.dictionary, "(?P<n>[0-9]+)"), 0).cast(pa.int64())
-        totals = np.concatenate([[0], np.cumsum(numbers.to_numpy()[coded.indices.to_numpy()])])[ends]
+        if not seen or not seen[0].equals(coded.dictionary):
+            numbers = pc.struct_field(pc.extract_regex(coded.dictionary, "(?P<n>[0-9]+)"), 0).cast(pa.int64())
+            seen[:] = [coded.dictionary, numbers.to_numpy()]
+        totals = np.concatenate([[0], np.cumsum(seen[1][coded.indices.to_numpy()])])[ends]
         return pa.StructArray.from_arrays([np.diff(ends).astype(np.int64), np.diff(totals)], ["rules", "ids"])
 
     routed, rejected = notify.match_rule_table(events, rules, tables, (counted, "struct<rules: bigint, ids: bigint>"))

@@ -34,7 +34,7 @@ WORDS = 8
 
 # So many words of matches, and so many ids, are in the memory of a Python worker at once, or those of one event.
 WORDS_AT_ONCE = 1 << 15
-IDS_AT_ONCE = 1 << 19
+IDS_AT_ONCE = 1 << 17
 
 # Arguments that stand for a value of the event.
 EVENT_VALUES = {":uuid": "_event.uuid", ":cluster_uuid": "_event.cluster_uuid"}
